@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casewright.llm import language_id, licenses, line_dedup, packing, piece_bpe, simhash, toxicity
+from casewright.llm import embedding_dedup, hnsw, language_id, licenses, line_dedup, packing, pii, piece_bpe, simhash, toxicity
 from casewright.llm.shared import crc_bucket
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -41,6 +41,11 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op4_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return hnsw.nearest(table, table.filter(F.col("vec_id") % 50 == 0), k=5)
+
+
 def op5_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = tokenizer_file(PIECES)
     coded = piece_bpe.encode(documents(spark, sf_dir).select("doc_id", "text"), model).drop("text")
@@ -54,6 +59,18 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    found = pii.find(docs, pii.learn(docs))
+    listed = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
+    return found.select("doc_id", *map(count, pii.KINDS), F.sha2(listed("base"), 256).alias("base_sha256"), listed("spans").alias("spans"))
+
+
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), threshold=0.9)
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic").filter(crc_bucket(F.col("doc_id"), 5) != 0)
@@ -71,7 +88,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_packing, op2_license_scan, op3_simhash, op5_piece_bpe, op6_line_dedup, op9_toxicity, op10_language_id]
+    found = [op1_packing, op2_license_scan, op3_simhash, op4_hnsw, op5_piece_bpe, op6_line_dedup, op7_pii, op8_embedding_dedup, op9_toxicity, op10_language_id]
     return {f.__name__: f for f in found}
 
 
