@@ -57,30 +57,31 @@ def sketch(keys: Column, half: int | None) -> Column:
     return F.aggregate(tokens, zero, flip)
 
 
-def split_lines(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, _row, line_no, line): _row tells texts with one key apart; rows that repeat key and text are one document."""
-    lines = F.posexplode(F.split(F.col(text), "\n", -1)).alias("line_no", "line")
-    return docs.filter(F.col(text).isNotNull()).select(F.col(key), F.xxhash64(text).alias("_row"), lines)
-
-
 def line_classes(docs: DataFrame, ranks: list[int], *, threshold: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The distinct token sets: (cid, n, s, u, prefix, first); first: position of the class's earliest line.
+    """The distinct token sets, written once: (cid, n, s, u, prefix, first); first: position of the earliest line.
 
-    s, u: sketches (of both halves for sets over WIDE tokens, else of all and 0). A set is known by its hash, size and
-    sketches, some 190 bits. The aggregate is partial before the shuffle, so a line in a third of all documents is one
-    row a task; whole sets are never shuffled, only their prefixes.
+    A position is (key, text hash, line number). s, u: sketches (of both halves for sets over WIDE tokens, else of all
+    and 0). A set is known by its hash, size and sketches, some 190 bits. The aggregate is partial before the shuffle,
+    so a line in a third of all documents is one row a task; of a set only its prefix is shuffled, as 32-bit hashes
+    (equal hashes of different tokens cost a candidate, never a result).
     """
-    keyed = split_lines(docs, key, text).select(key, "_row", "line_no", token_keys(F.col("line"), ranks).alias("keys")).filter(F.size("keys") > 0)
+    lines = docs.filter(F.col(text).isNotNull()).select(F.col(key), F.xxhash64(text).alias("_row"), F.posexplode(F.split(F.col(text), "\n", -1)).alias("line_no", "line"))
+    keyed = lines.filter(has_words("line")).select(key, "_row", "line_no", token_keys(F.col("line"), ranks).alias("keys"))
     wide = F.size("keys") > WIDE
     position = F.struct(F.col(key).alias("k"), F.col("_row").alias("r"), F.col("line_no").alias("l"))
-    prefix = F.size("keys") - F.ceil(threshold * F.size("keys") - 1e-9).cast("int") + 1
+    prefix = F.slice("keys", F.lit(1), F.size("keys") - F.ceil(threshold * F.size("keys") - 1e-9).cast("int") + 1)
+    small = F.transform(prefix, lambda k: k.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
     s = F.when(wide, sketch(F.col("keys"), 0)).otherwise(sketch(F.col("keys"), None))
     u = F.when(wide, sketch(F.col("keys"), 1)).otherwise(F.lit(0).cast("bigint"))
-    rows = keyed.select(F.xxhash64("keys").alias("h"), F.size("keys").alias("n"), s.alias("s"), u.alias("u"), F.slice("keys", F.lit(1), prefix).alias("prefix"), position.alias("first"))
+    rows = keyed.select(F.xxhash64("keys").alias("h"), F.size("keys").alias("n"), s.alias("s"), u.alias("u"), small.alias("prefix"), position.alias("first"))
     classes = rows.groupBy("h", "n", "s", "u").agg(F.first("prefix").alias("prefix"), F.min("first").alias("first"))
     return stage_table(classes.select(F.monotonically_increasing_id().alias("cid"), "n", "s", "u", "prefix", "first"), "line-classes")
 
 
+def has_words(line: str) -> Column:
+    return F.col(line).rlike("[^ \\t\\x0b\\f\\r]")
+
+
 def candidate_pairs(classes: DataFrame, threshold: float) -> DataFrame:
     """(a, b), a's set no larger than b's: pairs of classes that the prefix, length, positional and sketch filters leave."""
     t = F.lit(threshold)
@@ -97,35 +98,25 @@ def candidate_pairs(classes: DataFrame, threshold: float) -> DataFrame:
     return x.join(y, (x["key"] == y["key"]) & order & length & positional & sketched).select("a", "b").distinct()
 
 
-def near_pairs(docs: DataFrame, classes: DataFrame, ranks: list[int], *, threshold: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
+def near_pairs(texts: DataFrame, classes: DataFrame, ranks: list[int], threshold: float) -> DataFrame:
     """(fa, fb): first positions of all pairs of classes with Jaccard similarity >= threshold.
 
-    Only lines of candidate classes are tokenized again for the verification.
+    texts: (_cw_k, _cw_r, _cw_text). Only the lines of candidate classes are tokenized again for the verification.
     """
     t = F.lit(threshold)
     pairs = cut(candidate_pairs(classes, threshold))
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
-    at = classes.join(asked, "cid").select("cid", "first")
-    lines = split_lines(docs, key, text).select(F.struct(F.col(key).alias("k"), F.col("_row").alias("r"), F.col("line_no").alias("l")).alias("first"), "line")
-    same = at["first"]["r"].eqNullSafe(lines["first"]["r"]) & at["first"]["k"].eqNullSafe(lines["first"]["k"]) & (at["first"]["l"] == lines["first"]["l"])
-    sets = cut(at.join(lines, same).select("cid", at["first"], token_keys(F.col("line"), ranks).alias("keys")).dropDuplicates(["cid"]))
+    asked = classes.join(pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct(), "cid")
+    at = asked.groupBy(F.col("first.k").alias("k"), F.col("first.r").alias("r")).agg(F.collect_list(F.struct(F.col("first.l").alias("l"), "cid")).alias("at"))
+    found = texts.join(at, F.col("_cw_k").eqNullSafe(F.col("k")) & (F.col("_cw_r") == F.col("r")))
+    each = found.select("k", "r", F.split("_cw_text", "\n", -1).alias("lines"), F.explode("at").alias("p"))
+    one = each.select(F.col("p.cid").alias("cid"), F.struct("k", "r", "p.l").alias("first"), F.element_at("lines", F.col("p.l") + 1).alias("line"))
+    sets = one.groupBy("cid").agg(F.first("line").alias("line"), F.min("first").alias("first")).select("cid", "first", token_keys(F.col("line"), ranks).alias("keys"))
     left = sets.select(F.col("cid").alias("a"), F.col("keys").alias("ka"), F.col("first").alias("fa"))
     right = sets.select(F.col("cid").alias("b"), F.col("keys").alias("kb"), F.col("first").alias("fb"))
     both = pairs.join(left, "a").join(right, "b").withColumn("o", F.size(F.array_intersect("ka", "kb")))
     return both.filter(F.col("o") >= t * (F.size("ka") + F.size("kb") - F.col("o")) - 1e-9).select("fa", "fb")
 
 
-def kept_lines(docs: DataFrame, *, threshold: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(k, r, keep array<int>): of each text (key, text hash) the numbers of the lines without an earlier line (by key,
-    text hash, line number) of Jaccard similarity >= threshold. Rows that repeat key and text count as one document."""
-    ranks = rarity(docs, text)
-    classes = line_classes(docs, ranks, threshold=threshold, key=key, text=text)
-    pairs = near_pairs(docs, classes, ranks, threshold=threshold, key=key, text=text)
-    beaten = pairs.select(F.greatest("fa", "fb").alias("first")).distinct()
-    kept = classes.select("first").join(beaten, "first", "left_anti").select("first.*")
-    return kept.groupBy("k", "r").agg(F.collect_list("l").alias("keep"))
-
-
 def dedup_lines(docs: DataFrame, *, threshold: float = 0.8, key: str = "doc_id", text: str = "text", n_lines: str | None = None, n_removed: str | None = None) -> DataFrame:
     """docs whose texts have lost every line that is near an earlier one; the columns stay as they are.
 
@@ -133,18 +124,24 @@ def dedup_lines(docs: DataFrame, *, threshold: float = 0.8, key: str = "doc_id",
     (null first), text hash and line number. A null text stays null; a text that loses every line becomes empty; rows
     that repeat key and text stay and lose the same lines. n_lines, n_removed: names of optional count columns.
     """
-    kept = kept_lines(docs, threshold=threshold, key=key, text=text)
-    marked = docs.withColumn("_cw_row", F.xxhash64(text))
-    kept = kept.withColumnRenamed("k", "_cw_k").withColumnRenamed("r", "_cw_r").withColumnRenamed("keep", "_cw_keep")
-    joined = marked.join(kept, F.col(key).eqNullSafe(F.col("_cw_k")) & (F.col("_cw_row") == F.col("_cw_r")), "left")
-    lines = F.split(F.col(text), "\n", -1)
-    none = F.array().cast("array<int>")
-    wordless = lambda x: ~x.rlike("[^ \\t\\x0b\\f\\r]")
-    stays = F.filter(lines, lambda x, i: wordless(x) | F.array_contains(F.coalesce("_cw_keep", none), i))
-    out = joined.withColumn("_cw_stays", stays)
+    ranks = rarity(docs, text)
+    classes = line_classes(docs, ranks, threshold=threshold, key=key, text=text)
+    # one exchange by (key, text hash) serves the verification and the result
+    hashed = docs.withColumn("_cw_k", F.col(key)).withColumn("_cw_r", F.xxhash64(text)).withColumn("_cw_text", F.col(text)).drop(key, text)
+    dealt = hashed.repartition("_cw_k", "_cw_r")
+    pairs = near_pairs(dealt, classes, ranks, threshold)
+    beaten = pairs.select(F.greatest("fa", "fb").alias("first")).distinct()
+    kept = classes.select("first").join(beaten, "first", "left_anti").select("first.*")
+    kept = kept.groupBy("k", "r").agg(F.collect_list("l").alias("_cw_keep"))
+    joined = dealt.join(kept, F.col("_cw_k").eqNullSafe(F.col("k")) & (F.col("_cw_r") == F.col("r")), "left")
+    lines = F.split(F.col("_cw_text"), "\n", -1)
+    bare = F.filter(F.transform(lines, lambda x, i: F.when(~x.rlike("[^ \\t\\x0b\\f\\r]"), i)), lambda i: i.isNotNull())
+    out = joined.withColumn("_cw_lines", lines).withColumn("_cw_at", F.sort_array(F.concat(F.coalesce("_cw_keep", F.array().cast("array<int>")), bare)))
+    out = out.withColumn("_cw_stays", F.transform("_cw_at", lambda i: F.element_at("_cw_lines", i + 1)))
+    there = F.col("_cw_text").isNotNull()
     if n_lines:
-        out = out.withColumn(n_lines, F.when(F.col(text).isNotNull(), F.size(lines)))
+        out = out.withColumn(n_lines, F.when(there, F.size("_cw_lines")))
     if n_removed:
-        out = out.withColumn(n_removed, F.when(F.col(text).isNotNull(), F.size(lines) - F.size("_cw_stays")))
-    out = out.withColumn(text, F.when(F.col(text).isNotNull(), F.array_join("_cw_stays", "\n")))
+        out = out.withColumn(n_removed, F.when(there, F.size("_cw_lines") - F.size("_cw_stays")))
+    out = out.withColumn(text, F.when(there, F.array_join("_cw_stays", "\n"))).withColumn(key, F.col("_cw_k"))
     return out.select(*docs.columns, *(c for c in (n_lines, n_removed) if c))
