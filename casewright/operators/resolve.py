@@ -100,13 +100,13 @@ def canonical_entities(merged: DataFrame, clusters: DataFrame, *, preferred: lis
     principal: most mentions, then longest; canonical: a variant with a preferred token first, else the longest one
     without a line break.
     """
-    j = merged.join(clusters.withColumnRenamed("node", "norm"), ["case_id", "norm"])
+    j = merged.withColumnRenamed("principal", "variant").join(clusters.withColumnRenamed("node", "norm"), ["case_id", "norm"])
     tokens = F.array(*map(F.lit, preferred)) if preferred else F.array().cast("array<string>")
-    liked = F.exists(tokens, lambda t: F.contains(F.col("principal"), t)).cast("int")
-    clean = (~F.contains("principal", F.lit("\n"))).cast("int")
+    liked = F.exists(tokens, lambda t: F.contains(F.col("variant"), t)).cast("int")
+    clean = (~F.contains("variant", F.lit("\n"))).cast("int")
     return j.groupBy("case_id", "component").agg(
-        F.max_by("principal", F.struct("mentions", F.length("principal"), "principal")).alias("principal"),
-        F.max_by("principal", F.struct(clean, liked, F.length("principal"), "principal")).alias("canonical"),
+        F.max_by("variant", F.struct("mentions", F.length("variant"), "variant")).alias("principal"),
+        F.max_by("variant", F.struct(clean, liked, F.length("variant"), "variant")).alias("canonical"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("aliases")))).alias("aliases"),
         F.sum("mentions").alias("mentions"),
     )

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from casewright.plans import corpus_queries
+from casewright.plans import corpus_queries, entity_queries
 
-MODULES = (corpus_queries,)
+MODULES = (corpus_queries, entity_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
