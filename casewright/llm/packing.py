@@ -23,7 +23,10 @@ from pyspark.sql import functions as F
 
 from casewright.llm.shared import running_total, stage_table
 
-CACHED_WORDS = 500_000
+CACHED_WORDS = 300_000
+CACHED_TOKENS = 800_000
+# Fixed value: the pattern by which byte-level BPE files of this family cut a text before merging.
+PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 ROWS_PER_SALT = 50_000
 
 
@@ -31,15 +34,19 @@ class WordTokenizer:
     """Ids by a byte-level BPE file of the tokenizers library, from a cache of distinct words.
 
     The file's pre-tokenizer never joins what stands before a single space with the space or what follows, if neither
-    neighbour of the space is white space; there a text is cut, and equal words are encoded once.
+    neighbour of the space is white space; there a text is cut. Words that are new to the cache are cut into
+    pre-tokens, and the library encodes each pre-token once.
     """
 
     gap = re.compile(r"(?<=\S) (?=\S)")
     wide = re.compile(r"\s |\s$| \s|^\s")
 
     def __init__(self, model: bytes):
+        import regex
         from tokenizers import Tokenizer
 
+        self.pieces = regex.compile(PRE_TOKENS).findall
+        self.tokens: dict[str, bytes] = {}
         self.bpe = Tokenizer.from_str(model.decode())
         self.bpe.encode_special_tokens = True
         self.vocabulary = self.bpe.get_vocab_size()
@@ -56,11 +63,19 @@ class WordTokenizer:
         if len(self.cache) + len(new) > CACHED_WORDS:
             self.cache.clear()
             new = set().union(*cut_up)
-        todo = list(new)
+        cut_new = [self.pieces(w) for w in new]
+        missing = set().union(*cut_new) - self.tokens.keys()
+        if len(self.tokens) + len(missing) > CACHED_TOKENS:
+            self.tokens.clear()
+            missing = set().union(*cut_new)
+        todo = list(missing)
         for a in range(0, len(todo), 20_000):
             part = todo[a : a + 20_000]
-            for word, got in zip(part, self.bpe.encode_batch_fast(part, add_special_tokens=False)):
-                self.cache[word] = np.array(got.ids, "<u4").tobytes()
+            for token, got in zip(part, self.bpe.encode_batch_fast(part, add_special_tokens=False)):
+                self.tokens[token] = np.array(got.ids, "<u4").tobytes()
+        ids = self.tokens.__getitem__
+        for word, tokens in zip(new, cut_new):
+            self.cache[word] = b"".join(map(ids, tokens))
         get, last = self.cache.__getitem__, np.array([end], "<u4").tobytes()
         return [b"".join(map(get, w)) + last for w in cut_up]
 
