@@ -12,6 +12,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from casewright.llm.shared import running_total, stage_table
 
-CACHED_WORDS = 300_000
+CACHED_WORDS = 600_000
 CACHED_TOKENS = 800_000
 # Fixed value: the pattern by which byte-level BPE files of this family cut a text before merging.
 PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -34,8 +35,9 @@ class WordTokenizer:
     """Ids by a byte-level BPE file of the tokenizers library, from a cache of distinct words.
 
     The file's pre-tokenizer never joins what stands before a single space with the space or what follows, if neither
-    neighbour of the space is white space; there a text is cut. Words that are new to the cache are cut into
-    pre-tokens, and the library encodes each pre-token once.
+    neighbour of the space is white space; there a text is cut, and words new to the cache are encoded once. Where the
+    file's merges come in the order of their ids, ranks say the same as merges, and the tiktoken library applies them
+    (three times as fast on single words); else the tokenizers library does, pre-token by pre-token.
     """
 
     gap = re.compile(r"(?<=\S) (?=\S)")
@@ -51,6 +53,25 @@ class WordTokenizer:
         self.bpe.encode_special_tokens = True
         self.vocabulary = self.bpe.get_vocab_size()
         self.cache: dict[str, bytes] = {}
+        self.ranked = self._ranked(json.loads(model))
+
+    @staticmethod
+    def _ranked(file: dict):
+        """The encoder by ranks, or None if the file's merges are not in the order of their ids."""
+        import tiktoken
+
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        byte_of = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
+        merges = [m.split(" ") if isinstance(m, str) else m for m in file["model"]["merges"]]
+        vocab, extra = file["model"]["vocab"], {t["content"] for t in file["added_tokens"]}
+        made = [vocab["".join(m)] for m in merges]
+        shown = str(file["pre_tokenizer"])
+        if made != sorted(set(made)) or "ByteLevel" not in shown or "Split" in shown or file.get("normalizer") or file["model"].get("ignore_merges"):
+            return None
+        ranks = {bytes(byte_of[c] for c in t): i for t, i in vocab.items() if t not in extra}
+        if max(ranks[bytes([b])] for b in range(256)) > made[0]:
+            return None
+        return tiktoken.Encoding("file", pat_str=PRE_TOKENS, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
     def words(self, text: str) -> list[str]:
         parts = self.gap.split(text) if self.wide.search(text) else text.split(" ")
@@ -63,6 +84,10 @@ class WordTokenizer:
         if len(self.cache) + len(new) > CACHED_WORDS:
             self.cache.clear()
             new = set().union(*cut_up)
+        if self.ranked:
+            for w in new:
+                self.cache[w] = np.array(self.ranked(w), "<u4").tobytes()
+            new = set()
         cut_new = [self.pieces(w) for w in new]
         missing = set().union(*cut_new) - self.tokens.keys()
         if len(self.tokens) + len(missing) > CACHED_TOKENS:
