@@ -101,15 +101,18 @@ def candidate_pairs(classes: DataFrame, threshold: float) -> DataFrame:
 def near_pairs(texts: DataFrame, classes: DataFrame, ranks: list[int], threshold: float) -> DataFrame:
     """(fa, fb): first positions of all pairs of classes with Jaccard similarity >= threshold.
 
-    texts: (_cw_k, _cw_r, _cw_text). Only the lines of candidate classes are tokenized again for the verification.
+    texts: (_cw_r, _cw_h, _cw_text), one row a text. Only the lines of candidate classes are tokenized again for the
+    verification.
     """
     t = F.lit(threshold)
     pairs = cut(candidate_pairs(classes, threshold))
     asked = classes.join(pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct(), "cid")
-    at = asked.groupBy(F.col("first.k").alias("k"), F.col("first.r").alias("r")).agg(F.collect_list(F.struct(F.col("first.l").alias("l"), "cid")).alias("at"))
-    found = texts.join(at, F.col("_cw_k").eqNullSafe(F.col("k")) & (F.col("_cw_r") == F.col("r")))
-    each = found.select("k", "r", F.split("_cw_text", "\n", -1).alias("lines"), F.explode("at").alias("p"))
-    one = each.select(F.col("p.cid").alias("cid"), F.struct("k", "r", "p.l").alias("first"), F.element_at("lines", F.col("p.l") + 1).alias("line"))
+    place = F.struct("first", "cid").alias("p")
+    at = asked.select(F.col("first.r").alias("_cw_r"), F.xxhash64("first.k").alias("_cw_h"), place)
+    at = at.groupBy("_cw_r", "_cw_h").agg(F.collect_list("p").alias("at"))
+    found = texts.join(at, ["_cw_r", "_cw_h"])
+    each = found.select(F.split("_cw_text", "\n", -1).alias("lines"), F.explode("at").alias("p"))
+    one = each.select(F.col("p.cid").alias("cid"), F.col("p.first").alias("first"), F.element_at("lines", F.col("p.first.l") + 1).alias("line"))
     sets = one.groupBy("cid").agg(F.first("line").alias("line"), F.min("first").alias("first")).select("cid", "first", token_keys(F.col("line"), ranks).alias("keys"))
     left = sets.select(F.col("cid").alias("a"), F.col("keys").alias("ka"), F.col("first").alias("fa"))
     right = sets.select(F.col("cid").alias("b"), F.col("keys").alias("kb"), F.col("first").alias("fb"))
@@ -126,22 +129,21 @@ def dedup_lines(docs: DataFrame, *, threshold: float = 0.8, key: str = "doc_id",
     """
     ranks = rarity(docs, text)
     classes = line_classes(docs, ranks, threshold=threshold, key=key, text=text)
-    # one exchange by (key, text hash) serves the verification and the result
-    hashed = docs.withColumn("_cw_k", F.col(key)).withColumn("_cw_r", F.xxhash64(text)).withColumn("_cw_text", F.col(text)).drop(key, text)
-    dealt = hashed.repartition("_cw_k", "_cw_r")
-    pairs = near_pairs(dealt, classes, ranks, threshold)
+    # one exchange of the texts, by hashes of text and key that are never null, serves the verification and the result
+    marks = [F.xxhash64(text).alias("_cw_r"), F.xxhash64(key).alias("_cw_h")]
+    texts = docs.filter(F.col(text).isNotNull()).select(*marks, F.col(text).alias("_cw_text")).repartition("_cw_r", "_cw_h").dropDuplicates(["_cw_r", "_cw_h"])
+    pairs = near_pairs(texts, classes, ranks, threshold)
     beaten = pairs.select(F.greatest("fa", "fb").alias("first")).distinct()
-    kept = classes.select("first").join(beaten, "first", "left_anti").select("first.*")
-    kept = kept.groupBy("k", "r").agg(F.collect_list("l").alias("_cw_keep"))
-    joined = dealt.join(kept, F.col("_cw_k").eqNullSafe(F.col("k")) & (F.col("_cw_r") == F.col("r")), "left")
+    kept = classes.select("first").join(beaten, "first", "left_anti").select(F.col("first.r").alias("_cw_r"), F.xxhash64("first.k").alias("_cw_h"), F.col("first.l").alias("l"))
+    kept = kept.groupBy("_cw_r", "_cw_h").agg(F.collect_list("l").alias("_cw_keep"))
+    joined = texts.join(kept, ["_cw_r", "_cw_h"], "left")
     lines = F.split(F.col("_cw_text"), "\n", -1)
     bare = F.filter(F.transform(lines, lambda x, i: F.when(~x.rlike("[^ \\t\\x0b\\f\\r]"), i)), lambda i: i.isNotNull())
     out = joined.withColumn("_cw_lines", lines).withColumn("_cw_at", F.sort_array(F.concat(F.coalesce("_cw_keep", F.array().cast("array<int>")), bare)))
     out = out.withColumn("_cw_stays", F.transform("_cw_at", lambda i: F.element_at("_cw_lines", i + 1)))
-    there = F.col("_cw_text").isNotNull()
-    if n_lines:
-        out = out.withColumn(n_lines, F.when(there, F.size("_cw_lines")))
-    if n_removed:
-        out = out.withColumn(n_removed, F.when(there, F.size("_cw_lines") - F.size("_cw_stays")))
-    out = out.withColumn(text, F.when(there, F.array_join("_cw_stays", "\n"))).withColumn(key, F.col("_cw_k"))
-    return out.select(*docs.columns, *(c for c in (n_lines, n_removed) if c))
+    out = out.select("_cw_r", "_cw_h", F.array_join("_cw_stays", "\n").alias("_cw_new"), F.size("_cw_lines").alias("_cw_n"), (F.size("_cw_lines") - F.size("_cw_stays")).alias("_cw_gone"))
+    # all other columns meet the new texts in a join of their own: repeated rows share one text
+    back = docs.select(*marks, *(c for c in docs.columns if c != text)).join(out, ["_cw_r", "_cw_h"], "left")
+    columns = [F.col("_cw_new").alias(text) if c == text else F.col(c) for c in docs.columns]
+    counts = [F.col(c).alias(name) for name, c in ((n_lines, "_cw_n"), (n_removed, "_cw_gone")) if name]
+    return back.select(*columns, *counts)
