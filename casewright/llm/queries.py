@@ -74,7 +74,7 @@ def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic").filter(crc_bucket(F.col("doc_id"), 5) != 0)
-    lexicon = toxicity.learn(docs.join(labels, "doc_id"))
+    lexicon = toxicity.learn(toxicity.labelled_sample(docs, labels))
     held = F.coalesce(crc_bucket(F.col("doc_id"), 5) == 0, F.lit(False))
     rated = toxicity.rate(docs, lexicon)
     return rated.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

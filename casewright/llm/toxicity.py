@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from casewright.llm.shared import stage_table
+
 # Characters that look like a Latin letter, and the letter.
 HOMOGLYPHS = {
     "а": "a", "ɑ": "a", "α": "a", "в": "b", "ь": "b", "с": "c", "ϲ": "c", "ԁ": "d", "е": "e", "ё": "e", "ε": "e",
@@ -127,6 +129,18 @@ def _fit(x: np.ndarray, y: np.ndarray, steps: int = 400) -> np.ndarray:
     return np.concatenate([w[:1], w[1:] / scale])
 
 
+LABELLED = 20_000
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic", most: int = LABELLED) -> DataFrame:
+    """(text, label) of at most `most` labelled documents, chosen by a hash of the key, written once.
+
+    `most` bounds the side that is broadcast, so no text is shuffled to meet its label. Null labels are left out.
+    """
+    few = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull()).select(key, label).orderBy(F.xxhash64(key), key, label).limit(most)
+    return stage_table(docs.select(key, text).join(F.broadcast(few), key).select(text, label), "labelled")
+
+
 def learn(rows: DataFrame, *, text: str = "text", label: str = "toxic", least: int = 8, sample: int = 4000) -> Lexicon:
     """The lexicon from labelled rows (text, label 0/1; null labels are left out).
 
