@@ -7,6 +7,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from casewright.functions.names import normalize_name, person_validity, vehicle_validity
 
@@ -29,7 +30,7 @@ def merge_equal(entities: DataFrame) -> DataFrame:
     return keyed.groupBy("case_id", "kind", "norm").agg(lead.alias("principal"), F.sort_array(F.collect_set("name")).alias("aliases"), F.sum("mentions").alias("mentions"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def matching_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """2 M / T of the matching blocks; not symmetric, so pairs come in a stated order."""
     return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)])
