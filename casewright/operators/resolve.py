@@ -44,9 +44,9 @@ def edit_ratio(a: Column, b: Column) -> Column:
 def similar_pairs(names: DataFrame, *, threshold: float = 0.8, native: bool = False) -> DataFrame:
     """(case_id, a, b, ratio): pairs of normalised names (case_id, norm, mentions) at or over the threshold.
 
-    Names with ratio >= t share at least t / (2 - t) of the longer's letters, so they share one of their rarest letter
-    pairs or are short; the join keys are bigrams ordered by rarity (a prefix filter), and multiset bounds on length
-    and letters come before the ratio. a is the more mentioned, then the smaller name.
+    Names with ratio >= t differ in length by a factor of at most (2 - t) / t, so they meet in the same or a neighbouring
+    band of lengths (exact); bounds on lengths and letter counts (exact too) come before the ratio. Within a case the
+    candidates of one band still grow with the square of its names. a is the more mentioned, then the smaller name.
     """
     base = names.select("case_id", "norm", "mentions", F.length("norm").alias("n"))
     band = lambda c: F.floor(F.log(c + 0.0) / F.log(F.lit(2 / threshold - 1)))
