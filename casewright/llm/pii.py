@@ -327,9 +327,11 @@ def learn(docs: DataFrame, *, text: str = "text", sample: int = 60, slice_chars:
     """The field's weights, from at most `sample` documents with figures (`slice_chars` characters of each, the bound on
     what the driver gets) labelled by the base patterns, and the rewritten spans. No documents: from the latter alone."""
     rows = docs.filter(F.col(text).rlike("[0-9@]")).select(F.xxhash64(text).alias("_h"), F.substring(text, 1, slice_chars).alias("_t"))
-    got = rows.orderBy("_h").limit(sample).select("_t").collect()
+    # two steps, so that a task sends hashes to the driver and not slices; copies share a hash and count once
+    least = [r["_h"] for r in rows.select("_h").distinct().orderBy("_h").limit(sample).collect()]
+    got = rows.filter(F.col("_h") <= least[-1]).groupBy("_h").agg(F.min("_t").alias("_t")).collect() if least else []
     examples = rewritten()
-    for r in got:
+    for r in sorted(got):
         t = r["_t"]
         spans = base_spans(t)
         for a, b in regions(t)[:4]:
