@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from casewright.llm.shared import running_total, stage_table
 
-CACHED_WORDS = 600_000
+CACHED_WORDS = 400_000
 CACHED_TOKENS = 800_000
 # Fixed value: the pattern by which byte-level BPE files of this family cut a text before merging.
 PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"

@@ -20,8 +20,8 @@ from pyspark.sql import types as T
 SPACE = "▁"
 NONE = np.int32(1 << 20)
 LONG_UNIT = 512
-CACHED_UNITS = 600_000
-BLOCK_CHARS = 2_000_000
+CACHED_UNITS = 300_000
+BLOCK_CHARS = 1_000_000
 ROUND_CHARS = 200_000
 SLOTS, PROBES = 1 << 18, 4
 
