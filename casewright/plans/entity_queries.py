@@ -12,6 +12,7 @@ from casewright.operators import graph as G
 from casewright.operators import relational as R
 from casewright.operators import resolve as E
 from casewright.plans import views
+from casewright.sources import corpus
 from casewright.streaming import operators as X
 
 Q: dict = {}
@@ -516,6 +517,12 @@ def r9_integrity(spark, sf):
     return R.integrity({"rel_coocurrencia": rel, "persona": _persona(spark, sf)})
 
 
+@query(SLIM + ", r AS (SELECT CASE WHEN kind = 'coocurrencia' THEN 'rel_coocurrencia' ELSE 'rel_presente_lugar' END AS table_name FROM edges) SELECT table_name, count(*) AS n_rows FROM r GROUP BY 1 UNION ALL SELECT 'persona', count(*) FROM top WHERE kind = 'PERSONA'")
+def r10_table_counts(spark, sf):
+    r = _relations(spark, sf)
+    return corpus.manifest({"persona": _persona(spark, sf), **{t: r.filter(F.col("table_name") == t) for t in ("rel_coocurrencia", "rel_presente_lugar")}})
+
+
 @query("SELECT o_orderkey, coalesce(CASE WHEN c_custkey % 10 <> 0 THEN c_name END, '(sin nombre)') AS who FROM orders LEFT JOIN customer ON o_custkey = c_custkey")
 def r11_display_names(spark, sf):
     c = views.table(spark, sf, "customer").filter("c_custkey % 10 <> 0")
