@@ -74,6 +74,39 @@ def test_simhash_documents(spark):
     assert simhash.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_keep_dissimilar_is_the_component_rule(spark):
+    rng = random.Random(5)
+
+    def shingles(t):
+        w = t.lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+    def near(a, b):
+        return len(a & b) * 5 >= len(a | b) * 4
+
+    passage = ["p%d" % i for i in range(25)]
+    texts = []
+    for g in range(25):
+        w = [f"v{rng.randrange(4000)}" for _ in range(rng.choice([5, 8, 60, 150, 400]))] + passage * (g % 2)
+        texts.append(" ".join(w))
+        for changes in (1, 2, 3, 5, 8):  # similarities on both sides of 0.8
+            c = list(w)
+            for at in rng.sample(range(len(c)), min(changes, len(c))):
+                c[at] = f"x{rng.randrange(10**6)}"
+            texts.append(" ".join(c))
+        texts.append(" ".join(w + ["one", "more", "end"]))
+    sets = [shingles(t) for t in texts]
+    links = [(i, j) for i in range(len(sets)) for j in range(i) if near(sets[i], sets[j])]
+    jaccards = [len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for i, j in links]
+    assert sum(0.8 <= x < 0.95 for x in jaccards) > 20
+    label = closure(range(len(texts)), links)
+    rows = [(i, t) for i, t in enumerate(texts)] + [(900, None), (901, " "), (902, "")]
+    df = spark.createDataFrame(rows, "doc_id int, text string")
+    got = sorted(r["doc_id"] for r in simhash.keep_dissimilar(df).collect())
+    assert got == sorted({*label.values(), 900, 901, 902})
+    assert simhash.keep_dissimilar(df.limit(0)).count() == 0
+
+
 def brute_lines(rows, t=0.8):
     lines = [(k, i, line) for k, text in sorted({r for r in rows if r[1] is not None}, key=lambda r: r[0]) for i, line in enumerate(text.split("\n"))]
     out, seen = {}, []
