@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from casewright.functions.names import normalize_name, person_validity, vehicle_validity
+from casewright.functions.names import jaccard, normalize_name, person_validity, vehicle_validity
 
 
 def judged(entities: DataFrame, *, name: str = "name", mentions: str = "mentions") -> DataFrame:
@@ -59,6 +59,24 @@ def similar_pairs(names: DataFrame, *, threshold: float = 0.8, native: bool = Fa
     return joined.withColumn("ratio", ratio).filter(F.col("ratio") >= threshold).select("case_id", "a", "b", "ratio")
 
 
+def jaccard_pairs(names: DataFrame, *, name: str = "norm", tenths: int = 3) -> DataFrame:
+    """(a, b), a < b: names whose word sets have Jaccard tenths / 10 or more.
+
+    Such sets share one of their first n - ceil(n tenths / 10) + 1 words, rarest words first, so names meet there only
+    (exact); each pair is then verified.
+    """
+    sets = names.select(F.col(name).alias("a")).distinct().select("a", F.array_distinct(F.split("a", " ")).alias("ws"))
+    each = sets.select("a", F.explode("ws").alias("w"))
+    ranked = each.join(each.groupBy("w").count(), "w").groupBy("a").agg(F.sort_array(F.collect_list(F.struct("count", "w"))).alias("ws"))
+    n = F.size("ws")
+    firsts = ranked.select("a", n.alias("na"), F.explode(F.slice("ws", F.lit(1), n - F.ceil(n * tenths / 10).cast("int") + 1)).alias("x"))
+    left = firsts.select("a", "na", F.col("x.w").alias("w"))
+    right = left.withColumnsRenamed({"a": "b", "na": "nb"})
+    long_enough = F.least("na", "nb") * 10 >= F.greatest("na", "nb") * tenths
+    pairs = left.join(right, "w").filter((F.col("a") < F.col("b")) & long_enough).select("a", "b").distinct()
+    return pairs.filter(jaccard(F.col("a"), F.col("b")) >= tenths / 10)
+
+
 LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789 "
 
 

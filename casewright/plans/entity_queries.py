@@ -103,9 +103,7 @@ def q7_matching_ratio(spark, sf):
 
 @query(PARTS + " SELECT a.norm AS a, b.norm AS b FROM p a JOIN p b ON a.norm < b.norm AND split_part(a.norm, ' ', 1) = split_part(b.norm, ' ', 1) WHERE len(list_intersect(string_split(a.norm, ' '), string_split(b.norm, ' ')))::DOUBLE / len(list_distinct(list_concat(string_split(a.norm, ' '), string_split(b.norm, ' ')))) >= 0.3")
 def q8_jaccard(spark, sf):
-    p = _part_names(spark, sf).select(F.col("norm").alias("a"), F.split("norm", " ")[0].alias("w"))
-    pairs = p.join(p.withColumnRenamed("a", "b"), "w").filter("a < b")
-    return pairs.filter(fn.jaccard(F.col("a"), F.col("b")) >= 0.3).select("a", "b")
+    return E.jaccard_pairs(_part_names(spark, sf))
 
 
 SUPPLIERS = "s AS (SELECT s_suppkey AS k, s_name AS norm FROM supplier)"

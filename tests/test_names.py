@@ -29,3 +29,17 @@ def test_weak_and_slug(spark):
     df = spark.createDataFrame(rows, "d string, expected boolean")
     assert df.filter(names.weak_finding(F.col("d")) != F.col("expected")).collect() == []
     assert spark.range(1).select(names.slug(F.lit("  Ana  Ruiz (x) ")).alias("s"), names.slug(F.lit("??")).alias("t")).first() == ("Ana_Ruiz_x", "anon")
+
+
+def test_jaccard_pairs_share_any_word(spark):
+    import random
+
+    from casewright.operators import resolve
+
+    rng = random.Random(3)
+    names = ["red bolt", "blue bolt", "bolt", "a a b", "", None, "big red bolt of the old mill house gate x y"]
+    names += [" ".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(1, 10))) for _ in range(120)]
+    sets = {n: set(n.split(" ")) for n in names if n is not None}
+    expected = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) * 10 >= len(sets[a] | sets[b]) * 3}
+    got = [tuple(r) for r in resolve.jaccard_pairs(spark.createDataFrame([(n,) for n in names], "norm string")).collect()]
+    assert ("blue bolt", "red bolt") in expected and set(got) == expected and len(got) == len(expected)
