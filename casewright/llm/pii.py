@@ -25,6 +25,8 @@ from pyspark.sql import types as T
 
 KINDS = ("email", "ip", "card", "phone")
 MAX_TOKENS = 9
+#: No segment is longer.
+MAX_CHARS = 80
 Span = tuple[str, int, int]
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
@@ -88,8 +90,11 @@ _CUES = {
 }
 
 
-def regions(text: str, reach: int = 20, most: int = 400) -> list[tuple[int, int]]:
-    """Stretches around figures, at-signs and their spelled-out forms; longer ones than `most` characters are cut there."""
+def regions(text: str, reach: int = 20, most: float = math.inf) -> list[tuple[int, int]]:
+    """Stretches around figures, at-signs and their spelled-out forms, as long as the text is dense with them.
+
+    Edges move out to white space, as far as a segment may reach. Only learn() sets `most`, to cut its examples short.
+    """
     out: list[list[int]] = []
     for m in _SEED.finditer(text):
         a, b = max(0, m.start() - reach), min(len(text), m.end() + reach)
@@ -100,7 +105,20 @@ def regions(text: str, reach: int = 20, most: int = 400) -> list[tuple[int, int]
                 a = max(out[-1][1], min(a, m.start()))
             if a <= m.start():
                 out.append([a, b])
-    return [(a, b) for a, b in out]
+    if most < math.inf:
+        return [(a, b) for a, b in out]
+    whole: list[tuple[int, int]] = []
+    for a, b in out:
+        least, last = max(0, a + reach - MAX_CHARS), min(len(text), b - reach + MAX_CHARS)
+        while a > least and not text[a - 1].isspace():
+            a -= 1
+        while b < last and not text[b].isspace():
+            b += 1
+        if whole and a <= whole[-1][1]:
+            whole[-1] = (whole[-1][0], b)
+        else:
+            whole.append((a, b))
+    return whole
 
 
 FEATURES = 32
@@ -177,45 +195,45 @@ class Field:
         self.rows = weights.tolist()
 
     @staticmethod
-    def lattice(text: str, a: int, b: int) -> tuple[list[tuple[int, int]], dict[tuple[int, int], list[int]]]:
-        tokens = [m.span() for m in _TOKEN.finditer(text, a, b)]
+    def segments(text: str, tokens: list[tuple[int, int]]) -> Iterator[tuple[int, int, list[int]]]:
+        """(i, j, features) of each segment of tokens, by i and j."""
         opens = [text[x].isalnum() or text[x] in "+(" for x, _ in tokens]
-        found = {}
         for i in range(len(tokens)):
             for j in range(i + 1, min(len(tokens), i + 2 * MAX_TOKENS) + 1):
                 if j - i > 1:
-                    if tokens[j - 1][1] - tokens[i][0] > 80:
+                    if tokens[j - 1][1] - tokens[i][0] > MAX_CHARS:
                         break
                     last = text[tokens[j - 1][1] - 1]
                     if not (opens[i] and last.isalnum() and _whole(text, tokens[i][0], tokens[j - 1][1]) and _SEED.search(text, tokens[i][0], tokens[j - 1][1])):
                         continue
-                found[i, j] = span_features(text, tokens, i, j)
-        return tokens, found
+                yield i, j, span_features(text, tokens, i, j)
+
+    @staticmethod
+    def lattice(text: str, a: int, b: int) -> tuple[list[tuple[int, int]], dict[tuple[int, int], list[int]]]:
+        tokens = [m.span() for m in _TOKEN.finditer(text, a, b)]
+        return tokens, {(i, j): f for i, j, f in Field.segments(text, tokens)}
 
     def scores(self, features: dict[tuple[int, int], list[int]]) -> dict[tuple[int, int], list[float]]:
         """Of each segment by kind; only single tokens may be outside (kind 0)."""
-        out = {}
-        for (i, j), f in features.items():
-            s = [sum(w[k] for k in f) for w in self.rows]
-            if j - i > 1:
-                s[0] = -math.inf
-            elif 7 in f:
-                s[1:] = [-math.inf] * len(KINDS)
-            out[i, j] = s
-        return out
+        return {(i, j): self.score(j - i, f) for (i, j), f in features.items()}
+
+    def score(self, n: int, f: list[int]) -> list[float]:
+        s = [sum(w[k] for k in f) for w in self.rows]
+        if n > 1:
+            s[0] = -math.inf
+        elif 7 in f:
+            s[1:] = [-math.inf] * len(KINDS)
+        return s
 
     def best(self, text: str, a: int, b: int) -> list[Span]:
-        """The best segmentation's spans: Viterbi over segments of bounded length."""
-        tokens, features = self.lattice(text, a, b)
-        scored = self.scores(features)
+        """The best segmentation's spans: Viterbi over segments of bounded length, which are not kept."""
+        tokens = [m.span() for m in _TOKEN.finditer(text, a, b)]
         top, back = [0.0] + [-math.inf] * len(tokens), [(0, 0)] * (len(tokens) + 1)
-        for j in range(1, len(tokens) + 1):
-            for i in range(max(0, j - 2 * MAX_TOKENS), j):
-                if (i, j) in scored:
-                    s = scored[i, j]
-                    k = max(range(len(s)), key=s.__getitem__)
-                    if top[i] + s[k] > top[j]:
-                        top[j], back[j] = top[i] + s[k], (i, k)
+        for i, j, f in self.segments(text, tokens):
+            s = self.score(j - i, f)
+            k = max(range(len(s)), key=s.__getitem__)
+            if top[i] + s[k] > top[j]:
+                top[j], back[j] = top[i] + s[k], (i, k)
         out, j = [], len(tokens)
         while j > 0:
             i, k = back[j]
@@ -325,7 +343,7 @@ def _field(weights: bytes) -> Field:
 
 def learn(docs: DataFrame, *, text: str = "text", sample: int = 60, slice_chars: int = 4000) -> np.ndarray:
     """The field's weights, from at most `sample` documents with figures (`slice_chars` characters of each, the bound on
-    what the driver gets) labelled by the base patterns, and the rewritten spans. No documents: from the latter alone."""
+    what the driver gets, and of these the first four regions of up to 400 characters) labelled by the base patterns, and the rewritten spans. No documents: from the latter alone."""
     rows = docs.filter(F.col(text).rlike("[0-9@]")).select(F.xxhash64(text).alias("_h"), F.substring(text, 1, slice_chars).alias("_t"))
     # two steps, so that a task sends hashes to the driver and not slices; copies share a hash and count once
     least = [r["_h"] for r in rows.select("_h").distinct().orderBy("_h").limit(sample).collect()]
@@ -334,7 +352,7 @@ def learn(docs: DataFrame, *, text: str = "text", sample: int = 60, slice_chars:
     for r in sorted(got):
         t = r["_t"]
         spans = base_spans(t)
-        for a, b in regions(t)[:4]:
+        for a, b in regions(t, most=400)[:4]:
             inside = [(k, s - a, e - a) for k, s, e in spans if a <= s and e <= b]
             if not any(s < b and e > a and not (a <= s and e <= b) for _, s, e in spans):
                 examples.append((t[a:b], inside))

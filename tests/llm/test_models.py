@@ -128,3 +128,20 @@ def test_field_on_unseen_sentences():
     field = pii.fit(pii.rewritten(seed=5, each=25))
     fresh = pii.rewritten(seed=99, each=10)
     assert np.mean([field.best(t, 0, len(t)) == s for t, s in fresh]) > 0.95
+
+
+def test_long_dense_text_is_one_region():
+    field = pii.fit(pii.rewritten(seed=5, each=25))
+    phones = [f"call {RNG.randint(200, 999)}-{RNG.randint(200, 999)}-{RNG.randint(1000, 9999)}" for _ in range(120)]
+    text = "\n".join(phones)
+    assert len(text) > 2000 and pii.regions(text) == [(0, len(text))]
+    base, spans = pii.all_spans(text, field)
+    assert not base and spans == field.best(text, 0, len(text))
+    assert [text[a:b] for k, a, b in spans if k == "phone"] == [p[5:] for p in phones]
+
+
+def test_regions_end_at_white_space():
+    text = "so " + "averyveryveryverylonglocalpart at averyveryverylonghost dot com" + " and on" + " word" * 40 + " 12"
+    (a, b), last = pii.regions(text)
+    assert a == 3 or text[a - 1].isspace() and a < 3
+    assert text[b : b + 1].isspace() and b >= text.index(" dot") and last[1] == len(text)
