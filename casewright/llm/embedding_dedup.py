@@ -21,6 +21,7 @@ from casewright.llm.hnsw import usable
 from casewright.llm.shared import components, cut, stage_table
 
 TILE = 4096
+CELL = ["dim", "block", "x", "y"]
 
 
 def rotation(dim: int, seed: int = 17) -> np.ndarray:
@@ -102,6 +103,21 @@ def join_tile(home: tuple, other: tuple, block: int, dim: int, threshold: float,
     return links, np.array([root(i) for i in range(len(parent))])
 
 
+def tiled(placed: DataFrame) -> DataFrame:
+    """placed as the points of tasks: the points of a cell (home) and those of the cell and its neighbours, by
+    (cell, tile, across). Both sides are dealt by hash, so that each task gets about TILE points of each at most, and
+    each home point meets each other point in one task."""
+    dealt = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    number = lambda df, n: df.groupBy(*CELL).count().select(*CELL, F.ceil(F.col("count") / TILE).cast("int").alias(n))
+    steps = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))).alias("s")
+    moved = placed.select("dim", "block", steps, "x", "y", "rep", "w", "v").select("dim", "block", (F.col("x") + F.col("s.i")).alias("x"), (F.col("y") + F.col("s.j")).alias("y"), "rep", "w", "v")
+    counts = cut(number(placed, "tiles").join(number(moved, "acrosses"), CELL))
+    homes = placed.join(counts, CELL).select(*CELL, dealt("tiles").alias("tile"), every("acrosses").alias("across"), "rep", "w", "v", F.lit(True).alias("home"))
+    others = moved.join(counts, CELL).select(*CELL, every("tiles").alias("tile"), dealt("acrosses").alias("across"), "rep", "w", "v", F.lit(False).alias("home"))
+    return homes.unionByName(others)
+
+
 def near_duplicates(table: DataFrame, *, threshold: float = 0.9, blocks: int = 4, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(key, n_links, component_id, kept) of every row of the table.
 
@@ -116,14 +132,6 @@ def near_duplicates(table: DataFrame, *, threshold: float = 0.9, blocks: int = 4
     found = members.groupBy("v").agg(F.min("id").alias("rep"), F.count("*").alias("w"))
     found = stage_table(found, "vector-classes")
     placed = stage_table(place(found, threshold, blocks), "vector-cells")
-    counts = placed.groupBy("dim", "block", "x", "y").count()
-    counts = counts.select("dim", "block", "x", "y", F.ceil(F.col("count") / TILE).cast("int").alias("tiles"))
-    cell = ["dim", "block", "x", "y"]
-    homes = placed.join(counts, cell).select(*cell, F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int").alias("tile"), "rep", "w", "v", F.lit(True).alias("home"))
-    steps = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))).alias("s")
-    moved = placed.select("dim", "block", steps, "x", "y", "rep", "w", "v").select("dim", "block", (F.col("x") + F.col("s.i")).alias("x"), (F.col("y") + F.col("s.j")).alias("y"), "rep", "w", "v")
-    others = moved.join(counts, cell).select(*cell, F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"), "rep", "w", "v", F.lit(False).alias("home"))
-
     def run(t: pa.Table) -> pa.Table:
         dim, block = t.column("dim")[0].as_py(), t.column("block")[0].as_py()
         t = t.sort_by("rep")
@@ -139,7 +147,7 @@ def near_duplicates(table: DataFrame, *, threshold: float = 0.9, blocks: int = 4
         tell = (n > 0) | (every != every[root])
         return pa.table({"a": every[tell], "b": every[root][tell], "n": n[tell]})
 
-    told = cut(homes.unionByName(others).groupBy(*cell, "tile").applyInArrow(run, "a bigint, b bigint, n bigint"))
+    told = cut(tiled(placed).groupBy(*CELL, "tile", "across").applyInArrow(run, "a bigint, b bigint, n bigint"))
     number = told.groupBy("a").agg(F.sum("n").alias("n")).withColumnRenamed("a", "rep")
     linked = components(told.filter("a <> b").select("a", "b")).withColumnRenamed("node", "rep")
     per = found.join(number, "rep", "left").join(linked, "rep", "left").select(F.col("v").alias("_v"), F.xxhash64("v").alias("_h"), (F.coalesce("n", F.lit(0)) + F.col("w") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))

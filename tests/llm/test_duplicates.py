@@ -174,6 +174,17 @@ def test_embedding_links_are_exact(spark):
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_embedding_tiles_bound_both_sides(spark, monkeypatch):
+    v = np.random.default_rng(6).normal(size=(300, 6)) * 0.01 + 1
+    df = spark.createDataFrame(rows_of(v)[:300], "vec_id bigint, embedding array<float>")
+    whole = sorted(map(tuple, embedding_dedup.near_duplicates(df).collect()))
+    monkeypatch.setattr(embedding_dedup, "TILE", 20)
+    assert sorted(map(tuple, embedding_dedup.near_duplicates(df).collect())) == whole and whole[5] == (5, 299, 0, False)
+    placed = embedding_dedup.place(df.select(F.col("vec_id").alias("rep"), F.lit(1).cast("long").alias("w"), F.col("embedding").cast("array<double>").alias("v")), 0.9, 4)
+    sizes = embedding_dedup.tiled(placed).groupBy(*embedding_dedup.CELL, "tile", "across", "home").count()
+    assert sizes.agg(F.max("count")).first()[0] <= 60  # of up to 300; dealt by hash
+
+
 def test_nearest_has_recall(spark):
     rng = np.random.default_rng(4)
     v = rng.normal(size=(1500, 24)).astype(np.float32)
