@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from casewright.functions.names import jaccard, normalize_name, person_validity, vehicle_validity
+from casewright.operators.components import components
 
 
 def judged(entities: DataFrame, *, name: str = "name", mentions: str = "mentions") -> DataFrame:
@@ -86,31 +87,12 @@ def letters(c: str) -> Column:
     return F.array(*each, F.length(F.translate(F.col(c), LETTERS, "")))
 
 
-def connected(nodes: DataFrame, pairs: DataFrame, *, rounds: int = 50) -> DataFrame:
-    """(case_id, node, component) of nodes (case_id, node) over pairs (case_id, a, b): the smallest reachable node.
-
-    Labels spread and jump each round; lineage is cut by checkpoints, and the loop is over rounds, never over rows.
-    """
-    spark = nodes.sparkSession
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        if not named and not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="casewright-"))
-    both = pairs.select("case_id", "a", "b").union(pairs.select("case_id", F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
-    label = nodes.select("case_id", "node", F.col("node").alias("component")).distinct().checkpoint()
-    for _ in range(rounds):
-        near = both.join(label.select("case_id", F.col("node").alias("b"), "component"), ["case_id", "b"]).groupBy("case_id", "a").agg(F.min("component").alias("m"))
-        step = label.join(near.withColumnRenamed("a", "node"), ["case_id", "node"], "left").select("case_id", "node", F.least("component", F.coalesce("m", "component")).alias("component"))
-        jump = step.select("case_id", F.col("node").alias("component"), F.col("component").alias("far"))
-        new = step.join(jump, ["case_id", "component"]).select("case_id", "node", F.least("component", "far").alias("component")).checkpoint()
-        old = label.select("case_id", "node", F.col("component").alias("was"))
-        if new.join(old, ["case_id", "node"]).filter("component <> was").isEmpty():
-            return new
-        label = new
-    raise RuntimeError("labels did not settle")
+def connected(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(case_id, node, component) of nodes (case_id, node) over pairs (case_id, a, b): the smallest reachable node."""
+    of = lambda c: F.struct("case_id", F.col(c).alias("node"))
+    links = pairs.select(of("a").alias("a"), of("b").alias("b")).union(nodes.select(of("node").alias("a"), of("node").alias("b")))
+    found = components(links)
+    return found.select("node.case_id", "node.node", F.col("component.node").alias("component"))
 
 
 def canonical_entities(merged: DataFrame, clusters: DataFrame, *, preferred: list[str] | None = None) -> DataFrame:
@@ -135,8 +117,3 @@ def canonical_mapping(members: DataFrame, canonical: DataFrame) -> DataFrame:
     """(case_id, name, principal): null where no canonical entity has the name."""
     each = canonical.select("case_id", F.explode("aliases").alias("name"), "principal")
     return members.select("case_id", "name").distinct().join(each, ["case_id", "name"], "left")
-
-
-def ranked(entities: DataFrame, by: str, keep: int, *keys: str) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(F.desc(by), "name")
-    return entities.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= keep)
