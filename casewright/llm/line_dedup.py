@@ -2,10 +2,15 @@
 
 A line is the set of its lower-cased words. Tokens get one global order, rare ones first: how often each of `BUCKETS`
 token buckets occurs in the corpus is counted once, and a token's key is its bucket's rarity rank followed by its hash.
-Equal sets collapse to one class. Two sets with Jaccard similarity >= t share one of their first
-n - ceil(t n) + 1 tokens in that order (prefix filter); the position of the shared token bounds the overlap
-(positional filter), and so do the sizes (length filter) and 128-bit parity sketches: each token flips one bit, so
-two sets differ in at least as many tokens as their sketches differ in bits. Survivors are verified on their tokens.
+Equal sets collapse to one class, numbered in the order of the classes' first lines. Two sets with Jaccard similarity
+>= t share one of their first n - ceil(t n) + 1 tokens in that order (prefix filter); the position of the shared token
+bounds the overlap (positional filter), and so do the sizes (length filter) and 128-bit parity sketches: each token
+flips one bit, so two sets differ in at least as many tokens as their sketches differ in bits. Survivors are verified on
+their tokens.
+
+A line goes if any earlier line is near, so a class needs one witness and not all its near classes. Each class first
+meets only the earliest classes that share one of four heads of its prefix, which settles groups of near copies in
+proportion to their members; the join of all prefixes then leaves out every pair whose later class is settled.
 """
 
 from __future__ import annotations
@@ -15,7 +20,8 @@ from pyspark.sql import functions as F
 
 from casewright.llm.shared import cut, stage_table
 
-BUCKETS = 1 << 14
+BITS = 16
+BUCKETS = 1 << BITS
 
 
 def words(line: Column) -> Column:
@@ -38,12 +44,15 @@ def rarity(docs: DataFrame, text: str) -> list[int]:
 
 
 def token_keys(line: Column, ranks: list[int]) -> Column:
-    """Sorted distinct token keys of a line, the rarest first: 14 bits of rank, 49 bits of hash (63 bits name a token)."""
+    """Sorted distinct token keys of a line, the rarest first: BITS bits of rank, then hash (63 bits name a token)."""
     table = F.split(F.lit(",".join(map(str, ranks))), ",").cast("array<bigint>")
-    hashes = F.array_distinct(F.transform(words(line), lambda w: F.xxhash64(w)))
-    hashes = F.array_remove(hashes, F.xxhash64(F.lit("")))
-    rank = lambda h: F.element_at(table, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int") + 1)
-    return F.sort_array(F.transform(hashes, lambda h: F.shiftleft(rank(h), 49).bitwiseOR(F.shiftrightunsigned(h, 15))))
+
+    def of(w: Column) -> Column:
+        h = F.xxhash64(w)
+        rank = F.element_at(table, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int") + 1)
+        return F.shiftleft(rank, 63 - BITS).bitwiseOR(F.shiftrightunsigned(h, BITS + 1))
+
+    return F.sort_array(F.array_remove(F.array_distinct(F.transform(words(line), of)), of(F.lit(""))))
 
 
 WIDE = 96
@@ -60,64 +69,92 @@ def sketch(keys: Column, half: int | None) -> Column:
 def line_classes(docs: DataFrame, ranks: list[int], *, threshold: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The distinct token sets, written once: (cid, n, s, u, prefix, first); first: position of the earliest line.
 
-    A position is (key, text hash, line number). s, u: sketches (of both halves for sets over WIDE tokens, else of all
-    and 0). A set is known by its hash, size and sketches, some 190 bits. The aggregate is partial before the shuffle,
-    so a line in a third of all documents is one row a task; of a set only its prefix is shuffled, as 32-bit hashes
-    (equal hashes of different tokens cost a candidate, never a result).
+    A position is (key, text hash, line number), and cid rises with it. s, u: sketches (of both halves for sets over
+    WIDE tokens, else of all and 0). A set is known by its hash, size and sketches, some 190 bits. The aggregate is
+    partial before the shuffle, so a line in a third of all documents is one row a task; of a set only its prefix is
+    shuffled, as 31-bit hashes (equal hashes of different tokens cost a candidate, never a result).
     """
-    lines = docs.filter(F.col(text).isNotNull()).select(F.col(key), F.xxhash64(text).alias("_row"), F.posexplode(F.split(F.col(text), "\n", -1)).alias("line_no", "line"))
-    keyed = lines.filter(has_words("line")).select(key, "_row", "line_no", token_keys(F.col("line"), ranks).alias("keys"))
+    lines = docs.filter(F.col(text).isNotNull()).select(F.col(key).alias("k"), F.xxhash64(text).alias("r"), F.posexplode(F.split(F.col(text), "\n", -1)).alias("l", "line"))
+    keyed = lines.select("k", "r", "l", token_keys(F.col("line"), ranks).alias("keys")).filter(F.size("keys") > 0)
     wide = F.size("keys") > WIDE
-    position = F.struct(F.col(key).alias("k"), F.col("_row").alias("r"), F.col("line_no").alias("l"))
     prefix = F.slice("keys", F.lit(1), F.size("keys") - F.ceil(threshold * F.size("keys") - 1e-9).cast("int") + 1)
     small = F.transform(prefix, lambda k: k.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
     s = F.when(wide, sketch(F.col("keys"), 0)).otherwise(sketch(F.col("keys"), None))
     u = F.when(wide, sketch(F.col("keys"), 1)).otherwise(F.lit(0).cast("bigint"))
-    rows = keyed.select(F.xxhash64("keys").alias("h"), F.size("keys").alias("n"), s.alias("s"), u.alias("u"), small.alias("prefix"), position.alias("first"))
+    rows = keyed.select(F.xxhash64("keys").alias("h"), F.size("keys").alias("n"), s.alias("s"), u.alias("u"), small.alias("prefix"), F.struct("k", "r", "l").alias("first"))
     classes = rows.groupBy("h", "n", "s", "u").agg(F.first("prefix").alias("prefix"), F.min("first").alias("first"))
-    return stage_table(classes.select(F.monotonically_increasing_id().alias("cid"), "n", "s", "u", "prefix", "first"), "line-classes")
-
-
-def has_words(line: str) -> Column:
-    return F.col(line).rlike("[^ \\t\\x0b\\f\\r]")
+    ordered = classes.select("n", "s", "u", "prefix", "first").orderBy("first")
+    return stage_table(ordered.select(F.monotonically_increasing_id().alias("cid"), "*"), "line-classes")
 
 
-def candidate_pairs(classes: DataFrame, threshold: float) -> DataFrame:
-    """(a, b), a's set no larger than b's: pairs of classes that the prefix, length, positional and sketch filters leave."""
+def _maybe_near(threshold: float, x: str, y: str) -> Column:
+    """Length and sketch filters on classes with columns n, s and u, prefixed by x and y; exact."""
     t = F.lit(threshold)
-    index = classes.select("cid", "n", "s", "u", F.posexplode("prefix").alias("i", "key"))
-    x = index.select("key", F.col("cid").alias("a"), F.col("n").alias("na"), F.col("i").alias("ia"), F.col("s").alias("sa"), F.col("u").alias("ua"))
-    y = index.select("key", F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("i").alias("ib"), F.col("s").alias("sb"), F.col("u").alias("ub"))
-    need = F.ceil(t / (1 + t) * (F.col("na") + F.col("nb")) - 1e-9)
-    order = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
-    length = F.col("na") >= t * F.col("nb") - 1e-9
-    positional = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) >= need
-    s, u = F.col("sa").bitwiseXOR(F.col("sb")), F.col("ua").bitwiseXOR(F.col("ub"))
-    differ = F.when(F.col("na") > WIDE, F.bit_count(s) + F.bit_count(u)).otherwise(F.bit_count(s.bitwiseXOR(u)))
-    sketched = differ <= F.col("na") + F.col("nb") - 2 * need
-    return x.join(y, (x["key"] == y["key"]) & order & length & positional & sketched).select("a", "b").distinct()
-
-
-def near_pairs(texts: DataFrame, classes: DataFrame, ranks: list[int], threshold: float) -> DataFrame:
-    """(fa, fb): first positions of all pairs of classes with Jaccard similarity >= threshold.
-
-    texts: (_cw_r, _cw_h, _cw_text), one row a text. Only the lines of candidate classes are tokenized again for the
-    verification.
+    na, nb = F.col(f"n{x}"), F.col(f"n{y}")
+    s, u = F.col(f"s{x}").bitwiseXOR(F.col(f"s{y}")), F.col(f"u{x}").bitwiseXOR(F.col(f"u{y}"))
+    both = F.least(na, nb) > WIDE
+    differ = F.when(both, F.bit_count(s) + F.bit_count(u)).otherwise(F.bit_count(s.bitwiseXOR(u)))
+    return (F.least(na, nb) >= t * F.greatest(na, nb) - 1e-9) & (differ <= na + nb - 2 * _need(threshold, x, y))
+
+
+def _need(threshold: float, x: str, y: str) -> Column:
+    """The least overlap of two sets at the threshold."""
+    return F.ceil(F.lit(threshold / (1 + threshold)) * (F.col(f"n{x}") + F.col(f"n{y}")) - 1e-9)
+
+
+def first_witnesses(classes: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): each class b and the earliest class a with the same head, if a comes before b and the filters let the
+    pair pass. Heads: the smallest and largest hash, the middle and the last token of the prefix."""
+    middle = F.element_at("prefix", F.floor(F.size("prefix") / 2).cast("int") + 1)
+    four = F.array(F.array_min("prefix"), F.array_max("prefix"), middle, F.element_at("prefix", -1))
+    heads = classes.select("cid", "n", "s", "u", F.explode(F.array_distinct(four)).alias("head"))
+    led = heads.groupBy("head").agg(F.min("cid").alias("a"), F.max("cid").alias("top"), *(F.min_by(c, "cid").alias(f"{c}a") for c in ("n", "s", "u"))).filter("a < top").drop("top")
+    each = heads.select("head", F.col("cid").alias("b"), *(F.col(c).alias(f"{c}b") for c in ("n", "s", "u")))
+    return each.join(led, "head").filter((F.col("a") < F.col("b")) & _maybe_near(threshold, "a", "b")).select("a", "b").distinct()
+
+
+def candidate_pairs(classes: DataFrame, settled: DataFrame, threshold: float) -> DataFrame:
+    """(a, b), a before b: pairs of classes that the prefix, length, positional and sketch filters leave, without those
+    whose later class is in `settled` (b)."""
+    done = settled.select(F.col("b").alias("cid"), F.lit(True).alias("done"))
+    marked = classes.join(done, "cid", "left")
+    # two narrow fields: class and mark, size and place
+    index = marked.select(F.shiftleft("cid", 1).bitwiseOR(F.col("done").isNotNull().cast("bigint")).alias("c"), F.col("n").cast("bigint").alias("n"), "s", "u", F.posexplode("prefix").alias("i", "key"))
+    index = index.select("key", "c", F.shiftleft("n", 32).bitwiseOR(F.col("i").cast("bigint")).alias("p"), "s", "u")
+    side = lambda v: index.select(F.col("key").alias(f"key{v}"), *(F.col(k).alias(f"{k}{v}") for k in ("c", "p", "s", "u")))
+    n, i = (lambda v: F.shiftright(f"p{v}", 32)), (lambda v: F.col(f"p{v}").bitwiseAND(F.lit(0xFFFFFFFF)))
+    need = F.ceil(F.lit(threshold / (1 + threshold)) * (n("x") + n("y")) - 1e-9)
+    later = F.greatest("cx", "cy")
+    s, u = F.col("sx").bitwiseXOR(F.col("sy")), F.col("ux").bitwiseXOR(F.col("uy"))
+    differ = F.when(n("x") > WIDE, F.bit_count(s) + F.bit_count(u)).otherwise(F.bit_count(s.bitwiseXOR(u)))
+    keep = (n("x") < n("y")) | ((n("x") == n("y")) & (F.col("cx") < F.col("cy")))  # x: the smaller set
+    keep &= (n("x") >= threshold * n("y") - 1e-9) & (F.least(n("x") - i("x"), n("y") - i("y")) >= need)
+    keep &= (later.bitwiseAND(F.lit(1)) == 0) & (differ <= n("x") + n("y") - 2 * need)
+    found = side("x").join(side("y"), (F.col("keyx") == F.col("keyy")) & keep)
+    return found.select(F.shiftright(F.least("cx", "cy"), 1).alias("a"), F.shiftright(F.greatest("cx", "cy"), 1).alias("b")).distinct()
+
+
+def near(pairs: DataFrame, texts: DataFrame, classes: DataFrame, ranks: list[int], threshold: float) -> DataFrame:
+    """(b), distinct: the later classes of the pairs (a, b) whose sets have Jaccard similarity >= threshold.
+
+    texts: (_cw_r, _cw_h, _cw_text). Only the first lines of the pairs' classes are tokenized again.
     """
-    t = F.lit(threshold)
-    pairs = cut(candidate_pairs(classes, threshold))
     asked = classes.join(pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct(), "cid")
-    place = F.struct("first", "cid").alias("p")
-    at = asked.select(F.col("first.r").alias("_cw_r"), F.xxhash64("first.k").alias("_cw_h"), place)
-    at = at.groupBy("_cw_r", "_cw_h").agg(F.collect_list("p").alias("at"))
+    at = asked.groupBy(F.col("first.r").alias("_cw_r"), F.xxhash64("first.k").alias("_cw_h")).agg(F.collect_list(F.struct("cid", F.col("first.l").alias("l"))).alias("at"))
     found = texts.join(at, ["_cw_r", "_cw_h"])
     each = found.select(F.split("_cw_text", "\n", -1).alias("lines"), F.explode("at").alias("p"))
-    one = each.select(F.col("p.cid").alias("cid"), F.col("p.first").alias("first"), F.element_at("lines", F.col("p.first.l") + 1).alias("line"))
-    sets = one.groupBy("cid").agg(F.first("line").alias("line"), F.min("first").alias("first")).select("cid", "first", token_keys(F.col("line"), ranks).alias("keys"))
-    left = sets.select(F.col("cid").alias("a"), F.col("keys").alias("ka"), F.col("first").alias("fa"))
-    right = sets.select(F.col("cid").alias("b"), F.col("keys").alias("kb"), F.col("first").alias("fb"))
-    both = pairs.join(left, "a").join(right, "b").withColumn("o", F.size(F.array_intersect("ka", "kb")))
-    return both.filter(F.col("o") >= t * (F.size("ka") + F.size("kb") - F.col("o")) - 1e-9).select("fa", "fb")
+    line = each.select("p.cid", F.element_at("lines", F.col("p.l") + 1).alias("line"))
+    sets = cut(line.groupBy("cid").agg(F.first("line").alias("line")).select("cid", token_keys(F.col("line"), ranks).alias("keys")))
+    side = lambda v: sets.select(F.col("cid").alias(v), F.col("keys").alias(f"k{v}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("o", F.size(F.array_intersect("ka", "kb")))
+    return both.filter(F.col("o") >= F.lit(threshold) * (F.size("ka") + F.size("kb") - F.col("o")) - 1e-9).select("b").distinct()
+
+
+def beaten_classes(texts: DataFrame, classes: DataFrame, ranks: list[int], threshold: float) -> DataFrame:
+    """(b): the classes that are near an earlier one."""
+    settled = cut(near(cut(first_witnesses(classes, threshold)), texts, classes, ranks, threshold))
+    rest = near(cut(candidate_pairs(classes, settled, threshold)), texts, classes, ranks, threshold)
+    return settled.union(rest)
 
 
 def dedup_lines(docs: DataFrame, *, threshold: float = 0.8, key: str = "doc_id", text: str = "text", n_lines: str | None = None, n_removed: str | None = None) -> DataFrame:
@@ -129,21 +166,18 @@ def dedup_lines(docs: DataFrame, *, threshold: float = 0.8, key: str = "doc_id",
     """
     ranks = rarity(docs, text)
     classes = line_classes(docs, ranks, threshold=threshold, key=key, text=text)
-    # one exchange of the texts, by hashes of text and key that are never null, serves the verification and the result
-    marks = [F.xxhash64(text).alias("_cw_r"), F.xxhash64(key).alias("_cw_h")]
-    texts = docs.filter(F.col(text).isNotNull()).select(*marks, F.col(text).alias("_cw_text")).repartition("_cw_r", "_cw_h").dropDuplicates(["_cw_r", "_cw_h"])
-    pairs = near_pairs(texts, classes, ranks, threshold)
-    beaten = pairs.select(F.greatest("fa", "fb").alias("first")).distinct()
-    kept = classes.select("first").join(beaten, "first", "left_anti").select(F.col("first.r").alias("_cw_r"), F.xxhash64("first.k").alias("_cw_h"), F.col("first.l").alias("l"))
-    kept = kept.groupBy("_cw_r", "_cw_h").agg(F.collect_list("l").alias("_cw_keep"))
-    joined = texts.join(kept, ["_cw_r", "_cw_h"], "left")
+    # hashes of text and key, which are never null, name a text
+    marked = docs.select(F.xxhash64(text).alias("_cw_r"), F.xxhash64(key).alias("_cw_h"), *(F.col(c).alias("_cw_text") if c == text else F.col(c) for c in docs.columns))
+    texts = marked.filter(F.col("_cw_text").isNotNull()).select("_cw_r", "_cw_h", "_cw_text")
+    beaten = beaten_classes(texts, classes, ranks, threshold).select(F.col("b").alias("cid"))
+    kept = classes.join(beaten, "cid", "left_anti")
+    kept = kept.groupBy(F.col("first.r").alias("_cw_r"), F.xxhash64("first.k").alias("_cw_h")).agg(F.collect_list("first.l").alias("_cw_keep"))
     lines = F.split(F.col("_cw_text"), "\n", -1)
-    bare = F.filter(F.transform(lines, lambda x, i: F.when(~x.rlike("[^ \\t\\x0b\\f\\r]"), i)), lambda i: i.isNotNull())
-    out = joined.withColumn("_cw_lines", lines).withColumn("_cw_at", F.sort_array(F.concat(F.coalesce("_cw_keep", F.array().cast("array<int>")), bare)))
+    out = marked.join(kept, ["_cw_r", "_cw_h"], "left").withColumn("_cw_lines", lines)
+    bare = F.filter(F.transform("_cw_lines", lambda x, i: F.when(F.trim(x, F.lit(" \t\x0b\f\r")) == "", i)), lambda i: i.isNotNull())
+    out = out.withColumn("_cw_at", F.sort_array(F.concat(F.coalesce("_cw_keep", F.array().cast("array<int>")), bare)))
     out = out.withColumn("_cw_stays", F.transform("_cw_at", lambda i: F.element_at("_cw_lines", i + 1)))
-    out = out.select("_cw_r", "_cw_h", F.array_join("_cw_stays", "\n").alias("_cw_new"), F.size("_cw_lines").alias("_cw_n"), (F.size("_cw_lines") - F.size("_cw_stays")).alias("_cw_gone"))
-    # all other columns meet the new texts in a join of their own: repeated rows share one text
-    back = docs.select(*marks, *(c for c in docs.columns if c != text)).join(out, ["_cw_r", "_cw_h"], "left")
-    columns = [F.col("_cw_new").alias(text) if c == text else F.col(c) for c in docs.columns]
-    counts = [F.col(c).alias(name) for name, c in ((n_lines, "_cw_n"), (n_removed, "_cw_gone")) if name]
-    return back.select(*columns, *counts)
+    known = F.col("_cw_text").isNotNull()
+    columns = [F.array_join("_cw_stays", "\n").alias(text) if c == text else F.col(c) for c in docs.columns]
+    counts = ((n_lines, F.size("_cw_lines")), (n_removed, F.size("_cw_lines") - F.size("_cw_stays")))
+    return out.select(*columns, *(F.when(known, c).alias(name) for name, c in counts if name))

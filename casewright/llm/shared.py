@@ -2,55 +2,12 @@
 
 from __future__ import annotations
 
-import shutil
-import tempfile
-import uuid
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_LOCAL_DIRS: dict[str, str] = {}
-
-
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir.
-
-    Where it is unset, as in tests on a local master, a temporary folder is used; on a cluster that is an error,
-    because executors can't see each other's local folders.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-            spark.sparkContext.setCheckpointDir(named)
-        return named
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _LOCAL_DIRS:
-        _LOCAL_DIRS[app] = tempfile.mkdtemp(prefix="casewright-")
-        spark.sparkContext.setCheckpointDir(_LOCAL_DIRS[app])
-    return _LOCAL_DIRS[app]
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and written to the shared checkpoint folder; a lost executor costs nothing."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
+from casewright.operators.components import checkpoint_dir, components, cut, stage_table
 
-def stage_table(df: DataFrame, name: str) -> DataFrame:
-    """As cut(), for wide rows: compressed Parquet under the checkpoint folder, read with column pruning."""
-    path = f"{checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def drop_local_dirs() -> None:
-    """Remove the folders made for local masters (tests)."""
-    for path in _LOCAL_DIRS.values():
-        shutil.rmtree(path, ignore_errors=True)
-    _LOCAL_DIRS.clear()
+__all__ = ["checkpoint_dir", "components", "crc_bucket", "cut", "running_total", "stage_table"]
 
 
 def crc_bucket(key: Column, modulus: int) -> Column:
@@ -70,32 +27,3 @@ def running_total(df: DataFrame, value: str, out: str, salt: Column, order: list
     bases = sums.select("_salt", F.coalesce(F.sum("_sum").over(over), F.lit(0)).cast("long").alias("_base"))
     local = salted.withColumn("_in", F.coalesce(F.sum(value).over(within), F.lit(0)).cast("long"))
     return local.join(bases, "_salt").withColumn(out, F.col("_base") + F.col("_in")).drop("_salt", "_base", "_in")
-
-
-def components(nodes_edges: DataFrame, src: str = "a", dst: str = "b", max_rounds: int = 60) -> DataFrame:
-    """(node, component) for every node of the links (src, dst); component: its smallest reachable node.
-
-    Min-label contraction: each round maps a node to the smallest label in its closed neighbourhood and keeps only the
-    links between different labels, so a path of length d ends after about log d rounds. Self-links keep lone nodes.
-    Links stay in DataFrames; the driver sees one count a round. The label of a hub comes from a partial aggregate.
-    """
-    links = nodes_edges.select(F.col(src).alias("a"), F.col(dst).alias("b"))
-    links = cut(links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels: list[DataFrame] = []
-    for _ in range(max_rounds):
-        label = cut(links.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
-        labels.append(label)
-        left = links.filter("a <> b").join(label, "a").select("b", F.col("m").alias("ma"))
-        both = left.join(label.select(F.col("a").alias("b"), F.col("m").alias("mb")), "b")
-        links = cut(both.filter("ma <> mb").select(F.col("ma").alias("a"), F.col("mb").alias("b")).distinct())
-        if links.isEmpty():
-            break
-    else:
-        raise RuntimeError("the links did not contract")
-    last = labels[0].select(F.col("a").alias("node"), F.col("m").alias("component"))
-
-    def follow(found: DataFrame, label: DataFrame) -> DataFrame:
-        step = label.select(F.col("a").alias("component"), F.col("m").alias("_next"))
-        return found.join(step, "component", "left").select("node", F.coalesce("_next", "component").alias("component"))
-
-    return reduce(follow, labels[1:], last)

@@ -27,7 +27,18 @@ def closure(nodes, linked):
 
 
 def test_components(spark):
-    edges = [(i, i + 1) for i in range(40)] + [(100, 101), (205, 201), (201, 209)]
+    names = list(range(20_000, 22_000))
+    RNG.shuffle(names)
+    edges = [(i, i + 1) for i in range(2_000)] + [(7_000 - i, 6_999 - i) for i in range(2_000)] + list(zip(names, names[1:]))  # rising, falling, shuffled
+    edges += [(30_500, 30_501 + i) for i in range(10_000)] + [(50_000, 50_000), (50_009, 50_001), (50_001, 50_005)]
+    got = dict(components(spark.createDataFrame(edges, "a bigint, b bigint")).collect())
+    low = {i: 0 for i in range(2_001)} | {i: 5_000 for i in range(5_000, 7_001)} | {i: 20_000 for i in names} | {i: 30_500 for i in range(30_500, 40_501)}
+    assert got == low | {50_000: 50_000, 50_009: 50_001, 50_001: 50_001, 50_005: 50_001}
+    assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def test_components_of_random_links(spark):
+    edges = [(RNG.randrange(300), RNG.randrange(300)) for _ in range(200)]
     got = dict(components(spark.createDataFrame(edges, "a bigint, b bigint")).collect())
     assert got == closure({x for e in edges for x in e}, edges)
 
@@ -139,6 +150,17 @@ def test_line_dedup_is_exact(spark):
     assert line_dedup.dedup_lines(df.limit(0)).count() == 0
 
 
+def test_line_dedup_of_many_near_copies(spark):
+    base = [f"b{i}" for i in range(40)]
+    rows = [(i, " ".join(base[: i % 40] + [f"x{i}"] + base[i % 40 + 1 :])) for i in range(3_000)]
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id int, text string")).filter("text <> ''").collect()
+    assert [r["doc_id"] for r in got] == [0]  # two words of 40 differ at most: all are near the first
+    ranks = line_dedup.rarity(spark.createDataFrame(rows, "doc_id int, text string"), "text")
+    classes = line_dedup.line_classes(spark.createDataFrame(rows, "doc_id int, text string"), ranks)
+    settled = line_dedup.first_witnesses(classes, 0.8)
+    assert settled.count() <= 4 * 3_000 and line_dedup.candidate_pairs(classes, settled, 0.8).count() <= 3_000
+
+
 def test_line_dedup_repeated_and_null_keys(spark):
     df = spark.createDataFrame([(1, "a b\nc d"), (1, "a b\nc d"), (None, "a b\nq r"), (2, "c d")], "doc_id int, text string")
     got = line_dedup.dedup_lines(df, n_lines="l", n_removed="x").collect()
