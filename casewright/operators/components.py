@@ -10,6 +10,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _LOCAL_DIRS: dict[str, str] = {}
 
 
@@ -41,9 +42,17 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def stage_table(df: DataFrame, name: str) -> DataFrame:
-    """As cut(), for wide rows: compressed Parquet under the checkpoint folder, read with column pruning."""
-    path = f"{checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    """As cut(), for wide rows: compressed Parquet under the checkpoint folder, read with column pruning.
+
+    The shuffle files of the write go when it ends, so a chain of tables needs the disk of its largest step only.
+    """
+    path, conf = f"{checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}", df.sparkSession.conf
+    was = conf.get(CLEANUP, "false")
+    conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        conf.set(CLEANUP, was)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
