@@ -3,7 +3,7 @@
 Unit vectors with cosine >= t lie within squared distance 2 - 2t. After one fixed rotation the coordinates are split
 into blocks; a pair within that distance is, in at least one block, within the block's share of it (its dimensions
 over all). Each block is range-joined: its first two coordinates make a grid of cells as wide as the block's radius,
-and a point meets the points of its own and the neighbouring cells. Candidates of any block are verified on the
+and a point meets the points of its own and the neighbouring cells, each two cells once. Candidates of any block are verified on the
 original vectors in double precision, and a pair is counted by the first block that brings it, so links are counted
 once without a shuffle of pairs. Equal vectors are one class with a weight, and crowded cells are dealt in tiles.
 """
@@ -21,6 +21,9 @@ from casewright.llm.hnsw import usable
 from casewright.llm.shared import components, cut, stage_table
 
 TILE = 4096
+PAIRS = 20_000
+#: A cell and half of its neighbours: each two neighbouring cells meet once.
+STEPS = ((0, 0), (0, 1), (1, -1), (1, 0), (1, 1))
 CELL = ["dim", "block", "x", "y"]
 
 
@@ -34,9 +37,10 @@ def block_edges(dim: int, blocks: int) -> list[int]:
     return [dim * i // blocks for i in range(blocks + 1)]
 
 
-def _rotated(raw: np.ndarray) -> np.ndarray:
+def _unit(raw: np.ndarray) -> np.ndarray:
+    """Unit vectors in double precision; scaled by the largest component first, so no square over- or underflows."""
     scaled = raw / np.abs(raw).max(1, keepdims=True)
-    return scaled / np.linalg.norm(scaled, axis=1, keepdims=True) @ rotation(raw.shape[1])
+    return scaled / np.sqrt(np.einsum("ij,ij->i", scaled, scaled))[:, None]
 
 
 def place(found: DataFrame, threshold: float, blocks: int) -> DataFrame:
@@ -49,7 +53,7 @@ def place(found: DataFrame, threshold: float, blocks: int) -> DataFrame:
             for dim in np.unique(lens).tolist():
                 part = batch.filter(pa.array(lens == dim))
                 raw = part.column("v").flatten().to_numpy().reshape(-1, dim)
-                turned, edges = _rotated(raw), block_edges(dim, blocks)
+                turned, edges = _unit(raw) @ rotation(dim), block_edges(dim, blocks)
                 for i, (a, b) in enumerate(zip(edges, edges[1:])):
                     side = np.sqrt(budget * (b - a) / dim) * (1 + 1e-9) + 1e-9
                     x = np.floor(turned[:, a] / side).astype(np.int32)
@@ -60,61 +64,74 @@ def place(found: DataFrame, threshold: float, blocks: int) -> DataFrame:
     return found.mapInArrow(run, "dim int, block int, x int, y int, rep bigint, w bigint, v array<double>")
 
 
+def smallest_linked(n: int, i: np.ndarray, j: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """label, lowered until both ends of every link (i, j) among n points have the same one; label[x] <= x names a point."""
+    while True:
+        low = np.minimum(label[i], label[j])
+        if (label[i] == low).all() and (label[j] == low).all():
+            return label
+        np.minimum.at(label, label[i], low)
+        np.minimum.at(label, label[j], low)
+        while True:
+            jump = label[label]
+            if (jump == label).all():
+                break
+            label = jump
+
+
 def join_tile(home: tuple, other: tuple, block: int, dim: int, threshold: float, blocks: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links of the home points that this block brings first: (number of linked rows of each home point, for each point
-    of home and then other the first point of its linked group, or itself)."""
-    (reps, _, raw), (oreps, ow, oraw) = home, other
+    """Links between home and other points that this block brings first: (number of rows linked to each point of home and
+    then other, for each the first point of its linked group, or itself). home: (reps, w, raw); other: (reps, w, raw,
+    whether a point is of the home cell too, so that it meets the home points with smaller rep only). Pairs are handled
+    PAIRS at a time, so memory doesn't grow with their number."""
+    (reps, w, raw), (oreps, ow, oraw, own) = home, other
     edges, budget = block_edges(dim, blocks), 2 - 2 * threshold
     shares = [budget * (b - a) / dim * (1 + 1e-9) + 1e-9 for a, b in zip(edges, edges[1:])]
-    p, q = _rotated(raw), _rotated(oraw)
-    norm, onorm = np.sqrt(np.einsum("ij,ij->i", raw, raw)), np.sqrt(np.einsum("ij,ij->i", oraw, oraw))
+    p, q = _unit(raw), _unit(oraw)
+    turn = rotation(dim)
     a, b = edges[block], edges[block + 1]
-    links = np.zeros(len(raw), np.int64)
-    parent = np.arange(len(raw) + len(oraw))
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    q32 = q[:, a:b].astype(np.float32)
+    n = len(raw)
+    links, label = np.zeros(n + len(oraw), np.int64), np.arange(n + len(oraw))
+    p32, q32 = (p @ turn[:, a:b]).astype(np.float32), (q @ turn[:, a:b]).astype(np.float32)
     qq = np.einsum("ij,ij->i", q32, q32)
-    for s in range(0, len(raw), 512):
-        p32 = p[s : s + 512, a:b].astype(np.float32)
-        far = (np.einsum("ij,ij->i", p32, p32) - np.float32(shares[block] + 1e-5))[:, None] + qq - 2 * p32 @ q32.T
-        i, j = np.nonzero(far <= 0)
-        i += s
-        ok = reps[i] != oreps[j]
-        i, j = i[ok], j[ok]
-        ok = np.einsum("ij,ij->i", raw[i], oraw[j]) / (norm[i] * onorm[j]) >= threshold
-        i, j = i[ok], j[ok]
-        gap = (p[i] - q[j]) ** 2
-        within = [gap[:, x:y].sum(1) <= h for x, y, h in zip(edges, edges[1:], shares)]
-        ok = within[block]
-        for earlier in within[:block]:
-            ok &= ~earlier
-        i, j = i[ok], j[ok]
-        links += np.bincount(i, weights=ow[j], minlength=len(raw)).astype(np.int64)
-        for x, y in zip(i.tolist(), (j + len(raw)).tolist()):
-            x, y = root(x), root(y)
-            if x != y:
-                parent[max(x, y)] = min(x, y)
-    return links, np.array([root(i) for i in range(len(parent))])
+    pp = np.einsum("ij,ij->i", p32, p32) - np.float32(shares[block] + 1e-5)
+    for s in range(0, n, 256):
+        dots = p32[s : s + 256] @ q32.T
+        dots *= 2
+        dots -= qq
+        every_i, every_j = np.nonzero(dots >= pp[s : s + 256, None])
+        every_i += s
+        ok = ~own[every_j] | (reps[every_i] < oreps[every_j])
+        every_i, every_j = every_i[ok], every_j[ok]
+        for c in range(0, len(every_i), PAIRS):
+            i, j = every_i[c : c + PAIRS], every_j[c : c + PAIRS]
+            ok = np.einsum("ij,ij->i", p[i], q[j]) >= threshold
+            i, j = i[ok], j[ok]
+            gap = ((p[i] - q[j]) @ turn) ** 2
+            within = [gap[:, x:y].sum(1) <= h for x, y, h in zip(edges, edges[1:], shares)]
+            ok = within[block]
+            for earlier in within[:block]:
+                ok &= ~earlier
+            i, j = i[ok], j[ok]
+            links += np.bincount(i, weights=ow[j], minlength=len(links)).astype(np.int64)
+            links += np.bincount(j + n, weights=w[i], minlength=len(links)).astype(np.int64)
+            label = smallest_linked(len(links), i, j + n, label)
+    return links, label
 
 
 def tiled(placed: DataFrame) -> DataFrame:
-    """placed as the points of tasks: the points of a cell (home) and those of the cell and its neighbours, by
-    (cell, tile, across). Both sides are dealt by hash, so that each task gets about TILE points of each at most, and
-    each home point meets each other point in one task."""
+    """placed as the points of tasks: the points of a cell (home) and those of the cell itself and half of its neighbours,
+    by (cell, tile, across). Both sides are dealt by hash, so that each task gets about TILE points of each at most, and
+    each home point meets each other point in one task. side: 0 home, 1 the same cell's, 2 a neighbour's."""
     dealt = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     number = lambda df, n: df.groupBy(*CELL).count().select(*CELL, F.ceil(F.col("count") / TILE).cast("int").alias(n))
-    steps = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))).alias("s")
-    moved = placed.select("dim", "block", steps, "x", "y", "rep", "w", "v").select("dim", "block", (F.col("x") + F.col("s.i")).alias("x"), (F.col("y") + F.col("s.j")).alias("y"), "rep", "w", "v")
+    steps = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in STEPS))).alias("s")
+    beside = F.when((F.col("s.i") == 0) & (F.col("s.j") == 0), 1).otherwise(2).alias("side")
+    moved = placed.select("dim", "block", steps, "x", "y", "rep", "w", "v").select("dim", "block", (F.col("x") + F.col("s.i")).alias("x"), (F.col("y") + F.col("s.j")).alias("y"), "rep", "w", "v", beside)
     counts = cut(number(placed, "tiles").join(number(moved, "acrosses"), CELL))
-    homes = placed.join(counts, CELL).select(*CELL, dealt("tiles").alias("tile"), every("acrosses").alias("across"), "rep", "w", "v", F.lit(True).alias("home"))
-    others = moved.join(counts, CELL).select(*CELL, every("tiles").alias("tile"), dealt("acrosses").alias("across"), "rep", "w", "v", F.lit(False).alias("home"))
+    homes = placed.join(counts, CELL).select(*CELL, dealt("tiles").alias("tile"), every("acrosses").alias("across"), "rep", "w", "v", F.lit(0).alias("side"))
+    others = moved.join(counts, CELL).select(*CELL, every("tiles").alias("tile"), dealt("acrosses").alias("across"), "rep", "w", "v", "side")
     return homes.unionByName(others)
 
 
@@ -135,15 +152,15 @@ def near_duplicates(table: DataFrame, *, threshold: float = 0.9, blocks: int = 4
     def run(t: pa.Table) -> pa.Table:
         dim, block = t.column("dim")[0].as_py(), t.column("block")[0].as_py()
         t = t.sort_by("rep")
-        mine = t.column("home").to_numpy()
+        side = t.column("side").to_numpy()
+        mine = side == 0
         raw = t.column("v").combine_chunks().flatten().to_numpy().reshape(-1, dim)
         reps, w = t.column("rep").to_numpy(), t.column("w").to_numpy()
         empty = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
         if not mine.any() or mine.all():
             return empty
-        links, root = join_tile((reps[mine], w[mine], raw[mine]), (reps[~mine], w[~mine], raw[~mine]), block, dim, threshold, blocks)
+        n, root = join_tile((reps[mine], w[mine], raw[mine]), (reps[~mine], w[~mine], raw[~mine], side[~mine] == 1), block, dim, threshold, blocks)
         every = np.concatenate([reps[mine], reps[~mine]])
-        n = np.concatenate([links, np.zeros((~mine).sum(), np.int64)])
         tell = (n > 0) | (every != every[root])
         return pa.table({"a": every[tell], "b": every[root][tell], "n": n[tell]})
 

@@ -178,7 +178,8 @@ def unit(raw: np.ndarray) -> np.ndarray:
 
 
 def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Row by row, in double precision."""
+    """Row by row, in double precision; scaled by the largest components, so no square over- or underflows."""
+    a, b = (x / np.abs(x).max(1, keepdims=True) for x in (a, b))
     return np.einsum("ij,ij->i", a, b) / (np.sqrt(np.einsum("ij,ij->i", a, a)) * np.sqrt(np.einsum("ij,ij->i", b, b)))
 
 

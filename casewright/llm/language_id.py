@@ -22,6 +22,7 @@ SLICE = 1024
 PAD = 256
 UNKNOWN = "und"
 CHUNK = 2048
+SALTS = 256
 HALF = np.float32(0.5)
 
 
@@ -172,11 +173,15 @@ def train(texts: list[bytes], labels: list[int], n_labels: int, *, hidden: int =
 
 def learn(docs: DataFrame, *, label: str = "lang", text: str = "text", key: str = "doc_id", per_label: int = 500) -> tuple[list[str], Network | None]:
     """Label values in order and the network, from a sample of at most `per_label` rows a label (the bound on what the
-    driver gets: per_label x labels x SLICE characters), chosen by a hash of the key; null labels and empty texts are left out."""
+    driver gets: per_label x labels x SLICE characters), chosen by a hash of the key; null labels and empty texts are left out.
+
+    The network learns from at most 16,000 windows of them (see train()). Rows are ranked within (label, salt) first, so
+    no task gets all rows of a label; equal rows of one hash are one."""
     at = F.pmod(F.xxhash64(key, F.lit("slice")), F.greatest(F.length(text) - SLICE, F.lit(0)) + 1) + 1
     rows = docs.filter(F.col(label).isNotNull() & F.col(text).rlike(r"\p{L}"))
-    keyed = rows.select(F.col(label).alias("_label"), F.xxhash64(key).alias("_order"), F.substring(text, at.cast("int"), F.lit(SLICE)).alias("_slice"))
-    ranked = keyed.withColumn("_n", F.row_number().over(Window.partitionBy("_label").orderBy("_order", "_slice"))).filter(F.col("_n") <= per_label)
+    keyed = rows.select(F.col(label).alias("_label"), F.xxhash64(key).alias("_order"), F.pmod(F.xxhash64(key, text), F.lit(SALTS)).alias("_salt"), F.substring(text, at.cast("int"), F.lit(SLICE)).alias("_slice"))
+    least = lambda df, *by: df.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy("_order", "_slice"))).filter(F.col("_n") <= per_label)
+    ranked = least(least(keyed, "_label", "_salt"), "_label")
     got = sorted((r["_label"], r["_order"], r["_slice"]) for r in ranked.collect())
     names = sorted({r[0] for r in got})
     if not names:
@@ -191,14 +196,14 @@ def identify(docs: DataFrame, model: tuple[list[str], Network | None], *, text:
     through; repeated rows stay.
     """
     names, net = model
-    marked = docs.withColumn("_letters", F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)))
+    marked = docs.withColumn("_cw_letters", F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)))
     kept = [f for f in docs.schema.fields if f.name not in (pred, score)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, batch.num_rows, 2000):
                 part = batch.slice(a, 2000)
-                ok = part.column("_letters").to_pylist()
+                ok = part.column("_cw_letters").to_pylist()
                 texts = [t.encode("utf-8", "replace") if k and names else b"" for t, k in zip(part.column(text).to_pylist(), ok)]
                 p = net.predict(texts) if net is not None else np.zeros((part.num_rows, 1))
                 known = [bool(t) for t in texts]

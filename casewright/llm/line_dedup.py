@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from casewright.llm.shared import cut, stage_table
+from casewright.llm.shared import stage_table
 
 BITS = 16
 BUCKETS = 1 << BITS
@@ -144,7 +144,7 @@ def near(pairs: DataFrame, texts: DataFrame, classes: DataFrame, ranks: list[int
     found = texts.join(at, ["_cw_r", "_cw_h"])
     each = found.select(F.split("_cw_text", "\n", -1).alias("lines"), F.explode("at").alias("p"))
     line = each.select("p.cid", F.element_at("lines", F.col("p.l") + 1).alias("line"))
-    sets = cut(line.groupBy("cid").agg(F.first("line").alias("line")).select("cid", token_keys(F.col("line"), ranks).alias("keys")))
+    sets = stage_table(line.groupBy("cid").agg(F.first("line").alias("line")).select("cid", token_keys(F.col("line"), ranks).alias("keys")), "line-sets")
     side = lambda v: sets.select(F.col("cid").alias(v), F.col("keys").alias(f"k{v}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("o", F.size(F.array_intersect("ka", "kb")))
     return both.filter(F.col("o") >= F.lit(threshold) * (F.size("ka") + F.size("kb") - F.col("o")) - 1e-9).select("b").distinct()
@@ -152,8 +152,8 @@ def near(pairs: DataFrame, texts: DataFrame, classes: DataFrame, ranks: list[int
 
 def beaten_classes(texts: DataFrame, classes: DataFrame, ranks: list[int], threshold: float) -> DataFrame:
     """(b): the classes that are near an earlier one."""
-    settled = cut(near(cut(first_witnesses(classes, threshold)), texts, classes, ranks, threshold))
-    rest = near(cut(candidate_pairs(classes, settled, threshold)), texts, classes, ranks, threshold)
+    settled = stage_table(near(stage_table(first_witnesses(classes, threshold), "line-pairs"), texts, classes, ranks, threshold), "lines-settled")
+    rest = near(stage_table(candidate_pairs(classes, settled, threshold), "line-pairs"), texts, classes, ranks, threshold)
     return settled.union(rest)
 
 

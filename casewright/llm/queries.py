@@ -94,15 +94,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def _license_sql() -> str:
     q = lambda s: "'" + s.replace("'", "''") + "'"
-    rule = licenses.COPYRIGHT_LINE
-    flat = f"' ' || trim(regexp_replace(regexp_replace(lower(text), {q(rule)}, ' ', 'g'), {q('[^' + chr(92) + 'p{L}' + chr(92) + 'p{N}]+')}, ' ', 'g')) || ' '"
+    low = f"lower(regexp_replace(text, {q(licenses.COPYRIGHT_LINE)}, ' ', 'g'))"
+    flat = f"'  ' || replace(trim(regexp_replace({low}, {q('[^' + chr(92) + 'p{L}' + chr(92) + 'p{N}]+')}, ' ', 'g')), ' ', '  ') || '  '"
     for shown, same in licenses.SPELLINGS:
-        flat = f"replace({flat}, {q(f' {shown} ')}, {q(f' {same} ')})"
-    known = ", ".join(f"({q(k)}, {q(v)})" for k, v in sorted(licenses.KNOWN.items()))
+        flat = f"replace({flat}, {q(' ' + shown.replace(' ', '  ') + ' ')}, {q(' ' + same.replace(' ', '  ') + ' ')})"
+    digest = f"sha256(replace(trim({flat}), '  ', ' '))"
+    known = ", ".join(f"({q(k)}, {q(v)})" for k, v in licenses.variants(licenses.KNOWN))
+    full = ", ".join(f"({q(d)}, {q(k)})" for k, d in licenses.FULL_DIGESTS.items())
     return f"""
-WITH known(license, text) AS (VALUES {known}),
-k AS (SELECT sha256(trim({flat})) AS digest, min(license) AS license FROM known GROUP BY 1),
-d AS (SELECT doc_id, sha256(trim({flat})) AS digest FROM documents)
+WITH known(license, text) AS (VALUES {known}), whole(digest, license) AS (VALUES {full}),
+k AS (SELECT digest, min(license) AS license FROM (SELECT {digest} AS digest, license FROM known UNION ALL SELECT * FROM whole) GROUP BY 1),
+d AS (SELECT doc_id, {digest} AS digest FROM documents)
 SELECT d.doc_id, k.license, d.digest FROM d LEFT JOIN k ON d.digest = k.digest"""
 
 

@@ -145,22 +145,13 @@ def near_duplicates(docs: DataFrame, *, width: int = 4, key: str = "doc_id", tex
     return marked.join(table, "fp").select(key, *keep, "fp", "component_id", "component")
 
 
-def keep_one(docs: DataFrame, *, width: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with one document of each component: the row with the smallest key (and, at one key, text digest).
-
-    A row with a null key stays only where no row of its component has a key. Equal rows leave one.
-    """
-    hashed = docs.withColumn("_cw_text", F.xxhash64(text))
-    found = cut(near_duplicates(hashed, width=width, key=key, text=text, keep=("_cw_text",)).groupBy("component", key, "_cw_text").count())
-    return _first_rows(hashed, found, key).select(*docs.columns)
-
-
 def _first_rows(hashed: DataFrame, found: DataFrame, key: str) -> DataFrame:
-    """The row of each component of `found` (component, key, _cw_text, count) that keep_one() keeps."""
+    """The row of each component of `found` (component, key, _cw_text, count) with the smallest key (and, at one key, text
+    digest); a row with a null key stays only where no row of its component has a key. Equal rows leave one."""
     order = F.struct(F.col(key).isNull().alias("n"), F.col(key).alias("k"), F.col("_cw_text").alias("t"), F.col("count").alias("c"))
-    first = cut(found.groupBy("component").agg(F.min(order).alias("f")).select(F.col("f.k").alias("_k"), F.col("f.t").alias("_t"), F.col("f.c").alias("_c")))
-    kept = hashed.join(first, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_cw_text") == F.col("_t")), "left_semi")
-    if not first.filter("_c > 1").isEmpty():
+    first = cut(found.groupBy("component").agg(F.min(order).alias("f")).select(F.col("f.k").alias("_cw_k"), F.col("f.t").alias("_cw_t"), F.col("f.c").alias("_cw_c")))
+    kept = hashed.join(first, F.col(key).eqNullSafe(F.col("_cw_k")) & (F.col("_cw_text") == F.col("_cw_t")), "left_semi")
+    if not first.filter("_cw_c > 1").isEmpty():
         kept = kept.dropDuplicates([key, "_cw_text"])
     return kept
 
@@ -262,7 +253,8 @@ def keep_dissimilar(docs: DataFrame, *, width: int = 5, key: str = "doc_id", tex
     """docs with one document of each component of texts whose word shingle sets have Jaccard 0.8 or more.
 
     All links are verified. Candidates meet in an exact prefix filter; the fingerprint filter (WIDE) passes a pair at
-    Jaccard 0.8 with a chance of at least 0.9999. The row that stays is keep_one()'s; rows without words all stay.
+    Jaccard 0.8 with a chance of at least 0.9999. The row that stays has the component's smallest
+    key; equal rows leave one; rows without words (null, empty) all stay.
     """
     hashed = docs.withColumn("_cw_text", F.xxhash64(text))
     sets = stage_table(shingle_sets(hashed, width=width, key=key, text=text), "shingles")

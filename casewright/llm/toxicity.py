@@ -135,9 +135,11 @@ LABELLED = 20_000
 def labelled_sample(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic", most: int = LABELLED) -> DataFrame:
     """(text, label) of at most `most` labelled documents, chosen by a hash of the key, written once.
 
-    `most` bounds the side that is broadcast, so no text is shuffled to meet its label. Null labels are left out.
+    `most` bounds the side that is broadcast, so no text is shuffled to meet its label. Null labels and keys are left
+    out; of repeated labels of a key the largest counts.
     """
-    few = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull()).select(key, label).orderBy(F.xxhash64(key), key, label).limit(most)
+    one = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.max(label).alias(label))
+    few = one.orderBy(F.xxhash64(key), key).limit(most)
     return stage_table(docs.select(key, text).join(F.broadcast(few), key).select(text, label), "labelled")
 
 
@@ -161,10 +163,7 @@ def learn(rows: DataFrame, *, text: str = "text", label: str = "toxic", least: i
     apart = odds / F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("n") - F.col("t") + 0.5))
     strong = terms.filter((F.col("t") >= least) & (F.col("t") >= 0.7 * F.col("n"))).withColumn("odds", odds).withColumn("z", apart).filter("z > 4")
     top = strong.orderBy(F.desc("z"), "term").limit(MOST_TERMS).collect()
-    chosen: dict[str, float] = {}
-    for r in sorted(top, key=lambda r: (len(r["term"]), r["term"])):
-        if not any(r["term"][:k] in chosen for k in range(2, len(r["term"]))):
-            chosen[r["term"]] = float(r["odds"])
+    chosen = _shortest([(r["term"], int(r["t"]), int(r["n"]), float(r["odds"])) for r in top])
     phrases = _exceptions(texts, chosen)
     bare = Lexicon(chosen, phrases, 0.0, 0.0, 0.0)
     part = known.orderBy(F.xxhash64("_t"), "_y").limit(sample)
@@ -180,6 +179,20 @@ def learn(rows: DataFrame, *, text: str = "text", label: str = "toxic", least: i
     return Lexicon(chosen, phrases, float(w[0]), float(w[1]), float(w[2]))
 
 
+def _shortest(strong: list[tuple[str, int, int, float]]) -> dict[str, float]:
+    """Weights of the terms (term, toxic, all, weight) that no other begins: of beginnings that the same documents bear
+    out (equal counts), the longest, which says no more than was seen; else the shortest."""
+    chosen: dict[str, tuple[int, int, float]] = {}
+    for term, t, n, weight in sorted(strong, key=lambda x: (len(x[0]), x[0])):
+        begin = next((term[:k] for k in range(2, len(term)) if term[:k] in chosen), None)
+        if begin is None:
+            chosen[term] = (t, n, weight)
+        elif chosen[begin][:2] == (t, n) and not term.endswith(" "):
+            del chosen[begin]
+            chosen[term] = (t, n, weight)
+    return {term: weight for term, (_, _, weight) in chosen.items()}
+
+
 def _exceptions(texts: DataFrame, terms: dict[str, float], least: int = 3) -> tuple[str, ...]:
     """` word word ` phrases with a term in them that clean documents use at least `least` times, toxic ones less."""
     if not terms:

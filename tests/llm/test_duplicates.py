@@ -80,8 +80,8 @@ def test_simhash_documents(spark):
     df = spark.createDataFrame(rows, "doc_id int, text string, fp int").withColumn("component", F.lit("clash"))
     got = {(r["doc_id"], r["component_id"]) for r in simhash.near_duplicates(df).collect()}
     assert got == {(5, 3), (3, 3), (9, 3), (1, 1), (2, 2), (4, 2), (None, 3)}
-    kept = simhash.keep_one(df, width=5)
-    assert sorted(r["doc_id"] for r in kept.collect()) == [1, 2, 3] and kept.columns == df.columns
+    kept = simhash.keep_dissimilar(df.withColumn("_k", F.lit(1)).withColumn("c", F.lit(1)))
+    assert sorted(r["doc_id"] for r in kept.collect()) == [1, 2, 3, 4] and kept.columns == [*df.columns, "_k", "c"]
     assert simhash.near_duplicates(df.limit(0)).count() == 0
 
 
@@ -203,10 +203,19 @@ def test_embedding_tiles_bound_both_sides(spark, monkeypatch):
     monkeypatch.setattr(embedding_dedup, "TILE", 20)
     assert sorted(map(tuple, embedding_dedup.near_duplicates(df).collect())) == whole and whole[5] == (5, 299, 0, False)
     placed = embedding_dedup.place(df.select(F.col("vec_id").alias("rep"), F.lit(1).cast("long").alias("w"), F.col("embedding").cast("array<double>").alias("v")), 0.9, 4)
-    sizes = embedding_dedup.tiled(placed).groupBy(*embedding_dedup.CELL, "tile", "across", "home").count()
+    sizes = embedding_dedup.tiled(placed).groupBy(*embedding_dedup.CELL, "tile", "across", F.col("side") == 0).count()
     assert sizes.agg(F.max("count")).first()[0] <= 60  # of up to 300; dealt by hash
 
 
+def test_embeddings_of_any_size_of_numbers(spark):
+    rows = [(1, [1e200, 2e200]), (2, [1e-200, 2e-200]), (2, [1.0, 2.0]), (3, [2.0, -1.0]), (4, [1.0, None]), (None, [1.0, 2.0]), (5, [])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in embedding_dedup.near_duplicates(df).filter("vec_id is not null").collect())
+    assert got == [(1, 2, 1), (2, 2, 1), (2, 2, 1), (3, 0, 3), (4, 0, 4), (5, 0, 5)]
+    near = hnsw.nearest(df, df.filter("vec_id = 1"), k=2).collect()
+    assert [(r["rank"], r["vec_id"], round(r["score"], 9)) for r in sorted(near)] == [(1, 2, 1.0), (2, 2, 1.0)]
+
+
 def test_nearest_has_recall(spark):
     rng = np.random.default_rng(4)
     v = rng.normal(size=(1500, 24)).astype(np.float32)
@@ -235,3 +244,45 @@ def test_license_scan(spark):
     got = licenses.scan(df).collect()
     assert sorted((r["doc_id"], r["license"] or "") for r in got) == [(1, "MIT"), (2, ""), (3, ""), (4, ""), (5, ""), (5, "Apache-2.0 (line)")]
     assert [r["digest"] for r in got if r["doc_id"] == 3] == [None] and licenses.scan(df.limit(0)).count() == 0
+
+
+def license_files():
+    """(id, licence, text) as the files are distributed: a title, a copyright line, wrapped lines."""
+    import textwrap
+
+    owners = ["Copyright (c) 2021 Jane Doe", "Copyright <year> <owner>", "Copyright Jane van Doe", "Copyright Jane Doe and Contributors", "(C) 1999 X", ""]
+    out = []
+    for k, text in licenses.KNOWN.items():
+        for i, title in enumerate(("", *licenses.TITLES.get(k, ()))):
+            body = "\n\n".join(textwrap.fill(p, 60 + i) for p in text.split("\n\n"))
+            out.append((len(out), k, "\n\n".join(x for x in (title, owners[(len(out) + i) % len(owners)], body) if x)))
+    return out
+
+
+def test_license_files_are_found_as_in_sql(spark):
+    import duckdb
+
+    from casewright.llm.queries import _license_sql
+
+    files = license_files()
+    rows = [(i, t) for i, _, t in files] + [(900, "licence licence LICENCED https http sub license"), (901, None), (902, "sin licencia\nCopyright Holder shall")]
+    df = spark.createDataFrame(rows, "doc_id int, text string")
+    got = {r["doc_id"]: (r["license"], r["digest"]) for r in licenses.scan(df).collect()}
+    assert [got[i][0] for i, _, _ in files] == [k for _, k, _ in files]
+    con = duckdb.connect()
+    con.execute("create table documents(doc_id int, text varchar)")
+    con.executemany("insert into documents values (?, ?)", rows)
+    assert {a: (b, c) for a, b, c in con.execute(_license_sql()).fetchall()} == got
+
+
+def test_whole_license_texts(spark):
+    from pathlib import Path
+
+    import pytest
+
+    folder = Path("/usr/share/common-licenses")
+    if not (folder / "GPL-3").exists():
+        pytest.skip("needs the licence texts of the system")
+    rows = [(n, (folder / n).read_text().replace("\n", "\r\n")) for n in ("GPL-3", "Apache-2.0", "MPL-2.0", "LGPL-2.1")]
+    got = {r["doc_id"]: r["license"] for r in licenses.scan(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert got == {"GPL-3": "GPL-3.0", "Apache-2.0": "Apache-2.0 (full)", "MPL-2.0": "MPL-2.0", "LGPL-2.1": "LGPL-2.1"}

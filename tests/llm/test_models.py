@@ -92,6 +92,59 @@ def test_toxicity_held_out(spark):
     assert none.terms == {} and toxicity.rate(df.limit(3), none).count() == 3
 
 
+def test_lexicon_matches_are_those_of_a_naive_search():
+    lex = toxicity.Lexicon({" ab ": 2.0, " ab": 1.0, " abc": 1.5, " cd ": 3.0}, (" ab cd ", " x cd "), 0.0, 1.0, 1.0)
+    auto = lex.automaton()
+    for _ in range(500):
+        text = toxicity.fold(" ".join(RNG.choice(["ab", "abc", "abd", "cd", "x", "cde"]) for _ in range(RNG.randint(0, 12))))
+        best = {}
+        for t, w in lex.terms.items():
+            for a in range(len(text)):
+                if text.startswith(t, a):
+                    best[a] = max(best.get(a, 0.0), w)
+        for p in lex.phrases:
+            for a in range(len(text)):
+                if text.startswith(p, a):
+                    best = {k: w for k, w in best.items() if not a <= k < a + len(p) - 1}
+        total = sum(best.values())
+        assert np.allclose(toxicity.Lexicon.features(auto, text), (100 * total / (max(1, len(text.split())) + 20), np.log1p(total)))
+
+
+def test_network_equals_a_plain_forward_pass():
+    rng = np.random.default_rng(3)
+    net = language_id.Network(rng.normal(0, 0.4, (2, 9, 257)).astype("f4"), rng.normal(0, 0.4, (2, 9, 3)).astype("f4"), rng.normal(0, 0.4, (2, 6)).astype("f4"), rng.normal(0, 1, (2, 1)).astype("f4"))
+    hard = lambda x: np.clip(x + 0.5, 0, 1)
+
+    def states(window, side):
+        h, out = np.zeros(3), {}
+        for t in range(len(window)) if side == 0 else range(len(window) - 1, -1, -1):
+            a, b = net.embed[side][:, window[t]].astype(float), net.recur[side].astype(float) @ h
+            r, z = hard(a[:3] + b[:3]), hard(a[3:6] + b[3:6])
+            h = z * h + (1 - z) * np.tanh(a[6:] + r * b[6:])
+            out[t] = h
+        return out
+
+    def plain(text):
+        total = np.zeros(2)
+        for s in range(0, len(text), language_id.WINDOW):
+            w = list(text[s : s + language_id.WINDOW])
+            w += [language_id.PAD] * (language_id.WINDOW - len(w))
+            f, b = states(w, 0), states(w, 1)
+            for t in range(min(language_id.WINDOW, len(text) - s)):
+                y = np.exp(net.out.astype(float) @ np.concatenate([f[t], b[t]]) + net.bias[:, 0])
+                total += y / y.sum()
+        return total / max(1, len(text))
+
+    texts = [b"", b"hola", bytes(rng.integers(0, 256, 64).tolist()), bytes(rng.integers(0, 256, 150).tolist())]
+    assert np.allclose(net.predict(texts), [plain(t) for t in texts], atol=1e-5)
+
+
+def test_identify_keeps_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, "hola", "x", 7), (1, "hola", "x", 7)], "doc_id int, text string, _letters string, _label int")
+    got = language_id.identify(df, ([], None))
+    assert [tuple(r) for r in got.collect()] == [(1, "hola", "x", 7, "und", 0.0)] * 2 and got.columns == [*df.columns, "lang_pred", "score"]
+
+
 def reference(t):
     out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
     out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m.group().split("."))]
