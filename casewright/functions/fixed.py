@@ -64,6 +64,5 @@ WEAK_FINDING = r"(?iu)no se proporciona (?:evidencia|informaci[oó]n)|no hay evi
 WEAK_FINDING_LOOSE = ["no se proporciona", "no hay evidencia adicional", "no se menciona explicitamente", "no se proporciona informacion", "no queda claro", "informacion insuficiente"]
 
 SEVERITIES = ("alta", "media", "baja")
-PAGE_MARK = "--- Página {} ---\n"
 EXTENSIONS = {"pdf": "pdf", "txt": "txt", "docx": "docx", "png": "img", "jpg": "img", "jpeg": "img", "tif": "img", "tiff": "img", "bmp": "img"}
 ACCENTED, PLAIN = "áàâäãåéèêëíìîïóòôöõúùûüñçÁÀÂÄÃÅÉÈÊËÍÌÎÏÓÒÔÖÕÚÙÛÜÑÇ", "aaaaaaeeeeiiiiooooouuuuncAAAAAAEEEEIIIIOOOOOUUUUNC"

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from casewright.functions import fixed
 
@@ -17,6 +21,20 @@ def normalize_name(c: Column) -> Column:
     return F.lower(F.translate(squeeze(c), fixed.ACCENTED, fixed.PLAIN))
 
 
+@F.pandas_udf(T.StringType())
+def _without_marks(names: pd.Series) -> pd.Series:
+    """Canonical decomposition without the non-spacing marks."""
+    bare = lambda x: "".join(c for c in unicodedata.normalize("NFD", x) if unicodedata.category(c) != "Mn")
+    return names.map(bare, na_action="ignore")
+
+
+def normalize_name_exact(c: Column) -> Column:
+    """As normalize_name(), for any accent: names that hold only ASCII or listed letters stay native."""
+    known = squeeze(c).rlike(f"^[\\x00-\\x7F{fixed.ACCENTED}]*$")
+    odd = F.when(~known, squeeze(c))
+    return F.coalesce(F.when(known, normalize_name(c)), F.lower(_without_marks(odd)))
+
+
 def _verdict(*rules: tuple[str, Column]) -> Column:
     """struct(valid, reason) of the first rule that holds."""
     reason = None

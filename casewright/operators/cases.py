@@ -23,14 +23,19 @@ def shared_cases(shares: DataFrame, cases: DataFrame, documents: DataFrame, resu
     return case_counts(kept, documents, results).orderBy(F.desc("updated_at"), "case_id", "user_id")
 
 
-def accessible(cases: DataFrame, shares: DataFrame, users: DataFrame | None = None) -> DataFrame:
-    """(case_id, user_id) pairs that may read: owner or shared, and with users also every admin for its own files."""
+def accessible(cases: DataFrame, shares: DataFrame) -> DataFrame:
+    """(case_id, user_id) pairs that may read a case: its owner and those it is shared with."""
     own = cases.select("case_id", F.col("owner_id").alias("user_id"))
     return own.unionByName(shares.select("case_id", "user_id")).distinct()
 
 
-def readable(requests: DataFrame, pairs: DataFrame) -> DataFrame:
-    return requests.join(pairs, ["case_id", "user_id"], "left_semi")
+def readable(requests: DataFrame, pairs: DataFrame, users: DataFrame | None = None) -> DataFrame:
+    """Requests (case_id, user_id) of a permitted pair; with users also those of every admin, whatever the case."""
+    allowed = requests.join(pairs.select("case_id", "user_id").distinct().withColumn("_cw_pair", F.lit(True)), ["case_id", "user_id"], "left")
+    if users is None:
+        return allowed.filter("_cw_pair").drop("_cw_pair")
+    admins = users.filter("role = 'admin'").select("user_id").distinct().withColumn("_cw_admin", F.lit(True))
+    return allowed.join(admins, "user_id", "left").filter("_cw_pair or _cw_admin").select(*requests.columns)
 
 
 def case_documents(documents: DataFrame, case_id) -> DataFrame:
@@ -86,12 +91,19 @@ def new_transactions(incoming: DataFrame, known: DataFrame) -> DataFrame:
     return incoming.dropDuplicates(["fingerprint"]).join(known.select("fingerprint"), "fingerprint", "left_anti")
 
 
-def summary_statistics(nodes: DataFrame, edges: DataFrame, findings: DataFrame, mentions: DataFrame) -> DataFrame:
-    """One row a case: nodes, edges, findings, mentions."""
+def summary_statistics(nodes: DataFrame, edges: DataFrame, findings: DataFrame, mentions: DataFrame, profiles: DataFrame, *, top: int = 10) -> DataFrame:
+    """One row a case: nodes (and by group), edges, findings by category, entities and their mentions, the `top` most
+    connected nodes with their degrees, and three fields of the profile (null without one)."""
+    from casewright.operators.graph import group_counts, most_connected
+
     count = lambda df, name: df.groupBy("case_id").agg(F.count("*").alias(name))
-    total = mentions.groupBy("case_id").agg(F.sum("mentions").alias("n_mentions"))
-    out = count(nodes, "n_nodes").join(count(edges, "n_edges"), "case_id", "full").join(count(findings, "n_findings"), "case_id", "full").join(total, "case_id", "full")
-    return out.na.fill(0)
+    total = mentions.groupBy("case_id").agg(F.count("*").alias("n_entities"), F.sum("mentions").alias("n_mentions"))
+    groups = group_counts(nodes).groupBy("case_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("group", "n")))).alias("groups"))
+    linked = most_connected(edges, keep=top).groupBy("case_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "id", "degree"))), lambda x: F.struct(x["id"].alias("id"), x["degree"].alias("degree"))).alias("top_connected"))
+    found = findings.groupBy("case_id").agg(F.count("*").alias("n_findings"), *(F.count_if(F.col("category") == c).alias(f"n_{c}") for c in ("inconsistencias", "incongruencias", "declaracion_vs_evidencia")))
+    out = count(nodes, "n_nodes").join(count(edges, "n_edges"), "case_id", "full").join(found, "case_id", "full").join(total, "case_id", "full").na.fill(0)
+    profile = profiles.select("case_id", "jurisdiccion", "tipo_caso", "subtipo_caso")
+    return out.join(groups, "case_id", "left").join(linked, "case_id", "left").join(profile, "case_id", "left")
 
 
 def entity_report(aliases: DataFrame, *, keep: int = 15) -> DataFrame:
@@ -99,6 +111,16 @@ def entity_report(aliases: DataFrame, *, keep: int = 15) -> DataFrame:
     return aliases.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= keep).select("case_id", "rank", "name", "mentions", F.size("files").alias("n_files"))
 
 
+def traced_entities(traces: DataFrame, aliases: DataFrame, *, keep: int = 10) -> DataFrame:
+    """(case_id, rank, name, parts): the first traced entities of a case by alias, and which parts of a trace they have."""
+    w = Window.partitionBy("case_id").orderBy("alias")
+    first = traces.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= keep)
+    has = lambda c: F.when(F.size(c) > 0, F.lit(c))
+    parts = F.concat_ws(", ", F.when(F.col("role").isNotNull(), F.lit("role")), has("actions"), has("people"), has("vehicles"), has("locations"))
+    named = first.join(aliases.select("case_id", "alias", "real_name"), ["case_id", "alias"], "left")
+    return named.select("case_id", "rank", F.coalesce("real_name", "alias").alias("name"), parts.alias("parts"))
+
+
 def content_hash(rows: DataFrame, columns: list[str]) -> DataFrame:
     """(case_id, data_hash): independent of row order, from sums of row hashes, so nothing is gathered per case."""
     h = F.xxhash64(*columns)

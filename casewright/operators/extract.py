@@ -141,36 +141,47 @@ class Replacer:
         return "".join(out)
 
 
-def pseudonymize(docs: DataFrame, aliases: DataFrame, *, text: str = "text", group: int = 2000) -> DataFrame:
+def _by_case(docs: DataFrame, table: DataFrame, change, text: str, group_chars: int) -> DataFrame:
+    """docs with text = change(table of the case as pandas)(text): documents and tables meet by a grouped join.
+
+    A case's documents are dealt over so many salts that a group has about `group_chars` characters; only the table of
+    a case with more than one salt is repeated, once a salt. Nothing runs while the plan is built.
+    """
+    chars = docs.groupBy("case_id").agg(F.ceil(F.sum(F.coalesce(F.length(text), F.lit(0)) + 1) / group_chars).cast("int").alias("_cw_salts"))
+    named = chars.withColumnRenamed("case_id", "_cw_case")
+    salted = lambda df: df.join(named, F.col("case_id").eqNullSafe(F.col("_cw_case"))).drop("_cw_case")
+    rows = salted(table).select(F.col("case_id").alias("_cw_key"), F.explode(F.sequence(F.lit(0), F.col("_cw_salts") - 1)).alias("_cw_part"), *(F.col(c).alias(f"_cw_{c}") for c in table.columns if c != "case_id"))
+    columns = F.struct(*docs.columns)
+    dealt = salted(docs).select(F.col("case_id"), F.pmod(F.xxhash64("doc_id" if "doc_id" in docs.columns else columns), F.col("_cw_salts")).cast("int").alias("_cw_salt"), *(F.col(c) for c in docs.columns if c != "case_id"))
+    schema = docs.schema
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        return left[schema.names].assign(**{text: left[text].map(change(right))})
+
+    return dealt.groupBy("case_id", "_cw_salt").cogroup(rows.groupBy("_cw_key", "_cw_part")).applyInPandas(run, schema)
+
+
+def pseudonymize(docs: DataFrame, aliases: DataFrame, *, text: str = "text", group_chars: int = 8_000_000) -> DataFrame:
     """docs whose texts have aliases for names: case-insensitive, whole words, the longest name first.
 
-    A document needs only the aliases of its case: documents and alias tables meet by a grouped join on the case, with
-    the documents dealt over so many salts that a group has about `group` of them, whatever the size of a case.
+    A document needs only the aliases of its case; one without any keeps its text, and a null text stays null.
     """
-    salts = max(1, -(-docs.count() // group))
     order = F.struct(F.when(F.col("kind") == "PERSONA", 1).otherwise(0), F.col("alias"))
     lowered = aliases.withColumn("low", F.lower("real_name")).groupBy("case_id", "low").agg(F.max_by("alias", order).alias("alias"))
-    table = lowered.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    dealt = docs.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
-    schema = docs.schema
+    return _by_case(docs, lowered, lambda t: Replacer(dict(zip(t["_cw_low"], t["_cw_alias"]))), text, group_chars)
 
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        replace = Replacer(dict(zip(right["low"], right["alias"])))
-        return left[schema.names].assign(**{text: left[text].map(replace)})
 
-    return dealt.groupBy("case_id", "_salt").cogroup(table.groupBy("case_id", "_salt")).applyInPandas(run, schema)
+_ALIAS = re.compile(r"(?:PERSONA|VEHICULO)_[0-9]+")
+
 
+def restore(docs: DataFrame, aliases: DataFrame, *, text: str = "text", group_chars: int = 8_000_000) -> DataFrame:
+    """docs whose texts have real names for aliases: tokens of the form KIND_digits, unknown ones stay."""
 
-def restore(docs: DataFrame, aliases: DataFrame, *, text: str = "text") -> DataFrame:
-    """docs whose texts have real names for aliases: tokens of the form KIND_digits are split out, joined and put back."""
-    pattern = r"(?:PERSONA|VEHICULO)_\d+"
-    cut = docs.withColumn("_id", F.monotonically_increasing_id())
-    tokens = F.split(F.regexp_replace(F.col(text), f"({pattern})", "\u0001$1\u0001"), "\u0001")
-    parts = cut.select("case_id", "_id", F.posexplode(tokens).alias("_at", "alias"))
-    named = parts.join(aliases.select("case_id", "alias", "real_name"), ["case_id", "alias"], "left")
-    piece = F.struct("_at", F.coalesce("real_name", "alias").alias("t"))
-    whole = named.groupBy("_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(piece)), lambda s: s["t"]), "").alias("_text"))
-    return cut.join(whole, "_id", "left").withColumn(text, F.coalesce("_text", text)).select(*docs.columns)
+    def change(table: pd.DataFrame):
+        names = dict(zip(table["_cw_alias"], table["_cw_real_name"]))
+        return lambda t: _ALIAS.sub(lambda m: names.get(m.group(), m.group()), t) if isinstance(t, str) else t
+
+    return _by_case(docs, aliases.select("case_id", "alias", "real_name"), change, text, group_chars)
 
 
 def resolve_column(df: DataFrame, aliases: DataFrame, column: str) -> DataFrame:
@@ -187,7 +198,5 @@ def resolve_array(df: DataFrame, aliases: DataFrame, column: str, key: str) -> D
     return df.join(back, key, "left").withColumn(column, F.coalesce("_all", column)).select(*df.columns)
 
 
-
-
 def initials_mentions(docs: DataFrame, *, text: str = "text") -> DataFrame:
     return mentions(docs, text=text, kinds={"INICIALES": initials(F.col(text))})

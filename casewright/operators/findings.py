@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from casewright.functions import fixed
-from casewright.functions.names import finding_key, weak_finding
+from casewright.functions.names import finding_key, vehicle_validity, weak_finding
 
 CATEGORIES = {"inconsistencias": "INC", "incongruencias": "ING", "declaracion_vs_evidencia": "DEV"}
 SYNONYMS = {"declaracion_vs_evidencia": "discrepancias"}
@@ -87,6 +87,17 @@ def top_people(findings: DataFrame, traces: DataFrame, valid: DataFrame, *, keep
     return n.withColumn("rank", F.row_number().over(Window.partitionBy("case_id").orderBy(F.desc("n"), "name"))).filter(F.col("rank") <= keep)
 
 
+def top_vehicles(findings: DataFrame, traces: DataFrame, aliases: DataFrame, *, keep: int = 5) -> DataFrame:
+    """(case_id, name, n, rank): valid vehicles by appearances in findings (vehicles array) and the number of chunks of
+    their own traces (alias, locations); aliases are resolved, ties go by name."""
+    seen = findings.select("case_id", F.explode("vehicles").alias("alias"), F.lit(1).alias("n"))
+    traced = traces.filter(F.startswith("alias", F.lit("VEHICULO_"))).select("case_id", "alias", F.size("locations").alias("n"))
+    names = aliases.select("case_id", "alias", "real_name")
+    each = seen.unionByName(traced).join(names, ["case_id", "alias"], "left").withColumn("name", F.coalesce("real_name", "alias"))
+    n = each.groupBy("case_id", "name").agg(F.sum("n").alias("n")).filter(vehicle_validity(F.col("name"))["valid"])
+    return n.withColumn("rank", F.row_number().over(Window.partitionBy("case_id").orderBy(F.desc("n"), "name"))).filter(F.col("rank") <= keep)
+
+
 def listed(numbered: DataFrame, *, others_as_low: bool = False, most: int = 10) -> DataFrame:
     """Findings alta, media, baja (others left out, or last as baja): up to `most` locations and how many more."""
     level = F.array_position(F.array(*map(F.lit, fixed.SEVERITIES)), F.coalesce("severity", F.lit("")))
@@ -107,6 +118,6 @@ def alias_appendix(aliases: DataFrame) -> DataFrame:
 def graph_findings(findings: DataFrame, *, keep: int = 25) -> DataFrame:
     """The first `keep` findings of a case that the loose rule lets pass, distinct by key across categories."""
     keyed = drop_weak(findings, loose=True).withColumn("key", F.substring(F.lower("description"), 1, 80))
-    first = keyed.groupBy("case_id", "key").agg(F.min_by(F.struct("category", "severity", "description", "people", "location"), "seq").alias("f"), F.min("seq").alias("seq"))
+    first = keyed.groupBy("case_id", "key").agg(F.min_by(F.struct("category", "type", "severity", "description", "people", "location"), "seq").alias("f"), F.min("seq").alias("seq"))
     n = F.row_number().over(Window.partitionBy("case_id").orderBy("seq"))
     return first.withColumn("n", n).filter(F.col("n") <= keep).select("case_id", F.format_string("HALLAZGO_%03d", F.col("n")).alias("finding_id"), "seq", "f.*")

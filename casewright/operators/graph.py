@@ -50,6 +50,21 @@ def entity_aggregates(mentions: DataFrame) -> DataFrame:
     return mentions.groupBy("case_id", "kind", "name").agg(F.count("*").alias("mentions"), some("source"), some("role"), F.count_distinct("chunk").alias("n_chunks"), some("file"))
 
 
+def place_mentions(results: DataFrame) -> DataFrame:
+    """(case_id, chunk, name, address) from the places of a result, which are objects with a name or plain strings."""
+    each = results.select("case_id", "chunk", F.explode(F.coalesce(F.try_variant_get("resultado", "$.ubicaciones", "array<variant>"), F.array().cast("array<variant>"))).alias("v"))
+    get = lambda p: F.try_variant_get("v", p, "string")
+    name = F.coalesce(get("$.nombre"), F.when(F.schema_of_variant("v") == "STRING", get("$")))
+    return each.select("case_id", "chunk", F.trim(name).alias("name"), get("$.direccion").alias("address")).filter("name is not null and name <> ''")
+
+
+def with_chunks(entities: DataFrame, mentions: DataFrame) -> DataFrame:
+    """entities (few: the top ones) with the sorted distinct chunks that mention them, as text."""
+    key = ["case_id", "kind", "name"]
+    held = mentions.join(entities.select(*key), key, "left_semi").groupBy(*key).agg(F.sort_array(F.collect_set(F.col("chunk").cast("string"))).alias("chunks"))
+    return entities.join(held, key, "left")
+
+
 def chunk_members(*parts: DataFrame) -> DataFrame:
     """(case_id, chunk, kind, name): the distinct union of member rows."""
     out = parts[0].select("case_id", "chunk", "kind", "name")
@@ -113,7 +128,7 @@ def nodes(entities: DataFrame, findings: DataFrame, facts: DataFrame, *, label:
 
 def involved_edges(findings: DataFrame, top: DataFrame) -> DataFrame:
     each = findings.select("case_id", F.col("finding_id").alias("src"), F.explode("people").alias("name"))
-    return each.join(top.select("case_id", "name"), ["case_id", "name"], "left_semi").select("case_id", "src", F.col("name").alias("dst"), F.lit("involucrado").alias("kind"), F.lit(1).cast("long").alias("n"))
+    return each.join(top.select("case_id", "name"), ["case_id", "name"], "left_semi").select("case_id", "src", F.col("name").alias("dst"), F.lit("involucrado").alias("kind"), F.lit(1).cast("long").alias("n"), F.lit(None).cast("string").alias("label"))
 
 
 def juridical_edges(role_holders: DataFrame) -> DataFrame:

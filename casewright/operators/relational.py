@@ -81,7 +81,7 @@ def route(edges: DataFrame, node_kinds: DataFrame) -> DataFrame:
         rule = (F.col("kind") == kind) & pair(x, y)
         table = F.when(rule, name) if table is None else table.when(rule, name)
     turned = (F.col("kb") == "persona") & (F.col("ka") != "persona")
-    return j.select("case_id", table.alias("table_name"), F.when(turned, F.col("dst")).otherwise(F.col("src")).alias("from_id"), F.when(turned, F.col("src")).otherwise(F.col("dst")).alias("to_id"), "n").filter("table_name is not null")
+    return j.select("case_id", table.alias("table_name"), F.when(turned, F.col("dst")).otherwise(F.col("src")).alias("from_id"), F.when(turned, F.col("src")).otherwise(F.col("dst")).alias("to_id"), "n", *(["label"] if "label" in edges.columns else [])).filter("table_name is not null")
 
 
 def surrogate_keys(relations: DataFrame) -> DataFrame:
@@ -89,6 +89,62 @@ def surrogate_keys(relations: DataFrame) -> DataFrame:
     return relations.withColumn("id", F.row_number().over(w).cast("long"))
 
 
+#: The two keys of each relation table, and the kind whose key the second is (none: an id as it stands).
+ENDS = {
+    "rel_juridica": ("persona_id", "persona_rel_id", "PERSONA"), "rel_victima": ("persona_id", "hecho_id", None), "rel_coocurrencia": ("persona1_id", "persona2_id", "PERSONA"),
+    "rel_involucrado": ("persona_id", "hallazgo_id", None), "rel_presente_lugar": ("persona_id", "lugar_id", "LUGAR"), "rel_menciona_vehiculo": ("persona_id", "vehiculo_id", "VEHICULO"),
+}
+
+
+def _filled(table: str, rows: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """(case_id, the table's columns): those not given are null."""
+    return rows.select("case_id", *(columns.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in schema(table).fields))
+
+
+def entity_tables(entities: DataFrame) -> dict[str, DataFrame]:
+    """persona, vehiculo and lugar of top entities (case_id, kind, name, mentions, sources, roles, files, chunks)."""
+    c = F.col
+    none = F.array().cast("array<string>")
+    shared = {"menciones_total": c("mentions"), "expedientes": c("files"), "archivos": c("files"), "chunks": c("chunks")}
+    person = shared | {"persona_id": c("id"), "nombre_canonico": c("name"), "tipo_rol": infer_role(c("roles"), none, c("sources")), "fuentes": c("sources"), "aliases_origen": F.array("name"), "cargos": c("roles")}
+    of = lambda kind: entity_table(entities, kind, "id")
+    return {
+        "persona": _filled("persona", of("PERSONA"), person),
+        "vehiculo": _filled("vehiculo", of("VEHICULO"), shared | {"vehiculo_id": c("id"), "placa": c("name")}),
+        "lugar": _filled("lugar", of("LUGAR"), shared | {"lugar_id": c("id"), "nombre": c("name")}),
+    }
+
+
+def finding_table(findings: DataFrame, *, most: int = 500) -> DataFrame:
+    """hallazgo of findings (case_id, finding_id, type, severity, description, location): descriptions of `most` characters."""
+    place = F.col("location")
+    return _filled("hallazgo", findings, {"hallazgo_id": F.col("finding_id"), "tipo": F.col("type"), "descripcion": F.substring("description", 1, most), "severidad": F.col("severity"), "archivo": place["file"], "chunk": place["chunk"]})
+
+
+def fact_table(facts: DataFrame) -> DataFrame:
+    """hecho of facts (case_id, file, chunk), each chunk once: the first file by name."""
+    one = facts.groupBy("case_id", "chunk").agg(F.min("file").alias("file"))
+    return _filled("hecho", one, {"hecho_id": F.concat(F.lit("HECHO_"), F.col("chunk").cast("string")), "archivo": F.col("file"), "chunk": F.col("chunk")})
+
+
+def relation_table(routed: DataFrame, table: str) -> DataFrame:
+    """One relation table of route(): surrogate ids, the keys of both ends, and the count or the label of the edge."""
+    a, b, kind = ENDS[table]
+    rows = surrogate_keys(routed.filter(F.col("table_name") == table))
+    return _filled(table, rows, {"id": F.col("id"), a: key("PERSONA", F.col("from_id")), b: key(kind, F.col("to_id")) if kind else F.col("to_id"), "count": F.col("n"), "cargo": F.col("label"), "tipo_relacion": F.col("label")})
+
+
+def model(entities: DataFrame, findings: DataFrame, facts: DataFrame, edges: DataFrame) -> dict[str, DataFrame]:
+    """The twelve tables of a graph: its top entities (with chunks), numbered findings, facts and edges (src, dst, kind, n, label)."""
+    out = entity_tables(entities) | {"hallazgo": finding_table(findings), "hecho": fact_table(facts)}
+    files = dossiers(entities, findings.select("case_id", F.array("location.file").alias("files")))
+    out["expediente"] = _filled("expediente", files, {c: F.col(c) for c in ("expediente_id", "nombre_archivo", "anio", "tipo_caso")})
+    fact_ids = facts.select("case_id", F.concat(F.lit("HECHO_"), F.col("chunk").cast("string")).alias("id")).distinct()
+    kinds = entities.select("case_id", F.col("name").alias("id"), F.lower("kind").alias("kind")).unionByName(findings.select("case_id", F.col("finding_id").alias("id"), F.lit("hallazgo").alias("kind"))).unionByName(fact_ids.withColumn("kind", F.lit("hecho")))
+    routed = route(edges, kinds)
+    return out | {t: relation_table(routed, t) for t in ENDS}
+
+
 def tolerate_duplicates(rows: DataFrame, keys: list[str], order: list[str]) -> tuple[DataFrame, DataFrame]:
     """(the first row of each key, (n_skipped) of the others)."""
     numbered = rows.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
@@ -150,17 +206,31 @@ def link_files(names: DataFrame, links: DataFrame) -> DataFrame:
     return names.join(first, "name", "left")
 
 
-def flatten_text(c: str, dtype: str, *, most: int = 100) -> Column:
-    """A nested value as text: lists by comma, objects as `k: v · …`, `.txt` dropped, cut with three dots."""
-    col = F.col(c)
-    if dtype.startswith("array<struct"):
-        text = F.array_join(F.transform(col, lambda s: F.to_json(s)), ", ")
-    elif dtype.startswith("array"):
-        text = F.array_join(F.transform(col.cast("array<string>"), lambda x: F.regexp_replace(x, r"(?i)[.]txt$", "")), ", ")
-    elif dtype.startswith("map"):
-        text = F.array_join(F.transform(F.array_sort(F.map_entries(col)), lambda e: F.concat(e["key"].cast("string"), F.lit(": "), e["value"].cast("string"))), " · ")
+def _as_text(c: Column, kind: T.DataType) -> Column:
+    """A value of any nesting as text: lists by comma (lists inside by ` - `), objects as `k: v · …`, null as nothing."""
+    if isinstance(kind, T.ArrayType):
+        inner = F.transform(c, lambda x: F.replace(_as_text(x, kind.elementType), F.lit(", "), F.lit(" - ")) if isinstance(kind.elementType, T.ArrayType) else _as_text(x, kind.elementType))
+        return F.coalesce(F.array_join(inner, ", "), F.lit(""))
+    if isinstance(kind, T.StructType):
+        return F.coalesce(F.concat_ws(" · ", *(F.concat(F.lit(f"{f.name}: "), _as_text(c[f.name], f.dataType)) for f in kind.fields)), F.lit(""))
+    if isinstance(kind, T.MapType):
+        return F.coalesce(F.array_join(F.transform(F.array_sort(F.map_entries(c)), lambda e: F.concat(e["key"].cast("string"), F.lit(": "), _as_text(e["value"], kind.valueType))), " · "), F.lit(""))
+    return F.coalesce(c.cast("string"), F.lit(""))
+
+
+def flatten_text(rows: DataFrame, c: str, *, places: bool = False, most: int = 100) -> Column:
+    """A nested column of rows as text, cut with three dots after `most` characters.
+
+    places: an array of file names or of structs (file, chunk), shown as `file` or `file - chunk` without `.txt`.
+    """
+    kind = rows.schema[c].dataType
+    if not places:
+        text = _as_text(F.col(c), kind)
     else:
-        text = F.regexp_replace(col.cast("string"), r"(?i)[.]txt$", "")
+        bare = lambda x: F.regexp_replace(x, r"(?i)[.]txt$", "")
+        pair = isinstance(kind.elementType, T.StructType)
+        one = lambda x: F.concat_ws(" - ", bare(x[kind.elementType.names[0]]), x[kind.elementType.names[1]].cast("string")) if pair else bare(x)
+        text = F.coalesce(F.array_join(F.transform(c, one), ", "), F.lit(""))
     return F.when(F.length(text) > most, F.concat(F.substring(text, 1, most), F.lit("..."))).otherwise(text)
 
 

@@ -6,6 +6,8 @@ import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,19 +36,20 @@ def chunk_text(docs: DataFrame, *, size: int = 100_000, overlap: int = 5_000, wi
         raise ValueError("size must be larger than overlap + window")
     kept = [f for f in docs.schema.fields if f.name != text]
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for _, row in frame.iterrows():
-                t = row[text]
-                if not t:
-                    continue
-                cut = [(i, a, b, t[a:b], b - a) for i, (a, b) in enumerate(chunk_bounds(t, size, overlap, window))]
-                out = pd.DataFrame(cut, columns=CHUNK.names)
-                for f in kept:
-                    out[f.name] = [row[f.name]] * len(cut)
-                yield out[[*(f.name for f in kept), *CHUNK.names]]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t or "" for t in batch.column(text).to_pylist()]
+            bounds = [list(chunk_bounds(t, size, overlap, window)) for t in texts]
+            owner = [i for i, cut in enumerate(bounds) for _ in cut]
+            start, end = (pa.array([x[k] for cut in bounds for x in cut], pa.int32()) for k in (0, 1))
+            chunk = [
+                pa.array([i for cut in bounds for i in range(len(cut))], pa.int32()), start, end,
+                pa.array([t[a:b] for t, cut in zip(texts, bounds) for a, b in cut], pa.string()), pc.subtract(end, start),
+            ]
+            at = pa.array(owner, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(f.name).take(at) for f in kept), *chunk], names=[*(f.name for f in kept), *CHUNK.names])
 
-    return docs.mapInPandas(run, T.StructType([*kept, *CHUNK.fields]))
+    return docs.mapInArrow(run, T.StructType([*kept, *CHUNK.fields]))
 
 
 def chunk_fixed(docs: DataFrame, *, size: int, overlap: int, text: str = "text") -> DataFrame:
@@ -77,9 +80,17 @@ def chunk_sections(docs: DataFrame, *, most: int = 100_000, text: str = "text")
 
 
 def chunk_list(chunks: DataFrame, *, file: str = "file") -> DataFrame:
-    """Chunks of all documents with their place as one struct, numbered over the case in (file, chunk) order."""
-    w = Window.partitionBy("case_id").orderBy(file, "doc_id", "chunk_no")
-    return chunks.withColumn("seq", F.row_number().over(w)).withColumn("chunk", F.struct(file, "chunk_no", "start", "end"))
+    """Chunks of all documents with their place as one struct, numbered over the case in (file, document, chunk) order.
+
+    Documents are counted first, and only (document, number of chunks) rows meet in a case's window, never the texts.
+    """
+    doc = ["case_id", file, "doc_id"]
+    n = chunks.groupBy(*doc).agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("case_id").orderBy(file, "doc_id").rowsBetween(Window.unboundedPreceding, -1))
+    first = n.select(*(F.col(c).alias(f"_{c}") for c in doc), F.coalesce(before, F.lit(0)).alias("_before"))
+    same = [chunks[c].eqNullSafe(first[f"_{c}"]) for c in doc]
+    numbered = chunks.join(first, same).withColumn("seq", (F.col("_before") + F.col("chunk_no") + 1).cast("int"))
+    return numbered.withColumn("chunk", F.struct(file, "chunk_no", "start", "end")).drop("_before", *(f"_{c}" for c in doc))
 
 
 def sample_corpus(docs: DataFrame, *, budget: int = 30_000, head: int = 5_000, middle: int = 3_000, text: str = "text", file: str = "file") -> DataFrame:
@@ -118,11 +129,32 @@ def with_profile(cases: DataFrame, profiles: DataFrame) -> DataFrame:
     return joined
 
 
+#: What each aspect asks for, and the profile's lists that it shows.
+ASPECTS = {
+    "inconsistencias": ("contradictions between statements of the chunk", ("terms", "alerts")),
+    "incongruencias": ("facts that do not fit each other or the dates", ("terms", "topics")),
+    "trazabilidad": ("what each person did, with whom and with which vehicles", ("roles", "entities")),
+    "declaracion_vs_evidencia": ("statements that the evidence contradicts", ("terms", "alerts", "roles")),
+}
+DEFAULT_ROLES = ("victima", "imputado", "testigo", "autoridad", "perito")
+
+
 def build_requests(chunks: DataFrame, profiles: DataFrame, *, aspect: str = "all") -> DataFrame:
-    """(…, instruction, request): the instruction from the case's profile, and the chunk under its place."""
+    """(…, instruction, request): the instruction from the case's profile, and the chunk under its place.
+
+    `all` asks for every aspect and shows all of the profile's lists; one of ASPECTS asks for that one alone with the
+    lists it needs. Ten terms, five alerts and five topics are shown; without roles the usual ones; entity kinds as tags.
+    """
+    if aspect != "all" and aspect not in ASPECTS:
+        raise ValueError(f"no aspect {aspect}")
     shown = lambda c, n: F.array_join(F.slice(c, 1, n), ", ")
     tags = F.array_join(F.transform("tipos_entidad_adicionales", lambda x: F.regexp_replace(F.upper(x), r"\s+", "_")), ", ")
-    instruction = F.concat_ws("\n", F.format_string("Case: %s (%s)", "tipo_caso", "jurisdiccion"), F.concat(F.lit("Aspect: "), F.lit(aspect)), F.concat(F.lit("Terms: "), shown("terminos_legales_relevantes", 10)), F.concat(F.lit("Alerts: "), shown("alertas_calibracion", 5)), F.concat(F.lit("Topics: "), shown("temas_recurrentes", 5)), F.concat(F.lit("Entities: "), tags))
+    roles = F.array_join(F.when(F.size("roles_juridicos") > 0, F.col("roles_juridicos")).otherwise(F.array(*map(F.lit, DEFAULT_ROLES))), ", ")
+    lists = {"terms": ("Terms", shown("terminos_legales_relevantes", 10)), "alerts": ("Alerts", shown("alertas_calibracion", 5)), "topics": ("Topics", shown("temas_recurrentes", 5)), "roles": ("Roles", roles), "entities": ("Entities", tags)}
+    asked = list(ASPECTS) if aspect == "all" else [aspect]
+    needed = list(lists) if aspect == "all" else ASPECTS[aspect][1]
+    head = F.format_string("Case: %s (%s, %s)", "tipo_caso", "jurisdiccion", "sistema_legal")
+    instruction = F.concat_ws("\n", head, *(F.lit(f"Find {a}: {ASPECTS[a][0]}") for a in asked), *(F.concat(F.lit(f"{lists[k][0]}: "), lists[k][1]) for k in needed), F.concat(F.lit("Answer in "), F.col("idioma_principal")))
     request = F.format_string("[%s chunk %d, %d-%d]\n%s", "file", "chunk_no", "start", "end", "chunk_text")
     joined = chunks.join(with_profile(chunks.select("case_id").distinct(), profiles), "case_id")
     return joined.select(*chunks.columns, instruction.alias("instruction"), request.alias("request"))
@@ -190,10 +222,9 @@ def parse_responses(responses: DataFrame, *, text: str = "response") -> DataFram
         return s.map(_repair)
 
     bare = F.trim(F.regexp_replace(F.col(text), r"(?m)^\s*```\w*\s*$", ""))
-    first = responses.withColumn("_bare", bare).withColumn("parsed", F.try_parse_json("_bare"))
-    good = first.filter("parsed is not null").drop("_bare")
-    rest = first.filter("parsed is null").withColumn("parsed", F.try_parse_json(repair("_bare"))).drop("_bare")
-    return good.unionByName(rest)
+    first = responses.withColumn("_cw_bare", bare).withColumn("_cw_first", F.try_parse_json("_cw_bare"))
+    mended = repair(F.when(F.col("_cw_first").isNull(), F.col("_cw_bare")))  # null where the text is fine as it is
+    return first.withColumn("parsed", F.coalesce("_cw_first", F.try_parse_json(mended))).drop("_cw_bare", "_cw_first")
 
 
 def parse_quality(parsed: DataFrame) -> DataFrame:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from casewright.functions import fixed
 from casewright.operators import extract, text
+from casewright.operators.components import checkpoint_dir
 from casewright.plans import views
 from casewright.sources import corpus
 
@@ -70,9 +74,88 @@ def s13_manifest(spark, sf):
     return corpus.manifest({n: views.table(spark, sf, n) for n in ("customer", "orders", "lineitem", "events")})
 
 
-@query("SELECT 'nation' AS table_name, '{\"n_nationkey\":' || n_nationkey || ',\"n_name\":\"' || n_name || '\",\"n_regionkey\":' || n_regionkey || '}' AS row FROM nation UNION ALL SELECT 'region', '{\"r_regionkey\":' || r_regionkey || ',\"r_name\":\"' || r_name || '\"}' FROM region")
+@query("""SELECT 'customer' AS table_name, '{"c_custkey":' || c_custkey || ',"c_mktsegment":"' || c_mktsegment || '"}' AS row FROM customer UNION ALL SELECT 'orders', '{"o_orderkey":' || o_orderkey || ',"o_orderstatus":"' || o_orderstatus || '"}' FROM orders""")
 def s14_composite(spark, sf):
-    return corpus.composite({n: views.table(spark, sf, n) for n in ("nation", "region")})
+    t = lambda n, *c: views.table(spark, sf, n).select(*c)
+    return corpus.composite({"customer": t("customer", "c_custkey", "c_mktsegment"), "orders": t("orders", "o_orderkey", "o_orderstatus")})
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    """A new folder under the shared one, for a query that writes and reads back."""
+    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("SELECT doc_id, replace(text, chr(10), ' ') AS text FROM documents")
+def s1_scan_corpus(spark, sf):
+    """Documents as lines of text files of a thousand, scanned whole."""
+    path = _folder(spark, "corpus")
+    lines = F.concat_ws("\t", F.col("doc_id").cast("string"), F.replace("text", F.lit("\n"), F.lit(" ")))
+    views.documents(spark, sf).select(lines.alias("value")).write.option("maxRecordsPerFile", 1000).text(path)
+    line = F.explode(F.split("text", "\n")).alias("line")
+    got = corpus.scan_corpus(spark, path).select(line).filter("line <> ''")
+    return got.select(F.substring_index("line", "\t", 1).cast("bigint").alias("doc_id"), F.expr("substring(line, position('\t', line) + 1)").alias("text"))
+
+
+@query("SELECT c_custkey, 'PERSONA_' || CASE WHEN c_custkey < 1000 THEN lpad(c_custkey::VARCHAR, 3, '0') ELSE c_custkey::VARCHAR END AS alias, c_name AS real_name FROM customer")
+def s9_alias_table(spark, sf):
+    path = _folder(spark, "aliases")
+    build = lambda: views.table(spark, sf, "customer").select("c_custkey", F.format_string("PERSONA_%03d", "c_custkey").alias("alias"), F.col("c_name").alias("real_name"))
+    kinds = "c_custkey bigint, alias string, real_name string"
+    corpus.read_or_build(spark, path, kinds, build)
+    return corpus.read_or_build(spark, path, kinds, lambda: build().limit(0))
+
+
+@query("SELECT c_custkey::VARCHAR AS case_id, 'general' AS tipo_caso, upper(n_name[1]) || lower(n_name[2:]) AS lugar FROM customer JOIN nation ON c_nationkey = n_nationkey")
+def s10_profiles(spark, sf):
+    got = corpus.read_or_build(spark, _folder(spark, "profiles"), _profiles(spark, sf).schema.simpleString()[7:-1].replace(":", " "), lambda: _profiles(spark, sf).withColumn("tipo_caso", F.lit("general")))
+    return got.select("case_id", "tipo_caso", F.element_at("lugares_mencionados", 1).alias("lugar"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 10 <> 0 THEN length(text)::BIGINT END AS n, CASE WHEN doc_id % 10 = 0 THEN 'no' END AS error FROM documents")
+def s11_read_results(spark, sf):
+    """Results as files of one JSON array of up to five hundred each."""
+    path = _folder(spark, "results")
+    fine = F.col("doc_id") % 10 != 0
+    row = F.to_json(F.struct(F.struct(F.col("file").alias("archivo"), F.col("doc_id").cast("int").alias("chunk")).alias("chunk"), F.when(fine, F.struct(F.length("text").alias("n"), "text")).alias("resultado"), F.when(~fine, "no").alias("error")))
+    rows = views.documents(spark, sf).select(F.floor(F.col("doc_id") / 500).alias("g"), row.alias("r"))
+    rows.groupBy("g").agg(F.concat(F.lit("["), F.array_join(F.collect_list("r"), ",\n"), F.lit("]")).alias("value")).select("value").write.option("maxRecordsPerFile", 1).text(path)
+    return corpus.read_results(spark, path).select(F.col("chunk.chunk").cast("bigint").alias("doc_id"), F.try_variant_get("resultado", "$.n", "bigint").alias("n"), "error")
+
+
+@query("SELECT conv_id, turn, replace(text, chr(10), ' ') AS text, '[\"' || role || '\",\"x\"]' AS tags FROM conversations WHERE text IS NOT NULL AND text NOT LIKE '%\\%' AND text NOT LIKE '%\"%' AND text = trim(text) AND text <> ''")
+def s12_export_tables(spark, sf):
+    path = _folder(spark, "export")
+    c = views.table(spark, sf, "conversations").select("conv_id", "turn", "text", F.array("role", F.lit("x")).alias("tags"))
+    corpus.export_tables({"conversations": c}, path)
+    back = spark.read.option("header", True).option("escape", '"').schema("conv_id bigint, turn bigint, text string, tags string").csv(f"{path}/csv/conversations")
+    json = spark.read.schema("conv_id bigint, turn bigint, text string").json(f"{path}/json/conversations").filter("not contains(text, '\\\\') and not contains(text, '\"') and text = trim(text) and text <> ''")
+    return json.select("conv_id", "turn").join(back.select("conv_id", "turn", "text", "tags"), ["conv_id", "turn"])
+
+
+@query("SELECT event_id, event_type, value FROM events")
+def s15_backup_restore(spark, sf):
+    path = _folder(spark, "backup")
+    e = views.table(spark, sf, "events").select("event_id", "event_type", "value")
+    corpus.backup({"events": e}, path, "20240101")
+    corpus.backup({"events": e.limit(0)}, path, "20240102")
+    return corpus.restore(spark, path, "events", "20240101")
+
+
+@query("SELECT lpad(doc_id::VARCHAR, 9, '0') || ' ' || source AS line FROM documents")
+def s16_write_report(spark, sf):
+    path = _folder(spark, "report")
+    f = views.findings(spark, sf)
+    corpus.write_report(f, f.select(F.col("category").alias("section"), "seq", F.concat_ws(" ", F.lpad(F.col("seq").cast("string"), 9, "0"), "location.file").alias("line")), path)
+    return spark.read.text(f"{path}/report").select(F.col("value").alias("line"))
+
+
+@query("SELECT o_custkey::VARCHAR AS src, o_orderkey::VARCHAR AS dst FROM orders")
+def s17_write_graph(spark, sf):
+    path = _folder(spark, "graph")
+    text_of = lambda c, n: F.col(c).cast("string").alias(n)
+    o, c = views.table(spark, sf, "orders"), views.table(spark, sf, "customer")
+    corpus.write_graph(c.select(text_of("c_custkey", "id")), o.select(text_of("o_custkey", "src"), text_of("o_orderkey", "dst")), o.agg(F.count("*").alias("n_edges")), path)
+    return spark.read.parquet(f"{path}/edges")
 
 
 @query("SELECT event_id, json_extract(props, '$.k')::BIGINT AS k FROM events")
@@ -81,9 +164,16 @@ def s18_parse_json_like(spark, sf):
     return e.select("event_id", F.try_variant_get("v", "$.k", "bigint").alias("k"))
 
 
-@query()
+DOUBLED = "d AS (SELECT doc_id, replace(text, chr(10), chr(10) || chr(10)) AS t, length(replace(text, chr(10), chr(10) || chr(10))) AS n FROM documents WHERE text IS NOT NULL)"
+
+
+@query("WITH RECURSIVE " + DOUBLED + """, c AS (
+SELECT doc_id, n, 0 AS chunk_no, 0 AS start, (SELECT e FROM snap) AS "end" FROM (SELECT doc_id, n, 0 AS start, t FROM d WHERE n > 0), LATERAL (SELECT least(2000, n) AS e0), LATERAL (SELECT substr(t, greatest(0, e0 - 300) + 1, e0 - greatest(0, e0 - 300)) AS seg), LATERAL (SELECT CASE WHEN e0 < n AND contains(seg, chr(10) || chr(10)) THEN e0 - strpos(reverse(seg), chr(10) || chr(10)) + 1 ELSE e0 END AS e) AS snap
+UNION ALL
+SELECT doc_id, n, chunk_no + 1, s, e FROM (SELECT c.doc_id, c.n, c.chunk_no, greatest(c."end" - 200, c.start + 1) AS s, t FROM c JOIN d ON c.doc_id = d.doc_id WHERE c."end" < c.n), LATERAL (SELECT least(s + 2000, n) AS e0), LATERAL (SELECT substr(t, greatest(s, e0 - 300) + 1, e0 - greatest(s, e0 - 300)) AS seg), LATERAL (SELECT CASE WHEN e0 < n AND contains(seg, chr(10) || chr(10)) THEN e0 - strpos(reverse(seg), chr(10) || chr(10)) + 1 ELSE e0 END AS e))
+SELECT doc_id, chunk_no::INTEGER AS chunk_no, start::INTEGER AS start, "end"::INTEGER AS "end", ("end" - start)::INTEGER AS size FROM c""".replace('(SELECT e FROM snap) AS "end"', 'snap.e AS "end"'))
 def t1_chunk_text(spark, sf):
-    d = views.documents(spark, sf)
+    d = views.documents(spark, sf).withColumn("text", F.replace("text", F.lit("\n"), F.lit("\n\n")))
     return text.chunk_text(d, size=2000, overlap=200, window=300).select("doc_id", "chunk_no", "start", "end", "size")
 
 
@@ -93,7 +183,12 @@ def t1b_chunk_fixed(spark, sf):
     return text.chunk_fixed(views.documents(spark, sf).drop("case_id", "file"), size=1000, overlap=100)
 
 
-@query()
+@query("WITH RECURSIVE " + DOUBLED + r""", s AS (SELECT doc_id, regexp_split_to_array(t, '\n\s*\n') AS parts FROM d),
+f AS (SELECT doc_id, 0 AS i, 0 AS chunk_no, '' AS buf, NULL::VARCHAR AS flushed FROM s
+UNION ALL
+SELECT f.doc_id, i + 1, CASE WHEN out THEN chunk_no + 1 ELSE chunk_no END, CASE WHEN out OR buf = '' THEN p ELSE buf || chr(10) || chr(10) || p END, CASE WHEN out THEN buf END
+FROM f JOIN s ON f.doc_id = s.doc_id, LATERAL (SELECT CASE WHEN i < len(parts) THEN parts[i + 1] END AS p), LATERAL (SELECT coalesce(length(buf) + length(p) > 1000, TRUE) AND buf <> '' AS out) WHERE i <= len(parts) AND (i < len(parts) OR buf <> ''))
+SELECT doc_id, (chunk_no - 1)::INTEGER AS chunk_no, trim(flushed) AS chunk_text, length(flushed)::INTEGER AS size FROM f WHERE flushed IS NOT NULL""")
 def t2_chunk_sections(spark, sf):
     d = views.documents(spark, sf).withColumn("text", F.replace("text", F.lit("\n"), F.lit("\n\n")))
     return text.chunk_sections(d, most=1000).select("doc_id", "chunk_no", "chunk_text", "size")
@@ -114,17 +209,15 @@ def t4_sample_corpus(spark, sf):
 
 
 def _profiles(spark, sf):
-    n = views.table(spark, sf, "nation").join(views.table(spark, sf, "region").withColumnRenamed("r_regionkey", "n_regionkey"), "n_regionkey")
-    names = lambda c: F.sort_array(F.collect_set(F.initcap(c)))
-    p = n.groupBy(F.col("r_name").alias("case_id")).agg(names("n_name").alias("lugares_mencionados"), names(F.concat(F.lit("court of "), F.col("n_name"))).alias("instituciones_mencionadas"), F.array(F.lit("Recurso de Amparo"), F.lit("auto")).alias("terminos_legales_relevantes"))
-    for c in text.PROFILE_LISTS[3:]:
-        p = p.withColumn(c, F.array(F.lit("fuga rapida"), F.lit("otro")))
-    for c in text.PROFILE_TEXTS:
-        p = p.withColumn(c, F.lit("x"))
-    return p
+    """A profile for each customer: the nation is its place, its court an institution."""
+    n = views.table(spark, sf, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
+    p = views.table(spark, sf, "customer").join(n, "c_nationkey")
+    lists = {"lugares_mencionados": F.array(F.initcap("n_name")), "instituciones_mencionadas": F.array(F.initcap(F.concat(F.lit("court of "), F.col("n_name")))), "terminos_legales_relevantes": F.array(F.lit("Recurso de Amparo"), F.lit("auto"))}
+    other = F.array(F.lit("fuga rapida"), F.lit("otro"))
+    return p.select(F.col("c_custkey").cast("string").alias("case_id"), *(lists.get(c, other).alias(c) for c in text.PROFILE_LISTS), *(F.lit("x").alias(c) for c in text.PROFILE_TEXTS))
 
 
-@query(r"""WITH n AS (SELECT r_name AS case_id, upper(n_name[1]) || lower(n_name[2:]) AS place FROM nation JOIN region ON n_regionkey = r_regionkey),
+@query(r"""WITH n AS (SELECT c_custkey::VARCHAR AS case_id, upper(n_name[1]) || lower(n_name[2:]) AS place FROM customer JOIN nation ON c_nationkey = n_nationkey),
 w AS (SELECT case_id, place AS word FROM n WHERE length(place) >= 3 AND place NOT LIKE '% %' UNION SELECT case_id, array_to_string(list_transform(string_split(lower(place), ' '), lambda x: upper(x[1]) || x[2:]), ' ') FROM n
 UNION SELECT case_id, unnest(list_transform(string_split(lower(place), ' '), lambda x: upper(x[1]) || x[2:])) FROM n UNION SELECT case_id, unnest(['Court', 'Recurso', 'Amparo']) FROM n)
 SELECT DISTINCT case_id, word FROM w WHERE length(word) >= 3 AND word <> 'Of'""")
@@ -132,9 +225,10 @@ def t5_profile_blocklist(spark, sf):
     return text.profile_blocklist(_profiles(spark, sf))
 
 
-@query("SELECT r_name AS case_id, 'x' AS tipo_caso, 2 AS n_alerts FROM region UNION ALL SELECT 'NOWHERE', 'general', 0")
+@query("SELECT c_custkey::VARCHAR AS case_id, 'x' AS tipo_caso, 2 AS n_alerts FROM customer UNION ALL SELECT 'order ' || o_orderkey, 'general', 0 FROM orders")
 def t6_with_profile(spark, sf):
-    cases = _profiles(spark, sf).select("case_id").union(spark.range(1).select(F.lit("NOWHERE")))
+    orders = views.table(spark, sf, "orders").select(F.concat(F.lit("order "), F.col("o_orderkey").cast("string")).alias("case_id"))
+    cases = _profiles(spark, sf).select("case_id").union(orders)
     return text.with_profile(cases, _profiles(spark, sf)).select("case_id", "tipo_caso", F.size("alertas_calibracion").alias("n_alerts"))
 
 
@@ -145,6 +239,16 @@ def t7_build_requests(spark, sf):
     return text.build_requests(c, _profiles(spark, sf)).select("doc_id", "chunk_no", "request")
 
 
+@query(DOC + r""" SELECT DISTINCT case_id, 'Case: causa ' || case_id || ' (x, x)' || chr(10) || 'Find trazabilidad: what each person did, with whom and with which vehicles' || chr(10) || 'Roles: ' || CASE WHEN case_id = 'en' THEN 'victima, imputado, testigo, autoridad, perito' ELSE 'rol ' || case_id END || chr(10) || 'Entities: CASA_' || upper(case_id) || ', ARMA' || chr(10) || 'Answer in ' || case_id AS instruction FROM v_documents""")
+def t7_single_aspect(spark, sf):
+    d = views.documents(spark, sf)
+    none = F.array().cast("array<string>")
+    lists = {"tipos_entidad_adicionales": F.array(F.concat(F.lit("casa "), F.col("case_id")), F.lit("arma")), "roles_juridicos": F.when(F.col("case_id") != "en", F.array(F.concat(F.lit("rol "), F.col("case_id")))).otherwise(none)}
+    texts = {"tipo_caso": F.concat(F.lit("causa "), F.col("case_id")), "idioma_principal": F.col("case_id")}
+    profiles = d.select("case_id").distinct().select("case_id", *(lists.get(c, none).alias(c) for c in text.PROFILE_LISTS), *(texts.get(c, F.lit("x")).alias(c) for c in text.PROFILE_TEXTS))
+    return text.build_requests(text.chunk_fixed(d, size=2000, overlap=200), profiles, aspect="trazabilidad").select("case_id", "instruction").distinct()
+
+
 @query(DOC + " SELECT doc_id, CASE WHEN doc_id % 10 <> 0 THEN length(text)::VARCHAR END AS result, CASE WHEN doc_id % 10 = 0 THEN 'ValueError: no' END AS error FROM v_documents")
 def t8_enrich(spark, sf):
     def call(r: str) -> str:
@@ -157,7 +261,7 @@ def t8_enrich(spark, sf):
 
 
 def _responses(spark, sf):
-    full = F.to_json(F.struct(F.col("doc_id").alias("id"), F.array(F.struct(F.substring("text", 1, 40).alias("d"))).alias("items")))
+    full = F.to_json(F.struct(F.col("doc_id").alias("id"), F.array(F.struct(F.col("text").alias("d"))).alias("items")))
     broken = F.when(F.col("doc_id") % 4 == 1, F.concat(F.lit("```json\n"), full, F.lit("\n```"))).when(F.col("doc_id") % 4 == 2, F.concat(F.lit("Result: "), full, F.lit(" done"))).when(F.col("doc_id") % 4 == 3, F.substring(full, F.lit(1), F.length(full) - 4)).otherwise(full)
     return views.documents(spark, sf).select("doc_id", F.when(F.col("doc_id") % 50 == 9, "none").otherwise(broken).alias("response"))
 
@@ -173,7 +277,7 @@ def t10_parse_quality(spark, sf):
 
 
 @query("WITH " + views.FINDINGS + r""", f AS (SELECT case_id, description, row_number() OVER (PARTITION BY case_id ORDER BY seq) AS n FROM v_findings)
-SELECT case_id, substr('summary of ' || case_id, 1, 2000) || chr(10) || string_agg(description, chr(10) ORDER BY n) AS context FROM f WHERE n <= 5 GROUP BY case_id""")
+SELECT case_id, substr('summary of ' || case_id, 1, 2000) || chr(10) || string_agg(substr(description, 1, 200), chr(10) ORDER BY n) AS context FROM f WHERE n <= 5 GROUP BY case_id""")
 def t11_case_context(spark, sf):
     f = views.findings(spark, sf)
     s = f.select("case_id").distinct().withColumn("summary", F.concat(F.lit("<p>summary of "), F.col("case_id"), F.lit("</p>")))
@@ -196,26 +300,58 @@ def names(spark, sf):
     return extract.global_frequency(extract.document_frequency(found(spark, sf)))
 
 
-@query()
+# non-word characters are followed by a mark, which stands for the look around a name that this dialect lacks
+MARKED = r"regexp_replace(text, '([^\p{L}\p{N}_])', '\1' || chr(1), 'g')"
+_SQL_WORD = r"(?:[A-ZÁÉÍÓÚÑ][a-záéíóúñ]{2,15}|[A-ZÁÉÍÓÚÑ]{3,15})"
+_GAP = "(?:\\s\x01)+"
+_END = r"(?:[^\p{L}\p{N}_]|$)"
+
+
+def _titles() -> str:
+    return fixed.TITLES.replace(r"\.", "\\.\x01")
+
+
+@query(DOC + rf""", m AS (SELECT doc_id, regexp_extract_all('El' || ' ' || chr(1) || 'Cabo' || ' ' || chr(1) || 'Juan' || ' ' || chr(1) || 'Pérez' || ' ' || chr(1) || 'y' || ' ' || chr(1) || 'la' || ' ' || chr(1) || 'Agente' || ' ' || chr(1) || 'María' || ' ' || chr(1) || 'López' || ' ' || chr(1) || {MARKED}, '(?:^|\x01){_titles()}{_GAP}((?:[A-ZÁÉÍÓÚÑ][a-záéíóúñ]+{_GAP}){{1,4}}[A-ZÁÉÍÓÚÑ][a-záéíóúñ]+){_END}', 1) AS hits FROM v_documents)
+SELECT doc_id, replace(unnest(hits), chr(1), '') AS name FROM m""")
 def e1_titled_names(spark, sf):
     d = views.documents(spark, sf).withColumn("text", F.concat(F.lit("El Cabo Juan Pérez y la Agente María López "), F.col("text")))
     return d.select("doc_id", F.explode(extract.titled_names(F.col("text"))).alias("name"))
 
 
-@query()
+def _capitalised_sql(connected: str) -> str:
+    """Names of the capitalised pattern; the marks turn the look around a name into plain characters."""
+    block = ", ".join(f"'{w}'" for w in fixed.BLOCKLIST)
+    return DOC + rf""", m AS (SELECT doc_id, replace(unnest(regexp_extract_all({MARKED}, '(?:^|\x01)({_SQL_WORD}{connected}){_END}', 1)), chr(1), '') AS name FROM v_documents),
+w AS (SELECT doc_id, name, regexp_split_to_array(name, '\s+') AS words FROM m)
+SELECT doc_id, name FROM w WHERE len(words) BETWEEN 2 AND 5 AND len(list_filter(words, lambda x: length(x) < 3 AND x NOT IN ('de', 'del', 'la', 'los', 'las', 'y'))) = 0 AND NOT list_has_any(words, [{block}])"""
+
+
+@query(_capitalised_sql(rf"(?:{_GAP}(?:(?:de{_GAP}la|de{_GAP}los|de|del|y|la|las){_GAP})?{_SQL_WORD}){{1,4}}"))
 def e2_capitalised_names(spark, sf):
     return views.documents(spark, sf).select("doc_id", F.explode(extract.capitalised_names(F.col("text"), corrected=True)).alias("name"))
 
 
+@query(_capitalised_sql(rf"(?:{_GAP}(?:de|del|de{_GAP}la|de{_GAP}los|y|la|las){_GAP})?(?:{_GAP}{_SQL_WORD}){{1,4}}"))
+def e2_capitalised_names_plain(spark, sf):
+    return views.documents(spark, sf).select("doc_id", F.explode(extract.capitalised_names(F.col("text"))).alias("name"))
+
+
 @query(MENTION_SQL + " SELECT case_id, kind, name, count(*) AS n FROM hits WHERE NOT regexp_matches(name, '^The[.]|[ ]The$|^Und[.]|[ ]Und$') GROUP BY ALL")
 def e3_without_blocked(spark, sf):
     block = views.documents(spark, sf).select("case_id", F.explode(F.array(*map(F.lit, ("The", "The.", "Und", "Und.")))).alias("word")).distinct()
     return extract.without_blocked(found(spark, sf), block).groupBy("case_id", "kind", "name").agg(F.count("*").alias("n"))
 
 
-@query(r"""SELECT doc_id, plate AS name, 2 AS n FROM (SELECT doc_id, 'ABC-' || (1000 + doc_id % 9000) AS plate FROM documents)""")
+PLATED = "concat_ws('', 'vehículo marca Fordex azul. con placas ABC-' || (1000 + doc_id % 9000) || '. ', text)"
+
+
+@query(rf"""WITH t AS (SELECT doc_id, {PLATED} AS text FROM documents),
+h AS (SELECT doc_id, unnest(regexp_extract_all(text, '(?i)(?:veh[íi]culo|autom[óo]vil|camioneta|motocicleta|cami[óo]n)\s+(?:marca|tipo|modelo|color)\s+(\p{{L}}[\p{{L}}0-9\-\s]{{2,40}})', 1)) AS name FROM t
+UNION ALL SELECT doc_id, unnest(regexp_extract_all(text, '\b([A-Z]{{3}}-?[0-9]{{3,4}})\b', 1)) FROM t UNION ALL SELECT doc_id, unnest(regexp_extract_all(text, '(?i)placas?\s+([A-Z]{{3}}-?[0-9]{{3,4}})', 1)) FROM t)
+SELECT doc_id, trim(name) AS name, count(*)::INTEGER AS n FROM h WHERE length(trim(name)) >= 3 GROUP BY ALL""")
 def e4_vehicle_mentions(spark, sf):
-    d = views.documents(spark, sf).select("doc_id", F.concat(F.lit("con placas ABC-"), (1000 + F.col("doc_id") % 9000).cast("string"), F.lit(".")).alias("text"))
+    plate = F.concat(F.lit("vehículo marca Fordex azul. con placas ABC-"), (1000 + F.col("doc_id") % 9000).cast("string"), F.lit(". "))
+    d = views.documents(spark, sf).select("doc_id", F.concat_ws("", plate, "text").alias("text"))
     return d.select("doc_id", F.explode(extract.vehicle_mentions(F.col("text"))).alias("name")).groupBy("doc_id", "name").agg(F.count("*").cast("int").alias("n"))
 
 
@@ -298,15 +434,19 @@ def e12_resolve_column(spark, sf):
     return extract.resolve_column(d, _aliases(spark, sf), "who").select("doc_id", "who")
 
 
-@query("SELECT doc_id, 'agencia del ' || n_name AS name FROM documents JOIN nation ON doc_id % 25 = n_nationkey")
+@query("SELECT doc_id, [CASE WHEN doc_id % 40 < 25 THEN n_name ELSE 'PERSONA_' || lpad((doc_id % 40 + 1)::VARCHAR, 3, '0') END, 'nadie', (SELECT n_name FROM nation WHERE n_nationkey = 0)] AS who FROM documents LEFT JOIN nation ON doc_id % 40 = n_nationkey")
+def e12_resolve_array(spark, sf):
+    who = F.array(F.format_string("PERSONA_%03d", (F.col("doc_id") % 40 + 1).cast("int")), F.lit("nadie"), F.lit("PERSONA_001"))
+    return extract.resolve_array(views.documents(spark, sf).select("case_id", "doc_id", who.alias("who")), _aliases(spark, sf), "who", "doc_id").select("doc_id", "who")
+
+
+@query("SELECT doc_id, 'agencia del ' || n_name || ': ' || text AS name FROM documents JOIN nation ON doc_id % 25 = n_nationkey")
 def e13_embedded_alias(spark, sf):
-    d = views.documents(spark, sf).select("case_id", "doc_id", F.format_string("agencia del PERSONA_%03d", (F.col("doc_id") % 25 + 1).cast("int")).alias("name"))
-    return extract.restore(d, _aliases(spark, sf), text="name").select("doc_id", "name")
+    name = F.concat(F.format_string("agencia del PERSONA_%03d: ", (F.col("doc_id") % 25 + 1).cast("int")), F.col("text"))
+    return extract.restore(views.documents(spark, sf).select("case_id", "doc_id", name.alias("name")), _aliases(spark, sf), text="name").select("doc_id", "name")
 
 
-@query(DOC + " SELECT doc_id, 'J.P.P.' AS name FROM v_documents")
+@query(r"SELECT doc_id, unnest(regexp_extract_all('firma J.P.P. en ' || text, '\b([A-Z]\.\s*[A-Z]\.?\s*[A-Z]?\.?)', 1)) AS name FROM documents")
 def e14_initials(spark, sf):
-    d = views.documents(spark, sf).withColumn("text", F.concat(F.lit("firma J.P.P. en "), F.substring("file", 1, 3)))
+    d = views.documents(spark, sf).withColumn("text", F.concat(F.lit("firma J.P.P. en "), F.col("text")))
     return extract.initials_mentions(d).select("doc_id", "name")
-
-

@@ -11,6 +11,7 @@ from casewright.operators import findings as N
 from casewright.operators import graph as G
 from casewright.operators import relational as R
 from casewright.operators import resolve as E
+from casewright.operators.components import stage_table
 from casewright.plans import views
 from casewright.sources import corpus
 from casewright.streaming import operators as X
@@ -47,6 +48,12 @@ def q1_normalize_name(spark, sf):
     return p.select("p_partkey", fn.normalize_name(F.concat(F.lit("  "), F.upper("p_name"), F.lit("  X"))).alias("norm"))
 
 
+@query("SELECT p_partkey, lower(strip_accents('Ý' || p_name || 'őş')) AS norm FROM part")
+def q1_normalize_exact(spark, sf):
+    p = views.table(spark, sf, "part")
+    return p.select("p_partkey", fn.normalize_name_exact(F.concat(F.lit("  Y\u0301"), F.col("p_name"), F.lit("őş "))).alias("norm"))
+
+
 @query("SELECT p_name AS name, count(*) AS mentions, NOT (count(*) <= 2 AND len(string_split(p_name, ' ')) <= 2) AS valid, CASE WHEN count(*) <= 2 AND len(string_split(p_name, ' ')) <= 2 THEN 'rare_short' END AS reason FROM part GROUP BY p_name")
 def q2_person_validity(spark, sf):
     p = views.table(spark, sf, "part").groupBy(F.col("p_name").alias("name")).agg(F.count("*").alias("mentions"))
@@ -101,32 +108,33 @@ def q7_matching_ratio(spark, sf):
     return E.similar_pairs(_part_names(spark, sf), threshold=0.7).select("case_id", "a", "b", F.round("ratio", 6).alias("ratio"))
 
 
-@query(PARTS + " SELECT a.norm AS a, b.norm AS b FROM p a JOIN p b ON a.norm < b.norm AND split_part(a.norm, ' ', 1) = split_part(b.norm, ' ', 1) WHERE len(list_intersect(string_split(a.norm, ' '), string_split(b.norm, ' ')))::DOUBLE / len(list_distinct(list_concat(string_split(a.norm, ' '), string_split(b.norm, ' ')))) >= 0.3")
+@query(PARTS + " SELECT a.norm AS a, b.norm AS b FROM p a JOIN p b ON a.norm < b.norm WHERE len(list_intersect(string_split(a.norm, ' '), string_split(b.norm, ' ')))::DOUBLE / len(list_distinct(list_concat(string_split(a.norm, ' '), string_split(b.norm, ' ')))) >= 0.3")
 def q8_jaccard(spark, sf):
     return E.jaccard_pairs(_part_names(spark, sf))
 
 
-SUPPLIERS = "s AS (SELECT s_suppkey AS k, s_name AS norm FROM supplier)"
+CLOSED = """WITH RECURSIVE p AS (SELECT p_name AS norm, count(*) AS mentions FROM part GROUP BY 1),
+l AS (SELECT a.norm AS a, b.norm AS b FROM p a JOIN p b ON a.norm <> b.norm WHERE 1 - levenshtein(a.norm, b.norm)::DOUBLE / greatest(length(a.norm), length(b.norm)) >= 0.8),
+reach AS (SELECT norm AS node, norm AS other FROM p UNION SELECT r.node, l.b FROM reach r JOIN l ON l.a = r.other), c AS (SELECT node, min(other) AS component FROM reach GROUP BY 1)"""
 
 
-def _suppliers(spark, sf):
-    return views.table(spark, sf, "supplier").select(F.lit("c").alias("case_id"), F.col("s_name").alias("norm"), F.col("s_suppkey").alias("mentions"))
+def _parts_counted(spark, sf):
+    return views.table(spark, sf, "part").groupBy(F.col("p_name").alias("norm")).agg(F.count("*").alias("mentions")).select(F.lit("c").alias("case_id"), "norm", "mentions")
 
 
-@query("WITH " + SUPPLIERS + " SELECT 'c' AS case_id, norm AS node, (SELECT min(norm) FROM s) AS component FROM s")
+@query(CLOSED + " SELECT 'c' AS case_id, node, component FROM c")
 def q9_clusters(spark, sf):
-    s = _suppliers(spark, sf)
-    pairs = E.similar_pairs(s, native=True)
-    return E.connected(s.select("case_id", F.col("norm").alias("node")), pairs)
+    p = _parts_counted(spark, sf)
+    return E.connected(p.select("case_id", F.col("norm").alias("node")), E.similar_pairs(p, native=True))
 
 
-@query("WITH " + SUPPLIERS + " SELECT 'c' AS case_id, arg_max(norm, k) AS principal, max(norm) AS canonical, count(*)::INTEGER AS n_aliases, sum(k)::BIGINT AS mentions FROM s")
+@query(CLOSED + ", w AS (SELECT *, (contains(norm, 'blue') OR contains(norm, 'red'))::INTEGER AS liked FROM p JOIN c ON node = norm) SELECT 'c' AS case_id, component, arg_max(norm, (mentions, length(norm), norm)) AS principal, arg_max(norm, (liked, length(norm), norm)) AS canonical, count(*)::INTEGER AS n_aliases, sum(mentions)::BIGINT AS mentions FROM w GROUP BY component")
 def q10_canonical_entities(spark, sf):
-    s = _suppliers(spark, sf)
-    merged = E.merge_equal(s.select("case_id", F.lit("PERSONA").alias("kind"), F.col("norm").alias("name"), "mentions"))
+    merged = E.merge_equal(_parts_counted(spark, sf).select("case_id", F.lit("PERSONA").alias("kind"), F.col("norm").alias("name"), "mentions"))
     low = merged.select("case_id", "norm", "mentions")
-    out = E.canonical_entities(merged, E.connected(low.select("case_id", F.col("norm").alias("node")), E.similar_pairs(low, native=True)))
-    return out.select("case_id", "principal", "canonical", F.size("aliases").alias("n_aliases"), "mentions")
+    clusters = E.connected(low.select("case_id", F.col("norm").alias("node")), E.similar_pairs(low, native=True))
+    out = E.canonical_entities(merged, clusters, preferred=["blue", "red"])
+    return out.select("case_id", "component", "principal", "canonical", F.size("aliases").alias("n_aliases"), "mentions")
 
 
 @query(SPELLED + " SELECT case_id, name, arg_max(name, (mentions, length(name), name)) OVER (PARTITION BY case_id, lower(name)) AS principal FROM sp UNION ALL SELECT DISTINCT case_id, 'nobody', NULL FROM sp")
@@ -172,7 +180,7 @@ def n2_merge_traces(spark, sf):
     return N.merge_traces(_traces(spark, sf)).select("case_id", "alias", "role", F.nullif(F.array_join("actions", ","), F.lit("")).alias("actions"), F.array_join("people", ",").alias("people"), F.size("locations").alias("n_locations"))
 
 
-@query(FIND + " SELECT case_id, seq FROM v_findings WHERE length(trim(description)) >= 25")
+@query(FIND + " SELECT case_id, seq FROM v_findings WHERE length(trim(description)) >= 25 AND NOT regexp_matches(lower(description), 'no queda claro|falta informaci')")
 def n3_drop_weak(spark, sf):
     return N.drop_weak(views.findings(spark, sf)).select("case_id", "seq")
 
@@ -219,6 +227,17 @@ def n9_top_people(spark, sf):
     return N.top_people(f, _traces(spark, sf), valid)
 
 
+@query(FIND + ", a AS (SELECT *, 'VEHICULO_' || lpad((seq % 7 + 1)::VARCHAR, 3, '0') AS alias FROM v_findings), n AS (SELECT case_id, (seq % 7)::INTEGER AS k, count(*) * 2 AS n FROM a GROUP BY ALL), v AS (SELECT case_id, CASE WHEN k = 3 THEN 'negro' WHEN k = 6 THEN 'VEHICULO_007' ELSE 'ABC-100' || k END AS name, n FROM n), r AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY n DESC, name)::INTEGER AS rank FROM v WHERE name <> 'negro') SELECT case_id, name, n::BIGINT AS n, rank FROM r WHERE rank <= 5")
+def n9_top_vehicles(spark, sf):
+    """Each finding names one of seven aliases; one stands for a colour, one is unknown."""
+    alias = F.format_string("VEHICULO_%03d", (F.col("seq") % 7 + 1).cast("int"))
+    f = views.findings(spark, sf).withColumn("vehicles", F.array(alias))
+    traces = N.merge_traces(f.select("case_id", "seq", alias.alias("alias"), F.lit("x").alias("role"), "people", F.array().cast("array<string>").alias("actions"), "vehicles", "location"))
+    k = F.substring("alias", 10, 3).cast("int") - 1
+    aliases = traces.select("case_id", "alias", F.when(k == 3, "negro").otherwise(F.concat(F.lit("ABC-100"), k.cast("string"))).alias("real_name")).filter("alias <> 'VEHICULO_007'")
+    return N.top_vehicles(f, traces, aliases)
+
+
 @query(IDS + " SELECT case_id, finding_id, severity, CASE severity WHEN 'alta' THEN 1 WHEN 'media' THEN 2 ELSE 3 END AS severity_rank, least(repeats, 10)::INTEGER AS n_shown, greatest(repeats - 10, 0)::INTEGER AS more FROM ids WHERE severity IN ('alta', 'media', 'baja')")
 def n10_listed(spark, sf):
     return N.listed(N.with_ids(_collapsed(spark, sf))).select("case_id", "finding_id", "severity", "severity_rank", F.size("shown").alias("n_shown"), "more")
@@ -233,7 +252,7 @@ def n11_traces_by_role(spark, sf):
 
 @query("SELECT 'c' AS case_id, s_name AS alias FROM supplier ORDER BY 2")
 def n12_alias_appendix(spark, sf):
-    return N.alias_appendix(_suppliers(spark, sf).select("case_id", F.col("norm").alias("alias")))
+    return N.alias_appendix(views.table(spark, sf, "supplier").select(F.lit("c").alias("case_id"), F.col("s_name").alias("alias")))
 
 
 @query(FIND + ", k AS (SELECT case_id, substr(lower(description), 1, 80) AS key, min(seq) AS seq FROM v_findings WHERE description <> '' GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY seq) AS n FROM k) SELECT case_id, 'HALLAZGO_' || lpad(n::VARCHAR, 3, '0') AS finding_id, seq FROM r WHERE n <= 25")
@@ -249,12 +268,15 @@ def n14_listed_all(spark, sf):
 # -- graph
 
 MEM = "WITH " + views.MEMBERS
-PAIRS = MEM + """, m AS (SELECT DISTINCT case_id, chunk, kind, name FROM v_members),
+PAIRS = MEM + ", " + views.ORDER_FINDINGS + """, m AS (SELECT DISTINCT case_id, chunk, kind, name FROM v_members),
 pp AS (SELECT a.case_id, a.name AS a, b.name AS b, count(*) AS n FROM m a JOIN m b ON a.case_id = b.case_id AND a.chunk = b.chunk AND a.kind = 'PERSONA' AND b.kind = 'PERSONA' AND a.name < b.name GROUP BY ALL),
 pl AS (SELECT a.case_id, a.name AS a, b.name AS b, count(*) AS n FROM m a JOIN m b ON a.case_id = b.case_id AND a.chunk = b.chunk AND a.kind = 'PERSONA' AND b.kind = 'LUGAR' GROUP BY ALL),
-ent AS (SELECT case_id, kind, name, count(*) AS mentions, len(list(DISTINCT role)) AS n_roles, list_sort(list(DISTINCT file)) AS files, list_sort(list(DISTINCT source)) AS sources, count(DISTINCT chunk) AS n_chunks FROM v_members GROUP BY ALL),
+pv AS (SELECT a.case_id, a.name AS a, b.name AS b, count(*) AS n FROM m a JOIN m b ON a.case_id = b.case_id AND a.chunk = b.chunk AND a.kind = 'PERSONA' AND b.kind = 'VEHICULO' GROUP BY ALL),
+ent AS (SELECT case_id, kind, name, count(*) AS mentions, len(list(DISTINCT role)) AS n_roles, list_sort(list(DISTINCT role)) AS roles, list_sort(list(DISTINCT file)) AS files, list_sort(list(DISTINCT source)) AS sources, count(DISTINCT chunk) AS n_chunks FROM v_members GROUP BY ALL),
 near AS (SELECT case_id, name, sum(least(3 * n, 20)) AS s FROM (SELECT case_id, a AS name, n FROM pp UNION ALL SELECT case_id, b, n FROM pp) GROUP BY ALL),
-sc AS (SELECT e.*, (50 * n_roles + coalesce(s, 0) + mentions)::BIGINT AS score FROM ent e LEFT JOIN near USING (case_id, name)),
+inf AS (SELECT case_id, name, count(*) AS k FROM (SELECT case_id, unnest(people) AS name FROM v_returns) GROUP BY ALL),
+vic AS (SELECT DISTINCT case_id, person AS name, 30 AS hurt FROM v_mentions WHERE source = 'R' AND role = 'O'),
+sc AS (SELECT e.*, (50 * n_roles + coalesce(s, 0) + 25 * coalesce(k, 0) + coalesce(hurt, 0) + mentions)::BIGINT AS score FROM ent e LEFT JOIN near USING (case_id, name) LEFT JOIN inf USING (case_id, name) LEFT JOIN vic USING (case_id, name)),
 top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY case_id, kind ORDER BY CASE WHEN kind = 'PERSONA' THEN score ELSE mentions END DESC, name)::INTEGER AS rank FROM sc) WHERE rank <= CASE kind WHEN 'PERSONA' THEN 80 WHEN 'VEHICULO' THEN 30 ELSE 15 END)"""
 LIMITS = {"PERSONA": 80, "VEHICULO": 30, "LUGAR": 15}
 
@@ -288,9 +310,14 @@ def g4_unmentioned_vehicles(spark, sf):
     return G.unmentioned_vehicles(e.withColumnRenamed("name", "real_name"), seen, least=5).select("case_id", "name", "mentions")
 
 
-@query(MEM + " SELECT case_id, chunk, name, source FROM v_members WHERE kind = 'LUGAR'")
+@query(FIND + ", r AS (SELECT * FROM v_findings WHERE seq % 50 <> 3) SELECT case_id, seq AS chunk, file AS name, 'calle ' || case_id AS address FROM r UNION ALL SELECT case_id, seq, 'sede ' || case_id, NULL FROM r WHERE seq % 2 = 0")
 def g5_place_mentions(spark, sf):
-    return views.members(spark, sf).filter("kind = 'LUGAR'").select("case_id", "chunk", "name", "source")
+    f = views.findings(spark, sf)
+    whole = F.to_json(F.struct(F.col("location.file").alias("nombre"), F.concat(F.lit("calle "), F.col("case_id")).alias("direccion")))
+    plain = F.when(F.col("seq") % 2 == 0, F.concat(F.lit(', " sede '), F.col("case_id"), F.lit('"'))).otherwise("")
+    raw = F.concat(F.lit('{"ubicaciones": ['), whole, plain, F.lit("]}"))
+    rows = f.select("case_id", F.col("seq").alias("chunk"), F.when(F.col("seq") % 50 != 3, F.parse_json(raw)).alias("resultado"))
+    return G.place_mentions(rows)
 
 
 def _entities(spark, sf):
@@ -326,16 +353,27 @@ def g9_person_place(spark, sf):
     return G.co_occurrence(_members(spark, sf), "PERSONA", "LUGAR")
 
 
-@query(PAIRS + ", mm AS (SELECT case_id, least(substr(a, 1, 15), substr(b, 1, 15)) AS a, greatest(substr(a, 1, 15), substr(b, 1, 15)) AS b, n FROM pp WHERE substr(a, 1, 15) <> substr(b, 1, 15)) SELECT case_id, a, b, sum(n)::BIGINT AS n FROM mm GROUP BY ALL")
+@query(PAIRS + ", mm AS (SELECT case_id, least(right(a, 1), right(b, 1)) AS a, greatest(right(a, 1), right(b, 1)) AS b, n FROM pp WHERE right(a, 1) <> right(b, 1)) SELECT case_id, a, b, sum(n)::BIGINT AS n FROM mm GROUP BY ALL")
 def g10_redirect(spark, sf):
     p = _pairs(spark, sf)
-    mapping = _entities(spark, sf).filter("kind = 'PERSONA'").select("case_id", "name", F.substring("name", 1, 15).alias("principal"))
+    mapping = _entities(spark, sf).filter("kind = 'PERSONA'").select("case_id", "name", F.right("name", F.lit(1)).alias("principal"))
     return G.redirect(p, mapping)
 
 
+def _mentions(spark, sf):
+    """The mention view, joined once and written: every part of the graph starts from it."""
+    return stage_table(views.mentions(spark, sf), "mentions")
+
+
+def _score(m):
+    members = views.long_form(m)
+    pairs = G.co_occurrence(G.chunk_members(members), "PERSONA", "PERSONA")
+    involved = views.order_findings(m).select("case_id", F.explode("people").alias("name"))
+    return G.scores(G.entity_aggregates(members), pairs, involved, views.victims(m))
+
+
 def _scored(spark, sf):
-    none = views.members(spark, sf).limit(0).select("case_id", "name")
-    return G.scores(_entities(spark, sf), _pairs(spark, sf), none, none)
+    return _score(_mentions(spark, sf))
 
 
 @query(PAIRS + " SELECT case_id, kind, name, score FROM sc")
@@ -352,30 +390,57 @@ def g12_top_entities(spark, sf):
     return _top(spark, sf).select("case_id", "kind", "name", "rank")
 
 
+def _whole(spark, sf) -> dict[str, DataFrame]:
+    """The graph: its top entities, findings, facts, nodes and edges of all kinds, one an unordered pair."""
+    m = _mentions(spark, sf)
+    members = G.chunk_members(views.long_form(m))
+    top = stage_table(G.top_entities(_score(m), LIMITS), "top")
+    people, places, vehicles = (top.filter(F.col("kind") == k) for k in LIMITS_IN_ORDER)
+    among = lambda df, c, kept: df.join(kept.select("case_id", F.col("name").alias(c)), ["case_id", c], "left_semi")
+    pairs = among(among(G.co_occurrence(members, "PERSONA", "PERSONA"), "a", people), "b", people)
+    at = among(among(G.co_occurrence(members, "PERSONA", "LUGAR"), "a", people), "b", places)
+    with_vehicle = among(among(G.co_occurrence(members, "PERSONA", "VEHICULO"), "a", people), "b", vehicles)
+    found = N.graph_findings(views.order_findings(m))
+    hurt = among(views.victims(m), "name", people)
+    holders = among(m.filter("source = 'A'").withColumnRenamed("person", "name"), "name", people)
+    every = [G.involved_edges(found, people), G.juridical_edges(holders), G.victim_edges(hurt), G.co_occurrence_edges(pairs).drop("width"), G.strong_and_weak(at, people, places, "lugar"), G.strong_and_weak(with_vehicle, people, vehicles, "vehiculo")]
+    edges = every[0]
+    for e in every[1:]:
+        edges = edges.unionByName(e, allowMissingColumns=True)
+    facts = hurt.select("case_id", "chunk", "file").distinct()
+    return {"top": top, "mentions": m, "findings": found, "facts": facts, "nodes": G.nodes(top, found, facts), "edges": stage_table(G.dedup_edges(edges), "edges")}
+
+
 def _slim(spark, sf):
-    """Nodes and edges of the person graph: top people, their co-occurrences and places."""
-    top = _top(spark, sf)
-    people, places = top.filter("kind = 'PERSONA'"), top.filter("kind = 'LUGAR'")
-    ends = people.select("case_id", F.col("name").alias("a"))
-    pairs = _pairs(spark, sf).join(ends, ["case_id", "a"], "left_semi").join(ends.withColumnRenamed("a", "b"), ["case_id", "b"], "left_semi")
-    strong = G.co_occurrence(_members(spark, sf), "PERSONA", "LUGAR").join(ends, ["case_id", "a"], "left_semi").join(places.select("case_id", F.col("name").alias("b")), ["case_id", "b"], "left_semi")
-    edges = G.co_occurrence_edges(pairs).drop("width").unionByName(G.strong_and_weak(strong, people, places, "lugar"))
-    none = views.findings(spark, sf).limit(0)
-    nodes = G.nodes(top, none.withColumn("finding_id", F.lit("")), none.withColumn("chunk", F.lit(0)))
-    return top, nodes, G.dedup_edges(edges)
-
-
-SLIM = PAIRS + """, pe AS (SELECT case_id, name, files FROM top WHERE kind = 'PERSONA'), pla AS (SELECT case_id, name, files FROM top WHERE kind = 'LUGAR'),
+    """Top entities, nodes and edges."""
+    g = _whole(spark, sf)
+    return g["top"], g["nodes"], g["edges"]
+
+
+LIMITS_IN_ORDER = ("PERSONA", "LUGAR", "VEHICULO")
+SLIM = PAIRS + """, pe AS (SELECT case_id, name, files FROM top WHERE kind = 'PERSONA'), pla AS (SELECT case_id, name, files FROM top WHERE kind = 'LUGAR'), pve AS (SELECT case_id, name, files FROM top WHERE kind = 'VEHICULO'),
+gfi AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY seq) AS fn, 'HALLAZGO_' || lpad(row_number() OVER (PARTITION BY case_id ORDER BY seq)::VARCHAR, 3, '0') AS finding_id FROM v_returns) WHERE fn <= 25),
+hu AS (SELECT DISTINCT case_id, file, chunk, person AS name FROM v_mentions WHERE source = 'R' AND role = 'O' AND (case_id, person) IN (SELECT case_id, name FROM pe)),
+ro AS (SELECT case_id, chunk, person AS name, min(role) AS role FROM v_mentions WHERE source = 'A' AND (case_id, person) IN (SELECT case_id, name FROM pe) GROUP BY ALL),
 e1 AS (SELECT case_id, a AS src, b AS dst, 'coocurrencia' AS kind, n FROM pp WHERE n >= 2 AND (case_id, a) IN (SELECT case_id, name FROM pe) AND (case_id, b) IN (SELECT case_id, name FROM pe)),
 e2 AS (SELECT case_id, a AS src, b AS dst, 'lugar' AS kind, n FROM pl WHERE (case_id, a) IN (SELECT case_id, name FROM pe) AND (case_id, b) IN (SELECT case_id, name FROM pla)),
+e3 AS (SELECT case_id, a AS src, b AS dst, 'vehiculo' AS kind, n FROM pv WHERE (case_id, a) IN (SELECT case_id, name FROM pe) AND (case_id, b) IN (SELECT case_id, name FROM pve)),
 sh AS (SELECT p.case_id, p.name AS src, l.name AS dst, len(list_intersect(p.files, l.files)) AS n FROM pe p JOIN pla l ON p.case_id = l.case_id AND list_has_any(p.files, l.files)),
+sv AS (SELECT p.case_id, p.name AS src, l.name AS dst, len(list_intersect(p.files, l.files)) AS n FROM pe p JOIN pve l ON p.case_id = l.case_id AND list_has_any(p.files, l.files)),
 wk AS (SELECT case_id, src, dst, 'lugar_debil' AS kind, n::BIGINT AS n FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY src, dst) AS r FROM sh WHERE (case_id, src, dst) NOT IN (SELECT case_id, src, dst FROM e2)) WHERE r <= 200),
-edges AS (SELECT * FROM e1 UNION ALL SELECT * FROM e2 UNION ALL SELECT * FROM wk)"""
+wv AS (SELECT case_id, src, dst, 'vehiculo_debil' AS kind, n::BIGINT AS n FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY src, dst) AS r FROM sv WHERE (case_id, src, dst) NOT IN (SELECT case_id, src, dst FROM e3)) WHERE r <= 200),
+ei AS (SELECT case_id, finding_id AS src, p AS dst, 'involucrado' AS kind, 1 AS n FROM (SELECT *, unnest(people) AS p FROM gfi) WHERE (case_id, p) IN (SELECT case_id, name FROM pe)),
+ej AS (SELECT a.case_id, a.name AS src, b.name AS dst, 'juridica' AS kind, count(*) AS n, min(a.role) AS label FROM ro a JOIN ro b ON a.case_id = b.case_id AND a.chunk = b.chunk AND a.name < b.name GROUP BY ALL),
+ev AS (SELECT DISTINCT case_id, name AS src, 'HECHO_' || chunk AS dst, 'victima' AS kind, 1 AS n FROM hu),
+raw AS (SELECT *, NULL AS label FROM ei UNION ALL SELECT * FROM ej UNION ALL SELECT *, 'devuelto' FROM ev UNION ALL SELECT *, NULL FROM e1 UNION ALL SELECT *, NULL FROM e2 UNION ALL SELECT *, NULL FROM wk UNION ALL SELECT *, NULL FROM e3 UNION ALL SELECT *, NULL FROM wv),
+edges AS (SELECT case_id, src, dst, kind, n::BIGINT AS n, label FROM (SELECT *, row_number() OVER (PARTITION BY case_id, least(src, dst), greatest(src, dst) ORDER BY list_position(['involucrado', 'juridica', 'victima', 'coocurrencia', 'lugar', 'lugar_debil', 'vehiculo', 'vehiculo_debil'], kind), n DESC, src, dst) AS r FROM raw) WHERE r = 1),
+facts AS (SELECT DISTINCT case_id, chunk FROM hu),
+nodes AS (SELECT case_id, kind || '_' || replace(name, ' ', '_') AS id, lower(kind) AS "group", name AS label, mentions FROM top UNION ALL SELECT case_id, finding_id, 'hallazgo', CASE WHEN length(description) > 38 THEN substr(description, 1, 35) || '...' ELSE description END, NULL FROM gfi UNION ALL SELECT case_id, 'HECHO_' || chunk, 'hecho', 'hecho ' || chunk, NULL FROM facts)"""
 
 
-@query(PAIRS + " SELECT case_id, kind || '_' || replace(name, ' ', '_') AS id, lower(kind) AS \"group\", name AS label, mentions FROM (SELECT *, regexp_replace(name, '[^a-zA-Z0-9_ -]', '', 'g') AS nm FROM top) WHERE nm = name")
+@query(SLIM + """ SELECT case_id, id, "group", label, mentions FROM nodes WHERE NOT regexp_matches(label, '[^a-zA-Z0-9_ .óu-]')""")
 def g13_nodes(spark, sf):
-    return _slim(spark, sf)[1].filter("not label rlike '[^a-zA-Z0-9_ -]'").select("case_id", "id", "group", "label", "mentions")
+    return _slim(spark, sf)[1].filter("not label rlike '[^a-zA-Z0-9_ .óu-]'").select("case_id", "id", "group", "label", "mentions")
 
 
 @query(FIND + " SELECT case_id, 'F' || seq AS src, unnest(people) AS dst FROM v_findings")
@@ -403,31 +468,34 @@ def g17_co_occurrence_edges(spark, sf):
 
 @query(SLIM + " SELECT * FROM e2 UNION ALL SELECT * FROM wk")
 def g18_place_edges(spark, sf):
-    return _slim(spark, sf)[2].filter("kind like 'lugar%'")
+    return _slim(spark, sf)[2].filter("kind like 'lugar%'").drop("label")
 
 
-@query(PAIRS + ", pv AS (SELECT a.case_id, a.name AS src, b.name AS dst, 'vehiculo' AS kind, count(*) AS n FROM m a JOIN m b ON a.case_id = b.case_id AND a.chunk = b.chunk AND a.kind = 'PERSONA' AND b.kind = 'VEHICULO' GROUP BY ALL), pe AS (SELECT case_id, name, files FROM top WHERE kind = 'PERSONA'), pv2 AS (SELECT case_id, name, files FROM top WHERE kind = 'VEHICULO'), s AS (SELECT * FROM pv WHERE (case_id, dst) IN (SELECT case_id, name FROM pv2)), sh AS (SELECT p.case_id, p.name AS src, l.name AS dst, len(list_intersect(p.files, l.files))::BIGINT AS n FROM pe p JOIN pv2 l ON p.case_id = l.case_id AND list_has_any(p.files, l.files)), w AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY src, dst) AS r FROM sh WHERE (case_id, src, dst) NOT IN (SELECT case_id, src, dst FROM s)) SELECT * FROM s UNION ALL SELECT case_id, src, dst, 'vehiculo_debil', n FROM w WHERE r <= 200")
+@query(SLIM + " SELECT * FROM e3 UNION ALL SELECT * FROM wv")
 def g19_vehicle_edges(spark, sf):
-    top = _top(spark, sf)
-    vehicles = top.filter("kind = 'VEHICULO'")
-    strong = G.co_occurrence(_members(spark, sf), "PERSONA", "VEHICULO").join(vehicles.select("case_id", F.col("name").alias("b")), ["case_id", "b"], "left_semi")
-    return G.strong_and_weak(strong, top.filter("kind = 'PERSONA'"), vehicles, "vehiculo")
+    return _slim(spark, sf)[2].filter("kind like 'vehiculo%'").drop("label")
 
 
 @query(SLIM + " SELECT case_id, src, dst, kind, n FROM edges")
 def g20_dedup_edges(spark, sf):
     top, _, edges = _slim(spark, sf)
-    turned = edges.select("case_id", F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit("vehiculo_debil").alias("kind"), "n")
-    return G.dedup_edges(edges.unionByName(turned))
+    turned = edges.select("case_id", F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit("vehiculo_debil").alias("kind"), "n", "label")
+    return G.dedup_edges(edges.unionByName(turned)).drop("label")
+
 
+def _stats_sql() -> str:
+    nodes = ", ".join(f"""count_if("group" = '{g}')::BIGINT AS n_{g}""" for g in ("persona", "vehiculo", "lugar", "hallazgo", "hecho"))
+    edges = ", ".join(f"count_if(kind = '{k}')::BIGINT AS n_edge_{k}" for k in G.EDGE_ORDER)
+    return SLIM + f", a AS (SELECT case_id, count(*) AS n_nodes, {nodes} FROM nodes GROUP BY 1), b AS (SELECT case_id, count(*) AS n_edges, {edges} FROM edges GROUP BY 1) SELECT * FROM a JOIN b USING (case_id)"
 
-@query(SLIM + ", a AS (SELECT case_id, count(*) AS n_nodes, count_if(kind = 'PERSONA')::BIGINT AS n_persona FROM top GROUP BY 1), b AS (SELECT case_id, count(*) AS n_edges, count_if(kind = 'lugar')::BIGINT AS n_edge_lugar FROM edges GROUP BY 1) SELECT * FROM a JOIN b USING (case_id)")
+
+@query(_stats_sql())
 def g21_graph_stats(spark, sf):
     _, n, e = _slim(spark, sf)
-    return G.graph_stats(n, e).select("case_id", "n_nodes", "n_persona", "n_edges", "n_edge_lugar")
+    return G.graph_stats(n, e)
 
 
-@query(PAIRS + " SELECT case_id, lower(kind) AS \"group\", count(*) AS n FROM top GROUP BY ALL")
+@query(SLIM + ' SELECT case_id, "group", count(*) AS n FROM nodes GROUP BY ALL')
 def g22_group_counts(spark, sf):
     return G.group_counts(_slim(spark, sf)[1])
 
@@ -478,47 +546,125 @@ def r4_dossiers(spark, sf):
     return R.dossiers(_entities(spark, sf).filter("kind <> 'LUGAR'"), _entities(spark, sf).filter("kind = 'LUGAR'"))
 
 
-def _persona(spark, sf):
-    return R.entity_table(_top(spark, sf), "PERSONA", "persona_id")
+def _model(spark, sf) -> dict[str, DataFrame]:
+    g = _whole(spark, sf)
+    return R.model(G.with_chunks(g["top"], views.long_form(g["mentions"])), g["findings"], g["facts"], g["edges"])
+
+
+def _key_sql(kind: str, c: str) -> str:
+    return f"'{kind}_' || regexp_replace(replace({c}, ' ', '_'), '[^a-zA-Z0-9_-]', '', 'g')"
 
 
-@query(PAIRS + " SELECT case_id, 'PERSONA_' || regexp_replace(replace(name, ' ', '_'), '[^a-zA-Z0-9_-]', '', 'g') AS persona_id, name, mentions FROM top WHERE kind = 'PERSONA'")
+CHUNKS = ", ch AS (SELECT case_id, kind, name, list_sort(list(DISTINCT chunk::VARCHAR)) AS chunks FROM v_members GROUP BY ALL)"
+
+
+@query(SLIM + CHUNKS + f" SELECT case_id, {_key_sql('PERSONA', 'name')} AS persona_id, name AS nombre_canonico, mentions AS menciones_total, roles[1] AS tipo_rol, array_to_string(sources, ',') AS fuentes, name AS aliases_origen, array_to_string(roles, ',') AS cargos, array_to_string(files, ',') AS archivos, array_to_string(chunks, ',') AS chunks FROM top JOIN ch USING (case_id, kind, name) WHERE kind = 'PERSONA'")
 def r5_persona(spark, sf):
-    return _persona(spark, sf).select("case_id", "persona_id", "name", "mentions")
+    t = _model(spark, sf)["persona"]
+    return t.select(*(F.array_join(c, ",").alias(c) if k.startswith("array") else c for c, k in t.dtypes))
+
+
+@query(SLIM + CHUNKS + f" SELECT case_id, {_key_sql('VEHICULO', 'name')} AS vehiculo_id, name AS placa, mentions AS menciones_total, array_to_string(files, ',') AS expedientes, array_to_string(chunks, ',') AS chunks FROM top JOIN ch USING (case_id, kind, name) WHERE kind = 'VEHICULO'")
+def r5_vehiculo(spark, sf):
+    return _model(spark, sf)["vehiculo"].select("case_id", "vehiculo_id", "placa", "menciones_total", F.array_join("expedientes", ",").alias("expedientes"), F.array_join("chunks", ",").alias("chunks"))
+
+
+@query(SLIM + CHUNKS + f" SELECT case_id, {_key_sql('LUGAR', 'name')} AS lugar_id, name AS nombre, mentions AS menciones_total, array_to_string(files, ',') AS expedientes, array_to_string(chunks, ',') AS chunks FROM top JOIN ch USING (case_id, kind, name) WHERE kind = 'LUGAR'")
+def r5_lugar(spark, sf):
+    return _model(spark, sf)["lugar"].select("case_id", "lugar_id", "nombre", "menciones_total", F.array_join("expedientes", ",").alias("expedientes"), F.array_join("chunks", ",").alias("chunks"))
+
+
+@query(SLIM + " SELECT case_id, finding_id AS hallazgo_id, 'devolucion' AS tipo, substr(description, 1, 500) AS descripcion, severity AS severidad, file AS archivo, seq::VARCHAR AS chunk FROM gfi")
+def r5_hallazgo(spark, sf):
+    return _model(spark, sf)["hallazgo"]
+
+
+@query(SLIM + " SELECT case_id, 'HECHO_' || chunk AS hecho_id, min(file) AS archivo, chunk::VARCHAR AS chunk, NULL AS descripcion_implicita FROM hu GROUP BY case_id, chunk")
+def r5_hecho(spark, sf):
+    return _model(spark, sf)["hecho"]
+
+
+ROUTED = SLIM + """, routed AS (SELECT case_id, CASE kind WHEN 'coocurrencia' THEN 'rel_coocurrencia' WHEN 'juridica' THEN 'rel_juridica' WHEN 'involucrado' THEN 'rel_involucrado' WHEN 'victima' THEN 'rel_victima' WHEN 'lugar' THEN 'rel_presente_lugar' WHEN 'lugar_debil' THEN 'rel_presente_lugar' ELSE 'rel_menciona_vehiculo' END AS table_name,
+CASE WHEN kind = 'involucrado' THEN dst ELSE src END AS from_id, CASE WHEN kind = 'involucrado' THEN src ELSE dst END AS to_id, n, label FROM edges),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY case_id, table_name ORDER BY from_id, to_id, n) AS id FROM routed)"""
 
 
 def _relations(spark, sf):
-    top, _, e = _slim(spark, sf)
-    kinds = top.select("case_id", F.col("name").alias("id"), F.lower("kind").alias("kind"))
-    return R.route(e, kinds)
+    g = _whole(spark, sf)
+    kinds = g["top"].select("case_id", F.col("name").alias("id"), F.lower("kind").alias("kind"))
+    kinds = kinds.unionByName(g["findings"].select("case_id", F.col("finding_id").alias("id"), F.lit("hallazgo").alias("kind")))
+    kinds = kinds.unionByName(g["facts"].select("case_id", F.concat(F.lit("HECHO_"), F.col("chunk").cast("string")).alias("id"), F.lit("hecho").alias("kind")).distinct())
+    return R.route(g["edges"], kinds)
 
 
-@query(SLIM + " SELECT case_id, CASE WHEN kind = 'coocurrencia' THEN 'rel_coocurrencia' ELSE 'rel_presente_lugar' END AS table_name, src AS from_id, dst AS to_id, n FROM edges")
+@query(ROUTED + " SELECT * FROM routed")
 def r6_route(spark, sf):
     return _relations(spark, sf)
 
 
-@query(SLIM + ", r AS (SELECT case_id, CASE WHEN kind = 'coocurrencia' THEN 'rel_coocurrencia' ELSE 'rel_presente_lugar' END AS table_name, src AS from_id, dst AS to_id, n FROM edges) SELECT *, row_number() OVER (PARTITION BY case_id, table_name ORDER BY from_id, to_id, n) AS id FROM r")
+@query(ROUTED + " SELECT * FROM numbered")
 def r7_surrogate_keys(spark, sf):
     return R.surrogate_keys(_relations(spark, sf))
 
 
+@query(ROUTED + f" SELECT case_id, id, {_key_sql('PERSONA', 'from_id')} AS persona_id, {_key_sql('PERSONA', 'to_id')} AS persona_rel_id, label AS cargo, NULL AS archivo, NULL AS chunk FROM numbered WHERE table_name = 'rel_juridica'")
+def r1_rel_juridica(spark, sf):
+    return _model(spark, sf)["rel_juridica"]
+
+
+@query(ROUTED + f" SELECT case_id, id, {_key_sql('PERSONA', 'from_id')} AS persona_id, to_id AS hecho_id, label AS tipo_relacion, NULL AS archivo, NULL AS chunk FROM numbered WHERE table_name = 'rel_victima'")
+def r1_rel_victima(spark, sf):
+    return _model(spark, sf)["rel_victima"]
+
+
+@query(ROUTED + f" SELECT case_id, id, {_key_sql('PERSONA', 'from_id')} AS persona_id, {_key_sql('VEHICULO', 'to_id')} AS vehiculo_id, n AS count FROM numbered WHERE table_name = 'rel_menciona_vehiculo'")
+def r1_rel_menciona_vehiculo(spark, sf):
+    return _model(spark, sf)["rel_menciona_vehiculo"]
+
+
 @query("SELECT (count(*) - count(DISTINCT (l_orderkey, l_suppkey)))::BIGINT AS n_skipped FROM lineitem")
 def r8_tolerate_duplicates(spark, sf):
     return R.tolerate_duplicates(views.table(spark, sf, "lineitem"), ["l_orderkey", "l_suppkey"], ["l_linenumber"])[1]
 
 
-@query("SELECT 'rel_coocurrencia' AS table_name, 'persona1_id' AS column_name, 'persona' AS target, 0::BIGINT AS n_orphans UNION ALL SELECT 'rel_coocurrencia', 'persona2_id', 'persona', 0")
+def _integrity_sql() -> str:
+    """Edges whose end is a person ranked after 5, or any other known entity (none): the parents that r9 leaves out."""
+    parts = []
+    for t, c, target, _ in R.FOREIGN_KEYS:
+        end = "from_id" if c == R.ENDS[t][0] else "to_id"
+        lost = f"(SELECT count(*) FROM routed r JOIN top p ON p.case_id = r.case_id AND p.name = r.{end} AND p.kind = 'PERSONA' AND p.rank > 5 WHERE table_name = '{t}')" if target == "persona" else "0::BIGINT"
+        parts.append(f"SELECT '{t}' AS table_name, '{c}' AS column_name, '{target}' AS target, {lost} AS n_orphans")
+    return ROUTED + " " + " UNION ALL ".join(parts)
+
+
+@query(_integrity_sql())
 def r9_integrity(spark, sf):
-    e = _relations(spark, sf).filter("table_name = 'rel_coocurrencia'")
-    rel = e.select(R.key("PERSONA", F.col("from_id")).alias("persona1_id"), R.key("PERSONA", F.col("to_id")).alias("persona2_id"))
-    return R.integrity({"rel_coocurrencia": rel, "persona": _persona(spark, sf)})
+    """All twelve keys, with the persons ranked after 5 left out of their table: their relations are orphans."""
+    t = _whole(spark, sf)
+    tables = R.model(G.with_chunks(t["top"], views.long_form(t["mentions"])), t["findings"], t["facts"], t["edges"])
+    few = R.entity_tables(t["top"].filter("kind = 'PERSONA' and rank <= 5").withColumn("chunks", F.array().cast("array<string>")))["persona"]
+    by_case = {n: df.select(*(F.concat_ws("|", "case_id", c).alias(c) if c.endswith("_id") and c != "case_id" else c for c in df.columns)) for n, df in (tables | {"persona": few}).items()}
+    return R.integrity(by_case)
 
 
-@query(SLIM + ", r AS (SELECT CASE WHEN kind = 'coocurrencia' THEN 'rel_coocurrencia' ELSE 'rel_presente_lugar' END AS table_name FROM edges) SELECT table_name, count(*) AS n_rows FROM r GROUP BY 1 UNION ALL SELECT 'persona', count(*) FROM top WHERE kind = 'PERSONA'")
+COUNTED = ROUTED + """, counted AS (SELECT table_name, count(*) AS n_rows FROM routed GROUP BY 1 UNION ALL SELECT lower(kind), count(*) FROM top GROUP BY 1 UNION ALL SELECT 'hallazgo', count(*) FROM gfi UNION ALL SELECT 'hecho', count(*) FROM facts
+UNION ALL SELECT 'expediente', count(*) FROM (SELECT case_id, unnest(files) AS f FROM top UNION SELECT case_id, file FROM gfi))"""
+
+
+@query(COUNTED + " SELECT * FROM counted")
 def r10_table_counts(spark, sf):
-    r = _relations(spark, sf)
-    return corpus.manifest({"persona": _persona(spark, sf), **{t: r.filter(F.col("table_name") == t) for t in ("rel_coocurrencia", "rel_presente_lugar")}})
+    return corpus.manifest(_model(spark, sf))
+
+
+def _catalogue_sql() -> str:
+    foreign = {(t, c) for t, c, _, _ in R.FOREIGN_KEYS}
+    rows = ", ".join(f"('{t}', '{f.name}', '{f.dataType.simpleString()}', {i == 0}, {(t, f.name) in foreign})" for t in R.TABLES for i, f in enumerate(R.schema(t).fields))
+    return COUNTED + f", cat(table_name, column_name, type, is_pk, is_fk) AS (VALUES {rows}) SELECT cat.*, n_rows FROM cat JOIN counted USING (table_name)"
+
+
+@query(_catalogue_sql())
+def r18_catalogue(spark, sf):
+    return R.catalogue(spark).join(corpus.manifest(_model(spark, sf)), "table_name")
 
 
 @query("SELECT o_orderkey, coalesce(CASE WHEN c_custkey % 10 <> 0 THEN c_name END, '(sin nombre)') AS who FROM orders LEFT JOIN customer ON o_custkey = c_custkey")
@@ -547,9 +693,9 @@ def r14_page_count(spark, sf):
     return R.page_count(views.table(spark, sf, "lineitem"))
 
 
-@query("SELECT n_nationkey, n_name FROM nation")
+@query("SELECT * EXCLUDE (o_orderdate, o_totalprice) FROM orders")
 def r15_project(spark, sf):
-    return R.project(views.table(spark, sf, "nation"), hide=["n_regionkey"])
+    return R.project(views.table(spark, sf, "orders"), hide=["o_orderdate", "o_totalprice"])
 
 
 @query("SELECT DISTINCT source AS name, 'http://x/a/' || source AS link FROM documents WHERE doc_id % 2 = 0 OR TRUE")
@@ -562,7 +708,16 @@ def r16_link_files(spark, sf):
 @query("WITH " + views.MENTIONS + ", f AS (SELECT place, array_to_string(list_sort(list(DISTINCT file)), ', ') AS t FROM v_mentions GROUP BY 1) SELECT place, CASE WHEN length(t) > 100 THEN substr(t, 1, 100) || '...' ELSE t END AS shown FROM f")
 def r17_flatten_text(spark, sf):
     f = views.mentions(spark, sf).groupBy("place").agg(F.sort_array(F.collect_set(F.concat("file", F.lit(".txt")))).alias("files"))
-    return f.select("place", R.flatten_text("files", "array<string>").alias("shown"))
+    return f.select("place", R.flatten_text(f, "files", places=True).alias("shown"))
+
+
+@query("""WITH o AS (SELECT l_orderkey, list_sort(list({'f': 'T' || l_suppkey, 'c': l_linenumber})) AS p, count(*) AS n, min(l_shipdate)::DATE::VARCHAR AS d FROM lineitem GROUP BY 1),
+t AS (SELECT l_orderkey, array_to_string(list_transform(p, lambda x: x.f || ' - ' || x.c), ', ') AS places, 'n: ' || n || ' · first: since: ' || d || ' · tags: a, b' AS object FROM o)
+SELECT l_orderkey, CASE WHEN length(places) > 40 THEN substr(places, 1, 40) || '...' ELSE places END AS places, object FROM t""")
+def r17_flatten_objects(spark, sf):
+    line = views.table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct(F.concat(F.lit("T"), F.col("l_suppkey").cast("string"), F.lit(".TXT")).alias("f"), F.col("l_linenumber").alias("c")))).alias("p"), F.count("*").alias("n"), F.min("l_shipdate").cast("date").alias("d"))
+    rows = line.select("l_orderkey", "p", F.struct("n", F.struct(F.col("d").alias("since")).alias("first"), F.array(F.lit("a"), F.lit("b")).alias("tags")).alias("o"))
+    return rows.select("l_orderkey", R.flatten_text(rows, "p", places=True, most=40).alias("places"), R.flatten_text(rows, "o").alias("object"))
 
 
 # -- portfolio
@@ -583,11 +738,11 @@ def c2_shared_cases(spark, sf):
     return C.shared_cases(t["shares"], t["cases"], t["documents"], t["results"]).select("case_id", "user_id", "permission", "n_docs", "n_results")
 
 
-@query(CASE + ", req AS (SELECT case_id, case_id % 150 AS user_id FROM v_cases), ok AS (SELECT case_id, owner_id AS user_id FROM v_cases UNION SELECT case_id, user_id FROM v_shares) SELECT req.* FROM req SEMI JOIN ok USING (case_id, user_id)")
+@query(CASE + ", req AS (SELECT case_id, case_id % 150 AS user_id FROM v_cases), ok AS (SELECT case_id, owner_id AS user_id FROM v_cases UNION SELECT case_id, user_id FROM v_shares) SELECT req.* FROM req WHERE EXISTS (SELECT 1 FROM ok WHERE ok.case_id = req.case_id AND ok.user_id = req.user_id) OR user_id IN (SELECT user_id FROM v_users WHERE role = 'admin')")
 def c3_readable(spark, sf):
     t = views.cases(spark, sf)
     asked = t["cases"].select("case_id", (F.col("case_id") % 150).alias("user_id"))
-    return C.readable(asked, C.accessible(t["cases"], t["shares"]))
+    return C.readable(asked, C.accessible(t["cases"], t["shares"]), t["users"])
 
 
 @query(CASE + " SELECT case_id, document_id FROM v_docs WHERE case_id = (SELECT min(case_id) FROM v_docs)")
@@ -637,10 +792,26 @@ def c11_new_transactions(spark, sf):
     return C.new_transactions(o, o.filter("o_orderkey % 4 = 0")).select("o_orderkey", "fingerprint")
 
 
-@query(SLIM + ", a AS (SELECT case_id, count(*) AS n_nodes, sum(mentions)::BIGINT AS n_mentions FROM top GROUP BY 1), b AS (SELECT case_id, count(*) AS n_edges FROM edges GROUP BY 1) SELECT case_id, n_nodes, n_edges, n_nodes AS n_findings, n_mentions FROM a JOIN b USING (case_id)")
+@query(SLIM + """, a AS (SELECT case_id, count(*) AS n_nodes FROM nodes GROUP BY 1), b AS (SELECT case_id, count(*) AS n_edges FROM edges GROUP BY 1), t AS (SELECT case_id, count(*) AS n_entities, sum(mentions)::BIGINT AS n_mentions FROM top GROUP BY 1),
+f AS (SELECT case_id, count(*) AS n_findings, count_if(category = 'inconsistencias')::BIGINT AS n_inconsistencias, count_if(category = 'incongruencias')::BIGINT AS n_incongruencias, count_if(category = 'declaracion_vs_evidencia')::BIGINT AS n_declaracion_vs_evidencia FROM gfi GROUP BY 1),
+d AS (SELECT case_id, id, count(*) AS degree FROM (SELECT case_id, src AS id FROM edges UNION ALL SELECT case_id, dst FROM edges) GROUP BY ALL),
+c AS (SELECT case_id, string_agg(id || '=' || degree, ',' ORDER BY rank) AS top_connected FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY degree DESC, id) AS rank FROM d) WHERE rank <= 10 GROUP BY 1),
+g AS (SELECT case_id, string_agg("group" || '=' || n, ',' ORDER BY "group") AS groups FROM (SELECT case_id, "group", count(*) AS n FROM nodes GROUP BY ALL) GROUP BY 1)
+SELECT *, 'federal' AS jurisdiccion, 'causa' AS tipo_caso, case_id AS subtipo_caso FROM a JOIN b USING (case_id) JOIN t USING (case_id) JOIN f USING (case_id) JOIN c USING (case_id) JOIN g USING (case_id)""")
 def c12_summary_statistics(spark, sf):
-    top, n, e = _slim(spark, sf)
-    return C.summary_statistics(n, e, top, top)
+    g = _whole(spark, sf)
+    profiles = g["top"].select("case_id").distinct().select("case_id", F.lit("federal").alias("jurisdiccion"), F.lit("causa").alias("tipo_caso"), F.col("case_id").alias("subtipo_caso"))
+    out = C.summary_statistics(g["nodes"], g["edges"], g["findings"], g["top"], profiles)
+    shown = F.array_join(F.transform("top_connected", lambda x: F.concat_ws("=", x["id"], x["degree"].cast("string"))), ",")
+    groups = F.array_join(F.transform(F.map_entries("groups"), lambda x: F.concat_ws("=", x["key"], x["value"].cast("string"))), ",")
+    return out.withColumn("top_connected", shown).withColumn("groups", groups)
+
+
+@query(TRACES + ", a AS (SELECT case_id, alias, count(severity) AS n FROM t GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY alias)::INTEGER AS rank FROM a) SELECT case_id, rank, coalesce(s_name, alias) AS name, CASE WHEN n > 0 THEN 'role, actions, people, locations' ELSE 'role, people, locations' END AS parts FROM r LEFT JOIN supplier ON alias = 'P' || s_suppkey AND s_suppkey < 9 WHERE rank <= 10")
+def c13_traced_entities(spark, sf):
+    t = N.merge_traces(_traces(spark, sf))
+    names = views.table(spark, sf, "supplier").filter("s_suppkey < 9").select(F.concat(F.lit("P"), F.col("s_suppkey").cast("string")).alias("alias"), F.col("s_name").alias("real_name"))
+    return C.traced_entities(t, t.select("case_id").distinct().join(names, F.length("alias") > 0))
 
 
 @query(PAIRS + " SELECT * FROM (SELECT case_id, row_number() OVER (PARTITION BY case_id ORDER BY mentions DESC, name)::INTEGER AS rank, name, mentions, len(files)::INTEGER AS n_files FROM ent WHERE kind = 'PERSONA') WHERE rank <= 15")

@@ -32,10 +32,32 @@ MENTIONS = """v_mentions AS (SELECT o_orderpriority AS case_id, strftime(o_order
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN supplier ON l_suppkey = s_suppkey)"""
 
 
+def order_findings(found: DataFrame) -> DataFrame:
+    """A finding for each order with returned lines of mentions(), in its cases: the people are the lines' suppliers."""
+    got = found.filter("source = 'R'").groupBy("case_id", "file", "chunk").agg(F.sort_array(F.collect_set("person")).alias("people"))
+    category = F.element_at(F.array(F.lit("inconsistencias"), F.lit("incongruencias"), F.lit("declaracion_vs_evidencia")), (F.col("chunk") % 3 + 1).cast("int"))
+    severity = F.when(F.size("people") > 2, "alta").when(F.size("people") == 2, "media")
+    said = F.concat(F.lit("La orden "), F.col("chunk").cast("string"), F.lit(" volvió con "), F.size("people").cast("string"), F.lit(" proveedores"))
+    return got.select("case_id", category.alias("category"), F.col("chunk").alias("seq"), F.lit("devolucion").alias("type"), severity.alias("severity"), said.alias("description"), "people", F.struct("file", "chunk").alias("location"))
+
+
+ORDER_FINDINGS = """v_returns AS (SELECT case_id, ['inconsistencias', 'incongruencias', 'declaracion_vs_evidencia'][(chunk % 3 + 1)::INTEGER] AS category, chunk AS seq, file, CASE WHEN len(people) > 2 THEN 'alta' WHEN len(people) = 2 THEN 'media' END AS severity, 'La orden ' || chunk || ' volvió con ' || len(people) || ' proveedores' AS description, people
+FROM (SELECT case_id, file, chunk, list_sort(list(DISTINCT person)) AS people FROM v_mentions WHERE source = 'R' GROUP BY ALL))"""
+
+
+def victims(found: DataFrame) -> DataFrame:
+    """Mentions with a relation: the suppliers of returned lines that are still open."""
+    return found.filter("source = 'R' and role = 'O'").select("case_id", "file", "chunk", F.col("person").alias("name"), F.lit("devuelto").alias("relation"))
+
+
 def members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(case_id, chunk, file, source, role, kind, name), long form of mentions."""
+    return long_form(mentions(spark, sf_dir))
+
+
+def long_form(found: DataFrame) -> DataFrame:
+    """(case_id, chunk, file, source, role, kind, name): a row for each person, vehicle and place of mentions()."""
     each = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(c).alias("name")) for k, c in (("PERSONA", "person"), ("VEHICULO", "vehicle"), ("LUGAR", "place"))))).alias("m")
-    return mentions(spark, sf_dir).select("case_id", "chunk", "file", "source", "role", each).select("case_id", "chunk", "file", "source", "role", "m.kind", "m.name")
+    return found.select("case_id", "chunk", "file", "source", "role", each).select("case_id", "chunk", "file", "source", "role", "m.kind", "m.name")
 
 
 MEMBERS = MENTIONS + """, v_members AS (SELECT case_id, chunk, file, source, role, 'PERSONA' AS kind, person AS name FROM v_mentions UNION ALL SELECT case_id, chunk, file, source, role, 'VEHICULO', vehicle FROM v_mentions UNION ALL SELECT case_id, chunk, file, source, role, 'LUGAR', place FROM v_mentions)"""
@@ -47,11 +69,11 @@ def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     category = F.element_at(F.array(F.lit("inconsistencias"), F.lit("incongruencias"), F.lit("declaracion_vs_evidencia")), (F.col("doc_id") % 3 + 1).cast("int"))
     severity = F.when(F.col("toxic") == 1, "alta").when(F.col("quality") == 0, "media").when(F.col("quality") == 1, "baja")
     location = F.struct(F.col("source").alias("file"), F.col("doc_id").alias("chunk"))
-    return d.select(F.col("lang").alias("case_id"), category.alias("category"), F.col("doc_id").alias("seq"), F.lit("tipo").alias("type"), severity.alias("severity"), F.substring("text", 1, 200).alias("description"), F.array(F.concat(F.lit("P"), (F.col("doc_id") % 17).cast("string")), F.concat(F.lit("P"), (F.col("doc_id") % 5).cast("string"))).alias("people"), location.alias("location"))
+    return d.select(F.col("lang").alias("case_id"), category.alias("category"), F.col("doc_id").alias("seq"), F.lit("tipo").alias("type"), severity.alias("severity"), F.col("text").alias("description"), F.array(F.concat(F.lit("P"), (F.col("doc_id") % 17).cast("string")), F.concat(F.lit("P"), (F.col("doc_id") % 5).cast("string"))).alias("people"), location.alias("location"))
 
 
 FINDINGS = r"""v_findings AS (SELECT lang AS case_id, ['inconsistencias', 'incongruencias', 'declaracion_vs_evidencia'][(doc_id % 3 + 1)::INTEGER] AS category, doc_id AS seq, 'tipo' AS type,
-CASE WHEN toxic = 1 THEN 'alta' WHEN quality = 0 THEN 'media' WHEN quality = 1 THEN 'baja' END AS severity, substr(text, 1, 200) AS description, ['P' || doc_id % 17, 'P' || doc_id % 5] AS people, source AS file FROM documents LEFT JOIN labels USING (doc_id)),
+CASE WHEN toxic = 1 THEN 'alta' WHEN quality = 0 THEN 'media' WHEN quality = 1 THEN 'baja' END AS severity, text AS description, ['P' || doc_id % 17, 'P' || doc_id % 5] AS people, source AS file FROM documents LEFT JOIN labels USING (doc_id)),
 v_keyed AS (SELECT *, substr(lower(trim(regexp_replace(description, '\s+', ' ', 'g'))), 1, 80) AS key FROM v_findings)"""
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casewright.functions import fixed
@@ -80,10 +80,10 @@ def _flat(df: DataFrame) -> DataFrame:
 
 
 def export_tables(tables: dict[str, DataFrame], path: str) -> None:
-    """Each table as JSON and as quoted CSV with nested values as JSON text."""
+    """Each table as JSON and as quoted CSV (quotes doubled) with nested values as JSON text."""
     for name, df in tables.items():
         df.write.mode("overwrite").json(f"{path}/json/{name}")
-        _flat(df).write.mode("overwrite").option("quoteAll", True).option("header", True).csv(f"{path}/csv/{name}")
+        _flat(df).write.mode("overwrite").option("quoteAll", True).option("escape", '"').option("header", True).csv(f"{path}/csv/{name}")
 
 
 def manifest(tables: dict[str, DataFrame]) -> DataFrame:
@@ -128,7 +128,3 @@ def parse_json_like(df: DataFrame, column: str, out: str) -> DataFrame:
     """Strings that look like a JSON array or object as VARIANT, null for any other."""
     looks = F.trim(column).rlike(r"^[\[{]")
     return df.withColumn(out, F.when(looks, F.try_parse_json(column)))
-
-
-def file_order(docs: DataFrame, *, file: str = "file") -> DataFrame:
-    return docs.withColumn("seq", F.row_number().over(Window.partitionBy("case_id").orderBy(file)))

@@ -41,3 +41,35 @@ def test_relational_model(spark):
     assert relational.catalogue(spark).filter("is_fk").count() == len(relational.FOREIGN_KEYS)
     child = spark.createDataFrame([("a",), ("z",), (None,)], "k string")
     assert relational.orphans(child, "k", spark.createDataFrame([("a",)], "id string"), "id").first()[0] == 1
+
+
+def test_nested_values_as_text(spark):
+    df = spark.sql("select array(named_struct('f', 'T1.TXT', 'c', 3)) p, named_struct('a', 1, 'b', array('x', 'y'), 'c', cast(null as int)) o, map('k', array(1, 2)) m, array(array(1, 2), array(3)) l")
+    got = df.select(relational.flatten_text(df, "p", places=True).alias("p"), *(relational.flatten_text(df, c).alias(c) for c in "oml")).first()
+    assert tuple(got) == ("T1 - 3", "a: 1 · b: x, y · c: ", "k: 1, 2", "1 - 2, 3")
+    assert df.select(relational.flatten_text(df, "o", most=4)).first()[0] == "a: 1..."
+
+
+def test_admins_read_all(spark):
+    from casewright.operators import cases
+
+    c = spark.createDataFrame([(1, 10), (2, 11)], "case_id int, owner_id int")
+    shares = spark.createDataFrame([(2, 10)], "case_id int, user_id int")
+    users = spark.createDataFrame([(10, "user"), (12, "admin"), (12, "admin")], "user_id int, role string")
+    asked = spark.createDataFrame([(1, 10), (2, 10), (1, 11), (1, 12), (2, 12), (2, 13)], "case_id int, user_id int")
+    pairs = cases.accessible(c, shares)
+    assert sorted(map(tuple, cases.readable(asked, pairs).collect())) == [(1, 10), (2, 10)]
+    assert sorted(map(tuple, cases.readable(asked, pairs, users).collect())) == [(1, 10), (1, 12), (2, 10), (2, 12)]
+
+
+def test_model_has_the_declared_columns(spark):
+    entities = spark.createDataFrame([("c", k, n, 3, ["parte"], ["juez"], ["f.txt"], ["1"]) for k, n in (("PERSONA", "Ana Ruiz"), ("PERSONA", "Luis Sol"), ("LUGAR", "Sonora"), ("VEHICULO", "ABC-123"))], "case_id string, kind string, name string, mentions bigint, sources array<string>, roles array<string>, files array<string>, chunks array<string>")
+    found = spark.createDataFrame([("c", "HALLAZGO_001", "t", "alta", "x" * 900, ["Ana Ruiz"], ("g 2019.txt", 7))], "case_id string, finding_id string, type string, severity string, description string, people array<string>, location struct<file: string, chunk: int>")
+    facts = spark.createDataFrame([("c", 7, "g"), ("c", 7, "a")], "case_id string, chunk int, file string")
+    edges = spark.createDataFrame([("c", "HALLAZGO_001", "Ana Ruiz", "involucrado", 1, None), ("c", "Ana Ruiz", "HECHO_7", "victima", 1, "hija"), ("c", "Ana Ruiz", "Luis Sol", "juridica", 2, "juez"), ("c", "Ana Ruiz", "Sonora", "lugar_debil", 2, None)], "case_id string, src string, dst string, kind string, n bigint, label string")
+    t = relational.model(entities, found, facts, edges)
+    assert set(t) == set(relational.TABLES) and all(t[n].columns == ["case_id", *relational.schema(n).names] for n in t)
+    assert t["hallazgo"].first()["descripcion"] == "x" * 500 and t["hecho"].first()["archivo"] == "a"
+    assert tuple(t["rel_involucrado"].first())[2:] == ("PERSONA_Ana_Ruiz", "HALLAZGO_001") and t["rel_victima"].first()["tipo_relacion"] == "hija"
+    assert {r["n_orphans"] for r in relational.integrity(t).collect()} == {0} and relational.integrity(t).count() == 12
+    assert t["expediente"].filter("anio = '2019'").count() == 1 and t["persona"].first()["tipo_rol"] == "juez"

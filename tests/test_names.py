@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from casewright.functions import names
 
+# Names and the verdicts that the rules must give.
 PEOPLE = [
     ("David Zepeda", 560, True), ("Del\nMinisterio Público", 2, False), ("Décimo Primero", 2, False), ("Colectiva No", 16, False), ("General Adjunto", 16, False),
     ("Cuarto Especializado", 12, False), ("Pública Federal", 15, False), ("Fabiola Padilla Cruz", 105, True), ("Fabiola Padilla Cruz\nAgente", 11, True),
@@ -24,6 +25,15 @@ def test_vehicles(spark):
     assert df.withColumn("v", names.vehicle_validity(F.col("name"))).filter("v.valid <> expected").collect() == []
 
 
+def test_exact_accents(spark):
+    import unicodedata
+
+    rows = [("  Ýmir  Őszi ",), ("José\tÑandú",), ("Şule Y\u0301",), ("",), (None,), ("plain",)]
+    got = spark.createDataFrame(rows, "n string").select("n", names.normalize_name_exact(F.col("n")).alias("x")).collect()
+    plain = lambda t: "".join(c for c in unicodedata.normalize("NFD", " ".join(t.split())) if unicodedata.category(c) != "Mn").lower()
+    assert [r["x"] for r in got] == [None if n is None else plain(n) for (n,) in rows]
+
+
 def test_weak_and_slug(spark):
     rows = [("corto", True), (None, True), ("No se proporciona información del hecho en esta hoja", True), ("El testigo declara haber visto dos vehículos esa noche", False)]
     df = spark.createDataFrame(rows, "d string, expected boolean")

@@ -72,3 +72,21 @@ def test_enrich_survives_errors(spark):
 
     got = {r["request"]: (r["result"], r["error"]) for r in text.enrich(spark.createDataFrame([("a",), ("b",)], "request string"), call).collect()}
     assert got["a"] == ("1", None) and got["b"][1] == "KeyError: 'b'"
+
+
+def test_aliases_of_cases_stay_apart(spark):
+    rows = [("c", "f", i, f"Ana Ruiz y JUAN SOL {i}") for i in range(30)] + [("d", "f", 99, "ana ruiz"), (None, "f", 100, "Ana Ruiz"), ("e", "f", 101, None), ("c", "f", 5, "Ana Ruiz y JUAN SOL 5")]
+    docs = spark.createDataFrame(rows, "case_id string, file string, doc_id int, text string").withColumn("_salt", F.lit(1))
+    aliases = spark.createDataFrame([("c", "PERSONA", "PERSONA_001", "Ana Ruiz"), ("c", "PERSONA", "PERSONA_002", "Juan Sol"), ("d", "PERSONA", "PERSONA_001", "Ana Ruiz")], "case_id string, kind string, alias string, real_name string")
+    hidden = extract.pseudonymize(docs, aliases, group_chars=100)  # several groups a case
+    got = sorted((r["case_id"] or "", r["doc_id"], r["text"]) for r in hidden.collect())
+    assert got == sorted([("c", i, f"PERSONA_001 y PERSONA_002 {i}") for i in [*range(30), 5]] + [("d", 99, "PERSONA_001"), ("", 100, "Ana Ruiz"), ("e", 101, None)])
+    assert hidden.columns == docs.columns
+    back = {r["doc_id"]: r["text"] for r in extract.restore(hidden, aliases, group_chars=100).collect()}
+    assert back[7] == "Ana Ruiz y Juan Sol 7" and back[99] == "Ana Ruiz" and back[101] is None
+
+
+def test_chunks_keep_every_column(spark):
+    df = spark.createDataFrame([(1, "x" * 25, ["a"], None), (2, None, ["b"], 3), (3, "", [], 4)], "doc_id int, text string, tags array<string>, n int")
+    got = text.chunk_text(df, size=12, overlap=2, window=3).orderBy("chunk_no").collect()
+    assert [(r["doc_id"], r["tags"], r["n"], r["start"], r["end"], r["size"]) for r in got] == [(1, ["a"], None, 0, 12, 12), (1, ["a"], None, 10, 22, 12), (1, ["a"], None, 20, 25, 5)]
