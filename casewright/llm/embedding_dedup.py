@@ -164,7 +164,8 @@ def near_duplicates(table: DataFrame, *, threshold: float = 0.9, blocks: int = 4
         tell = (n > 0) | (every != every[root])
         return pa.table({"a": every[tell], "b": every[root][tell], "n": n[tell]})
 
-    told = cut(tiled(placed).groupBy(*CELL, "tile", "across").applyInArrow(run, "a bigint, b bigint, n bigint"))
+    # dealt anew: the join with the counts leaves all tiles of a cell in one task
+    told = cut(tiled(placed).repartition(*CELL, "tile", "across").groupBy(*CELL, "tile", "across").applyInArrow(run, "a bigint, b bigint, n bigint"))
     number = told.groupBy("a").agg(F.sum("n").alias("n")).withColumnRenamed("a", "rep")
     linked = components(told.filter("a <> b").select("a", "b")).withColumnRenamed("node", "rep")
     per = found.join(number, "rep", "left").join(linked, "rep", "left").select(F.col("v").alias("_v"), F.xxhash64("v").alias("_h"), (F.coalesce("n", F.lit(0)) + F.col("w") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
