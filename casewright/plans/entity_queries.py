@@ -658,7 +658,8 @@ def r10_table_counts(spark, sf):
 
 def _catalogue_sql() -> str:
     foreign = {(t, c) for t, c, _, _ in R.FOREIGN_KEYS}
-    rows = ", ".join(f"('{t}', '{f.name}', '{f.dataType.simpleString()}', {i == 0}, {(t, f.name) in foreign})" for t in R.TABLES for i, f in enumerate(R.schema(t).fields))
+    columns = {t: [c.split(" ") for c in ddl.split(", ")] for t, ddl in R.TABLES.items()}
+    rows = ", ".join(f"('{t}', '{c}', '{kind}', {i == 0}, {(t, c) in foreign})" for t in columns for i, (c, kind) in enumerate(columns[t]))
     return COUNTED + f", cat(table_name, column_name, type, is_pk, is_fk) AS (VALUES {rows}) SELECT cat.*, n_rows FROM cat JOIN counted USING (table_name)"
 
 
