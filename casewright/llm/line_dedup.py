@@ -44,15 +44,22 @@ def rarity(docs: DataFrame, text: str) -> list[int]:
 
 
 def token_keys(line: Column, ranks: list[int]) -> Column:
-    """Sorted distinct token keys of a line, the rarest first: BITS bits of rank, then hash (63 bits name a token)."""
-    table = F.split(F.lit(",".join(map(str, ranks))), ",").cast("array<bigint>")
+    """Sorted distinct token keys of a line, the rarest first: BITS bits of rank, then hash (63 bits name a token).
 
-    def of(w: Column) -> Column:
-        h = F.xxhash64(w)
+    Words are hashed once and ranked once they are distinct; no step yields a null, so Spark sorts primitive arrays.
+    """
+    table = F.split(F.lit(",".join(str(r << (63 - BITS)) for r in ranks)), ",").cast("array<bigint>")
+
+    def ranked(h: Column) -> Column:
         rank = F.element_at(table, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int") + 1)
-        return F.shiftleft(rank, 63 - BITS).bitwiseOR(F.shiftrightunsigned(h, BITS + 1))
+        return F.coalesce(rank, F.lit(0).cast("bigint")).bitwiseOR(F.shiftrightunsigned(h, BITS + 1))
+
+    hashes = F.array_remove(F.array_distinct(F.transform(words(line), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
+    return F.sort_array(F.transform(hashes, ranked))
+
 
-    return F.sort_array(F.array_remove(F.array_distinct(F.transform(words(line), of)), of(F.lit(""))))
+def has_word(line: Column) -> Column:
+    return F.trim(line, F.lit(" \t\x0b\f\r")) != ""
 
 
 WIDE = 96
@@ -75,7 +82,8 @@ def line_classes(docs: DataFrame, ranks: list[int], *, threshold: float = 0.8, k
     shuffled, as 31-bit hashes (equal hashes of different tokens cost a candidate, never a result).
     """
     lines = docs.filter(F.col(text).isNotNull()).select(F.col(key).alias("k"), F.xxhash64(text).alias("r"), F.posexplode(F.split(F.col(text), "\n", -1)).alias("l", "line"))
-    keyed = lines.select("k", "r", "l", token_keys(F.col("line"), ranks).alias("keys")).filter(F.size("keys") > 0)
+    # blank lines go before their words are looked for: a condition on the keys would compute these twice
+    keyed = lines.filter(has_word(F.col("line"))).select("k", "r", "l", token_keys(F.col("line"), ranks).alias("keys"))
     wide = F.size("keys") > WIDE
     prefix = F.slice("keys", F.lit(1), F.size("keys") - F.ceil(threshold * F.size("keys") - 1e-9).cast("int") + 1)
     small = F.transform(prefix, lambda k: k.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
@@ -174,7 +182,7 @@ def dedup_lines(docs: DataFrame, *, threshold: float = 0.8, key: str = "doc_id",
     kept = kept.groupBy(F.col("first.r").alias("_cw_r"), F.xxhash64("first.k").alias("_cw_h")).agg(F.collect_list("first.l").alias("_cw_keep"))
     lines = F.split(F.col("_cw_text"), "\n", -1)
     out = marked.join(kept, ["_cw_r", "_cw_h"], "left").withColumn("_cw_lines", lines)
-    bare = F.filter(F.transform("_cw_lines", lambda x, i: F.when(F.trim(x, F.lit(" \t\x0b\f\r")) == "", i)), lambda i: i.isNotNull())
+    bare = F.filter(F.transform("_cw_lines", lambda x, i: F.when(~has_word(x), i)), lambda i: i.isNotNull())
     out = out.withColumn("_cw_at", F.sort_array(F.concat(F.coalesce("_cw_keep", F.array().cast("array<int>")), bare)))
     out = out.withColumn("_cw_stays", F.transform("_cw_at", lambda i: F.element_at("_cw_lines", i + 1)))
     known = F.col("_cw_text").isNotNull()
