@@ -131,6 +131,8 @@ def candidate_pairs(classes: DataFrame, settled: DataFrame, threshold: float) ->
     index = index.select("key", "c", F.shiftleft("n", 32).bitwiseOR(F.col("i").cast("bigint")).alias("p"), "s", "u")
     side = lambda v: index.select(F.col("key").alias(f"key{v}"), *(F.col(k).alias(f"{k}{v}") for k in ("c", "p", "s", "u")))
     n, i = (lambda v: F.shiftright(f"p{v}", 32)), (lambda v: F.col(f"p{v}").bitwiseAND(F.lit(0xFFFFFFFF)))
+    # the smaller set, x, shares at least 2t / (1 + t) of its tokens, so a shorter prefix of it will do
+    short = i("x") <= n("x") - F.ceil(F.lit(2 * threshold / (1 + threshold)) * n("x") - 1e-9)
     need = F.ceil(F.lit(threshold / (1 + threshold)) * (n("x") + n("y")) - 1e-9)
     later = F.greatest("cx", "cy")
     s, u = F.col("sx").bitwiseXOR(F.col("sy")), F.col("ux").bitwiseXOR(F.col("uy"))
@@ -138,7 +140,7 @@ def candidate_pairs(classes: DataFrame, settled: DataFrame, threshold: float) ->
     keep = (n("x") < n("y")) | ((n("x") == n("y")) & (F.col("cx") < F.col("cy")))  # x: the smaller set
     keep &= (n("x") >= threshold * n("y") - 1e-9) & (F.least(n("x") - i("x"), n("y") - i("y")) >= need)
     keep &= (later.bitwiseAND(F.lit(1)) == 0) & (differ <= n("x") + n("y") - 2 * need)
-    found = side("x").join(side("y"), (F.col("keyx") == F.col("keyy")) & keep)
+    found = side("x").filter(short).join(side("y"), (F.col("keyx") == F.col("keyy")) & keep)
     return found.select(F.shiftright(F.least("cx", "cy"), 1).alias("a"), F.shiftright(F.greatest("cx", "cy"), 1).alias("b")).distinct()
 
 
