@@ -151,7 +151,8 @@ def near(pairs: DataFrame, texts: DataFrame, classes: DataFrame, ranks: list[int
     """
     asked = classes.join(pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct(), "cid")
     at = asked.groupBy(F.col("first.r").alias("_cw_r"), F.xxhash64("first.k").alias("_cw_h")).agg(F.collect_list(F.struct("cid", F.col("first.l").alias("l"))).alias("at"))
-    found = texts.join(at, ["_cw_r", "_cw_h"])
+    # written first, so that its size is known when the join with the texts is planned
+    found = texts.join(stage_table(at, "lines-asked"), ["_cw_r", "_cw_h"])
     each = found.select(F.split("_cw_text", "\n", -1).alias("lines"), F.explode("at").alias("p"))
     line = each.select("p.cid", F.element_at("lines", F.col("p.l") + 1).alias("line"))
     sets = stage_table(line.groupBy("cid").agg(F.first("line").alias("line")).select("cid", token_keys(F.col("line"), ranks).alias("keys")), "line-sets")
