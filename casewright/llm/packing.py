@@ -29,6 +29,7 @@ CACHED_TOKENS = 800_000
 # Fixed value: the pattern by which byte-level BPE files of this family cut a text before merging.
 PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 ROWS_PER_SALT = 50_000
+LEAST_SALTS = 256
 
 
 class WordTokenizer:
@@ -235,7 +236,7 @@ def pack(tokens: DataFrame, *, window: int = 2048, key: str = "doc_id") -> DataF
     found = plan(counts, window)
     slots = _slots(found, window)
     planned = int(found[:, 3].sum()) if len(found) else 0
-    salts = max(8, -(-total // ROWS_PER_SALT))
+    salts = max(LEAST_SALTS, -(-total // ROWS_PER_SALT))
     salt = F.pmod(F.xxhash64("uid"), F.lit(salts))
 
     full = running_total(sizes.filter("whole > 0"), "whole", "_before", salt, ["uid"])
@@ -268,7 +269,7 @@ def pack(tokens: DataFrame, *, window: int = 2048, key: str = "doc_id") -> DataF
     beyond = ranked.filter(F.col("rank") >= F.element_at(F.lit(slots["taken"].tolist()), F.col("rest").cast("int") + 1))
     beyond = beyond.select("uid", (F.col("n_tokens") - F.col("rest")).alias("start"), F.col("rest").alias("length"))
     left = int((counts - slots["taken"]).clip(0).sum())
-    tail = running_total(beyond, "length", "_at", F.pmod(F.xxhash64("uid", F.lit("rest")), F.lit(max(1, -(-left // ROWS_PER_SALT)))), ["uid"])
+    tail = running_total(beyond, "length", "_at", F.pmod(F.xxhash64("uid", F.lit("rest")), F.lit(max(LEAST_SALTS, -(-left // ROWS_PER_SALT)))), ["uid"])
     head = F.least(F.col("length"), window - F.col("_at") % window)
     tail = tail.withColumn("_head", head).select("uid", F.explode(F.array(
         F.struct(F.col("start"), F.col("_head").alias("length"), (F.expr(f"_at div {window}") + whole + planned).alias("sequence_id"), (F.col("_at") % window).alias("offset")),
