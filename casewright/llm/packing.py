@@ -24,36 +24,32 @@ from pyspark.sql import functions as F
 
 from casewright.llm.shared import running_total, stage_table
 
-CACHED_WORDS = 400_000
 CACHED_TOKENS = 800_000
+#: A run of white space as long as this goes to the tokenizers library: tiktoken's pattern gives up at about a million.
+WHITE_RUN = 10_000
 # Fixed value: the pattern by which byte-level BPE files of this family cut a text before merging.
 PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 ROWS_PER_SALT = 50_000
 LEAST_SALTS = 256
 
 
-class WordTokenizer:
-    """Ids by a byte-level BPE file of the tokenizers library, from a cache of distinct words.
+class TextTokenizer:
+    """Ids of whole texts by a byte-level BPE file of the tokenizers library.
 
-    The file's pre-tokenizer never joins what stands before a single space with the space or what follows, if neither
-    neighbour of the space is white space; there a text is cut, and words new to the cache are encoded once. Where the
-    file's merges come in the order of their ids, ranks say the same as merges, and the tiktoken library applies them
-    (three times as fast on single words); else the tokenizers library does, pre-token by pre-token.
+    Where the file's merges come in the order of their ids, ranks say the same as merges, and the tiktoken library
+    applies them to whole texts; else the tokenizers library encodes each distinct pre-token once.
     """
 
-    gap = re.compile(r"(?<=\S) (?=\S)")
-    wide = re.compile(r"\s |\s$| \s|^\s")
-
     def __init__(self, model: bytes):
         import regex
         from tokenizers import Tokenizer
 
         self.pieces = regex.compile(PRE_TOKENS).findall
+        self.spaces = re.compile(r"\s+").finditer
         self.tokens: dict[str, bytes] = {}
         self.bpe = Tokenizer.from_str(model.decode())
         self.bpe.encode_special_tokens = True
         self.vocabulary = self.bpe.get_vocab_size()
-        self.cache: dict[str, bytes] = {}
         self.ranked = self._ranked(json.loads(model))
 
     @staticmethod
@@ -74,41 +70,33 @@ class WordTokenizer:
             return None
         return tiktoken.Encoding("file", pat_str=PRE_TOKENS, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
-    def words(self, text: str) -> list[str]:
-        parts = self.gap.split(text) if self.wide.search(text) else text.split(" ")
-        return [parts[0], *(" " + p for p in parts[1:])]
-
-    def encode(self, texts: list[str], end: int) -> list[bytes]:
-        """The ids of each text and the end id, as little-endian unsigned 32-bit integers."""
-        cut_up = [self.words(t) if t else [] for t in texts]
-        new = set().union(*cut_up) - self.cache.keys()
-        if len(self.cache) + len(new) > CACHED_WORDS:
-            self.cache.clear()
-            new = set().union(*cut_up)
+    def _whole(self, text: str) -> list[int]:
+        if len(text) >= WHITE_RUN and any(m.end() - m.start() >= WHITE_RUN for m in self.spaces(text)):
+            return self.bpe.encode(text, add_special_tokens=False).ids
+        return self.ranked(text)
+
+    def encode(self, texts: list[str], end: int, width: str = "<u4") -> list[bytes]:
+        """The ids of each text and the end id, as integers of numpy type `width`, one after the other."""
+        last = np.array([end], width).tobytes()
         if self.ranked:
-            for w in new:
-                self.cache[w] = np.array(self.ranked(w), "<u4").tobytes()
-            new = set()
-        cut_new = [self.pieces(w) for w in new]
-        missing = set().union(*cut_new) - self.tokens.keys()
+            return [np.array(self._whole(t), width).tobytes() + last for t in texts]
+        cut_up = [self.pieces(t) for t in texts]
+        missing = set().union(*cut_up) - self.tokens.keys()
         if len(self.tokens) + len(missing) > CACHED_TOKENS:
             self.tokens.clear()
-            missing = set().union(*cut_new)
+            missing = set().union(*cut_up)
         todo = list(missing)
         for a in range(0, len(todo), 20_000):
             part = todo[a : a + 20_000]
             for token, got in zip(part, self.bpe.encode_batch_fast(part, add_special_tokens=False)):
                 self.tokens[token] = np.array(got.ids, "<u4").tobytes()
-        ids = self.tokens.__getitem__
-        for word, tokens in zip(new, cut_new):
-            self.cache[word] = b"".join(map(ids, tokens))
-        get, last = self.cache.__getitem__, np.array([end], "<u4").tobytes()
-        return [b"".join(map(get, w)) + last for w in cut_up]
+        joined = (b"".join(map(self.tokens.__getitem__, cut)) for cut in cut_up)
+        return [np.frombuffer(ids, "<u4").astype(width).tobytes() + last for ids in joined]
 
 
 @lru_cache(maxsize=2)
-def _tokenizer(model: bytes) -> WordTokenizer:
-    return WordTokenizer(model)
+def _tokenizer(model: bytes) -> TextTokenizer:
+    return TextTokenizer(model)
 
 
 def tokenize(docs: DataFrame, model: bytes, end: int, *, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -130,10 +118,9 @@ def tokenize(docs: DataFrame, model: bytes, end: int, *, key: str = "doc_id", te
         for batch in batches:
             for a in range(0, batch.num_rows, 1000):
                 part = batch.slice(a, 1000)
-                ids = t.encode([x or "" for x in part.column(1).to_pylist()], end)
-                n = [len(x) // 4 for x in ids]
-                small = ids if width == "<u4" else [np.frombuffer(x, "<u4").astype(width).tobytes() for x in ids]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(small, pa.binary()), pa.array(n, pa.int64())], names=["_key", "_ids", "n_tokens"])
+                ids = t.encode([x or "" for x in part.column(1).to_pylist()], end, width)
+                n = [len(x) // np.dtype(width).itemsize for x in ids]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), pa.array(n, pa.int64())], names=["_key", "_ids", "n_tokens"])
 
     got = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).mapInArrow(run, f"_key {kind}, _ids binary, n_tokens bigint")
     return got.select(F.monotonically_increasing_id().alias("uid"), F.col("_key").alias(key), F.col("_ids").alias("ids"), "n_tokens")

@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -25,6 +26,7 @@ def test_piece_bpe_equals_the_library(monkeypatch):
     m = piece_bpe.PieceModel(model)
     expected = sp.encode(TEXTS)
     got = m.encode(TEXTS)
+    assert [g.tolist() for g in m.encode(whole_texts())] == sp.encode(whole_texts())
     assert [g.tolist() for g in got] == expected
     assert m.decode(np.concatenate(got), np.array([len(g) for g in got])) == [sp.decode(x) for x in expected]
     monkeypatch.setattr(piece_bpe, "LONG_UNIT", 4)
@@ -42,18 +44,26 @@ def test_piece_bpe_in_spark(spark):
     assert piece_bpe.encode(df.limit(0), model).count() == 0
 
 
-def test_word_tokenizer_equals_the_library():
+def whole_texts():
+    rows = pq.read_table("/root/testdata/sf0.001/documents.parquet", columns=["text", "lang"]).to_pylist()
+    assert len({r["lang"] for r in rows}) > 3
+    return [r["text"] or "" for r in rows]
+
+
+def test_text_tokenizer_equals_the_library():
     from tokenizers import Tokenizer
 
     raw = tokenizer_file(TOKENIZER)
     t = Tokenizer.from_str(raw.decode())
     t.encode_special_tokens = True
-    expected = [e.ids + [1] for e in t.encode_batch(TEXTS, add_special_tokens=False)]
-    w = packing.WordTokenizer(raw)
+    texts = TEXTS + whole_texts() + ["a" + " " * 1_200_000 + "b", "\n" * 1_100_000, "a  b\u00a0\u2003 c\x1c\x85d " * 3_000, "xy" * 200_000]
+    expected = [e.ids + [1] for e in t.encode_batch(texts, add_special_tokens=False)]
+    w = packing.TextTokenizer(raw)
     assert w.ranked
-    assert [np.frombuffer(x, "<u4").tolist() for x in w.encode(TEXTS, 1)] == expected
-    w.ranked, w.cache = None, {}
-    assert [np.frombuffer(x, "<u4").tolist() for x in w.encode(TEXTS, 1)] == expected
+    assert [np.frombuffer(x, "<u4").tolist() for x in w.encode(texts, 1)] == expected
+    assert [np.frombuffer(x, "<u2").tolist() for x in w.encode(texts, 1, "<u2")] == expected
+    w.ranked = None
+    assert [np.frombuffer(x, "<u4").tolist() for x in w.encode(texts, 1)] == expected
 
 
 def test_plan_serves_the_histogram():
@@ -72,7 +82,7 @@ def test_packing_is_whole(spark, hot):
     df = spark.createDataFrame(rows, "doc_id int, text string").withColumn("uid", F.lit(1)).withColumn("start", F.lit("clash"))
     raw = tokenizer_file(TOKENIZER)
     got = packing.pack_documents(df, raw, end=1, window=256).withColumn("crc", F.crc32("ids")).collect()
-    w = packing.WordTokenizer(raw)
+    w = packing.TextTokenizer(raw)
     ids = [np.frombuffer(x, "<u4") for x in w.encode([t or "" for _, t in rows], 1)]
     assert sum(r["length"] for r in got) == sum(map(len, ids))
     assert all(zlib.crc32(bytes(r["ids"])) == r["crc"] and len(r["ids"]) == 4 * r["length"] and 0 < r["length"] <= 256 for r in got)
