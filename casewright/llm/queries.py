@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casewright.llm import embedding_dedup, hnsw, language_id, licenses, line_dedup, packing, pii, piece_bpe, simhash, toxicity
+from casewright.llm import embedding_dedup, hard_negatives, hnsw, language_id, licenses, line_dedup, packing, pii, piece_bpe, simhash, toxicity, vector_codes, warc
 from casewright.llm.shared import crc_bucket
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -87,8 +87,22 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs.drop("lang"), model).select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive(spark.read.parquet(f"{sf_dir}/pages.parquet")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table.withColumn("label", label), F.col("vec_id") % 50 == 0, scale=256, positives=5, negatives=3, low=50, high=95)
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), scale=1024, parts=4, entries=256, rounds=4)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_packing, op2_license_scan, op3_simhash, op4_hnsw, op5_piece_bpe, op6_line_dedup, op7_pii, op8_embedding_dedup, op9_toxicity, op10_language_id]
+    found = [op1_packing, op2_license_scan, op3_simhash, op4_hnsw, op5_piece_bpe, op6_line_dedup, op7_pii, op8_embedding_dedup, op9_toxicity, op10_language_id, op11_warc, op12_hard_negatives, op13_vector_codes]
     return {f.__name__: f for f in found}
 
 
