@@ -282,10 +282,11 @@ def compress(table: DataFrame, *, key: str = "vec_id", label: str = "label", vec
     fine = F.col(key).isNotNull() & F.coalesce(finite(F.col(vector)), F.lit(False))
     rows = table.filter(fine).select(F.col(key).cast("long").alias("id"), F.coalesce(F.concat(F.lit("="), F.col(label).cast("string")), F.lit("null")).alias("label"), F.col(vector).cast("array<double>").alias("v"))
     rows = stage_table(rows.withColumn("uid", F.monotonically_increasing_id()), "code-vectors")
-    first = rows.orderBy("id", "v").select("id", "v").limit(entries).collect()  # `entries` rows
-    dim = len(first[0]["v"]) if first else 0
+    lead = rows.orderBy("id", "v").select(F.size("v").alias("dim")).first()
+    dim = lead["dim"] if lead else 0
     rows = rows.filter(F.size("v") == dim)
-    whole = scaled(np.array([r["v"] for r in first if len(r["v"]) == dim], float).reshape(-1, dim), scale)
+    first = rows.orderBy("id", "v").select("v").limit(entries).collect()  # `entries` rows
+    whole = scaled(np.array([r["v"] for r in first], float).reshape(len(first), dim), scale)
     edges = part_edges(dim, parts)
     books = [whole[:, a:b].copy() for a, b in zip(edges, edges[1:])]
     staged = stage_table(shards(rows, parts, scale, rows.count()), "code-trees")
