@@ -41,7 +41,7 @@ def sha1_base32(data: bytes) -> str:
 
 def _write(files: DataFrame, path: str, end: str) -> None:
     """One compressed file for each row's bytes; `end` is the separator that the sink puts after a row."""
-    files.select(F.col("content").cast("string")).write.option("maxRecordsPerFile", 1).option("compression", "gzip").option("lineSep", end).text(path)
+    files.select(F.col("content").cast("string")).write.option("maxRecordsPerFile", 1).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").option("lineSep", end).text(path)
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
