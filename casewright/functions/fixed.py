@@ -15,12 +15,18 @@ Declaración Testimonio Expediente Causa Proceso Juicio Sumario
 # Titles before a name.
 TITLES = r"(?:Cabo|Agente|Oficial|Inspector|Comandante|Capit[áa]n|Teniente|Sargento|Subdirector|Director|Doctor|Dr\.|Lic\.|Licenciado|Mtro\.|Maestro|Abogado|Defensor|Fiscal|Magistrado|Magistrada|Juez|Jueza|Actuario)"
 TITLED_NAME = rf"\b({TITLES}\s+(?:[A-ZÁÉÍÓÚÑ][a-záéíóúñ]+\s+){{1,4}}[A-ZÁÉÍÓÚÑ][a-záéíóúñ]+)(?![\p{{L}}\p{{N}}_])"
+# Two to five capitalised words.
 _WORD = r"(?:[A-ZÁÉÍÓÚÑ][a-záéíóúñ]{2,15}|[A-ZÁÉÍÓÚÑ]{3,15})"
 CONNECTORS = ("de", "del", "la", "los", "las", "y")
 CAPITALISED = rf"(?<![\p{{L}}\p{{N}}_])({_WORD}(?:\s+(?:de|del|de\s+la|de\s+los|y|la|las)\s+)?(?:\s+{_WORD}){{1,4}})(?![\p{{L}}\p{{N}}_])"
 #: The corrected form: one connector between two words may stand with single spaces.
 CAPITALISED_CONNECTED = rf"(?<![\p{{L}}\p{{N}}_])({_WORD}(?:\s+(?:(?:de\s+la|de\s+los|de|del|y|la|las)\s+)?{_WORD}){{1,4}})(?![\p{{L}}\p{{N}}_])"
-INITIALS = r"\b([A-Z]\.\s*[A-Z]\.?\s*[A-Z]?\.?)"
+#: A word boundary as Unicode has it: \\b of Java reads ASCII only from version 19 on.
+EDGE = r"(?:(?<=[\p{L}\p{N}_])(?![\p{L}\p{N}_])|(?<![\p{L}\p{N}_])(?=[\p{L}\p{N}_]))"
+_SPACE = r"[\s\x1c-\x1f\x85\p{Z}]*"
+# Fixed value: initials of two or three names, between word boundaries.
+INITIALS = rf"{EDGE}([A-Z]\.{_SPACE}[A-Z]\.?{_SPACE}[A-Z]?\.?){EDGE}"
+# Kinds of vehicles with a property, and number plates.
 VEHICLE_PATTERNS = (
     r"(?iu)(?:veh[íi]culo|autom[óo]vil|camioneta|motocicleta|cami[óo]n)\s+(?:marca|tipo|modelo|color)\s+([\p{L}][\p{L}0-9\-\s]{2,40})",
     r"\b([A-Z]{3}-?\d{3,4})\b",

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from casewright.functions import fixed
+from casewright.operators.components import stage_table
 
 
 def titled_names(text: Column) -> Column:
@@ -103,56 +108,102 @@ def alias_stats(aliases: DataFrame) -> DataFrame:
     return per.join(files, "case_id", "left")
 
 
-class Replacer:
-    """One pass over a text: word runs looked up longest first, so cost doesn't grow with the number of names."""
+WORD = re.compile(r"\w+")
+
+
+def lowered(text: str) -> str:
+    """text in lower case, character by character, so places stay."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
 
-    words = re.compile(r"\w+(?:[^\w\s]\w+)*", re.UNICODE)
+
+class Replacer:
+    """One pass over a text: at every word boundary names are looked up by their first word, the longest first, so cost
+    doesn't grow with the number of names. A name stands between word boundaries; one that begins with another sign than
+    a word's has its boundary at the end of a word."""
 
     def __init__(self, table: dict[str, str]):
         self.table = table
-        self.most: dict[str, list[int]] = {}
+        self.sizes: dict[str, list[int]] = {}
         for name in table:
-            parts = self.words.findall(name)
-            if parts:
-                sizes = self.most.setdefault(parts[0], [])
+            if name:
+                first = WORD.match(name)
+                sizes = self.sizes.setdefault(first.group() if first else name[0], [])
                 if len(name) not in sizes:
                     sizes.append(len(name))
-        for sizes in self.most.values():
+        for sizes in self.sizes.values():
             sizes.sort(reverse=True)
+        self.signs = {first for first in self.sizes if not WORD.match(first)}
+
+    def _end(self, low: str, a: int, first: str) -> int:
+        """Where the longest name that begins at a ends, or -1."""
+        for size in self.sizes.get(first, ()):
+            b = a + size
+            if low[a:b] in self.table and b <= len(low) and (b == len(low) or WORD.match(low[b]) is None) == (WORD.match(low[b - 1]) is not None):
+                return b
+        return -1
 
     def __call__(self, text: str | None) -> str | None:
         if not text:
             return text
-        low = text.lower()
-        if len(low) != len(text):
-            low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
-        out, at, end = [], 0, len(low)
-        for m in self.words.finditer(low):
-            a = m.start()
-            if a < at:
-                continue
-            for size in self.most.get(m.group(), ()):
-                b = a + size
-                if b <= end and low[a:b] in self.table and (b == end or not (low[b].isalnum() or low[b] == "_")):
-                    out += [text[at:a], self.table[low[a:b]]]
-                    at = b
-                    break
+        low = lowered(text)
+        out, at = [], 0
+        for m in WORD.finditer(low):
+            for a, first in ((m.start(), m.group()), (m.end(), low[m.end() : m.end() + 1] if self.signs else "")):
+                if a >= at and first and (a == m.start() or first in self.signs):
+                    b = self._end(low, a, first)
+                    if b >= 0:
+                        out += [text[at:a], self.table[low[a:b]]]
+                        at = b
         out.append(text[at:])
         return "".join(out)
 
 
-def _by_case(docs: DataFrame, table: DataFrame, change, text: str, group_chars: int) -> DataFrame:
-    """docs with text = change(table of the case as pandas)(text): documents and tables meet by a grouped join.
+def _hashed(words: list[str]) -> np.ndarray:
+    return np.array([int.from_bytes(hashlib.blake2b(w.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True) for w in words], np.int64)
+
+
+def _pair(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """One number for two neighbouring words; a lone word's second is 0. Overflow wraps."""
+    return first * np.int64(-7046029254386353131) + second
+
 
-    A case's documents are dealt over so many salts that a group has about `group_chars` characters; only the table of
-    a case with more than one salt is repeated, once a salt. Nothing runs while the plan is built.
+def name_keys(names: list[str]) -> list[int]:
+    """Of each lower-case name the number of its first two words, by which it meets the texts that hold these."""
+    words = [WORD.findall(n)[:2] for n in names]
+    one = _hashed([w[0] if w else "" for w in words])
+    two = np.where(np.array([len(w) > 1 for w in words], bool), _hashed([w[1] if len(w) > 1 else "" for w in words]), 0)
+    return _pair(one, two).tolist()
+
+
+def text_keys(texts: list[str | None]) -> np.ndarray:
+    """The distinct numbers of all words and all pairs of neighbouring words of the texts, and of a name without words."""
+    lists = [WORD.findall(lowered(t)) for t in texts if t]
+    flat = [w for words in lists for w in words]
+    code, distinct = pd.factorize(np.array(flat, object))
+    hashes = _hashed(list(distinct))
+    ends = np.cumsum([len(words) for words in lists], dtype=np.int64)
+    inner = np.ones(max(len(flat) - 1, 0), bool)
+    inner[ends[:-1][(ends[:-1] > 0) & (ends[:-1] < len(flat))] - 1] = False
+    pairs = np.unique(code[:-1][inner].astype(np.int64) * len(distinct) + code[1:][inner])
+    both = _pair(hashes[pairs // max(1, len(distinct))], hashes[pairs % max(1, len(distinct))]) if len(pairs) else np.zeros(0, np.int64)
+    return np.unique(np.concatenate([_pair(hashes, np.int64(0)), both, _pair(_hashed([""]), np.int64(0))]))
+
+
+def _by_case(docs: DataFrame, table: DataFrame, keys, change, text: str, group_chars: int) -> DataFrame:
+    """docs with text = change(rows of the case's table as pandas)(text): documents and tables meet by a grouped join.
+
+    A case's documents are dealt over so many salts that a group has about `group_chars` characters. keys(dealt) gives
+    the distinct (case_id, _cw_salt, _cw_k) that its texts hold, and a group gets those rows of the table (case_id,
+    _cw_k, …) whose key it holds, so a case's table never travels whole. Nothing runs while the plan is built.
     """
     chars = docs.groupBy("case_id").agg(F.ceil(F.sum(F.coalesce(F.length(text), F.lit(0)) + 1) / group_chars).cast("int").alias("_cw_salts"))
     named = chars.withColumnRenamed("case_id", "_cw_case")
-    salted = lambda df: df.join(named, F.col("case_id").eqNullSafe(F.col("_cw_case"))).drop("_cw_case")
-    rows = salted(table).select(F.col("case_id").alias("_cw_key"), F.explode(F.sequence(F.lit(0), F.col("_cw_salts") - 1)).alias("_cw_part"), *(F.col(c).alias(f"_cw_{c}") for c in table.columns if c != "case_id"))
+    salted = docs.join(named, F.col("case_id").eqNullSafe(F.col("_cw_case"))).drop("_cw_case")
     columns = F.struct(*docs.columns)
-    dealt = salted(docs).select(F.col("case_id"), F.pmod(F.xxhash64("doc_id" if "doc_id" in docs.columns else columns), F.col("_cw_salts")).cast("int").alias("_cw_salt"), *(F.col(c) for c in docs.columns if c != "case_id"))
+    dealt = salted.select(F.col("case_id"), F.pmod(F.xxhash64("doc_id" if "doc_id" in docs.columns else columns), F.col("_cw_salts")).cast("int").alias("_cw_salt"), *(F.col(c) for c in docs.columns if c != "case_id"))
+    held = keys(dealt).select(F.col("case_id").alias("_cw_key"), F.col("_cw_salt").alias("_cw_part"), F.col("_cw_k").alias("_cw_held"))
+    rows = held.join(table, F.col("_cw_key").eqNullSafe(F.col("case_id")) & (F.col("_cw_held") == F.col("_cw_k"))).drop("case_id", "_cw_held")
     schema = docs.schema
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -161,27 +212,74 @@ def _by_case(docs: DataFrame, table: DataFrame, change, text: str, group_chars:
     return dealt.groupBy("case_id", "_cw_salt").cogroup(rows.groupBy("_cw_key", "_cw_part")).applyInPandas(run, schema)
 
 
+def _slots(table: DataFrame) -> tuple[int, np.ndarray]:
+    """(bits, bitmap): which of 2**bits slots the table's keys fall into; 64 slots a name, at most 2**27 (16 MB)."""
+    bits = min(27, max(10, (64 * table.count()).bit_length()))
+    slot = F.pmod("_cw_k", F.lit(2**bits))
+    words = table.groupBy(F.floor(slot / 64).cast("int").alias("at")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(_cw_k, {2**bits}L) % 64 as int))")).alias("word")).toArrow()
+    bitmap = np.zeros(2 ** (bits - 6), np.int64)
+    bitmap[words.column("at").to_numpy()] = words.column("word").to_numpy()
+    return bits, bitmap
+
+
 def pseudonymize(docs: DataFrame, aliases: DataFrame, *, text: str = "text", group_chars: int = 8_000_000) -> DataFrame:
-    """docs whose texts have aliases for names: case-insensitive, whole words, the longest name first.
+    """docs whose texts have aliases for names: case-insensitive, at every word boundary, the longest name first.
 
-    A document needs only the aliases of its case; one without any keeps its text, and a null text stays null.
+    Of names equal in lower case a person's wins, then the alias with the larger number. A document needs only the
+    aliases of its case; one without any keeps its text, and a null text stays null. A group of texts gets the names
+    whose first two words stand side by side in it; texts tell only those pairs of words that a bitmap of the names'
+    pairs (at most 16 MB) lets pass. The lower-case names are written and the bitmap is made when this is called.
     """
-    order = F.struct(F.when(F.col("kind") == "PERSONA", 1).otherwise(0), F.col("alias"))
-    lowered = aliases.withColumn("low", F.lower("real_name")).groupBy("case_id", "low").agg(F.max_by("alias", order).alias("alias"))
-    return _by_case(docs, lowered, lambda t: Replacer(dict(zip(t["_cw_low"], t["_cw_alias"]))), text, group_chars)
+    number = F.expr("try_cast(regexp_extract(alias, '([0-9]+)$', 1) as decimal(38, 0))")
+    order = F.struct(F.when(F.col("kind") == "PERSONA", 1).otherwise(0), number, F.col("alias"))
+    case_type = dict(aliases.dtypes)["case_id"]
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            low = [lowered(n) for n in batch.column("name").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("case_id"), pa.array(name_keys(low), pa.int64()), pa.array(low, pa.string()), batch.column("alias"), batch.column("order")], names=["case_id", "_cw_k", "low", "alias", "order"])
+
+    named = aliases.filter("real_name <> ''").select("case_id", F.col("real_name").alias("name"), "alias", order.alias("order"))
+    kinds = f"case_id {case_type}, _cw_k bigint, low string, alias string, order {named.schema['order'].dataType.simpleString()}"
+    table = stage_table(named.mapInArrow(keyed, kinds).groupBy("case_id", "_cw_k", "low").agg(F.max_by("alias", "order").alias("alias")), "names")
+    bits, bitmap = _slots(table)
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
+
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            place = pd.DataFrame({"c": batch.column(0).to_pylist(), "s": batch.column(1).to_pylist()}, dtype=object)
+            texts = batch.column(2).to_pylist()
+            for at in place.groupby(["c", "s"], dropna=False, sort=False).indices.values():
+                k = text_keys([texts[i] for i in at])
+                slot = k & np.int64(2**bits - 1)
+                k = k[(shared.value[slot >> 6] >> (slot & 63)) & 1 == 1]
+                if len(k):
+                    first = pa.array(np.full(len(k), at[0]))
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(first), batch.column(1).take(first), pa.array(k)], names=["case_id", "_cw_salt", "_cw_k"])
+
+    def keys(dealt: DataFrame) -> DataFrame:
+        return dealt.select("case_id", "_cw_salt", text).mapInArrow(tell, f"case_id {dict(docs.dtypes)['case_id']}, _cw_salt int, _cw_k bigint").distinct()
+
+    return _by_case(docs, table, keys, lambda t: Replacer(dict(zip(t["low"], t["alias"]))), text, group_chars)
 
 
 _ALIAS = re.compile(r"(?:PERSONA|VEHICULO)_[0-9]+")
 
 
 def restore(docs: DataFrame, aliases: DataFrame, *, text: str = "text", group_chars: int = 8_000_000) -> DataFrame:
-    """docs whose texts have real names for aliases: tokens of the form KIND_digits, unknown ones stay."""
+    """docs whose texts have real names for aliases: tokens of the form KIND_digits, unknown ones stay. A group of texts
+    gets the aliases that stand in it; an alias with two names has the first by name."""
 
     def change(table: pd.DataFrame):
-        names = dict(zip(table["_cw_alias"], table["_cw_real_name"]))
+        names = dict(zip(table["_cw_k"], table["real_name"]))
         return lambda t: _ALIAS.sub(lambda m: names.get(m.group(), m.group()), t) if isinstance(t, str) else t
 
-    return _by_case(docs, aliases.select("case_id", "alias", "real_name"), change, text, group_chars)
+    def keys(dealt: DataFrame) -> DataFrame:
+        found = F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(_ALIAS.pattern), F.lit(0)))
+        return dealt.select("case_id", "_cw_salt", F.explode(found).alias("_cw_k")).distinct()
+
+    table = aliases.groupBy("case_id", F.col("alias").alias("_cw_k")).agg(F.min("real_name").alias("real_name"))
+    return _by_case(docs, table, keys, change, text, group_chars)
 
 
 def resolve_column(df: DataFrame, aliases: DataFrame, column: str) -> DataFrame:

@@ -196,13 +196,18 @@ def project(rows: DataFrame, *, show: list[str] | None = None, hide: list[str] |
 
 
 def link_files(names: DataFrame, links: DataFrame) -> DataFrame:
-    """(name, link): the first link whose path is the name or ends in it. Paths meet names by their last part, so the
-    suffix test runs on an equi join."""
-    last = lambda c: F.element_at(F.split(c, "/"), -1)
-    n = names.select("name", last(F.col("name")).alias("_last")).distinct()
-    p = links.select("path", "link", last(F.col("path")).alias("_last"))
-    hit = n.join(p, "_last").filter((F.col("path") == F.col("name")) | F.endswith("path", F.concat(F.lit("/"), F.col("name"))))
-    first = hit.groupBy("name").agg(F.min_by("link", F.struct((F.col("path") != F.col("name")).alias("d"), "path")).alias("link"))
+    """names (name, …) with link: of the first of links (path, link, place) that the name equals, or whose path without
+    `.pdf` the name ends in; null if none.
+
+    A name meets paths by its endings, so the test runs on an equi join: a name has as many as it has characters.
+    """
+    ends = names.select("name").distinct().select("name", F.explode(F.sequence(F.lit(0), F.length("name"))).alias("_n"))
+    ends = ends.select("name", F.col("_n"), F.expr("right(name, _n)").alias("_end"))
+    bare = F.expr("overlay(path placing '' from locate('.pdf', path) for 4)")
+    keys = F.array(F.struct(F.lit(True).alias("whole"), F.col("path").alias("k")), F.struct(F.lit(False).alias("whole"), F.when(F.contains("path", F.lit(".pdf")), bare).otherwise(F.col("path")).alias("k")))
+    table = links.select("link", "place", F.explode(keys).alias("x")).select("link", "place", "x.whole", F.col("x.k").alias("_end"))
+    hit = ends.join(table, "_end").filter(~F.col("whole") | (F.col("_n") == F.length("name")))
+    first = hit.groupBy("name").agg(F.min_by("link", "place").alias("link"))
     return names.join(first, "name", "left")
 
 

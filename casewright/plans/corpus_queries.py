@@ -400,29 +400,32 @@ def e9_alias_stats(spark, sf):
 def _aliases(spark, sf):
     n = views.table(spark, sf, "nation").select(F.col("n_name").alias("real_name"), F.format_string("PERSONA_%03d", F.col("n_nationkey") + 1).alias("alias"))
     langs = views.documents(spark, sf).select("case_id").distinct()
-    return langs.join(n, F.length("real_name") > 0).select("case_id", F.lit("PERSONA").alias("kind"), "alias", "real_name")
+    return langs.crossJoin(n).select("case_id", F.lit("PERSONA").alias("kind"), "alias", "real_name")  # languages by nations: two small tables
 
 
-def _named(spark, sf):
-    t = F.concat(F.lit("de united states y de Iran, CHINA: "), F.col("text"))
-    return views.documents(spark, sf).withColumn("text", t)
+#: A nation's name in lower and upper case, before a text: after every sign that may stand before a name, and inside words.
+PLANTED = ("sobre {l},{u};nombre:{l}/{u}-99 '{l}'.{u}\n({l})¿{u}? {l}n ñ{u} _{l} {u}_ [{u}x] ")
+FOUND = "sobre {a},{a};nombre:{a}/{a}-99 '{a}'.{a}\n({a})¿{a}? {l}n ñ{u} _{l} {u}_ [{u}x] "
 
 
 def _nations(spark, sf):
     n = views.table(spark, sf, "nation")
     d = views.documents(spark, sf).join(n.select(F.col("n_nationkey").alias("k"), "n_name"), F.col("doc_id") % 25 == F.col("k"))
-    return d.select("case_id", "file", "doc_id", F.concat(F.lit("sobre "), F.lower("n_name"), F.lit(", ["), F.upper("n_name"), F.lit("x] "), F.col("text")).alias("text"))
+    planted = F.replace(F.replace(F.lit(PLANTED), F.lit("{l}"), F.lower("n_name")), F.lit("{u}"), F.upper("n_name"))
+    return d.select("case_id", "file", "doc_id", F.concat(planted, F.col("text")).alias("text"))
 
 
-NATIONS = "SELECT doc_id, 'sobre PERSONA_' || lpad((doc_id % 25 + 1)::VARCHAR, 3, '0') || ', [' || upper(n_name) || 'x] ' || text AS text FROM documents JOIN nation ON doc_id % 25 = n_nationkey"
+def _planted_sql(shown: str, name: str) -> str:
+    text = "'" + shown.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+    return f"SELECT doc_id, replace(replace(replace({text}, '{{l}}', lower(n_name)), '{{u}}', upper(n_name)), '{{a}}', {name}) || text AS text FROM documents JOIN nation ON doc_id % 25 = n_nationkey"
 
 
-@query(NATIONS)
+@query(_planted_sql(FOUND, "'PERSONA_' || lpad((doc_id % 25 + 1)::VARCHAR, 3, '0')"))
 def e10_pseudonymize(spark, sf):
     return extract.pseudonymize(_nations(spark, sf), _aliases(spark, sf)).select("doc_id", "text")
 
 
-@query("SELECT doc_id, 'sobre ' || n_name || ', [' || upper(n_name) || 'x] ' || text AS text FROM documents JOIN nation ON doc_id % 25 = n_nationkey")
+@query(_planted_sql(FOUND, "n_name"))
 def e11_restore(spark, sf):
     hidden = extract.pseudonymize(_nations(spark, sf), _aliases(spark, sf))
     return extract.restore(hidden, _aliases(spark, sf)).select("doc_id", "text")
@@ -446,7 +449,12 @@ def e13_embedded_alias(spark, sf):
     return extract.restore(views.documents(spark, sf).select("case_id", "doc_id", name.alias("name")), _aliases(spark, sf), text="name").select("doc_id", "name")
 
 
-@query(r"SELECT doc_id, unnest(regexp_extract_all('firma J.P.P. en ' || text, '\b([A-Z]\.\s*[A-Z]\.?\s*[A-Z]?\.?)', 1)) AS name FROM documents")
+# Letters and figures beyond ASCII become `a`, which this dialect's \\b knows as a part of a word
+_ASCII_WORDS = r"regexp_replace(regexp_replace({}, '[^\x00-\x7F\P{{L}}]', 'a', 'g'), '[^\x00-\x7F\P{{N}}]', 'a', 'g')"
+SIGNED = "J.P.P. firmó. A.B. Casa É.J.P.ñ A.B.C "
+
+
+@query(rf"SELECT doc_id, unnest(regexp_extract_all({_ASCII_WORDS.format(f"'{SIGNED}' || text")}, '\b([A-Z]\.\s*[A-Z]\.?\s*[A-Z]?\.?)\b', 1)) AS name FROM documents")
 def e14_initials(spark, sf):
-    d = views.documents(spark, sf).withColumn("text", F.concat(F.lit("firma J.P.P. en "), F.col("text")))
+    d = views.documents(spark, sf).withColumn("text", F.concat(F.lit(SIGNED), F.col("text")))
     return extract.initials_mentions(d).select("doc_id", "name")

@@ -699,11 +699,19 @@ def r15_project(spark, sf):
     return R.project(views.table(spark, sf, "orders"), hide=["o_orderdate", "o_totalprice"])
 
 
-@query("SELECT DISTINCT source AS name, 'http://x/a/' || source AS link FROM documents WHERE doc_id % 2 = 0 OR TRUE")
+@query("""WITH s AS (SELECT DISTINCT source FROM documents), n AS (SELECT source AS name FROM s UNION SELECT 'tomo 1/' || source FROM s UNION SELECT source || '.pdf' FROM s UNION SELECT source || '.pdf.txt' FROM s),
+l AS (SELECT source || '.pdf' AS path, 'a/' || source AS link, 2 AS place FROM s UNION ALL SELECT right(source, 1) || '.pdf', 'b/' || min(source), 1 FROM s WHERE right(source, 1) < '5' GROUP BY right(source, 1) UNION ALL SELECT source || '.pdf.txt', 'c/' || source, 3 FROM s WHERE right(source, 1) > '7')
+SELECT n.name, arg_min(link, place) AS link FROM n LEFT JOIN l ON n.name = l.path OR ends_with(n.name, replace(l.path, '.pdf', '')) GROUP BY n.name""")
 def r16_link_files(spark, sf):
-    names = views.table(spark, sf, "documents").select(F.col("source").alias("name")).distinct()
-    links = names.select(F.explode(F.array(F.concat(F.lit("b/a/"), F.col("name")), F.concat(F.lit("zz"), F.col("name")))).alias("path"), F.concat(F.lit("http://x/a/"), F.col("name")).alias("link"))
-    return R.link_files(names, links)
+    """Names in folders and with suffixes; paths that share ends, where the first by place wins."""
+    s = views.table(spark, sf, "documents").select("source").distinct()
+    last = F.right("source", F.lit(1))
+    end = lambda x: F.concat("source", F.lit(x))
+    names = s.select(F.explode(F.array("source", F.concat(F.lit("tomo 1/"), "source"), end(".pdf"), end(".pdf.txt"))).alias("name")).distinct()
+    whole = s.select(end(".pdf").alias("path"), F.concat(F.lit("a/"), "source").alias("link"), F.lit(2).alias("place"))
+    short = s.filter(last < "5").groupBy(F.concat(last, F.lit(".pdf")).alias("path")).agg(F.concat(F.lit("b/"), F.min("source")).alias("link"), F.lit(1).alias("place"))
+    text = s.filter(last > "7").select(end(".pdf.txt").alias("path"), F.concat(F.lit("c/"), "source").alias("link"), F.lit(3).alias("place"))
+    return R.link_files(names, whole.unionByName(short).unionByName(text))
 
 
 @query("WITH " + views.MENTIONS + ", f AS (SELECT place, array_to_string(list_sort(list(DISTINCT file)), ', ') AS t FROM v_mentions GROUP BY 1) SELECT place, CASE WHEN length(t) > 100 THEN substr(t, 1, 100) || '...' ELSE t END AS shown FROM f")

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -90,3 +92,42 @@ def test_chunks_keep_every_column(spark):
     df = spark.createDataFrame([(1, "x" * 25, ["a"], None), (2, None, ["b"], 3), (3, "", [], 4)], "doc_id int, text string, tags array<string>, n int")
     got = text.chunk_text(df, size=12, overlap=2, window=3).orderBy("chunk_no").collect()
     assert [(r["doc_id"], r["tags"], r["n"], r["start"], r["end"], r["size"]) for r in got] == [(1, ["a"], None, 0, 12, 12), (1, ["a"], None, 10, 22, 12), (1, ["a"], None, 20, 25, 5)]
+
+
+def combined(table):
+    """One pattern of all names, the longest first, as plain Python has it."""
+    import re
+
+    low = {}
+    for name, alias in table:
+        low[name.lower()] = alias
+    pattern = re.compile("|".join(rf"\b{re.escape(n)}\b" for n, _ in sorted(table, key=lambda x: -len(x[0]))), re.IGNORECASE)
+    return lambda text: pattern.sub(lambda m: low.get(m.group().lower(), m.group()), text)
+
+
+def test_names_are_replaced_at_every_boundary(spark):
+    rng = random.Random(4)
+    words = ["juan", "Pérez", "ABC", "1234", "mendoza", "ñu", "de", "_x", "O'Neil"]
+    glue = [" ", "  ", ",", ":", "/", "-", "'", ".", ";", "(", ")", "\n", "¿", "", "_"]
+    some = lambda n: "".join(rng.choice(words) + rng.choice(glue) for _ in range(n))
+    for _ in range(300):
+        names = list({n.strip(" \n"): 0 for n in ["juan pérez", "ABC-1234", *(some(rng.randint(1, 4)) for _ in range(6))]})
+        table = [(n, f"PERSONA_{i:03d}") for i, n in enumerate(names) if n]
+        text = some(40)
+        text = "".join(rng.choice((c.lower(), c.upper(), c)) for c in text)
+        assert extract.Replacer({n.lower(): a for n, a in table})(text) == combined(table)(text), (table, text)
+    table = [("juan pérez", "PERSONA_001"), ("ABC-1234", "VEHICULO_001"), ("(zona)", "PERSONA_004"), ("Ana Luz", "PERSONA_999"), ("ANA LUZ", "PERSONA_1000"), ("solo", "PERSONA_005"), ("", "PERSONA_006")]
+    aliases = spark.createDataFrame([("c", a.split("_")[0], a, n) for n, a in table] + [(None, "PERSONA", "PERSONA_001", "Ana Luz")], "case_id string, kind string, alias string, real_name string")
+    texts = ["Mendoza,Juan Pérez", "nombre:Juan Pérez", "acusado/JUAN PÉREZ", "auto-ABC-1234", "ab(zona)x ana luz SOLO", None, "", "Juan\nPérez"]
+    docs = spark.createDataFrame([("c", i, t) for i, t in enumerate(texts)] + [("d", 90, "Juan Pérez"), (None, 91, "ana luz")], "case_id string, doc_id int, text string")
+    got = {r["doc_id"]: r["text"] for r in extract.pseudonymize(docs, aliases, group_chars=20).collect()}
+    assert got == {0: "Mendoza,PERSONA_001", 1: "nombre:PERSONA_001", 2: "acusado/PERSONA_001", 3: "auto-VEHICULO_001", 4: "abPERSONA_004x PERSONA_1000 PERSONA_005", 5: None, 6: "", 7: "Juan\nPérez", 90: "Juan Pérez", 91: "PERSONA_001"}
+    back = extract.restore(spark.createDataFrame([("c", 1, "PERSONA_1000 y PERSONA_100, PERSONA_001")], docs.schema), aliases).collect()
+    assert back[0]["text"] == "ANA LUZ y PERSONA_100, juan pérez"
+    assert extract.pseudonymize(docs, aliases.limit(0)).count() == 10 and extract.pseudonymize(docs.limit(0), aliases).count() == 0
+
+
+def test_words_and_pairs_of_texts():
+    keys = set(extract.text_keys(["uno dos, Tres", None, "", "cuatro"]).tolist())
+    told = set(extract.name_keys(["dos tres", "uno", "cuatro", "dos-tres x", "", "()"]))
+    assert told <= keys and not set(extract.name_keys(["tres cuatro", "uno tres", "cinco"])) & keys
