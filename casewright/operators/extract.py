@@ -9,11 +9,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casewright.functions import fixed
 from casewright.operators.components import stage_table
+from casewright.operators.ranks import numbered
 
 
 def titled_names(text: Column) -> Column:
@@ -62,10 +63,28 @@ def document_frequency(found: DataFrame) -> DataFrame:
     return found.groupBy("case_id", "file", "doc_id", "kind", "name").agg(F.count("*").alias("freq"))
 
 
+def global_counts(per_doc: DataFrame, *, least: int = 1) -> DataFrame:
+    """(case_id, kind, name, mentions, n_files): sums over documents; rows of a fixed size, also for a name in every file."""
+    out = name_files(per_doc).groupBy("case_id", "kind", "name").agg(F.sum("mentions").alias("mentions"), F.count("*").alias("n_files"))
+    return out.filter(F.col("mentions") >= least)
+
+
+def name_files(per_doc: DataFrame) -> DataFrame:
+    """(case_id, kind, name, file, mentions): the files of each name, one row each."""
+    return per_doc.groupBy("case_id", "kind", "name", "file").agg(F.sum("freq").alias("mentions"))
+
+
+def with_files(names: DataFrame, files: DataFrame) -> DataFrame:
+    """names with the sorted list of their files from name_files(); a list is as long as its name has files, so this
+    comes last, for the names that are shown."""
+    keys = ["case_id", "kind", "name"]
+    listed = files.join(names.select(*keys), keys, "left_semi").groupBy(*keys).agg(F.sort_array(F.collect_list("file")).alias("files"))
+    return names.join(listed, keys, "left")
+
+
 def global_frequency(per_doc: DataFrame, *, least: int = 1) -> DataFrame:
     """(case_id, kind, name, mentions, files): the sum over documents and the sorted distinct files."""
-    out = per_doc.groupBy("case_id", "kind", "name").agg(F.sum("freq").alias("mentions"), F.sort_array(F.collect_set("file")).alias("files"))
-    return out.filter(F.col("mentions") >= least)
+    return with_files(global_counts(per_doc, least=least), name_files(per_doc)).drop("n_files")
 
 
 def drop_subsumed(names: DataFrame, *, kind: str = "PERSONA") -> DataFrame:
@@ -96,16 +115,19 @@ def drop_subsumed_anywhere(names: DataFrame, *, kind: str = "PERSONA") -> DataFr
 
 
 def assign_aliases(names: DataFrame) -> DataFrame:
-    """(case_id, kind, alias, real_name, mentions, files): KIND_001 … by falling frequency, then name."""
-    w = Window.partitionBy("case_id", "kind").orderBy(F.desc("mentions"), "name")
-    alias = F.format_string("%s_%03d", F.col("kind"), F.row_number().over(w))
-    return names.select("case_id", "kind", alias.alias("alias"), F.col("name").alias("real_name"), "mentions", "files")
+    """names (case_id, kind, name, mentions, …) with their alias for a name: KIND_001 … by falling frequency, then name.
+
+    (case_id, kind, alias, real_name, mentions, …); ranks are dealt by ranges, so a case's names needn't fit one task.
+    """
+    ranked = numbered(names, ["case_id", "kind"], [F.desc("mentions"), "name"], "_cw_rank")
+    more = [c for c in names.columns if c not in ("case_id", "kind", "name", "mentions")]
+    return ranked.select("case_id", "kind", F.format_string("%s_%03d", "kind", "_cw_rank").alias("alias"), F.col("name").alias("real_name"), "mentions", *more)
 
 
-def alias_stats(aliases: DataFrame) -> DataFrame:
+def alias_stats(aliases: DataFrame, files: DataFrame) -> DataFrame:
+    """(case_id, n_people, n_vehicles, n_files) of aliases and name_files()."""
     per = aliases.groupBy("case_id").agg(F.count_if(F.col("kind") == "PERSONA").alias("n_people"), F.count_if(F.col("kind") == "VEHICULO").alias("n_vehicles"))
-    files = aliases.select("case_id", F.explode("files").alias("f")).groupBy("case_id").agg(F.count_distinct("f").alias("n_files"))
-    return per.join(files, "case_id", "left")
+    return per.join(files.groupBy("case_id").agg(F.count_distinct("file").alias("n_files")), "case_id", "left")
 
 
 WORD = re.compile(r"\w+")

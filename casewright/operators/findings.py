@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from casewright.functions import fixed
 from casewright.functions.names import finding_key, vehicle_validity, weak_finding
+from casewright.operators.ranks import first_rows, numbered
 
 CATEGORIES = {"inconsistencias": "INC", "incongruencias": "ING", "declaracion_vs_evidencia": "DEV"}
 SYNONYMS = {"declaracion_vs_evidencia": "discrepancias"}
@@ -31,12 +32,43 @@ def flatten(results: DataFrame) -> DataFrame:
     return out
 
 
+#: How many actions, people, vehicles and locations of a trace are shown.
+SHOWN = {"actions": 5, "people": 10, "vehicles": 5, "locations": 10}
+
+
+def trace_items(traces: DataFrame) -> DataFrame:
+    """(case_id, alias, part, value, seq, pos) of traces (case_id, seq, alias, role, actions, people, vehicles, location):
+    every distinct action, person and vehicle of an alias, one row each, and the trace and place where it comes first."""
+    out = None
+    for part in ("actions", "people", "vehicles"):
+        each = traces.select("case_id", "alias", F.lit(part).alias("part"), "seq", F.posexplode(part).alias("pos", "value"))
+        out = each if out is None else out.unionByName(each)
+    first = out.groupBy("case_id", "alias", "part", "value").agg(F.min(F.struct("seq", "pos")).alias("f"))
+    return first.select("case_id", "alias", "part", "value", "f.seq", "f.pos")
+
+
+def trace_locations(traces: DataFrame) -> DataFrame:
+    """(case_id, alias, seq, location): where an alias has traces, one row each."""
+    return traces.select("case_id", "alias", "seq", "location")
+
+
 def merge_traces(traces: DataFrame) -> DataFrame:
-    """(case_id, alias, role, actions, people, vehicles, locations) of traces (case_id, seq, alias, role, actions, people, vehicles, location)."""
-    ordered = lambda c: F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("seq", F.col(c).alias("x")))), lambda s: s["x"])))
-    merged = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))
-    places = F.transform(F.array_sort(F.collect_list(F.struct("seq", "location"))), lambda s: s["location"])
-    return traces.groupBy("case_id", "alias").agg(F.min_by("role", "seq").alias("role"), ordered("actions").alias("actions"), merged("people").alias("people"), merged("vehicles").alias("vehicles"), places.alias("locations"))
+    """(case_id, alias, role, n_actions, n_people, n_vehicles, n_locations, actions, people, vehicles, locations).
+
+    role: the first one; counts of distinct values; the lists hold the first SHOWN of them, actions and locations in
+    their order, people and vehicles by name, so no row grows with the table. trace_items() and trace_locations() hold
+    all of them.
+    """
+    keys = ["case_id", "alias"]
+    items, parts = trace_items(traces), ("actions", "people", "vehicles")
+    n = items.groupBy(*keys).agg(*(F.count_if(F.col("part") == p).alias(f"n_{p}") for p in parts))
+    out = traces.groupBy(*keys).agg(F.min_by("role", "seq").alias("role"), F.count("*").alias("n_locations")).join(n, keys, "left").na.fill(0, [f"n_{p}" for p in parts])
+    for p in (*parts, "locations"):
+        rows = trace_locations(traces).withColumnRenamed("location", "value") if p == "locations" else items.filter(F.col("part") == p).drop("part")
+        order = ["seq", *(["pos"] if p == "actions" else []), "value"] if p in ("actions", "locations") else ["value"]
+        few = first_rows(rows, keys, order, SHOWN[p], "_n").groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", "value"))), lambda s: s["value"]).alias(p))
+        out = out.join(few, keys, "left")
+    return out.select(*keys, "role", *(f"n_{p}" for p in (*parts, "locations")), *(F.coalesce(p, F.array().cast("array<string>")).alias(p) for p in parts), "locations")
 
 
 def drop_weak(findings: DataFrame, *, loose: bool = False) -> DataFrame:
@@ -50,22 +82,38 @@ def clean_people(findings: DataFrame, valid: DataFrame, *, key: str = "seq") ->
     return findings.join(kept, ["case_id", key], "left").withColumn("people", F.coalesce("_kept", F.array().cast("array<string>"))).select(*findings.columns)
 
 
-def collapse(findings: DataFrame) -> DataFrame:
-    """One row a (case, category, key): the first row by seq, all locations, and the number of repeats.
+KEY = ["case_id", "category", "key"]
+
+
+def with_key(findings: DataFrame) -> DataFrame:
+    """findings with the key by which they repeat: white space collapsed, lower case, first 80 characters."""
+    return findings.withColumn("key", finding_key(F.col("description")))
+
+
+def finding_locations(findings: DataFrame) -> DataFrame:
+    """(case_id, category, key, seq, location): where each collapsed finding stands, one row each."""
+    return with_key(findings).select(*KEY, "seq", "location")
+
+
+def collapse(findings: DataFrame, *, most: int = 10) -> DataFrame:
+    """One row a (case, category, key): the first row by seq, its first `most` locations in order, and the number of repeats.
 
-    key: white space collapsed, lower case, first 80 characters. Aggregates are partial before the shuffle.
+    Aggregates are partial before the shuffle, and of a key's locations only the first leave a task, so a finding that
+    repeats a million times is a row like the others; finding_locations() holds all.
     """
-    keyed = findings.withColumn("key", finding_key(F.col("description")))
     first = F.min_by(F.struct("type", "severity", "description", "people"), "seq").alias("f")
-    out = keyed.groupBy("case_id", "category", "key").agg(first, F.min("seq").alias("seq"), F.sort_array(F.collect_list("location")).alias("locations"), F.count("*").alias("repeats"))
-    return out.select("case_id", "category", "key", "seq", "f.*", "locations", "repeats")
+    out = with_key(findings).groupBy(*KEY).agg(first, F.min("seq").alias("seq"), F.count("*").alias("repeats"))
+    few = first_rows(finding_locations(findings), KEY, ["seq", "location"], most, "_n").groupBy(*KEY).agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", "location"))), lambda s: s["location"]).alias("locations"))
+    named = few.select(*(F.col(k).alias(f"_{k}") for k in KEY), "locations")
+    both = out.join(named, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in KEY])
+    return both.select(*KEY, "seq", "f.*", "locations", "repeats")
 
 
 def with_ids(collapsed: DataFrame) -> DataFrame:
-    """Ids per category in the order of first appearance: INC-001, ING-001, DEV-001."""
+    """Ids per category in the order of first appearance: INC-001, ING-001, DEV-001; numbered by ranges."""
     prefix = F.create_map(*(F.lit(x) for kv in CATEGORIES.items() for x in kv))
-    number = F.row_number().over(Window.partitionBy("case_id", "category").orderBy("seq"))
-    return collapsed.withColumn("finding_id", F.format_string("%s-%03d", F.element_at(prefix, F.col("category")), number))
+    ranked = numbered(collapsed, ["case_id", "category"], ["seq", "key"], "_number")
+    return ranked.withColumn("finding_id", F.format_string("%s-%03d", F.element_at(prefix, F.col("category")), "_number")).drop("_number")
 
 
 def severity_summary(collapsed: DataFrame) -> DataFrame:
@@ -89,9 +137,9 @@ def top_people(findings: DataFrame, traces: DataFrame, valid: DataFrame, *, keep
 
 def top_vehicles(findings: DataFrame, traces: DataFrame, aliases: DataFrame, *, keep: int = 5) -> DataFrame:
     """(case_id, name, n, rank): valid vehicles by appearances in findings (vehicles array) and the number of chunks of
-    their own traces (alias, locations); aliases are resolved, ties go by name."""
+    their own traces (alias, n_locations); aliases are resolved, ties go by name."""
     seen = findings.select("case_id", F.explode("vehicles").alias("alias"), F.lit(1).alias("n"))
-    traced = traces.filter(F.startswith("alias", F.lit("VEHICULO_"))).select("case_id", "alias", F.size("locations").alias("n"))
+    traced = traces.filter(F.startswith("alias", F.lit("VEHICULO_"))).select("case_id", "alias", F.col("n_locations").alias("n"))
     names = aliases.select("case_id", "alias", "real_name")
     each = seen.unionByName(traced).join(names, ["case_id", "alias"], "left").withColumn("name", F.coalesce("real_name", "alias"))
     n = each.groupBy("case_id", "name").agg(F.sum("n").alias("n")).filter(vehicle_validity(F.col("name"))["valid"])
@@ -99,11 +147,11 @@ def top_vehicles(findings: DataFrame, traces: DataFrame, aliases: DataFrame, *,
 
 
 def listed(numbered: DataFrame, *, others_as_low: bool = False, most: int = 10) -> DataFrame:
-    """Findings alta, media, baja (others left out, or last as baja): up to `most` locations and how many more."""
+    """Findings alta, media, baja (others left out, or last as baja): up to `most` of their locations and how many more."""
     level = F.array_position(F.array(*map(F.lit, fixed.SEVERITIES)), F.coalesce("severity", F.lit("")))
     kept = numbered if others_as_low else numbered.filter(F.col("severity").isin(*fixed.SEVERITIES))
     rank = F.when(level == 0, 3).otherwise(level).cast("int")
-    return kept.select("case_id", "category", "finding_id", "severity", rank.alias("severity_rank"), "description", F.slice("locations", 1, most).alias("shown"), F.greatest(F.size("locations") - most, F.lit(0)).alias("more"))
+    return kept.select("case_id", "category", "finding_id", "severity", rank.alias("severity_rank"), "description", F.slice("locations", 1, most).alias("shown"), F.greatest(F.col("repeats") - F.size(F.slice("locations", 1, most)), F.lit(0)).cast("int").alias("more"))
 
 
 def traces_by_role(traces: DataFrame, valid: DataFrame) -> DataFrame:

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from casewright.operators.ranks import numbered
+
 CHUNK = T.StructType([T.StructField("chunk_no", T.IntegerType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("text", T.StringType()), T.StructField("size", T.IntegerType())])
 
 
@@ -82,29 +84,38 @@ def chunk_sections(docs: DataFrame, *, most: int = 100_000, text: str = "text")
 def chunk_list(chunks: DataFrame, *, file: str = "file") -> DataFrame:
     """Chunks of all documents with their place as one struct, numbered over the case in (file, document, chunk) order.
 
-    Documents are counted first, and only (document, number of chunks) rows meet in a case's window, never the texts.
+    Documents are counted first, and only (document, number of chunks) rows are summed up, by ranges, never the texts.
     """
     doc = ["case_id", file, "doc_id"]
     n = chunks.groupBy(*doc).agg(F.count("*").alias("_n"))
-    before = F.sum("_n").over(Window.partitionBy("case_id").orderBy(file, "doc_id").rowsBetween(Window.unboundedPreceding, -1))
-    first = n.select(*(F.col(c).alias(f"_{c}") for c in doc), F.coalesce(before, F.lit(0)).alias("_before"))
+    first = numbered(n, ["case_id"], [file, "doc_id"], "_before", weight="_n").select(*(F.col(c).alias(f"_{c}") for c in doc), "_before")
     same = [chunks[c].eqNullSafe(first[f"_{c}"]) for c in doc]
-    numbered = chunks.join(first, same).withColumn("seq", (F.col("_before") + F.col("chunk_no") + 1).cast("int"))
-    return numbered.withColumn("chunk", F.struct(file, "chunk_no", "start", "end")).drop("_before", *(f"_{c}" for c in doc))
+    placed = chunks.join(first, same).withColumn("seq", (F.col("_before") + F.col("chunk_no") + 1).cast("int"))
+    return placed.withColumn("chunk", F.struct(file, "chunk_no", "start", "end")).drop("_before", *(f"_{c}" for c in doc))
 
 
 def sample_corpus(docs: DataFrame, *, budget: int = 30_000, head: int = 5_000, middle: int = 3_000, text: str = "text", file: str = "file") -> DataFrame:
     """(case_id, sample): up to two documents give prefixes within the budget; more give their head and, if longer, a
-    part from their middle, until the budget is used, each part under its file's name."""
-    size = F.col("_n") > 2
-    longer = F.length(text) > head
-    part = F.when(size & longer, F.concat(F.substring(text, 1, head), F.lit("\n...\n"), F.substring(F.col(text), (F.length(text) / 2).cast("int") + 1, F.lit(middle)))).when(size, F.col(text)).otherwise(F.substring(text, 1, budget))
-    counted = docs.withColumn("_n", F.count("*").over(Window.partitionBy("case_id"))).withColumn("_part", part)
-    before = Window.partitionBy("case_id").orderBy(file, "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    used = counted.withColumn("_used", F.coalesce(F.sum(F.length("_part")).over(before), F.lit(0))).filter(F.col("_used") < budget)
-    cut = F.substring(F.col("_part"), F.lit(1), (budget - F.col("_used")).cast("int"))
-    shown = F.struct(F.col(file).alias("f"), F.col("doc_id").alias("d"), F.concat(F.lit("=== "), F.col(file), F.lit(" ===\n"), cut).alias("t"))
-    return used.groupBy("case_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(shown)), lambda s: s["t"]), "\n\n").alias("sample"))
+    part from their middle, until the budget is used, each part under its file's name. Documents without text add nothing.
+
+    Lengths alone are summed up in (file, document) order, by ranges; texts are then joined for the documents chosen, of
+    which a case has no more than the budget has characters.
+    """
+    key = ["case_id", file, "doc_id"]
+    sizes = docs.select(*key, F.length(text).alias("_size")).filter("_size > 0")
+    counts = sizes.groupBy("case_id").agg(F.count("*").alias("_n")).withColumnRenamed("case_id", "_case")
+    counted = sizes.join(counts, F.col("case_id").eqNullSafe(F.col("_case"))).drop("_case")
+    rest = F.col("_size") - (F.col("_size") / 2).cast("int")
+    shown = F.when((F.col("_n") > 2) & (F.col("_size") > head), head + 5 + F.least(rest, F.lit(middle))).when(F.col("_n") > 2, F.col("_size")).otherwise(F.least("_size", F.lit(budget)))
+    chosen = numbered(counted.withColumn("_shown", shown), ["case_id"], [file, "doc_id"], "_used", weight="_shown").filter(F.col("_used") < budget)
+    chosen = chosen.select(*(F.col(c).alias(f"_{c}") for c in key), "_n", "_used")
+    used = docs.join(chosen, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in key])
+    whole = F.col(text)
+    cut = F.concat(F.substring(whole, 1, head), F.lit("\n...\n"), F.substring(whole, (F.length(text) / 2).cast("int") + 1, F.lit(middle)))
+    part = F.when((F.col("_n") > 2) & (F.length(text) > head), cut).otherwise(whole)
+    part = F.substring(part, F.lit(1), (budget - F.col("_used")).cast("int"))
+    line = F.struct(F.col(file).alias("f"), F.col("doc_id").alias("d"), F.concat(F.lit("=== "), F.col(file), F.lit(" ===\n"), part).alias("t"))
+    return used.groupBy("case_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(line)), lambda s: s["t"]), "\n\n").alias("sample"))
 
 
 def profile_blocklist(profiles: DataFrame) -> DataFrame:

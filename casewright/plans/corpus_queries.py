@@ -201,7 +201,7 @@ def t3_chunk_list(spark, sf):
     return text.chunk_list(c).select("case_id", "doc_id", "chunk_no", "seq")
 
 
-@query(DOC + r""", p AS (SELECT case_id, file, doc_id, count(*) OVER (PARTITION BY case_id) AS n, CASE WHEN length(text) > 5000 THEN substr(text, 1, 5000) || chr(10) || '...' || chr(10) || substr(text, floor(length(text) / 2)::INTEGER + 1, 3000) ELSE text END AS part FROM v_documents),
+@query(DOC + r""", p AS (SELECT case_id, file, doc_id, count(*) OVER (PARTITION BY case_id) AS n, CASE WHEN length(text) > 5000 THEN substr(text, 1, 5000) || chr(10) || '...' || chr(10) || substr(text, floor(length(text) / 2)::INTEGER + 1, 3000) ELSE text END AS part FROM v_documents WHERE length(text) > 0),
 u AS (SELECT *, coalesce(sum(length(part)) OVER (PARTITION BY case_id ORDER BY file, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS used FROM p)
 SELECT case_id, string_agg('=== ' || file || ' ===' || chr(10) || substr(part, 1, (30000 - used)::INTEGER), chr(10) || chr(10) ORDER BY file, doc_id) AS sample FROM u WHERE used < 30000 GROUP BY case_id""")
 def t4_sample_corpus(spark, sf):
@@ -388,13 +388,15 @@ def e7_drop_subsumed_anywhere(spark, sf):
 
 @query(MENTION_SQL + " SELECT case_id, kind, kind || '_' || CASE WHEN r < 1000 THEN lpad(r::VARCHAR, 3, '0') ELSE r::VARCHAR END AS alias, name AS real_name, mentions, array_to_string(files, ',') AS files FROM (SELECT *, row_number() OVER (PARTITION BY case_id, kind ORDER BY mentions DESC, name) AS r FROM names)")
 def e8_alias_assignment(spark, sf):
-    return extract.assign_aliases(names(spark, sf)).withColumn("files", F.array_join("files", ","))
+    per_doc = extract.document_frequency(found(spark, sf))
+    aliases = extract.assign_aliases(extract.global_counts(per_doc)).withColumnRenamed("real_name", "name")
+    return extract.with_files(aliases, extract.name_files(per_doc)).select("case_id", "kind", "alias", F.col("name").alias("real_name"), "mentions", F.array_join("files", ",").alias("files"))
 
 
 @query(MENTION_SQL + " SELECT case_id, count_if(kind = 'PAIR')::BIGINT AS n_people, 0::BIGINT AS n_vehicles, (SELECT count(DISTINCT file) FROM freq f WHERE f.case_id = n.case_id) AS n_files FROM names n GROUP BY case_id")
 def e9_alias_stats(spark, sf):
-    n = names(spark, sf).withColumn("kind", F.when(F.col("kind") == "PAIR", "PERSONA").otherwise("OTRO"))
-    return extract.alias_stats(extract.assign_aliases(n))
+    per_doc = extract.document_frequency(found(spark, sf)).withColumn("kind", F.when(F.col("kind") == "PAIR", "PERSONA").otherwise("OTRO"))
+    return extract.alias_stats(extract.assign_aliases(extract.global_counts(per_doc)), extract.name_files(per_doc))
 
 
 def _aliases(spark, sf):

@@ -147,7 +147,7 @@ def q11_canonical_mapping(spark, sf):
 # -- findings
 
 FIND = "WITH " + views.FINDINGS
-COLLAPSED = FIND + ", c AS (SELECT case_id, category, key, min(seq) AS seq, arg_min(coalesce(severity, '-'), seq) AS sev, arg_min(description, seq) AS description, count(*) AS repeats, list_sort(list(file)) AS files FROM v_keyed GROUP BY case_id, category, key), cc AS (SELECT *, nullif(sev, '-') AS severity FROM c)"
+COLLAPSED = FIND + ", c AS (SELECT case_id, category, key, min(seq) AS seq, arg_min(coalesce(severity, '-'), seq) AS sev, arg_min(description, seq) AS description, count(*) AS repeats, list(file ORDER BY seq) AS files FROM v_keyed GROUP BY case_id, category, key), cc AS (SELECT *, nullif(sev, '-') AS severity FROM c)"
 
 
 def _results(spark, sf):
@@ -175,9 +175,14 @@ def _traces(spark, sf):
     return f.select("case_id", "seq", F.element_at("people", 1).alias("alias"), F.col("category").alias("role"), F.array_compact(F.array("severity")).alias("actions"), F.array(F.element_at("people", 2)).alias("people"), F.array().cast("array<string>").alias("vehicles"), "location")
 
 
-@query(TRACES + " SELECT case_id, alias, arg_min(role, seq) AS role, (SELECT string_agg(x.severity, ',' ORDER BY x.s) FROM (SELECT severity, min(seq) AS s FROM t t2 WHERE t2.case_id = t.case_id AND t2.alias = t.alias AND severity IS NOT NULL GROUP BY severity) x) AS actions, array_to_string(list_sort(list(DISTINCT other)), ',') AS people, count(*)::INTEGER AS n_locations FROM t GROUP BY case_id, alias")
+@query(TRACES + " SELECT case_id, alias, arg_min(role, seq) AS role, (SELECT string_agg(x.severity, ',' ORDER BY x.s) FROM (SELECT severity, min(seq) AS s FROM t t2 WHERE t2.case_id = t.case_id AND t2.alias = t.alias AND severity IS NOT NULL GROUP BY severity) x) AS actions, array_to_string(list_sort(list(DISTINCT other)), ',') AS people, count(*) AS n_locations FROM t GROUP BY case_id, alias")
 def n2_merge_traces(spark, sf):
-    return N.merge_traces(_traces(spark, sf)).select("case_id", "alias", "role", F.nullif(F.array_join("actions", ","), F.lit("")).alias("actions"), F.array_join("people", ",").alias("people"), F.size("locations").alias("n_locations"))
+    return N.merge_traces(_traces(spark, sf)).select("case_id", "alias", "role", F.nullif(F.array_join("actions", ","), F.lit("")).alias("actions"), F.array_join("people", ",").alias("people"), "n_locations")
+
+
+@query(TRACES + " SELECT case_id, alias, 'actions' AS part, severity AS value, min(seq) AS seq FROM t WHERE severity IS NOT NULL GROUP BY ALL UNION ALL SELECT case_id, alias, 'people', other, min(seq) FROM t GROUP BY ALL")
+def n2_trace_items(spark, sf):
+    return N.trace_items(_traces(spark, sf)).drop("pos")
 
 
 @query(FIND + " SELECT case_id, seq FROM v_findings WHERE length(trim(description)) >= 25 AND NOT regexp_matches(lower(description), 'no queda claro|falta informaci')")
@@ -197,9 +202,14 @@ def _collapsed(spark, sf):
     return N.collapse(f)
 
 
-@query(COLLAPSED + " SELECT case_id, category, key, seq, severity, repeats, array_to_string(files, ',') AS files FROM cc")
+@query(COLLAPSED + " SELECT case_id, category, key, seq, severity, repeats, array_to_string(files[:10], ',') AS files FROM cc")
 def n5_collapse(spark, sf):
-    return _collapsed(spark, sf).select("case_id", "category", "key", "seq", "severity", "repeats", F.array_join(F.sort_array(F.transform("locations", lambda x: x["file"])), ",").alias("files"))
+    return _collapsed(spark, sf).select("case_id", "category", "key", "seq", "severity", "repeats", F.array_join(F.transform("locations", lambda x: x["file"]), ",").alias("files"))
+
+
+@query(FIND + " SELECT case_id, category, key, seq, file FROM v_keyed")
+def n5_finding_locations(spark, sf):
+    return N.finding_locations(views.findings(spark, sf)).select("case_id", "category", "key", "seq", F.col("location.file").alias("file"))
 
 
 IDS = COLLAPSED + ", i AS (SELECT *, row_number() OVER (PARTITION BY case_id, category ORDER BY seq) AS r FROM cc), ids AS (SELECT *, CASE category WHEN 'inconsistencias' THEN 'INC-' WHEN 'incongruencias' THEN 'ING-' ELSE 'DEV-' END || CASE WHEN r < 1000 THEN lpad(r::VARCHAR, 3, '0') ELSE r::VARCHAR END AS finding_id FROM i)"
