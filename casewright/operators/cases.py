@@ -106,9 +106,13 @@ def summary_statistics(nodes: DataFrame, edges: DataFrame, findings: DataFrame,
     return out.join(groups, "case_id", "left").join(linked, "case_id", "left").join(profile, "case_id", "left")
 
 
-def entity_report(aliases: DataFrame, *, keep: int = 15) -> DataFrame:
+def entity_report(entities: DataFrame, mentions: DataFrame, *, keep: int = 15) -> DataFrame:
+    """(case_id, rank, name, mentions, n_files): the most mentioned entities (case_id, name, mentions) of a case, and in
+    how many files of mentions (case_id, name, file) they are."""
     w = Window.partitionBy("case_id").orderBy(F.desc("mentions"), "name")
-    return aliases.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= keep).select("case_id", "rank", "name", "mentions", F.size("files").alias("n_files"))
+    top = entities.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= keep).select("case_id", "rank", "name", "mentions")
+    files = mentions.join(top.select("case_id", "name"), ["case_id", "name"], "left_semi").groupBy("case_id", "name").agg(F.count_distinct("file").cast("int").alias("n_files"))
+    return top.join(files, ["case_id", "name"], "left").select("case_id", "rank", "name", "mentions", F.coalesce("n_files", F.lit(0)).alias("n_files"))
 
 
 def traced_entities(traces: DataFrame, aliases: DataFrame, *, keep: int = 10) -> DataFrame:

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from casewright.operators.components import stage_table
+from casewright.operators.ranks import first_rows
+
 PEOPLE_FIELDS = {"partes": "parte", "testigos": "testigo", "víctimas": "victima", "declaraciones": "declarante", "participantes": "participante", "peritos": "perito"}
 EDGE_ORDER = ["involucrado", "juridica", "victima", "coocurrencia", "lugar", "lugar_debil", "vehiculo", "vehiculo_debil"]
 
@@ -45,9 +50,15 @@ def unmentioned_vehicles(aliases: DataFrame, seen: DataFrame, *, least: int = 50
 
 
 def entity_aggregates(mentions: DataFrame) -> DataFrame:
-    """(case_id, kind, name, mentions, sources, roles, n_chunks, files) of mentions (case_id, kind, name, chunk, file, source, role)."""
+    """(case_id, kind, name, mentions, sources, roles, relations, n_chunks) of mentions (case_id, kind, name, chunk, file,
+    source, role, and relation to a victim, if any).
+
+    sources, roles and relations are sorted sets of a vocabulary; what grows with the corpus, files and chunks, is listed
+    by with_lists() for the entities that are shown.
+    """
+    rows = mentions if "relation" in mentions.columns else mentions.withColumn("relation", F.lit(None).cast("string"))
     some = lambda c: F.sort_array(F.collect_set(c)).alias(c + "s")
-    return mentions.groupBy("case_id", "kind", "name").agg(F.count("*").alias("mentions"), some("source"), some("role"), F.count_distinct("chunk").alias("n_chunks"), some("file"))
+    return rows.groupBy("case_id", "kind", "name").agg(F.count("*").alias("mentions"), some("source"), some("role"), some("relation"), F.count_distinct("chunk").alias("n_chunks"))
 
 
 def place_mentions(results: DataFrame) -> DataFrame:
@@ -58,10 +69,11 @@ def place_mentions(results: DataFrame) -> DataFrame:
     return each.select("case_id", "chunk", F.trim(name).alias("name"), get("$.direccion").alias("address")).filter("name is not null and name <> ''")
 
 
-def with_chunks(entities: DataFrame, mentions: DataFrame) -> DataFrame:
-    """entities (few: the top ones) with the sorted distinct chunks that mention them, as text."""
+def with_lists(entities: DataFrame, mentions: DataFrame) -> DataFrame:
+    """entities (few: the top ones) with the sorted distinct files and chunks (as text) that mention them."""
     key = ["case_id", "kind", "name"]
-    held = mentions.join(entities.select(*key), key, "left_semi").groupBy(*key).agg(F.sort_array(F.collect_set(F.col("chunk").cast("string"))).alias("chunks"))
+    some = lambda c: F.sort_array(F.collect_set(F.col(c).cast("string"))).alias(c + "s")
+    held = mentions.join(entities.select(*key), key, "left_semi").groupBy(*key).agg(some("file"), some("chunk"))
     return entities.join(held, key, "left")
 
 
@@ -73,15 +85,30 @@ def chunk_members(*parts: DataFrame) -> DataFrame:
     return out.distinct()
 
 
-def co_occurrence(members: DataFrame, kind_a: str, kind_b: str) -> DataFrame:
+def pairs_within(rows: DataFrame, keys: list[str], name: str, is_a: Column, is_b: Column, *, more: tuple[str, ...] = (), tile: int = 1000) -> DataFrame:
+    """(keys, a, b, more of a): every row of keys that is_a with every one that is_b, by an equi join.
+
+    Keys with many rows are cut into tiles of about `tile`, and each two tiles meet in a task of their own, so the pairs
+    of one crowded key are spread; keys with fewer rows are one tile and nothing is repeated.
+    """
+    every = Window.partitionBy(*keys)
+    tiles = lambda rule: F.greatest(F.ceil(F.count_if(rule).over(every) / tile), F.lit(1)).cast("int")
+    sized = rows.select("*", tiles(is_a).alias("_ta"), tiles(is_b).alias("_tb"))
+    mine = lambda n: F.pmod(F.xxhash64(name), F.col(n)).cast("int")
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    a = sized.filter(is_a).select(*keys, F.col(name).alias("a"), *more, mine("_ta").alias("_x"), all_of("_tb").alias("_y"))
+    b = sized.filter(is_b).select(*keys, F.col(name).alias("b"), all_of("_ta").alias("_x"), mine("_tb").alias("_y"))
+    return a.join(b, [*keys, "_x", "_y"]).drop("_x", "_y")
+
+
+def co_occurrence(members: DataFrame, kind_a: str, kind_b: str, *, tile: int = 1000) -> DataFrame:
     """(case_id, a, b, n): chunks that name both; each unordered pair once, counted once a chunk.
 
-    Pairs arise within a chunk only and are summed before the shuffle; a chunk has as many members as a window of text
-    can name, so the pairs of a chunk are bounded by the chunk's size, not by the corpus.
+    Pairs arise within a chunk only and are summed before the shuffle; those of a crowded chunk arise in tiles.
     """
-    a = members.filter(F.col("kind") == kind_a).select("case_id", "chunk", F.col("name").alias("a"))
-    b = members.filter(F.col("kind") == kind_b).select("case_id", "chunk", F.col("name").alias("b"))
-    pairs = a.join(b, ["case_id", "chunk"])
+    kind = F.col("kind")
+    rows = members.filter(kind.isin(kind_a, kind_b))
+    pairs = pairs_within(rows, ["case_id", "chunk"], "name", kind == kind_a, kind == kind_b, tile=tile)
     if kind_a == kind_b:
         pairs = pairs.filter("a < b")
     return pairs.groupBy("case_id", "a", "b").agg(F.count("*").alias("n"))
@@ -95,34 +122,40 @@ def redirect(counts: DataFrame, mapping: DataFrame) -> DataFrame:
     return both.groupBy("case_id", F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).agg(F.sum("n").alias("n"))
 
 
-def scores(entities: DataFrame, pairs: DataFrame, in_findings: DataFrame, victims: DataFrame) -> DataFrame:
-    """entities with score = 50 roles + 30 (is a victim) + sum of min(3 n, 20) over pairs + 25 findings + mentions."""
+def scores(entities: DataFrame, pairs: DataFrame, in_findings: DataFrame) -> DataFrame:
+    """entities with score = 50 roles + 30 (has a victim relation) + sum of min(3 n, 20) over pairs + 25 findings + mentions."""
     ends = pairs.select("case_id", F.col("a").alias("name"), "n").unionByName(pairs.select("case_id", F.col("b").alias("name"), "n"))
     near = ends.groupBy("case_id", "name").agg(F.sum(F.least(3 * F.col("n"), F.lit(20))).alias("_near"))
     found = in_findings.groupBy("case_id", "name").agg(F.count("*").alias("_found"))
-    hurt = victims.select("case_id", "name").distinct().withColumn("_hurt", F.lit(1))
-    j = entities.join(near, ["case_id", "name"], "left").join(found, ["case_id", "name"], "left").join(hurt, ["case_id", "name"], "left")
+    j = entities.join(near, ["case_id", "name"], "left").join(found, ["case_id", "name"], "left")
     zero = lambda c: F.coalesce(c, F.lit(0))
-    total = 50 * F.size("roles") + 30 * zero("_hurt") + zero("_near") + 25 * zero("_found") + F.col("mentions")
-    return j.withColumn("score", total.cast("long")).drop("_near", "_found", "_hurt")
+    total = 50 * F.size("roles") + F.when(F.size("relations") > 0, 30).otherwise(0) + zero("_near") + 25 * zero("_found") + F.col("mentions")
+    return j.withColumn("score", total.cast("long")).drop("_near", "_found")
 
 
-def top_entities(entities: DataFrame, keep: dict[str, int], *, by: dict[str, str] | None = None) -> DataFrame:
-    """The first N of each kind: people by score, others by mentions, then name."""
-    order = F.when(F.col("kind") == "PERSONA", F.col("score")).otherwise(F.col("mentions"))
-    limit = F.element_at(F.create_map(*(F.lit(x) for kv in keep.items() for x in kv)), F.col("kind"))
-    w = Window.partitionBy("case_id", "kind").orderBy(F.desc(order), "name")
-    return entities.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)
+def top_entities(entities: DataFrame, keep: dict[str, int]) -> DataFrame:
+    """The first N of each kind: people by score, others by mentions, then name.
+
+    A branch for each kind, with its limit as a constant, so each task keeps N rows of a part of a case before the
+    shuffle. The scored entities are written once when this is called.
+    """
+    scored = stage_table(entities, "scored")
+    branch = lambda k, n: first_rows(scored.filter(F.col("kind") == k), ["case_id"], [F.desc("score" if k == "PERSONA" else "mentions"), "name"], n, "rank")
+    return reduce(DataFrame.unionByName, (branch(k, n) for k, n in keep.items()))
 
 
 def nodes(entities: DataFrame, findings: DataFrame, facts: DataFrame, *, label: int = 38) -> DataFrame:
-    """(case_id, id, group, label, mentions, files): entities, findings and facts; ids by one key function everywhere."""
+    """(case_id, id, group, label, mentions, files, chunks, roles, sources): entities (with_lists()), findings and facts;
+    ids by one key function everywhere. Findings and facts have the file and chunk of their place, and neither roles nor
+    sources."""
     from casewright.functions.names import slug
 
     short = lambda c: F.when(F.length(c) > label, F.concat(F.substring(c, 1, label - 3), F.lit("..."))).otherwise(F.col(c))
-    e = entities.select("case_id", F.concat_ws("_", "kind", slug(F.col("name"))).alias("id"), F.lower("kind").alias("group"), short("name").alias("label"), "mentions", "files")
-    f = findings.select("case_id", F.col("finding_id").alias("id"), F.lit("hallazgo").alias("group"), short("description").alias("label"))
-    h = facts.select("case_id", F.concat(F.lit("HECHO_"), F.col("chunk").cast("string")).alias("id"), F.lit("hecho").alias("group"), F.concat(F.lit("hecho "), F.col("chunk").cast("string")).alias("label")).distinct()
+    one = lambda c: F.array(F.col(c).cast("string"))
+    e = entities.select("case_id", F.concat_ws("_", "kind", slug(F.col("name"))).alias("id"), F.lower("kind").alias("group"), short("name").alias("label"), "mentions", "files", "chunks", "roles", "sources")
+    f = findings.select("case_id", F.col("finding_id").alias("id"), F.lit("hallazgo").alias("group"), short("description").alias("label"), one("location.file").alias("files"), one("location.chunk").alias("chunks"))
+    held = facts.groupBy("case_id", "chunk").agg(F.min("file").alias("file"))
+    h = held.select("case_id", F.concat(F.lit("HECHO_"), F.col("chunk").cast("string")).alias("id"), F.lit("hecho").alias("group"), F.concat(F.lit("hecho "), F.col("chunk").cast("string")).alias("label"), one("file").alias("files"), one("chunk").alias("chunks"))
     return e.unionByName(f, allowMissingColumns=True).unionByName(h, allowMissingColumns=True)
 
 
@@ -131,11 +164,11 @@ def involved_edges(findings: DataFrame, top: DataFrame) -> DataFrame:
     return each.join(top.select("case_id", "name"), ["case_id", "name"], "left_semi").select("case_id", "src", F.col("name").alias("dst"), F.lit("involucrado").alias("kind"), F.lit(1).cast("long").alias("n"), F.lit(None).cast("string").alias("label"))
 
 
-def juridical_edges(role_holders: DataFrame) -> DataFrame:
+def juridical_edges(role_holders: DataFrame, *, tile: int = 1000) -> DataFrame:
     """Pairs of people with a role in one chunk (case_id, chunk, name, role); label: the first person's first role."""
     one = role_holders.groupBy("case_id", "chunk", "name").agg(F.min("role").alias("role"))
-    a, b = one.select("case_id", "chunk", F.col("name").alias("src"), "role"), one.select("case_id", "chunk", F.col("name").alias("dst"))
-    return a.join(b, ["case_id", "chunk"]).filter("src < dst").groupBy("case_id", "src", "dst").agg(F.min("role").alias("label"), F.count("*").alias("n")).withColumn("kind", F.lit("juridica"))
+    pairs = pairs_within(one, ["case_id", "chunk"], "name", F.lit(True), F.lit(True), more=("role",), tile=tile).filter("a < b")
+    return pairs.groupBy("case_id", F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.min("role").alias("label"), F.count("*").alias("n")).withColumn("kind", F.lit("juridica"))
 
 
 def victim_edges(mentions: DataFrame) -> DataFrame:

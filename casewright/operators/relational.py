@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from casewright.functions.names import slug
+from casewright.operators.ranks import numbered
 
 # Columns of the twelve tables.
 TABLES = {
@@ -59,10 +60,11 @@ def entity_table(entities: DataFrame, kind: str, id_column: str) -> DataFrame:
 
 
 def dossiers(*with_files: DataFrame) -> DataFrame:
-    """(case_id, expediente_id, nombre_archivo, anio, tipo_caso) of the distinct files of nodes and findings."""
+    """(case_id, expediente_id, nombre_archivo, anio, tipo_caso) of the distinct files of nodes and findings, which have
+    a list of `files` or one `file` a row."""
     out = None
     for df in with_files:
-        each = df.select("case_id", F.explode("files").alias("nombre_archivo"))
+        each = df.select("case_id", (F.explode("files") if "files" in df.columns else F.col("file")).alias("nombre_archivo"))
         out = each if out is None else out.union(each)
     low = F.lower("nombre_archivo")
     kind = F.when(F.contains(low, F.lit("amparo")), "amparo").when(F.contains(low, F.lit("apela")), "apelacion").otherwise("causa")
@@ -85,8 +87,8 @@ def route(edges: DataFrame, node_kinds: DataFrame) -> DataFrame:
 
 
 def surrogate_keys(relations: DataFrame) -> DataFrame:
-    w = Window.partitionBy("case_id", "table_name").orderBy("from_id", "to_id", "n")
-    return relations.withColumn("id", F.row_number().over(w).cast("long"))
+    """relations with id: 1, 2, … in each relation table of a case, in the order of both ends; numbered by ranges."""
+    return numbered(relations, ["case_id", "table_name"], ["from_id", "to_id", "n"], "id")
 
 
 #: The two keys of each relation table, and the kind whose key the second is (none: an id as it stands).
@@ -102,11 +104,11 @@ def _filled(table: str, rows: DataFrame, columns: dict[str, Column]) -> DataFram
 
 
 def entity_tables(entities: DataFrame) -> dict[str, DataFrame]:
-    """persona, vehiculo and lugar of top entities (case_id, kind, name, mentions, sources, roles, files, chunks)."""
+    """persona, vehiculo and lugar of top entities (case_id, kind, name, mentions, sources, roles,
+    relations, files, chunks)."""
     c = F.col
-    none = F.array().cast("array<string>")
     shared = {"menciones_total": c("mentions"), "expedientes": c("files"), "archivos": c("files"), "chunks": c("chunks")}
-    person = shared | {"persona_id": c("id"), "nombre_canonico": c("name"), "tipo_rol": infer_role(c("roles"), none, c("sources")), "fuentes": c("sources"), "aliases_origen": F.array("name"), "cargos": c("roles")}
+    person = shared | {"persona_id": c("id"), "nombre_canonico": c("name"), "tipo_rol": infer_role(c("roles"), c("relations"), c("sources")), "fuentes": c("sources"), "aliases_origen": F.array("name"), "cargos": c("roles")}
     of = lambda kind: entity_table(entities, kind, "id")
     return {
         "persona": _filled("persona", of("PERSONA"), person),
@@ -128,9 +130,9 @@ def fact_table(facts: DataFrame) -> DataFrame:
 
 
 def relation_table(routed: DataFrame, table: str) -> DataFrame:
-    """One relation table of route(): surrogate ids, the keys of both ends, and the count or the label of the edge."""
+    """One relation table of surrogate_keys(route()): its ids, the keys of both ends, and the count or the label of the edge."""
     a, b, kind = ENDS[table]
-    rows = surrogate_keys(routed.filter(F.col("table_name") == table))
+    rows = routed.filter(F.col("table_name") == table)
     return _filled(table, rows, {"id": F.col("id"), a: key("PERSONA", F.col("from_id")), b: key(kind, F.col("to_id")) if kind else F.col("to_id"), "count": F.col("n"), "cargo": F.col("label"), "tipo_relacion": F.col("label")})
 
 
@@ -141,7 +143,7 @@ def model(entities: DataFrame, findings: DataFrame, facts: DataFrame, edges: Dat
     out["expediente"] = _filled("expediente", files, {c: F.col(c) for c in ("expediente_id", "nombre_archivo", "anio", "tipo_caso")})
     fact_ids = facts.select("case_id", F.concat(F.lit("HECHO_"), F.col("chunk").cast("string")).alias("id")).distinct()
     kinds = entities.select("case_id", F.col("name").alias("id"), F.lower("kind").alias("kind")).unionByName(findings.select("case_id", F.col("finding_id").alias("id"), F.lit("hallazgo").alias("kind"))).unionByName(fact_ids.withColumn("kind", F.lit("hecho")))
-    routed = route(edges, kinds)
+    routed = surrogate_keys(route(edges, kinds))
     return out | {t: relation_table(routed, t) for t in ENDS}
 
 

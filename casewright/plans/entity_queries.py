@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from casewright.functions import names as fn
@@ -72,9 +72,9 @@ def q4_place_validity(spark, sf):
     return E.judged(_customers(spark, sf)).filter("kind = 'LUGAR' and valid").select("case_id", "name", "mentions")
 
 
-@query(ENTITIES + " SELECT case_id, kind, kind <> 'LUGAR' OR length(name) >= 5 AS valid, CASE WHEN kind = 'LUGAR' AND length(name) < 5 THEN 'short_or_unmentioned' END AS reason, count(*) AS n FROM ent WHERE kind <> 'PERSONA' GROUP BY ALL")
+@query(ENTITIES + """, r AS (SELECT case_id, kind, CASE WHEN kind = 'LUGAR' AND length(name) < 5 THEN 'short_or_unmentioned' WHEN kind = 'PERSONA' THEN 'one_word' END AS reason FROM ent) SELECT case_id, kind, reason IS NULL AS valid, reason, count(*) AS n FROM r GROUP BY ALL""")
 def q5_quality_counts(spark, sf):
-    named = _customers(spark, sf).filter("kind <> 'PERSONA'").withColumn("name", F.when(F.col("kind") == "VEHICULO", F.concat(F.lit("AAA-"), F.col("name"))).otherwise(F.col("name")))
+    named = _customers(spark, sf).withColumn("name", F.when(F.col("kind") == "VEHICULO", F.concat(F.lit("AAA-"), F.col("name"))).otherwise(F.col("name")))
     return E.quality_counts(E.judged(named))
 
 
@@ -282,7 +282,7 @@ PAIRS = MEM + ", " + views.ORDER_FINDINGS + """, m AS (SELECT DISTINCT case_id,
 pp AS (SELECT a.case_id, a.name AS a, b.name AS b, count(*) AS n FROM m a JOIN m b ON a.case_id = b.case_id AND a.chunk = b.chunk AND a.kind = 'PERSONA' AND b.kind = 'PERSONA' AND a.name < b.name GROUP BY ALL),
 pl AS (SELECT a.case_id, a.name AS a, b.name AS b, count(*) AS n FROM m a JOIN m b ON a.case_id = b.case_id AND a.chunk = b.chunk AND a.kind = 'PERSONA' AND b.kind = 'LUGAR' GROUP BY ALL),
 pv AS (SELECT a.case_id, a.name AS a, b.name AS b, count(*) AS n FROM m a JOIN m b ON a.case_id = b.case_id AND a.chunk = b.chunk AND a.kind = 'PERSONA' AND b.kind = 'VEHICULO' GROUP BY ALL),
-ent AS (SELECT case_id, kind, name, count(*) AS mentions, len(list(DISTINCT role)) AS n_roles, list_sort(list(DISTINCT role)) AS roles, list_sort(list(DISTINCT file)) AS files, list_sort(list(DISTINCT source)) AS sources, count(DISTINCT chunk) AS n_chunks FROM v_members GROUP BY ALL),
+ent AS (SELECT case_id, kind, name, count(*) AS mentions, len(list(DISTINCT role)) AS n_roles, list_sort(list(DISTINCT role)) AS roles, list_sort(list(DISTINCT file)) AS files, list_sort(list(DISTINCT source)) AS sources, list_sort(list(DISTINCT relation) FILTER (relation IS NOT NULL)) AS relations, list_sort(list(DISTINCT chunk::VARCHAR)) AS chunks, count(DISTINCT chunk) AS n_chunks FROM v_members GROUP BY ALL),
 near AS (SELECT case_id, name, sum(least(3 * n, 20)) AS s FROM (SELECT case_id, a AS name, n FROM pp UNION ALL SELECT case_id, b, n FROM pp) GROUP BY ALL),
 inf AS (SELECT case_id, name, count(*) AS k FROM (SELECT case_id, unnest(people) AS name FROM v_returns) GROUP BY ALL),
 vic AS (SELECT DISTINCT case_id, person AS name, 30 AS hurt FROM v_mentions WHERE source = 'R' AND role = 'O'),
@@ -300,7 +300,7 @@ def g1_people_mentions(spark, sf):
 def g2_trace_mentions(spark, sf):
     t = _traces(spark, sf).withColumn("location", F.col("location.chunk"))
     table = views.table(spark, sf, "supplier").select(F.concat(F.lit("P"), F.col("s_suppkey").cast("string")).alias("alias"), F.col("s_name").alias("real_name"))
-    aliases = t.select("case_id").distinct().join(table, F.length("alias") > 0)
+    aliases = t.select("case_id").distinct().crossJoin(table)  # languages by suppliers: two small tables
     return G.trace_mentions(t, aliases).select("case_id", "chunk", "name", "role")
 
 
@@ -334,10 +334,15 @@ def _entities(spark, sf):
     return G.entity_aggregates(views.members(spark, sf))
 
 
-@query(PAIRS + " SELECT case_id, kind, name, mentions, array_to_string(sources, ',') AS sources, n_chunks, array_to_string(files, ',') AS files FROM ent")
+def _in_lists(c: str) -> F.Column:
+    """A list as text, nothing as null."""
+    return F.nullif(F.array_join(c, ","), F.lit("")).alias(c)
+
+
+@query(PAIRS + " SELECT case_id, kind, name, mentions, array_to_string(sources, ',') AS sources, nullif(array_to_string(relations, ','), '') AS relations, n_chunks, array_to_string(files, ',') AS files FROM ent")
 def g6_entity_aggregates(spark, sf):
-    e = _entities(spark, sf)
-    return e.select("case_id", "kind", "name", "mentions", F.array_join("sources", ",").alias("sources"), "n_chunks", F.array_join("files", ",").alias("files"))
+    e = G.with_lists(_entities(spark, sf), views.members(spark, sf))
+    return e.select("case_id", "kind", "name", "mentions", F.array_join("sources", ",").alias("sources"), _in_lists("relations"), "n_chunks", F.array_join("files", ",").alias("files"))
 
 
 def _members(spark, sf):
@@ -379,7 +384,7 @@ def _score(m):
     members = views.long_form(m)
     pairs = G.co_occurrence(G.chunk_members(members), "PERSONA", "PERSONA")
     involved = views.order_findings(m).select("case_id", F.explode("people").alias("name"))
-    return G.scores(G.entity_aggregates(members), pairs, involved, views.victims(m))
+    return G.scores(G.entity_aggregates(members), pairs, involved)
 
 
 def _scored(spark, sf):
@@ -404,7 +409,7 @@ def _whole(spark, sf) -> dict[str, DataFrame]:
     """The graph: its top entities, findings, facts, nodes and edges of all kinds, one an unordered pair."""
     m = _mentions(spark, sf)
     members = G.chunk_members(views.long_form(m))
-    top = stage_table(G.top_entities(_score(m), LIMITS), "top")
+    top = stage_table(G.with_lists(G.top_entities(_score(m), LIMITS), views.long_form(m)), "top")
     people, places, vehicles = (top.filter(F.col("kind") == k) for k in LIMITS_IN_ORDER)
     among = lambda df, c, kept: df.join(kept.select("case_id", F.col("name").alias(c)), ["case_id", c], "left_semi")
     pairs = among(among(G.co_occurrence(members, "PERSONA", "PERSONA"), "a", people), "b", people)
@@ -445,12 +450,12 @@ ev AS (SELECT DISTINCT case_id, name AS src, 'HECHO_' || chunk AS dst, 'victima'
 raw AS (SELECT *, NULL AS label FROM ei UNION ALL SELECT * FROM ej UNION ALL SELECT *, 'devuelto' FROM ev UNION ALL SELECT *, NULL FROM e1 UNION ALL SELECT *, NULL FROM e2 UNION ALL SELECT *, NULL FROM wk UNION ALL SELECT *, NULL FROM e3 UNION ALL SELECT *, NULL FROM wv),
 edges AS (SELECT case_id, src, dst, kind, n::BIGINT AS n, label FROM (SELECT *, row_number() OVER (PARTITION BY case_id, least(src, dst), greatest(src, dst) ORDER BY list_position(['involucrado', 'juridica', 'victima', 'coocurrencia', 'lugar', 'lugar_debil', 'vehiculo', 'vehiculo_debil'], kind), n DESC, src, dst) AS r FROM raw) WHERE r = 1),
 facts AS (SELECT DISTINCT case_id, chunk FROM hu),
-nodes AS (SELECT case_id, kind || '_' || replace(name, ' ', '_') AS id, lower(kind) AS "group", name AS label, mentions FROM top UNION ALL SELECT case_id, finding_id, 'hallazgo', CASE WHEN length(description) > 38 THEN substr(description, 1, 35) || '...' ELSE description END, NULL FROM gfi UNION ALL SELECT case_id, 'HECHO_' || chunk, 'hecho', 'hecho ' || chunk, NULL FROM facts)"""
+nodes AS (SELECT case_id, kind || '_' || regexp_replace(replace(name, ' ', '_'), '[^a-zA-Z0-9_-]', '', 'g') AS id, lower(kind) AS "group", name AS label, mentions, files, chunks, roles, sources FROM top UNION ALL SELECT case_id, finding_id, 'hallazgo', CASE WHEN length(description) > 38 THEN substr(description, 1, 35) || '...' ELSE description END, NULL, [file], [seq::VARCHAR], NULL, NULL FROM gfi UNION ALL SELECT case_id, 'HECHO_' || chunk, 'hecho', 'hecho ' || chunk, NULL, [min(file)], [chunk::VARCHAR], NULL, NULL FROM hu GROUP BY case_id, chunk)"""
 
 
-@query(SLIM + """ SELECT case_id, id, "group", label, mentions FROM nodes WHERE NOT regexp_matches(label, '[^a-zA-Z0-9_ .óu-]')""")
+@query(SLIM + """ SELECT case_id, id, "group", label, mentions, array_to_string(files, ',') AS files, array_to_string(chunks, ',') AS chunks, array_to_string(roles, ',') AS roles, array_to_string(sources, ',') AS sources FROM nodes""")
 def g13_nodes(spark, sf):
-    return _slim(spark, sf)[1].filter("not label rlike '[^a-zA-Z0-9_ .óu-]'").select("case_id", "id", "group", "label", "mentions")
+    return _slim(spark, sf)[1].select("case_id", "id", "group", "label", "mentions", *(F.array_join(c, ",").alias(c) for c in ("files", "chunks", "roles", "sources")))
 
 
 @query(FIND + " SELECT case_id, 'F' || seq AS src, unnest(people) AS dst FROM v_findings")
@@ -553,33 +558,31 @@ def r3_infer_role(spark, sf):
 
 @query("WITH " + views.MENTIONS + " SELECT DISTINCT case_id, 'EXP_' || file AS expediente_id, file AS nombre_archivo, substr(file, 1, 4) AS anio, 'causa' AS tipo_caso FROM v_mentions")
 def r4_dossiers(spark, sf):
-    return R.dossiers(_entities(spark, sf).filter("kind <> 'LUGAR'"), _entities(spark, sf).filter("kind = 'LUGAR'"))
+    m = views.members(spark, sf)
+    return R.dossiers(m.filter("kind <> 'LUGAR'"), m.filter("kind = 'LUGAR'"))
 
 
 def _model(spark, sf) -> dict[str, DataFrame]:
     g = _whole(spark, sf)
-    return R.model(G.with_chunks(g["top"], views.long_form(g["mentions"])), g["findings"], g["facts"], g["edges"])
+    return R.model(g["top"], g["findings"], g["facts"], g["edges"])
 
 
 def _key_sql(kind: str, c: str) -> str:
     return f"'{kind}_' || regexp_replace(replace({c}, ' ', '_'), '[^a-zA-Z0-9_-]', '', 'g')"
 
 
-CHUNKS = ", ch AS (SELECT case_id, kind, name, list_sort(list(DISTINCT chunk::VARCHAR)) AS chunks FROM v_members GROUP BY ALL)"
-
-
-@query(SLIM + CHUNKS + f" SELECT case_id, {_key_sql('PERSONA', 'name')} AS persona_id, name AS nombre_canonico, mentions AS menciones_total, roles[1] AS tipo_rol, array_to_string(sources, ',') AS fuentes, name AS aliases_origen, array_to_string(roles, ',') AS cargos, array_to_string(files, ',') AS archivos, array_to_string(chunks, ',') AS chunks FROM top JOIN ch USING (case_id, kind, name) WHERE kind = 'PERSONA'")
+@query(SLIM + f" SELECT case_id, {_key_sql('PERSONA', 'name')} AS persona_id, name AS nombre_canonico, mentions AS menciones_total, roles[1] AS tipo_rol, array_to_string(sources, ',') AS fuentes, name AS aliases_origen, array_to_string(roles, ',') AS cargos, array_to_string(files, ',') AS archivos, array_to_string(chunks, ',') AS chunks FROM top WHERE kind = 'PERSONA'")
 def r5_persona(spark, sf):
     t = _model(spark, sf)["persona"]
     return t.select(*(F.array_join(c, ",").alias(c) if k.startswith("array") else c for c, k in t.dtypes))
 
 
-@query(SLIM + CHUNKS + f" SELECT case_id, {_key_sql('VEHICULO', 'name')} AS vehiculo_id, name AS placa, mentions AS menciones_total, array_to_string(files, ',') AS expedientes, array_to_string(chunks, ',') AS chunks FROM top JOIN ch USING (case_id, kind, name) WHERE kind = 'VEHICULO'")
+@query(SLIM + f" SELECT case_id, {_key_sql('VEHICULO', 'name')} AS vehiculo_id, name AS placa, mentions AS menciones_total, array_to_string(files, ',') AS expedientes, array_to_string(chunks, ',') AS chunks FROM top WHERE kind = 'VEHICULO'")
 def r5_vehiculo(spark, sf):
     return _model(spark, sf)["vehiculo"].select("case_id", "vehiculo_id", "placa", "menciones_total", F.array_join("expedientes", ",").alias("expedientes"), F.array_join("chunks", ",").alias("chunks"))
 
 
-@query(SLIM + CHUNKS + f" SELECT case_id, {_key_sql('LUGAR', 'name')} AS lugar_id, name AS nombre, mentions AS menciones_total, array_to_string(files, ',') AS expedientes, array_to_string(chunks, ',') AS chunks FROM top JOIN ch USING (case_id, kind, name) WHERE kind = 'LUGAR'")
+@query(SLIM + f" SELECT case_id, {_key_sql('LUGAR', 'name')} AS lugar_id, name AS nombre, mentions AS menciones_total, array_to_string(files, ',') AS expedientes, array_to_string(chunks, ',') AS chunks FROM top WHERE kind = 'LUGAR'")
 def r5_lugar(spark, sf):
     return _model(spark, sf)["lugar"].select("case_id", "lugar_id", "nombre", "menciones_total", F.array_join("expedientes", ",").alias("expedientes"), F.array_join("chunks", ",").alias("chunks"))
 
@@ -594,6 +597,18 @@ def r5_hecho(spark, sf):
     return _model(spark, sf)["hecho"]
 
 
+@query("""WITH p AS (SELECT l_suppkey AS k, count(*) AS n, min(l_linestatus) AS role, bool_or(l_returnflag = 'N') AS witness, bool_or(l_returnflag = 'A') AS expert FROM lineitem GROUP BY 1)
+SELECT 'PERSONA_P' || k AS persona_id, n AS menciones_total, CASE WHEN k % 4 = 0 THEN role WHEN k % 4 = 1 THEN 'victima' WHEN k % 4 = 2 AND witness THEN 'testigo' WHEN k % 4 = 2 AND expert THEN 'perito' ELSE 'desconocido' END AS tipo_rol FROM p""")
+def r5_person_roles(spark, sf):
+    """A quarter of the people have roles, one a relation to a victim, one sources with a role, one none of these."""
+    rest = F.col("l_suppkey") % 4
+    source = F.when(rest == 2, F.element_at(F.create_map(*map(F.lit, ("N", "testigo", "A", "perito", "R", "otro"))), F.col("l_returnflag"))).when(rest == 1, "testigo")
+    m = views.table(spark, sf, "lineitem").select(F.lit("c").alias("case_id"), F.lit("PERSONA").alias("kind"), F.concat(F.lit("P"), F.col("l_suppkey").cast("string")).alias("name"), F.col("l_orderkey").alias("chunk"), F.lit("f").alias("file"), source.alias("source"), F.when(rest == 0, F.col("l_linestatus")).alias("role"), F.when(rest == 1, "hija").alias("relation"))
+    none = F.array().cast("array<string>")
+    e = G.entity_aggregates(m).withColumn("files", none).withColumn("chunks", none)
+    return R.entity_tables(e)["persona"].select("persona_id", "menciones_total", "tipo_rol")
+
+
 ROUTED = SLIM + """, routed AS (SELECT case_id, CASE kind WHEN 'coocurrencia' THEN 'rel_coocurrencia' WHEN 'juridica' THEN 'rel_juridica' WHEN 'involucrado' THEN 'rel_involucrado' WHEN 'victima' THEN 'rel_victima' WHEN 'lugar' THEN 'rel_presente_lugar' WHEN 'lugar_debil' THEN 'rel_presente_lugar' ELSE 'rel_menciona_vehiculo' END AS table_name,
 CASE WHEN kind = 'involucrado' THEN dst ELSE src END AS from_id, CASE WHEN kind = 'involucrado' THEN src ELSE dst END AS to_id, n, label FROM edges),
 numbered AS (SELECT *, row_number() OVER (PARTITION BY case_id, table_name ORDER BY from_id, to_id, n) AS id FROM routed)"""
@@ -651,8 +666,8 @@ def _integrity_sql() -> str:
 def r9_integrity(spark, sf):
     """All twelve keys, with the persons ranked after 5 left out of their table: their relations are orphans."""
     t = _whole(spark, sf)
-    tables = R.model(G.with_chunks(t["top"], views.long_form(t["mentions"])), t["findings"], t["facts"], t["edges"])
-    few = R.entity_tables(t["top"].filter("kind = 'PERSONA' and rank <= 5").withColumn("chunks", F.array().cast("array<string>")))["persona"]
+    tables = R.model(t["top"], t["findings"], t["facts"], t["edges"])
+    few = R.entity_tables(t["top"].filter("kind = 'PERSONA' and rank <= 5"))["persona"]
     by_case = {n: df.select(*(F.concat_ws("|", "case_id", c).alias(c) if c.endswith("_id") and c != "case_id" else c for c in df.columns)) for n, df in (tables | {"persona": few}).items()}
     return R.integrity(by_case)
 
@@ -764,10 +779,10 @@ def c3_readable(spark, sf):
     return C.readable(asked, C.accessible(t["cases"], t["shares"]), t["users"])
 
 
-@query(CASE + " SELECT case_id, document_id FROM v_docs WHERE case_id = (SELECT min(case_id) FROM v_docs)")
+@query(CASE + " SELECT case_id, document_id, row_number() OVER (ORDER BY created_at DESC, document_id)::INTEGER AS place FROM v_docs WHERE case_id = 7")
 def c4_case_documents(spark, sf):
-    d = views.cases(spark, sf)["documents"]
-    return d.join(d.agg(F.min("case_id").alias("case_id")), "case_id", "left_semi").orderBy(F.desc("created_at")).select("case_id", "document_id")
+    found = C.case_documents(views.cases(spark, sf)["documents"], 7)
+    return found.select("case_id", "document_id", F.row_number().over(Window.partitionBy("case_id").orderBy(F.desc("created_at"), "document_id")).alias("place"))
 
 
 @query(CASE + " SELECT (SELECT count(*) FROM v_users) AS n_users, (SELECT count(*) FROM v_users WHERE role = 'admin') AS n_admins, (SELECT count(*) FROM v_cases) AS n_cases, (SELECT count(*) FROM v_subs WHERE status = 'active') AS n_active")
@@ -830,12 +845,12 @@ def c12_summary_statistics(spark, sf):
 def c13_traced_entities(spark, sf):
     t = N.merge_traces(_traces(spark, sf))
     names = views.table(spark, sf, "supplier").filter("s_suppkey < 9").select(F.concat(F.lit("P"), F.col("s_suppkey").cast("string")).alias("alias"), F.col("s_name").alias("real_name"))
-    return C.traced_entities(t, t.select("case_id").distinct().join(names, F.length("alias") > 0))
+    return C.traced_entities(t, t.select("case_id").distinct().crossJoin(names))  # languages by eight suppliers
 
 
 @query(PAIRS + " SELECT * FROM (SELECT case_id, row_number() OVER (PARTITION BY case_id ORDER BY mentions DESC, name)::INTEGER AS rank, name, mentions, len(files)::INTEGER AS n_files FROM ent WHERE kind = 'PERSONA') WHERE rank <= 15")
 def c13_entity_report(spark, sf):
-    return C.entity_report(_entities(spark, sf).filter("kind = 'PERSONA'"))
+    return C.entity_report(_entities(spark, sf).filter("kind = 'PERSONA'"), views.members(spark, sf).filter("kind = 'PERSONA'"))
 
 
 @query(CASE + " SELECT DISTINCT case_id FROM v_docs WHERE case_id % 5 = 0")

@@ -55,12 +55,14 @@ def members(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def long_form(found: DataFrame) -> DataFrame:
-    """(case_id, chunk, file, source, role, kind, name): a row for each person, vehicle and place of mentions()."""
+    """(case_id, chunk, file, source, role, relation, kind, name): a row for each person, vehicle and place of mentions();
+    relation: of victims()."""
+    relation = F.when((F.col("source") == "R") & (F.col("role") == "O") & (F.col("m.kind") == "PERSONA"), "devuelto")
     each = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(c).alias("name")) for k, c in (("PERSONA", "person"), ("VEHICULO", "vehicle"), ("LUGAR", "place"))))).alias("m")
-    return found.select("case_id", "chunk", "file", "source", "role", each).select("case_id", "chunk", "file", "source", "role", "m.kind", "m.name")
+    return found.select("case_id", "chunk", "file", "source", "role", each).select("case_id", "chunk", "file", "source", "role", relation.alias("relation"), "m.kind", "m.name")
 
 
-MEMBERS = MENTIONS + """, v_members AS (SELECT case_id, chunk, file, source, role, 'PERSONA' AS kind, person AS name FROM v_mentions UNION ALL SELECT case_id, chunk, file, source, role, 'VEHICULO', vehicle FROM v_mentions UNION ALL SELECT case_id, chunk, file, source, role, 'LUGAR', place FROM v_mentions)"""
+MEMBERS = MENTIONS + """, v_members AS (SELECT case_id, chunk, file, source, role, CASE WHEN source = 'R' AND role = 'O' THEN 'devuelto' END AS relation, 'PERSONA' AS kind, person AS name FROM v_mentions UNION ALL SELECT case_id, chunk, file, source, role, NULL, 'VEHICULO', vehicle FROM v_mentions UNION ALL SELECT case_id, chunk, file, source, role, NULL, 'LUGAR', place FROM v_mentions)"""
 
 
 def findings(spark: SparkSession, sf_dir: str) -> DataFrame:

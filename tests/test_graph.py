@@ -63,7 +63,7 @@ def test_admins_read_all(spark):
 
 
 def test_model_has_the_declared_columns(spark):
-    entities = spark.createDataFrame([("c", k, n, 3, ["parte"], ["juez"], ["f.txt"], ["1"]) for k, n in (("PERSONA", "Ana Ruiz"), ("PERSONA", "Luis Sol"), ("LUGAR", "Sonora"), ("VEHICULO", "ABC-123"))], "case_id string, kind string, name string, mentions bigint, sources array<string>, roles array<string>, files array<string>, chunks array<string>")
+    entities = spark.createDataFrame([("c", k, n, 3, ["parte"], ["juez"], [], ["f.txt"], ["1"]) for k, n in (("PERSONA", "Ana Ruiz"), ("PERSONA", "Luis Sol"), ("LUGAR", "Sonora"), ("VEHICULO", "ABC-123"))], "case_id string, kind string, name string, mentions bigint, sources array<string>, roles array<string>, relations array<string>, files array<string>, chunks array<string>")
     found = spark.createDataFrame([("c", "HALLAZGO_001", "t", "alta", "x" * 900, ["Ana Ruiz"], ("g 2019.txt", 7))], "case_id string, finding_id string, type string, severity string, description string, people array<string>, location struct<file: string, chunk: int>")
     facts = spark.createDataFrame([("c", 7, "g"), ("c", 7, "a")], "case_id string, chunk int, file string")
     edges = spark.createDataFrame([("c", "HALLAZGO_001", "Ana Ruiz", "involucrado", 1, None), ("c", "Ana Ruiz", "HECHO_7", "victima", 1, "hija"), ("c", "Ana Ruiz", "Luis Sol", "juridica", 2, "juez"), ("c", "Ana Ruiz", "Sonora", "lugar_debil", 2, None)], "case_id string, src string, dst string, kind string, n bigint, label string")
