@@ -37,10 +37,12 @@ class TextTokenizer:
     """Ids of whole texts by a byte-level BPE file of the tokenizers library.
 
     Where the file's merges come in the order of their ids, ranks say the same as merges, and the tiktoken library
-    applies them to whole texts; else the tokenizers library encodes each distinct pre-token once.
+    applies them to whole texts; else the tokenizers library encodes each distinct pre-token once. special: the strings
+    of the file's special tokens are these tokens in a text too, as the tokenizers library has it by itself; else they
+    are plain text. Texts that hold such a string go to that library whole.
     """
 
-    def __init__(self, model: bytes):
+    def __init__(self, model: bytes, special: bool = True):
         import regex
         from tokenizers import Tokenizer
 
@@ -48,9 +50,11 @@ class TextTokenizer:
         self.spaces = re.compile(r"\s+").finditer
         self.tokens: dict[str, bytes] = {}
         self.bpe = Tokenizer.from_str(model.decode())
-        self.bpe.encode_special_tokens = True
+        self.bpe.encode_special_tokens = not special
         self.vocabulary = self.bpe.get_vocab_size()
-        self.ranked = self._ranked(json.loads(model))
+        file = json.loads(model)
+        self.added = [t["content"] for t in file["added_tokens"] if special or not t["special"]]
+        self.ranked = self._ranked(file)
 
     @staticmethod
     def _ranked(file: dict):
@@ -70,7 +74,12 @@ class TextTokenizer:
             return None
         return tiktoken.Encoding("file", pat_str=PRE_TOKENS, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
+    def _apart(self, text: str) -> bool:
+        return any(t in text for t in self.added)
+
     def _whole(self, text: str) -> list[int]:
+        if self._apart(text):
+            return self.bpe.encode(text, add_special_tokens=False).ids
         if len(text) >= WHITE_RUN and any(m.end() - m.start() >= WHITE_RUN for m in self.spaces(text)):
             return self.bpe.encode(text, add_special_tokens=False).ids
         return self.ranked(text)
@@ -80,7 +89,7 @@ class TextTokenizer:
         last = np.array([end], width).tobytes()
         if self.ranked:
             return [np.array(self._whole(t), width).tobytes() + last for t in texts]
-        cut_up = [self.pieces(t) for t in texts]
+        cut_up = [[] if self._apart(t) else self.pieces(t) for t in texts]
         missing = set().union(*cut_up) - self.tokens.keys()
         if len(self.tokens) + len(missing) > CACHED_TOKENS:
             self.tokens.clear()
@@ -90,19 +99,20 @@ class TextTokenizer:
             part = todo[a : a + 20_000]
             for token, got in zip(part, self.bpe.encode_batch_fast(part, add_special_tokens=False)):
                 self.tokens[token] = np.array(got.ids, "<u4").tobytes()
-        joined = (b"".join(map(self.tokens.__getitem__, cut)) for cut in cut_up)
+        raw = lambda t: np.array(self.bpe.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+        joined = (raw(t) if self._apart(t) else b"".join(map(self.tokens.__getitem__, cut)) for t, cut in zip(texts, cut_up))
         return [np.frombuffer(ids, "<u4").astype(width).tobytes() + last for ids in joined]
 
 
 @lru_cache(maxsize=2)
-def _tokenizer(model: bytes) -> TextTokenizer:
-    return TextTokenizer(model)
+def _tokenizer(model: bytes, special: bool) -> TextTokenizer:
+    return TextTokenizer(model, special)
 
 
-def tokenize(docs: DataFrame, model: bytes, end: int, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+def tokenize(docs: DataFrame, model: bytes, end: int, *, key: str = "doc_id", text: str = "text", special: bool = True) -> DataFrame:
     """(uid, key, ids binary, n_tokens) of every row: ids are packed integers of 2 bytes (4 for a large vocabulary).
 
-    model: the bytes of a tokenizers JSON file. A null text counts as empty: its ids are the end id alone.
+    model: the bytes of a tokenizers JSON file; special: as TextTokenizer has it. A null text counts as empty: its ids are the end id alone.
     uid is unique; repeated rows and null keys stay apart.
     """
     import os
@@ -113,7 +123,7 @@ def tokenize(docs: DataFrame, model: bytes, end: int, *, key: str = "doc_id", te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        t = _tokenizer(shared.value)
+        t = _tokenizer(shared.value, special)
         width = "<u2" if max(t.vocabulary - 1, end) < 65536 else "<u4"
         for batch in batches:
             for a in range(0, batch.num_rows, 1000):
@@ -285,6 +295,6 @@ def pack(tokens: DataFrame, *, window: int = 2048, key: str = "doc_id") -> DataF
     return cut_up.withColumnRenamed("_key", key)
 
 
-def pack_documents(docs: DataFrame, model: bytes, *, end: int = 1, window: int = 2048, key: str = "doc_id", text: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, model: bytes, *, end: int = 1, window: int = 2048, key: str = "doc_id", text: str = "text", special: bool = True) -> DataFrame:
     """tokenize(), written once, and pack()."""
-    return pack(stage_table(tokenize(docs, model, end, key=key, text=text), "tokens"), window=window, key=key)
+    return pack(stage_table(tokenize(docs, model, end, key=key, text=text, special=special), "tokens"), window=window, key=key)

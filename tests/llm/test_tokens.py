@@ -50,15 +50,19 @@ def whole_texts():
     return [r["text"] or "" for r in rows]
 
 
-def test_text_tokenizer_equals_the_library():
+@pytest.mark.parametrize("special", [True, False])
+def test_text_tokenizer_equals_the_library(special):
+    """special: the library as it comes; else with the switch that makes such strings plain text."""
     from tokenizers import Tokenizer
 
     raw = tokenizer_file(TOKENIZER)
     t = Tokenizer.from_str(raw.decode())
-    t.encode_special_tokens = True
-    texts = TEXTS + whole_texts() + ["a" + " " * 1_200_000 + "b", "\n" * 1_100_000, "a  b\u00a0\u2003 c\x1c\x85d " * 3_000, "xy" * 200_000]
+    if not special:
+        t.encode_special_tokens = True
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|> <|endof", *(x[:9] + "<|endoftext|>" + x[9:] for x in TEXTS[:200])] + TEXTS + whole_texts() + ["a" + " " * 1_200_000 + "b", "\n" * 1_100_000, "a  b\u00a0\u2003 c\x1c\x85d " * 3_000, "xy" * 200_000]
     expected = [e.ids + [1] for e in t.encode_batch(texts, add_special_tokens=False)]
-    w = packing.TextTokenizer(raw)
+    w = packing.TextTokenizer(raw, special)
+    assert (50256 in w.bpe.encode(texts[0], add_special_tokens=False).ids) == special
     assert w.ranked
     assert [np.frombuffer(x, "<u4").tolist() for x in w.encode(texts, 1)] == expected
     assert [np.frombuffer(x, "<u2").tolist() for x in w.encode(texts, 1, "<u2")] == expected
