@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from casewright.llm.hnsw import usable
-from casewright.llm.shared import components, cut, stage_table
+from casewright.llm.shared import components, cut, lookup, stage_table
 
 TILE = 4096
 PAIRS = 20_000
@@ -146,8 +146,8 @@ def near_duplicates(table: DataFrame, *, threshold: float = 0.9, blocks: int = 4
     fine = F.col("id").isNotNull() & F.coalesce(usable("v"), F.lit(False))
     good = rows.filter(fine).withColumn("v", F.transform("v", lambda x: x + F.lit(0.0)))
     members = stage_table(good.withColumn("h", F.xxhash64("v")), "vectors")
-    found = members.groupBy("v").agg(F.min("id").alias("rep"), F.count("*").alias("w"))
-    found = stage_table(found, "vector-classes")
+    found = members.groupBy("v").agg(F.min("id").alias("least"), F.count("*").alias("w"))
+    found = stage_table(found.withColumn("rep", F.monotonically_increasing_id()), "vector-classes")  # a class has a number of its own: keys may repeat
     placed = stage_table(place(found, threshold, blocks), "vector-cells")
     def run(t: pa.Table) -> pa.Table:
         dim, block = t.column("dim")[0].as_py(), t.column("block")[0].as_py()
@@ -168,7 +168,10 @@ def near_duplicates(table: DataFrame, *, threshold: float = 0.9, blocks: int = 4
     told = cut(tiled(placed).repartition(*CELL, "tile", "across").groupBy(*CELL, "tile", "across").applyInArrow(run, "a bigint, b bigint, n bigint"))
     number = told.groupBy("a").agg(F.sum("n").alias("n")).withColumnRenamed("a", "rep")
     linked = components(told.filter("a <> b").select("a", "b")).withColumnRenamed("node", "rep")
-    per = found.join(number, "rep", "left").join(linked, "rep", "left").select(F.col("v").alias("_v"), F.xxhash64("v").alias("_h"), (F.coalesce("n", F.lit(0)) + F.col("w") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    per = found.join(number, "rep", "left").join(linked, "rep", "left").select("v", "rep", "least", (F.coalesce("n", F.lit(0)) + F.col("w") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component"))
+    per = stage_table(per, "vector-links")
+    smallest = stage_table(per.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("n")), "vector-components")
+    per = lookup(per, smallest, "component", per.count(), F.col("rep").cast("string")).select(F.col("v").alias("_v"), F.xxhash64("v").alias("_h"), "n_links", "component_id")
     joined = members.join(per, (members["h"] == per["_h"]) & (members["v"] == per["_v"])).select("id", "n_links", "component_id")
     alone = rows.filter(~fine).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     out = joined.unionByName(alone)

@@ -31,7 +31,9 @@ def usable(vector: str) -> F.Column:
 
 
 def classes(table: DataFrame, key: str, vector: str, members: int) -> DataFrame:
-    """(rep, v array<double>, dim, ids): distinct vectors, their smallest key and their `members` smallest keys.
+    """(class, rep, v array<double>, dim, ids): distinct vectors, their smallest key and their `members` smallest keys. A
+    key that repeats with other vectors is the rep of several classes, so a class has a number of its own; numbers hold
+    in a table that is written once.
 
     The ranking limit is applied before the shuffle too, so a vector that a third of all rows share is a few rows a
     task. Rows that repeat key and vector count once; null keys take no part.
@@ -40,7 +42,7 @@ def classes(table: DataFrame, key: str, vector: str, members: int) -> DataFrame:
     rows = rows.withColumn("v", F.transform("v", lambda x: x + F.lit(0.0)))  # -0 and 0 are one
     first = Window.partitionBy(F.xxhash64("v"), "v").orderBy("id")
     least = rows.distinct().withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= members)
-    return least.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids")).select(F.element_at("ids", 1).alias("rep"), "v", F.size("v").alias("dim"), "ids")
+    return least.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids")).select(F.monotonically_increasing_id().alias("class"), F.element_at("ids", 1).alias("rep"), "v", F.size("v").alias("dim"), "ids")
 
 
 def diverse(sims: np.ndarray, owner: np.ndarray, cand: np.ndarray, most: int) -> np.ndarray:
@@ -150,25 +152,25 @@ def search(vectors: np.ndarray, levels: list[tuple[np.ndarray, np.ndarray]], que
 
 
 def index(found: DataFrame, *, shard: int = SHARD) -> DataFrame:
-    """One row a shard: (dim, shard, n, reps, vectors, tops, nodes, flats) of classes(); arrays as flat binaries."""
+    """One row a shard: (dim, shard, n, classes, reps, vectors, nodes, flats) of classes(); arrays as flat binaries."""
     sizes = {r["dim"]: r["count"] for r in found.groupBy("dim").count().collect()}  # one row a vector length
     shards = F.element_at(F.create_map(*(F.lit(x) for d, n in sorted(sizes.items()) for x in (d, max(1, -(-n // shard))))) if sizes else F.create_map(F.lit(0), F.lit(1)), F.col("dim"))
-    dealt = found.select("rep", "v", "dim", F.pmod(F.xxhash64("rep"), shards.cast("long")).cast("int").alias("shard"))
+    dealt = found.select("class", "rep", "v", "dim", F.pmod(F.xxhash64("class"), shards.cast("long")).cast("int").alias("shard"))
 
     def make(group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(group)).sort_by("rep")  # a shard: bounded by its size
+        table = pa.Table.from_batches(list(group)).sort_by([("rep", "ascending"), ("class", "ascending")])  # a shard: bounded by its size
         dim = table.column("dim")[0].as_py()
         raw = table.column("v").combine_chunks().flatten().to_numpy().reshape(-1, dim)
         levels = build(unit(raw))
         yield pa.RecordBatch.from_pylist([{
-            "dim": dim, "shard": table.column("shard")[0].as_py(), "n": len(raw), "reps": table.column("rep").to_numpy().astype("<i8").tobytes(), "vectors": raw.astype("<f8").tobytes(),
+            "dim": dim, "shard": table.column("shard")[0].as_py(), "n": len(raw), "classes": table.column("class").to_numpy().astype("<i8").tobytes(), "reps": table.column("rep").to_numpy().astype("<i8").tobytes(), "vectors": raw.astype("<f8").tobytes(),
             "nodes": [x.astype("<i4").tobytes() for x, _ in levels], "flats": [y.astype("<i4").tobytes() for _, y in levels],
-        }], schema=pa.schema([("dim", pa.int32()), ("shard", pa.int32()), ("n", pa.int32()), ("reps", pa.binary()), ("vectors", pa.binary()), ("nodes", pa.list_(pa.binary())), ("flats", pa.list_(pa.binary()))]))
+        }], schema=pa.schema([("dim", pa.int32()), ("shard", pa.int32()), ("n", pa.int32()), ("classes", pa.binary()), ("reps", pa.binary()), ("vectors", pa.binary()), ("nodes", pa.list_(pa.binary())), ("flats", pa.list_(pa.binary()))]))
 
     def whole(table: pa.Table) -> pa.Table:
         return pa.Table.from_batches(list(make(iter(table.to_batches()))))
 
-    return dealt.groupBy("dim", "shard").applyInArrow(whole, "dim int, shard int, n int, reps binary, vectors binary, nodes array<binary>, flats array<binary>")
+    return dealt.groupBy("dim", "shard").applyInArrow(whole, "dim int, shard int, n int, classes binary, reps binary, vectors binary, nodes array<binary>, flats array<binary>")
 
 
 def unit(raw: np.ndarray) -> np.ndarray:
@@ -187,15 +189,15 @@ def nearest(table: DataFrame, queries: DataFrame, *, key: str = "vec_id", vector
     """(query_id, rank, key, score): of each query row its k nearest rows of the table but its own, by cosine.
 
     Ties go to the smaller key. Vectors that are null, zero or hold null or non-finite components take no part, nor do
-    null keys; vectors of different lengths are never compared. Rows that repeat key and vector count once.
+    null keys; vectors of different lengths are never compared. Rows that repeat key and vector count once; a key that
+    repeats with another vector is another row, as query and as candidate.
     """
     found = stage_table(classes(table, key, vector, k + 1), "vector-classes")
     graph = stage_table(index(found, shard=shard), "hnsw-index")
     asked = queries.filter(F.col(key).isNotNull() & usable(vector)).select(F.col(key).cast("long").alias("query_id"), F.col(vector).cast("array<double>").alias("v")).distinct()
-    asked = asked.select("query_id", "v", F.size("v").alias("dim"))
-    total = asked.count()
-    dealt = asked.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-total // block)))))
-    blocks = dealt.groupBy("dim", "_block").agg(F.collect_list("query_id").alias("q"), F.flatten(F.collect_list("v")).alias("qv"))
+    asked = stage_table(asked.select("query_id", "v", F.size("v").alias("dim"), F.monotonically_increasing_id().alias("asked")), "queries")
+    dealt = asked.withColumn("_block", F.pmod(F.xxhash64("asked"), F.lit(max(1, -(-asked.count() // block)))))
+    blocks = dealt.groupBy("dim", "_block").agg(F.collect_list("asked").alias("q"), F.flatten(F.collect_list("v")).alias("qv"))
     shards = graph.groupBy("dim").agg(F.max("shard").alias("_last"))
     pairs = blocks.join(shards, "dim").withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("_last")))).drop("_last", "_block")
     both = pairs.join(graph, ["dim", "shard"])
@@ -206,7 +208,7 @@ def nearest(table: DataFrame, queries: DataFrame, *, key: str = "vec_id", vector
                 row = {name: batch.column(name)[r] for name in batch.schema.names}
                 n, dim = row["n"].as_py(), row["dim"].as_py()
                 raw = np.frombuffer(row["vectors"].as_py(), "<f8").reshape(n, dim)
-                reps = np.frombuffer(row["reps"].as_py(), "<i8")
+                reps, numbers = (np.frombuffer(row[c].as_py(), "<i8") for c in ("reps", "classes"))
                 levels = [(np.frombuffer(x, "<i4"), np.frombuffer(y, "<i4").reshape(n, -1)) for x, y in zip(row["nodes"].as_py(), row["flats"].as_py())]
                 q = row["q"].values.to_numpy()
                 qv = row["qv"].values.to_numpy().reshape(-1, dim)
@@ -217,11 +219,13 @@ def nearest(table: DataFrame, queries: DataFrame, *, key: str = "vec_id", vector
                 a, b, score = a[order], b[order], score[order]
                 top = np.arange(len(a)) - np.searchsorted(a, a) < k + 1
                 a, b, score = a[top], b[top], score[top]
-                yield pa.RecordBatch.from_pydict({"query_id": q[a], "rep": reps[got[a, b]], "score": score})
+                found_at = got[a, b]
+                yield pa.RecordBatch.from_pydict({"asked": q[a], "class": numbers[found_at], "rep": reps[found_at], "score": score, "equal": (qv[a] == raw[found_at]).all(1)})
 
-    hits = both.select("dim", "n", "reps", "vectors", "nodes", "flats", "q", "qv").mapInArrow(run, "query_id bigint, rep bigint, score double")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "rep")
+    hits = both.select("dim", "n", "classes", "reps", "vectors", "nodes", "flats", "q", "qv").mapInArrow(run, "asked bigint, class bigint, rep bigint, score double, equal boolean")
+    best = Window.partitionBy("asked").orderBy(F.desc("score"), "rep", "class")
     merged = hits.withColumn("_n", F.row_number().over(best)).filter(F.col("_n") <= k + 1).drop("_n")
-    members = merged.join(found.select("rep", "ids"), "rep").select("query_id", "score", F.explode("ids").alias("id")).filter("id <> query_id")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+    members = merged.join(found.select("class", "ids"), "class").select("asked", "score", "equal", F.explode("ids").alias("id")).join(asked.select("asked", "query_id"), "asked")
+    members = members.filter(~((F.col("id") == F.col("query_id")) & F.col("equal")))
+    rank = F.row_number().over(Window.partitionBy("asked").orderBy(F.desc("score"), "id"))
     return members.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(key), "score")

@@ -286,3 +286,19 @@ def test_whole_license_texts(spark):
     rows = [(n, (folder / n).read_text().replace("\n", "\r\n")) for n in ("GPL-3", "Apache-2.0", "MPL-2.0", "LGPL-2.1")]
     got = {r["doc_id"]: r["license"] for r in licenses.scan(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
     assert got == {"GPL-3": "GPL-3.0", "Apache-2.0": "Apache-2.0 (full)", "MPL-2.0": "MPL-2.0", "LGPL-2.1": "LGPL-2.1"}
+
+
+def test_one_key_with_other_vectors(spark):
+    e, f = [1.0, 0.0, 0.0, 0.0], [0.999, 0.0447, 0.0, 0.0]
+    far, near = [0.0, 0.0, 1.0, 0.0], [0.0, 0.0, 0.0, 1.0]
+    of = lambda rows: spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = sorted(tuple(r) for r in embedding_dedup.near_duplicates(of([(1, e), (1, f)])).collect())
+    assert got == [(1, 1, 1, True), (1, 1, 1, True)]
+    got = sorted(tuple(r) for r in embedding_dedup.near_duplicates(of([(5, far), (5, e), (6, e), (7, e), (9, f), (8, near)])).collect())
+    assert got == [(5, 0, 5, True), (5, 3, 5, True), (6, 3, 5, False), (7, 3, 5, False), (8, 0, 8, True), (9, 3, 5, False)]
+    table = of([(50, e), (50, far), (7, f), (7, near), (3, e)])
+    near_of = lambda q: sorted((r["rank"], r["vec_id"], round(r["score"], 3)) for r in hnsw.nearest(table, of([q]), k=5).collect())
+    assert near_of((50, e)) == [(1, 3, 1.0), (2, 7, 0.999), (3, 7, 0.0), (4, 50, 0.0)]
+    assert [r[1] for r in near_of((50, far))] == [3, 7, 7, 50]
+    both = hnsw.nearest(table, table.filter("vec_id = 50"), k=5).collect()
+    assert len(both) == 8 and {r["query_id"] for r in both} == {50}
