@@ -149,7 +149,7 @@ def _meet(blocks: DataFrame, tiles: DataFrame, tile_counts: dict[int, int], find
     last = F.element_at(F.create_map(*(F.lit(x) for d, n in sorted(tile_counts.items() or [(0, 1)]) for x in (d, max(1, -(-n // TILE)) - 1))), F.col("dim"))
     asked = blocks.withColumn("tile", F.explode(F.sequence(F.lit(0), last))).select("dim", "tile", F.struct(*(c for c in blocks.columns if c != "dim")).alias("b"))
     held = tiles.select("dim", "tile", F.struct("id", "uid", "label", "v").alias("t"))
-    pairs = asked.join(held, ["dim", "tile"]).select("b", "t").repartition(F.col("b.block"), F.col("t.uid")[0])
+    pairs = asked.join(held, ["dim", "tile"]).select("b", "t")  # tiles are shuffled once, blocks are the small side
     names = [c.split(" ")[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
