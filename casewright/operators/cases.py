@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from casewright.operators.components import stage_table
+
 
 def case_counts(cases: DataFrame, documents: DataFrame, results: DataFrame) -> DataFrame:
     """cases with n_docs and n_results, 0 if none: two aggregates before the joins."""
@@ -137,6 +142,36 @@ def stale_cases(current: DataFrame, cached: DataFrame) -> DataFrame:
     return current.join(cached.select("case_id", "data_hash"), ["case_id", "data_hash"], "left_anti")
 
 
+def cached_summaries(rows: DataFrame, columns: list[str], compute: Callable[[DataFrame], DataFrame], path: str) -> DataFrame:
+    """(case_id, …, data_hash): the summary of every case of rows, read from the cache at `path` where its content is as
+    it was, and computed for the others alone.
+
+    compute gets those (case_id) and gives one row each; columns are what a summary depends on. The cache is a folder of
+    numbered versions: a new one holds what still holds and what is fresh, and is complete before it is read; when
+    nothing has changed none is written. Runs when called.
+    """
+    spark = rows.sparkSession
+    now = stage_table(content_hash(rows, columns), "hashes")
+    try:
+        known = spark.read.parquet(path)
+        version = known.agg(F.max("version")).first()[0]
+        known = known.filter(F.col("version") == version).drop("version")
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        known, version = None, 0
+    if known is None:
+        out = compute(now.select("case_id")).join(now, "case_id")
+    else:
+        stale = stage_table(stale_cases(now, known), "stale")
+        kept = known.join(now, ["case_id", "data_hash"], "left_semi")
+        if stale.isEmpty() and kept.count() == known.count():
+            return known
+        out = kept.unionByName(compute(stale.select("case_id")).join(stale, "case_id"))
+    out.write.parquet(f"{path}/version={version + 1}")
+    return spark.read.parquet(f"{path}/version={version + 1}")
+
+
 def partial_update(rows: DataFrame, changes: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """rows with the non-null new values; status may be set to deleted (a soft delete)."""
     new = changes.select(key, *(F.col(c).alias(f"_new_{c}") for c in columns))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,22 +42,50 @@ def edit_ratio(a: Column, b: Column) -> Column:
     return 1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b), F.lit(1))
 
 
+def candidate_pairs(names: DataFrame, *, threshold: float, native: bool = False) -> DataFrame:
+    """(case_id, x, mx, y, my): names (case_id, norm, mentions) that can have the ratio, x the shorter; a segment index.
+
+    A matching ratio >= t leaves at most d = (1 - t)(|x| + |y|) signs to insert or delete (an edit ratio >= t at most
+    (1 - t)|y| edits). The shorter name is cut into d + 1 segments. As edits are counted from the left, some segment i
+    has none of its own and exactly i before it; it therefore stands whole in the longer name, moved by i, i - 2 … -i
+    signs (by up to i for edits), so far as the other d - i edits can make up the rest of the difference in length.
+    Names meet where one has such a segment, its number, place and both lengths in common with the other: exact, and no
+    two names are compared without a common segment. A crowded segment is split by Spark's handling of skewed joins.
+    """
+    t, eps = threshold, 1e-9
+    base = names.select("case_id", "norm", "mentions", F.length("norm").alias("n"))
+    longest = F.floor(F.col("n") * (1 / t if native else (2 - t) / t) + eps).cast("int")
+    shortest = F.greatest(F.ceil(F.col("n") * (t if native else t / (2 - t)) - eps).cast("int"), F.lit(0))
+    edits = F.floor((1 - t) * (F.col("nl") if native else F.col("ns") + F.col("nl")) + eps).cast("int")
+    cut = lambda i: F.floor(i * F.col("ns") / (F.col("d") + 1)).cast("int")
+
+    def segments(df: DataFrame) -> DataFrame:
+        each = df.withColumn("d", edits).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("d"))))
+        return each.withColumn("at", cut(F.col("i"))).withColumn("size", cut(F.col("i") + 1) - F.col("at"))
+
+    key = ["case_id", "ns", "nl", "i", "seg"]
+    short = segments(base.withColumnRenamed("n", "ns").withColumn("n", F.col("ns")).withColumn("nl", F.explode(F.sequence(F.col("n"), longest))))
+    short = short.select("case_id", "ns", "nl", "i", F.substring(F.col("norm"), F.col("at") + 1, F.col("size")).alias("seg"), F.col("norm").alias("x"), F.col("mentions").alias("mx"))
+    whole = segments(base.withColumn("nl", F.col("n")).withColumn("ns", F.explode(F.sequence(shortest, F.col("n")))))
+    moves = F.filter(F.sequence(-F.col("i"), F.col("i"), F.lit(1 if native else 2)), lambda m: (F.abs(F.col("nl") - F.col("ns") - m) <= F.col("d") - F.col("i")) & (F.col("at") + m >= 0) & (F.col("at") + m + F.col("size") <= F.col("nl")))
+    moved = whole.withColumn("m", F.explode(moves))
+    moved = moved.select("case_id", "ns", "nl", "i", F.substring(F.col("norm"), F.col("at") + F.col("m") + 1, F.col("size")).alias("seg"), F.col("norm").alias("y"), F.col("mentions").alias("my"))
+    return short.join(moved, key).filter("x <> y").select("case_id", "x", "mx", "y", "my").distinct()
+
+
 def similar_pairs(names: DataFrame, *, threshold: float = 0.8, native: bool = False) -> DataFrame:
     """(case_id, a, b, ratio): pairs of normalised names (case_id, norm, mentions) at or over the threshold.
 
-    Names with ratio >= t differ in length by a factor of at most (2 - t) / t, so they meet in the same or a neighbouring
-    band of lengths (exact); bounds on lengths and letter counts (exact too) come before the ratio. Within a case the
-    candidates of one band still grow with the square of its names. a is the more mentioned, then the smaller name.
+    Candidates share a segment; a bound on letter counts (exact too) comes before the ratio. The matching ratio is not
+    symmetric: a is the more mentioned, then the smaller name.
     """
-    base = names.select("case_id", "norm", "mentions", F.length("norm").alias("n"))
-    band = lambda c: F.floor(F.log(c + 0.0) / F.log(F.lit(2 / threshold - 1)))
-    left = base.select("case_id", F.col("norm").alias("a"), F.col("mentions").alias("ma"), F.col("n").alias("na"), F.explode(F.array(*(band(F.col("n")) + d for d in (-1, 0, 1)))).alias("band"), letters("norm").alias("la"))
-    right = base.select("case_id", F.col("norm").alias("b"), F.col("mentions").alias("mb"), F.col("n").alias("nb"), band(F.col("n")).alias("band"), letters("norm").alias("lb"))
-    first = (F.col("ma") > F.col("mb")) | ((F.col("ma") == F.col("mb")) & (F.col("a") < F.col("b")))
-    shared = F.aggregate(F.zip_with("la", "lb", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
-    joined = left.join(right, ["case_id", "band"]).filter(first & (2 * F.least("na", "nb") >= threshold * (F.col("na") + F.col("nb"))) & (2 * shared >= threshold * (F.col("na") + F.col("nb")) - 1e-9))
+    found = candidate_pairs(names, threshold=threshold, native=native)
+    first = (F.col("mx") > F.col("my")) | ((F.col("mx") == F.col("my")) & (F.col("x") < F.col("y")))
+    pairs = found.select("case_id", F.when(first, F.col("x")).otherwise(F.col("y")).alias("a"), F.when(first, F.col("y")).otherwise(F.col("x")).alias("b")).distinct()
+    shared = F.aggregate(F.zip_with(letters("a"), letters("b"), lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
+    kept = pairs.filter(2 * shared >= threshold * (F.length("a") + F.length("b")) - 1e-9)
     ratio = edit_ratio(F.col("a"), F.col("b")) if native else matching_ratio("a", "b")
-    return joined.withColumn("ratio", ratio).filter(F.col("ratio") >= threshold).select("case_id", "a", "b", "ratio")
+    return kept.withColumn("ratio", ratio).filter(F.col("ratio") >= threshold)
 
 
 def jaccard_pairs(names: DataFrame, *, name: str = "norm", tenths: int = 3) -> DataFrame:

@@ -12,6 +12,7 @@ from casewright.operators import extract, text
 from casewright.operators.components import checkpoint_dir
 from casewright.plans import views
 from casewright.sources import corpus
+from casewright.streaming import operators as streams
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -122,14 +123,16 @@ def s11_read_results(spark, sf):
     return corpus.read_results(spark, path).select(F.col("chunk.chunk").cast("bigint").alias("doc_id"), F.try_variant_get("resultado", "$.n", "bigint").alias("n"), "error")
 
 
-@query("SELECT conv_id, turn, replace(text, chr(10), ' ') AS text, '[\"' || role || '\",\"x\"]' AS tags FROM conversations WHERE text IS NOT NULL AND text NOT LIKE '%\\%' AND text NOT LIKE '%\"%' AND text = trim(text) AND text <> ''")
+@query("""SELECT conv_id, turn, replace(t, chr(10), ' ') AS text, '["' || role || '","x"]' AS tags FROM (SELECT *, text || '"a\\b' || chr(10) || 'c ' AS t FROM conversations WHERE text IS NOT NULL)""")
 def s12_export_tables(spark, sf):
+    """Texts with quotes, backslashes, line breaks and blanks at their end, out as CSV and JSON and back."""
     path = _folder(spark, "export")
-    c = views.table(spark, sf, "conversations").select("conv_id", "turn", "text", F.array("role", F.lit("x")).alias("tags"))
+    hard = F.concat("text", F.lit('"a\\b\nc '))
+    c = views.table(spark, sf, "conversations").filter("text is not null").select("conv_id", "turn", hard.alias("text"), F.array("role", F.lit("x")).alias("tags"))
     corpus.export_tables({"conversations": c}, path)
     back = spark.read.option("header", True).option("escape", '"').schema("conv_id bigint, turn bigint, text string, tags string").csv(f"{path}/csv/conversations")
-    json = spark.read.schema("conv_id bigint, turn bigint, text string").json(f"{path}/json/conversations").filter("not contains(text, '\\\\') and not contains(text, '\"') and text = trim(text) and text <> ''")
-    return json.select("conv_id", "turn").join(back.select("conv_id", "turn", "text", "tags"), ["conv_id", "turn"])
+    json = spark.read.schema("conv_id bigint, turn bigint, text string").json(f"{path}/json/conversations").select("conv_id", "turn", F.replace("text", F.lit("\n"), F.lit(" ")).alias("text"))
+    return json.join(back, ["conv_id", "turn", "text"])
 
 
 @query("SELECT event_id, event_type, value FROM events")
@@ -239,14 +242,29 @@ def t7_build_requests(spark, sf):
     return text.build_requests(c, _profiles(spark, sf)).select("doc_id", "chunk_no", "request")
 
 
-@query(DOC + r""" SELECT DISTINCT case_id, 'Case: causa ' || case_id || ' (x, x)' || chr(10) || 'Find trazabilidad: what each person did, with whom and with which vehicles' || chr(10) || 'Roles: ' || CASE WHEN case_id = 'en' THEN 'victima, imputado, testigo, autoridad, perito' ELSE 'rol ' || case_id END || chr(10) || 'Entities: CASA_' || upper(case_id) || ', ARMA' || chr(10) || 'Answer in ' || case_id AS instruction FROM v_documents""")
+def _aspects_sql() -> str:
+    """Each aspect's instruction for each language, with the lists that it shows."""
+    lists = {
+        "terms": "'Terms: ley ' || case_id || ', pena'", "alerts": "'Alerts: ojo'", "topics": "'Topics: fuga'",
+        "roles": "'Roles: ' || CASE WHEN case_id = 'en' THEN 'victima, imputado, testigo, autoridad, perito' ELSE 'rol ' || case_id END",
+        "entities": "'Entities: CASA_' || upper(case_id) || ', ARMA'",
+    }
+    one = lambda a: " || chr(10) || ".join(["'Case: causa ' || case_id || ' (x, x)'", f"'Find {a}: {text.ASPECTS[a][0]}'", *(lists[k] for k in text.ASPECTS[a][1]), "'Answer in ' || case_id"])
+    return DOC + " " + " UNION ".join(f"SELECT DISTINCT case_id, '{a}' AS aspect, {one(a)} AS instruction FROM v_documents WHERE length(text) > 0" for a in text.ASPECTS)
+
+
+@query(_aspects_sql())
 def t7_single_aspect(spark, sf):
+    """The instruction of each of the four aspects for each language, from profiles with all lists."""
     d = views.documents(spark, sf)
     none = F.array().cast("array<string>")
     lists = {"tipos_entidad_adicionales": F.array(F.concat(F.lit("casa "), F.col("case_id")), F.lit("arma")), "roles_juridicos": F.when(F.col("case_id") != "en", F.array(F.concat(F.lit("rol "), F.col("case_id")))).otherwise(none)}
+    lists |= {"terminos_legales_relevantes": F.array(F.concat(F.lit("ley "), F.col("case_id")), F.lit("pena")), "alertas_calibracion": F.array(F.lit("ojo")), "temas_recurrentes": F.array(F.lit("fuga"))}
     texts = {"tipo_caso": F.concat(F.lit("causa "), F.col("case_id")), "idioma_principal": F.col("case_id")}
     profiles = d.select("case_id").distinct().select("case_id", *(lists.get(c, none).alias(c) for c in text.PROFILE_LISTS), *(texts.get(c, F.lit("x")).alias(c) for c in text.PROFILE_TEXTS))
-    return text.build_requests(text.chunk_fixed(d, size=2000, overlap=200), profiles, aspect="trazabilidad").select("case_id", "instruction").distinct()
+    chunks = text.chunk_fixed(d, size=2000, overlap=200)
+    each = [text.build_requests(chunks, profiles, aspect=a).select("case_id", F.lit(a).alias("aspect"), "instruction").distinct() for a in text.ASPECTS]
+    return each[0].union(each[1]).union(each[2]).union(each[3])
 
 
 @query(DOC + " SELECT doc_id, CASE WHEN doc_id % 10 <> 0 THEN length(text)::VARCHAR END AS result, CASE WHEN doc_id % 10 = 0 THEN 'ValueError: no' END AS error FROM v_documents")
@@ -290,10 +308,12 @@ freq AS (SELECT case_id, file, doc_id, kind, name, count(*) AS freq FROM hits GR
 names AS (SELECT case_id, kind, name, sum(freq)::BIGINT AS mentions, list_sort(list(DISTINCT file)) AS files FROM freq GROUP BY ALL)"""
 
 
+def _kinds() -> dict:
+    return {"EMAIL": F.regexp_extract_all("text", F.lit(r"[a-z]+\.[0-9]+@[a-z0-9.]+[a-z]"), F.lit(0)), "PAIR": F.regexp_extract_all("text", F.lit(r"[A-Z][a-z]{2,15}[.] [A-Z][a-z]{2,15}"), F.lit(0))}
+
+
 def found(spark, sf):
-    d = views.documents(spark, sf)
-    kinds = {"EMAIL": F.regexp_extract_all("text", F.lit(r"[a-z]+\.[0-9]+@[a-z0-9.]+[a-z]"), F.lit(0)), "PAIR": F.regexp_extract_all("text", F.lit(r"[A-Z][a-z]{2,15}[.] [A-Z][a-z]{2,15}"), F.lit(0))}
-    return extract.mentions(d, kinds=kinds)
+    return extract.mentions(views.documents(spark, sf), kinds=_kinds())
 
 
 def names(spark, sf):
@@ -393,6 +413,17 @@ def e8_alias_assignment(spark, sf):
     return extract.with_files(aliases, extract.name_files(per_doc)).select("case_id", "kind", "alias", F.col("name").alias("real_name"), "mentions", F.array_join("files", ",").alias("files"))
 
 
+@query(MENTION_SQL + " SELECT case_id, kind, name, mentions, len(files) AS n_files FROM names")
+def x3_ingest(spark, sf):
+    """The documents as files that a stream takes in, two a micro-batch, with a snapshot at each third."""
+    path = _folder(spark, "ingest")
+    d = views.documents(spark, sf)
+    d.repartition(8).write.parquet(f"{path}/in")
+    stream = spark.readStream.schema(d.schema).option("maxFilesPerTrigger", 2).parquet(f"{path}/in")
+    streams.ingest(stream, f"{path}/out", f"{path}/checkpoint", kinds=_kinds(), size=2000, overlap=200, window=300, every=3).awaitTermination()
+    return streams.merged_counts(spark, f"{path}/out")
+
+
 @query(MENTION_SQL + " SELECT case_id, count_if(kind = 'PAIR')::BIGINT AS n_people, 0::BIGINT AS n_vehicles, (SELECT count(DISTINCT file) FROM freq f WHERE f.case_id = n.case_id) AS n_files FROM names n GROUP BY case_id")
 def e9_alias_stats(spark, sf):
     per_doc = extract.document_frequency(found(spark, sf)).withColumn("kind", F.when(F.col("kind") == "PAIR", "PERSONA").otherwise("OTRO"))

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from casewright.functions import fixed
 from casewright.functions import names as fn
 from casewright.operators import cases as C
 from casewright.operators import findings as N
 from casewright.operators import graph as G
 from casewright.operators import relational as R
 from casewright.operators import resolve as E
-from casewright.operators.components import stage_table
+from casewright.operators.components import checkpoint_dir, stage_table
 from casewright.plans import views
 from casewright.sources import corpus
 from casewright.streaming import operators as X
@@ -108,6 +111,14 @@ def q7_matching_ratio(spark, sf):
     return E.similar_pairs(_part_names(spark, sf), threshold=0.7).select("case_id", "a", "b", F.round("ratio", 6).alias("ratio"))
 
 
+@query()
+def q9_matching_clusters(spark, sf):
+    """Clusters of part and supplier names by the matching ratio."""
+    s = views.table(spark, sf, "supplier").select(F.lit("s").alias("case_id"), F.lower("s_name").alias("norm"), F.lit(1).cast("long").alias("mentions"))
+    n = _part_names(spark, sf).unionByName(s)
+    return E.connected(n.select("case_id", F.col("norm").alias("node")), E.similar_pairs(n))
+
+
 @query(PARTS + " SELECT a.norm AS a, b.norm AS b FROM p a JOIN p b ON a.norm < b.norm WHERE len(list_intersect(string_split(a.norm, ' '), string_split(b.norm, ' ')))::DOUBLE / len(list_distinct(list_concat(string_split(a.norm, ' '), string_split(b.norm, ' ')))) >= 0.3")
 def q8_jaccard(spark, sf):
     return E.jaccard_pairs(_part_names(spark, sf))
@@ -185,9 +196,19 @@ def n2_trace_items(spark, sf):
     return N.trace_items(_traces(spark, sf)).drop("pos")
 
 
-@query(FIND + " SELECT case_id, seq FROM v_findings WHERE length(trim(description)) >= 25 AND NOT regexp_matches(lower(description), 'no queda claro|falta informaci')")
+#: Wordings of weak findings, and two that are none; each finding begins with one.
+WEAK = ["No se proporciona evidencia", "no hay evidencia adicional", "no se menciona explícitamente", "No se cuenta con ello", "NO QUEDA CLARO", "información insuficiente", "sin mayor detalle", "sería necesario obtener", "se requiere verificar", "no se reporta", "no existe constancia", "Falta información", "Falta algo", "El testigo"]
+WEAK_FIND = FIND + f", v_weak AS (SELECT *, {WEAK}[(seq % 14 + 1)::INTEGER] || ': ' || description AS said FROM v_findings)"
+
+
+def _weak(spark, sf):
+    first = F.element_at(F.array(*map(F.lit, WEAK)), (F.col("seq") % 14 + 1).cast("int"))
+    return views.findings(spark, sf).withColumn("description", F.concat(first, F.lit(": "), F.col("description")))
+
+
+@query(WEAK_FIND + f" SELECT case_id, seq FROM v_weak WHERE length(trim(said)) >= 25 AND NOT regexp_matches(said, '{fixed.WEAK_FINDING.replace('(?iu)', '(?i)')}')")
 def n3_drop_weak(spark, sf):
-    return N.drop_weak(views.findings(spark, sf)).select("case_id", "seq")
+    return N.drop_weak(_weak(spark, sf)).select("case_id", "seq")
 
 
 @query(FIND + " SELECT case_id, seq, array_to_string(list_filter(people, lambda p: p <> 'P3' AND p <> 'P10'), ',') AS people FROM v_findings")
@@ -265,9 +286,9 @@ def n12_alias_appendix(spark, sf):
     return N.alias_appendix(views.table(spark, sf, "supplier").select(F.lit("c").alias("case_id"), F.col("s_name").alias("alias")))
 
 
-@query(FIND + ", k AS (SELECT case_id, substr(lower(description), 1, 80) AS key, min(seq) AS seq FROM v_findings WHERE description <> '' GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY seq) AS n FROM k) SELECT case_id, 'HALLAZGO_' || lpad(n::VARCHAR, 3, '0') AS finding_id, seq FROM r WHERE n <= 25")
+@query(WEAK_FIND + ", k AS (SELECT case_id, substr(lower(said), 1, 80) AS key, min(seq) AS seq FROM v_weak WHERE length(said) > 0 AND NOT regexp_matches(strip_accents(lower(said)), '" + "|".join(fixed.WEAK_FINDING_LOOSE) + "') GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY seq) AS n FROM k) SELECT case_id, 'HALLAZGO_' || lpad(n::VARCHAR, 3, '0') AS finding_id, seq FROM r WHERE n <= 25")
 def n13_graph_findings(spark, sf):
-    return N.graph_findings(views.findings(spark, sf)).select("case_id", "finding_id", "seq")
+    return N.graph_findings(_weak(spark, sf)).select("case_id", "finding_id", "seq")
 
 
 @query(IDS + " SELECT case_id, finding_id, CASE severity WHEN 'alta' THEN 1 WHEN 'media' THEN 2 ELSE 3 END AS severity_rank FROM ids")
@@ -861,6 +882,20 @@ def c14_stale_cases(spark, sf):
     return C.stale_cases(now, cached).select("case_id")
 
 
+@query(CASE + ", d AS (SELECT case_id, count(*) AS n_docs, max(created_at)::DATE::VARCHAR AS newest, bool_or(document_id LIKE '%-1') AS first FROM v_docs GROUP BY 1) SELECT case_id, n_docs, newest, CASE WHEN case_id % 5 = 0 AND first THEN 2 ELSE 1 END AS run FROM d")
+def c14_summary_cache(spark, sf):
+    """Summaries of all cases but some documents, then of all: cases without a change are read, not computed."""
+    d = views.cases(spark, sf)["documents"]
+    path = f"{checkpoint_dir(spark)}/summaries-{uuid.uuid4().hex}"
+
+    def run(rows: DataFrame, number: int) -> DataFrame:
+        summed = lambda cases: rows.join(cases, "case_id", "left_semi").groupBy("case_id").agg(F.count("*").alias("n_docs"), F.max("created_at").cast("date").cast("string").alias("newest")).withColumn("run", F.lit(number))
+        return C.cached_summaries(rows, ["document_id"], summed, path)
+
+    run(d.filter("case_id % 5 <> 0 or document_id not like '%-1'"), 1)
+    return run(d, 2).drop("data_hash")
+
+
 @query(CASE + " SELECT case_id, owner_id, CASE WHEN case_id % 6 = 0 THEN 'deleted' ELSE status END AS status FROM v_cases")
 def c15_partial_update(spark, sf):
     c = views.cases(spark, sf)["cases"]
