@@ -286,7 +286,7 @@ def n12_alias_appendix(spark, sf):
     return N.alias_appendix(views.table(spark, sf, "supplier").select(F.lit("c").alias("case_id"), F.col("s_name").alias("alias")))
 
 
-@query(WEAK_FIND + ", k AS (SELECT case_id, substr(lower(said), 1, 80) AS key, min(seq) AS seq FROM v_weak WHERE length(said) > 0 AND NOT regexp_matches(strip_accents(lower(said)), '" + "|".join(fixed.WEAK_FINDING_LOOSE) + "') GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY seq) AS n FROM k) SELECT case_id, 'HALLAZGO_' || lpad(n::VARCHAR, 3, '0') AS finding_id, seq FROM r WHERE n <= 25")
+@query(WEAK_FIND + ", k AS (SELECT case_id, substr(lower(said), 1, 80) AS key, min(seq) AS seq FROM v_weak WHERE length(said) > 0 AND NOT regexp_matches(lower(said), '" + "|".join(fixed.WEAK_FINDING_LOOSE) + "') GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY seq) AS n FROM k) SELECT case_id, 'HALLAZGO_' || lpad(n::VARCHAR, 3, '0') AS finding_id, seq FROM r WHERE n <= 25")
 def n13_graph_findings(spark, sf):
     return N.graph_findings(_weak(spark, sf)).select("case_id", "finding_id", "seq")
 

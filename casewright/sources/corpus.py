@@ -80,10 +80,10 @@ def _flat(df: DataFrame) -> DataFrame:
 
 
 def export_tables(tables: dict[str, DataFrame], path: str) -> None:
-    """Each table as JSON and as quoted CSV (quotes doubled) with nested values as JSON text."""
+    """Each table as JSON and as quoted CSV (quotes doubled, blanks at the edges kept) with nested values as JSON text."""
     for name, df in tables.items():
         df.write.mode("overwrite").json(f"{path}/json/{name}")
-        _flat(df).write.mode("overwrite").option("quoteAll", True).option("escape", '"').option("header", True).csv(f"{path}/csv/{name}")
+        _flat(df).write.mode("overwrite").options(quoteAll=True, escape='"', header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(f"{path}/csv/{name}")
 
 
 def manifest(tables: dict[str, DataFrame]) -> DataFrame:
