@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -170,13 +170,19 @@ class Replacer:
             return text
         low = lowered(text)
         out, at = [], 0
+
+        def put(a: int, first: str) -> None:
+            nonlocal at
+            b = self._end(low, a, first) if a >= at else -1
+            if b >= 0:
+                out.extend((text[at:a], self.table[low[a:b]]))
+                at = b
+
         for m in WORD.finditer(low):
-            for a, first in ((m.start(), m.group()), (m.end(), low[m.end() : m.end() + 1] if self.signs else "")):
-                if a >= at and first and (a == m.start() or first in self.signs):
-                    b = self._end(low, a, first)
-                    if b >= 0:
-                        out += [text[at:a], self.table[low[a:b]]]
-                        at = b
+            if m.group() in self.sizes:
+                put(m.start(), m.group())
+            if self.signs and low[m.end() : m.end() + 1] in self.signs:
+                put(m.end(), low[m.end()])
         out.append(text[at:])
         return "".join(out)
 
@@ -190,26 +196,29 @@ def _pair(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     return first * np.int64(-7046029254386353131) + second
 
 
-def name_keys(names: list[str]) -> list[int]:
-    """Of each lower-case name the number of its first two words, by which it meets the texts that hold these."""
+def name_keys(names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Of each lower-case name (the number of its first two words, by which it meets the texts that hold these; the
+    number of its first word)."""
     words = [WORD.findall(n)[:2] for n in names]
     one = _hashed([w[0] if w else "" for w in words])
     two = np.where(np.array([len(w) > 1 for w in words], bool), _hashed([w[1] if len(w) > 1 else "" for w in words]), 0)
-    return _pair(one, two).tolist()
+    return _pair(one, two), one
 
 
-def text_keys(texts: list[str | None]) -> np.ndarray:
-    """The distinct numbers of all words and all pairs of neighbouring words of the texts, and of a name without words."""
+def text_keys(texts: list[str | None], starts: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """The distinct numbers of the words, and of the pairs of neighbouring words, that begin with a word whose number
+    `starts` lets pass, and of a name without words."""
     lists = [WORD.findall(lowered(t)) for t in texts if t]
-    flat = [w for words in lists for w in words]
-    code, distinct = pd.factorize(np.array(flat, object))
+    code, distinct = pd.factorize(np.array([w for words in lists for w in words], object))
     hashes = _hashed(list(distinct))
+    able = starts(hashes)
     ends = np.cumsum([len(words) for words in lists], dtype=np.int64)
-    inner = np.ones(max(len(flat) - 1, 0), bool)
-    inner[ends[:-1][(ends[:-1] > 0) & (ends[:-1] < len(flat))] - 1] = False
-    pairs = np.unique(code[:-1][inner].astype(np.int64) * len(distinct) + code[1:][inner])
+    inner = able[code]
+    inner[ends[ends > 0] - 1] = False  # a text's last word has no neighbour
+    at = np.flatnonzero(inner)
+    pairs = np.unique(code[at].astype(np.int64) * max(1, len(distinct)) + code[np.minimum(at + 1, len(code) - 1)])
     both = _pair(hashes[pairs // max(1, len(distinct))], hashes[pairs % max(1, len(distinct))]) if len(pairs) else np.zeros(0, np.int64)
-    return np.unique(np.concatenate([_pair(hashes, np.int64(0)), both, _pair(_hashed([""]), np.int64(0))]))
+    return np.unique(np.concatenate([_pair(hashes[able], np.int64(0)), both, _pair(_hashed([""]), np.int64(0))]))
 
 
 def _by_case(docs: DataFrame, table: DataFrame, keys, change, text: str, group_chars: int) -> DataFrame:
@@ -234,14 +243,18 @@ def _by_case(docs: DataFrame, table: DataFrame, keys, change, text: str, group_c
     return dealt.groupBy("case_id", "_cw_salt").cogroup(rows.groupBy("_cw_key", "_cw_part")).applyInPandas(run, schema)
 
 
-def _slots(table: DataFrame) -> tuple[int, np.ndarray]:
-    """(bits, bitmap): which of 2**bits slots the table's keys fall into; 64 slots a name, at most 2**27 (16 MB)."""
-    bits = min(27, max(10, (64 * table.count()).bit_length()))
-    slot = F.pmod("_cw_k", F.lit(2**bits))
-    words = table.groupBy(F.floor(slot / 64).cast("int").alias("at")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(_cw_k, {2**bits}L) % 64 as int))")).alias("word")).toArrow()
+def _slots(table: DataFrame, bits: int, column: str) -> np.ndarray:
+    """A bitmap: which of 2**bits slots the column's numbers fall into."""
+    slot = F.pmod(column, F.lit(2**bits))
+    words = table.groupBy(F.floor(slot / 64).cast("int").alias("at")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod({column}, {2**bits}L) % 64 as int))")).alias("word")).toArrow()
     bitmap = np.zeros(2 ** (bits - 6), np.int64)
     bitmap[words.column("at").to_numpy()] = words.column("word").to_numpy()
-    return bits, bitmap
+    return bitmap
+
+
+def _passes(bitmap: np.ndarray, k: np.ndarray) -> np.ndarray:
+    slot = k & np.int64(64 * len(bitmap) - 1)
+    return (bitmap[slot >> 6] >> (slot & 63)) & 1 == 1
 
 
 def pseudonymize(docs: DataFrame, aliases: DataFrame, *, text: str = "text", group_chars: int = 8_000_000) -> DataFrame:
@@ -249,8 +262,9 @@ def pseudonymize(docs: DataFrame, aliases: DataFrame, *, text: str = "text", gro
 
     Of names equal in lower case a person's wins, then the alias with the larger number. A document needs only the
     aliases of its case; one without any keeps its text, and a null text stays null. A group of texts gets the names
-    whose first two words stand side by side in it; texts tell only those pairs of words that a bitmap of the names'
-    pairs (at most 16 MB) lets pass. The lower-case names are written and the bitmap is made when this is called.
+    whose first two words stand side by side in it; texts tell only those pairs of words that two bitmaps, of the names'
+    first words and of their pairs (64 slots a name, at most 16 MB each), let pass. The lower-case names are written and
+    the bitmaps are made when this is called.
     """
     number = F.expr("try_cast(regexp_extract(alias, '([0-9]+)$', 1) as decimal(38, 0))")
     order = F.struct(F.when(F.col("kind") == "PERSONA", 1).otherwise(0), number, F.col("alias"))
@@ -259,22 +273,22 @@ def pseudonymize(docs: DataFrame, aliases: DataFrame, *, text: str = "text", gro
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             low = [lowered(n) for n in batch.column("name").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("case_id"), pa.array(name_keys(low), pa.int64()), pa.array(low, pa.string()), batch.column("alias"), batch.column("order")], names=["case_id", "_cw_k", "low", "alias", "order"])
+            both, first = name_keys(low)
+            yield pa.RecordBatch.from_arrays([batch.column("case_id"), pa.array(both), pa.array(first), pa.array(low, pa.string()), batch.column("alias"), batch.column("order")], names=["case_id", "_cw_k", "_cw_first", "low", "alias", "order"])
 
     named = aliases.filter("real_name <> ''").select("case_id", F.col("real_name").alias("name"), "alias", order.alias("order"))
-    kinds = f"case_id {case_type}, _cw_k bigint, low string, alias string, order {named.schema['order'].dataType.simpleString()}"
-    table = stage_table(named.mapInArrow(keyed, kinds).groupBy("case_id", "_cw_k", "low").agg(F.max_by("alias", "order").alias("alias")), "names")
-    bits, bitmap = _slots(table)
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
+    kinds = f"case_id {case_type}, _cw_k bigint, _cw_first bigint, low string, alias string, order {named.schema['order'].dataType.simpleString()}"
+    table = stage_table(named.mapInArrow(keyed, kinds).groupBy("case_id", "_cw_k", "_cw_first", "low").agg(F.max_by("alias", "order").alias("alias")), "names")
+    bits = min(27, max(10, (64 * table.count()).bit_length()))
+    shared = docs.sparkSession.sparkContext.broadcast([_slots(table, bits, c) for c in ("_cw_k", "_cw_first")])
 
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             place = pd.DataFrame({"c": batch.column(0).to_pylist(), "s": batch.column(1).to_pylist()}, dtype=object)
             texts = batch.column(2).to_pylist()
             for at in place.groupby(["c", "s"], dropna=False, sort=False).indices.values():
-                k = text_keys([texts[i] for i in at])
-                slot = k & np.int64(2**bits - 1)
-                k = k[(shared.value[slot >> 6] >> (slot & 63)) & 1 == 1]
+                k = text_keys([texts[i] for i in at], lambda h: _passes(shared.value[1], h))
+                k = k[_passes(shared.value[0], k)]
                 if len(k):
                     first = pa.array(np.full(len(k), at[0]))
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(first), batch.column(1).take(first), pa.array(k)], names=["case_id", "_cw_salt", "_cw_k"])

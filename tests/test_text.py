@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -128,6 +129,10 @@ def test_names_are_replaced_at_every_boundary(spark):
 
 
 def test_words_and_pairs_of_texts():
-    keys = set(extract.text_keys(["uno dos, Tres", None, "", "cuatro"]).tolist())
-    told = set(extract.name_keys(["dos tres", "uno", "cuatro", "dos-tres x", "", "()"]))
-    assert told <= keys and not set(extract.name_keys(["tres cuatro", "uno tres", "cinco"])) & keys
+    numbers = lambda names: set(extract.name_keys(names)[0].tolist())
+    every = set(extract.text_keys(["uno dos, Tres", None, "", "cuatro"], lambda h: h == h).tolist())
+    assert numbers(["dos tres", "uno", "cuatro", "dos-tres x", "", "()"]) <= every and not numbers(["tres cuatro", "uno tres", "cinco"]) & every
+    first = extract.name_keys(["dos"])[1]
+    some = set(extract.text_keys(["uno dos, Tres", "dos"], lambda h: np.isin(h, first)).tolist())
+    assert some == numbers(["dos tres", "dos", ""])
+    assert set(extract.text_keys([], lambda h: h == h).tolist()) == numbers([""])
