@@ -224,8 +224,8 @@ def text_keys(texts: list[str | None], starts: Callable[[np.ndarray], np.ndarray
 def _by_case(docs: DataFrame, table: DataFrame, keys, change, text: str, group_chars: int) -> DataFrame:
     """docs with text = change(rows of the case's table as pandas)(text): documents and tables meet by a grouped join.
 
-    A case's documents are dealt over so many salts that a group has about `group_chars` characters. keys(dealt) gives
-    the distinct (case_id, _cw_salt, _cw_k) that its texts hold, and a group gets those rows of the table (case_id,
+    A case's documents are dealt over so many salts that a group has about `group_chars` characters. keys(dealt, placed)
+    gives the distinct (case_id, _cw_salt, _cw_k) that the texts hold, before or after they are shuffled, and a group gets those rows of the table (case_id,
     _cw_k, …) whose key it holds, so a case's table never travels whole. Nothing runs while the plan is built.
     """
     chars = docs.groupBy("case_id").agg(F.ceil(F.sum(F.coalesce(F.length(text), F.lit(0)) + 1) / group_chars).cast("int").alias("_cw_salts"))
@@ -233,14 +233,15 @@ def _by_case(docs: DataFrame, table: DataFrame, keys, change, text: str, group_c
     salted = docs.join(named, F.col("case_id").eqNullSafe(F.col("_cw_case"))).drop("_cw_case")
     columns = F.struct(*docs.columns)
     dealt = salted.select(F.col("case_id"), F.pmod(F.xxhash64("doc_id" if "doc_id" in docs.columns else columns), F.col("_cw_salts")).cast("int").alias("_cw_salt"), *(F.col(c) for c in docs.columns if c != "case_id"))
-    held = keys(dealt).select(F.col("case_id").alias("_cw_key"), F.col("_cw_salt").alias("_cw_part"), F.col("_cw_k").alias("_cw_held"))
+    placed = dealt.repartition("case_id", "_cw_salt")  # one shuffle of texts: for keys() that reads all of it, and for the join
+    held = keys(dealt, placed).select(F.col("case_id").alias("_cw_key"), F.col("_cw_salt").alias("_cw_part"), F.col("_cw_k").alias("_cw_held"))
     rows = held.join(table, F.col("_cw_key").eqNullSafe(F.col("case_id")) & (F.col("_cw_held") == F.col("_cw_k"))).drop("case_id", "_cw_held")
     schema = docs.schema
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         return left[schema.names].assign(**{text: left[text].map(change(right))})
 
-    return dealt.groupBy("case_id", "_cw_salt").cogroup(rows.groupBy("_cw_key", "_cw_part")).applyInPandas(run, schema)
+    return placed.groupBy("case_id", "_cw_salt").cogroup(rows.groupBy("_cw_key", "_cw_part")).applyInPandas(run, schema)
 
 
 def _slots(table: DataFrame, bits: int, column: str) -> np.ndarray:
@@ -284,17 +285,17 @@ def pseudonymize(docs: DataFrame, aliases: DataFrame, *, text: str = "text", gro
 
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            place = pd.DataFrame({"c": batch.column(0).to_pylist(), "s": batch.column(1).to_pylist()}, dtype=object)
-            texts = batch.column(2).to_pylist()
-            for at in place.groupby(["c", "s"], dropna=False, sort=False).indices.values():
+            place = pd.DataFrame({c: batch.column(c).to_pylist() for c in ("case_id", "_cw_salt")}, dtype=object)
+            texts = batch.column(text).to_pylist()
+            for at in place.groupby(["case_id", "_cw_salt"], dropna=False, sort=False).indices.values():
                 k = text_keys([texts[i] for i in at], lambda h: _passes(shared.value[1], h))
                 k = k[_passes(shared.value[0], k)]
                 if len(k):
                     first = pa.array(np.full(len(k), at[0]))
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(first), batch.column(1).take(first), pa.array(k)], names=["case_id", "_cw_salt", "_cw_k"])
+                    yield pa.RecordBatch.from_arrays([batch.column("case_id").take(first), batch.column("_cw_salt").take(first), pa.array(k)], names=["case_id", "_cw_salt", "_cw_k"])
 
-    def keys(dealt: DataFrame) -> DataFrame:
-        return dealt.select("case_id", "_cw_salt", text).mapInArrow(tell, f"case_id {dict(docs.dtypes)['case_id']}, _cw_salt int, _cw_k bigint").distinct()
+    def keys(_: DataFrame, placed: DataFrame) -> DataFrame:
+        return placed.mapInArrow(tell, f"case_id {dict(docs.dtypes)['case_id']}, _cw_salt int, _cw_k bigint").distinct()
 
     return _by_case(docs, table, keys, lambda t: Replacer(dict(zip(t["low"], t["alias"]))), text, group_chars)
 
@@ -310,7 +311,7 @@ def restore(docs: DataFrame, aliases: DataFrame, *, text: str = "text", group_ch
         names = dict(zip(table["_cw_k"], table["real_name"]))
         return lambda t: _ALIAS.sub(lambda m: names.get(m.group(), m.group()), t) if isinstance(t, str) else t
 
-    def keys(dealt: DataFrame) -> DataFrame:
+    def keys(dealt: DataFrame, _: DataFrame) -> DataFrame:
         found = F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(_ALIAS.pattern), F.lit(0)))
         return dealt.select("case_id", "_cw_salt", F.explode(found).alias("_cw_k")).distinct()
 
