@@ -6,12 +6,16 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _LOCAL_DIRS: dict[str, str] = {}
+#: Folders of the tables that the running stage_step() has staged so far; None outside of one.
+_STAGED: ContextVar[list[str] | None] = ContextVar("staged", default=None)
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -53,9 +57,29 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
         df.write.option("compression", "zstd").parquet(path)
     finally:
         conf.set(CLEANUP, was)
+    staged = _STAGED.get()
+    if staged is not None:
+        staged.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stage_step(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """make()'s rows as a staged table. The tables that make() stages on its way are deleted once that one is written,
+    so no other plan may read them. If a job fails they stay."""
+    staged: list[str] = []
+    outer = _STAGED.set(staged)
+    try:
+        df = make()
+    finally:
+        _STAGED.reset(outer)
+    table = stage_table(df, name)
+    spark = df.sparkSession
+    for folder in staged:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return table
+
+
 def components(links: DataFrame, src: str = "a", dst: str = "b") -> DataFrame:
     """(node, component) for every node of the links (src, dst); component: its smallest reachable node.
 
