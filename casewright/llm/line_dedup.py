@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from casewright.llm.shared import stage_table
+from casewright.llm.shared import stage_step, stage_table
 
 BITS = 16
 BUCKETS = 1 << BITS
@@ -162,8 +162,12 @@ def near(pairs: DataFrame, texts: DataFrame, classes: DataFrame, ranks: list[int
 
 def beaten_classes(texts: DataFrame, classes: DataFrame, ranks: list[int], threshold: float) -> DataFrame:
     """(b): the classes that are near an earlier one."""
-    settled = stage_table(near(stage_table(first_witnesses(classes, threshold), "line-pairs"), texts, classes, ranks, threshold), "lines-settled")
-    rest = near(stage_table(candidate_pairs(classes, settled, threshold), "line-pairs"), texts, classes, ranks, threshold)
+
+    def found(pairs: DataFrame) -> DataFrame:
+        return near(stage_table(pairs, "line-pairs"), texts, classes, ranks, threshold)
+
+    settled = stage_step(lambda: found(first_witnesses(classes, threshold)), "lines-settled")
+    rest = stage_step(lambda: found(candidate_pairs(classes, settled, threshold)), "lines-settled")
     return settled.union(rest)
 
 

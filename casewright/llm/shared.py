@@ -6,9 +6,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from casewright.operators.components import checkpoint_dir, components, cut, stage_table
+from casewright.operators.components import checkpoint_dir, components, cut, stage_step, stage_table
 
-__all__ = ["checkpoint_dir", "components", "crc_bucket", "cut", "finite", "lookup", "running_total", "scaled", "stage_table"]
+__all__ = ["checkpoint_dir", "components", "crc_bucket", "cut", "finite", "lookup", "running_total", "scaled", "stage_step", "stage_table"]
 
 
 def crc_bucket(key: Column, modulus: int) -> Column:

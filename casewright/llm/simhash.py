@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from casewright.llm.shared import components, cut, stage_table
+from casewright.llm.shared import components, cut, stage_step, stage_table
 
 BITS = 64
 DISTANCE = 4
@@ -221,7 +221,7 @@ def _maybe_similar(x: str, y: str) -> Column:
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) of `pairs` whose sets have Jaccard 0.8 or more."""
     nodes = pairs.select(F.col("a").alias("c")).union(pairs.select("b")).distinct()
-    held = cut(sets.join(nodes, "c", "left_semi").select("c", "shingles").dropDuplicates(["c"]))
+    held = stage_table(sets.join(nodes, "c", "left_semi").select("c", "shingles").dropDuplicates(["c"]), "held-sets")
     both = pairs.join(held.select(F.col("c").alias("a"), F.col("shingles").alias("x")), "a").join(held.select(F.col("c").alias("b"), F.col("shingles").alias("y")), "b")
     return both.filter(F.size(F.array_intersect("x", "y")) * 9 >= (F.size("x") + F.size("y")) * 4).select("a", "b")
 
@@ -236,17 +236,17 @@ def similar_links(sets: DataFrame) -> DataFrame:
     same = Window.partitionBy("t")
     row = F.struct("c", "n", "i", "fp")
     shared = entries.select("t", row.alias("b"), F.min(row).over(same).alias("a"), F.max("c").over(same).alias("top"))
-    shared = cut(shared.filter(F.col("a.c") < F.col("top")).select("t", "a", "b"))
-    first = cut(shared.filter((F.col("a.c") < F.col("b.c")) & _maybe_similar("a", "b")).select(F.col("a.c").alias("a"), F.col("b.c").alias("b")).distinct())
-    links = cut(verified(first, sets))
+    shared = stage_table(shared.filter(F.col("a.c") < F.col("top")).select("t", "a", "b"), "shared-shingles")
+    first = stage_table(shared.filter((F.col("a.c") < F.col("b.c")) & _maybe_similar("a", "b")).select(F.col("a.c").alias("a"), F.col("b.c").alias("b")).distinct(), "set-pairs")
+    links = stage_step(lambda: verified(first, sets), "set-links")
     of = components(links).withColumnRenamed("node", "c")
     placed = shared.select("t", "b", F.col("b.c").alias("c")).join(of, "c", "left").select("t", "b", F.coalesce("component", "c").alias("m"))
     split = placed.select("t", "b", "m", F.min("m").over(same).alias("low"), F.max("m").over(same).alias("top"))
-    split = cut(split.filter("low < top").select("t", "b", "m"))
+    split = stage_table(split.filter("low < top").select("t", "b", "m"), "split-shingles")
     x, y = split.select("t", F.col("b").alias("x"), F.col("m").alias("mx")), split.select("t", F.col("b").alias("y"), F.col("m").alias("my"))
     more = x.join(y, "t").filter((F.col("mx") != F.col("my")) & (F.col("x.c") < F.col("y.c")) & _maybe_similar("x", "y"))
     more = more.select(F.col("x.c").alias("a"), F.col("y.c").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    return links.union(verified(cut(more), sets))
+    return links.union(stage_step(lambda: verified(stage_table(more, "set-pairs"), sets), "set-links"))
 
 
 def keep_dissimilar(docs: DataFrame, *, width: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -257,9 +257,12 @@ def keep_dissimilar(docs: DataFrame, *, width: int = 5, key: str = "doc_id", tex
     key; equal rows leave one; rows without words (null, empty) all stay.
     """
     hashed = docs.withColumn("_cw_text", F.xxhash64(text))
-    sets = stage_table(shingle_sets(hashed, width=width, key=key, text=text), "shingles")
-    of = components(similar_links(sets)).withColumnRenamed("node", "c")
-    rows = sets.select("c", key, "_cw_text").join(of.withColumnRenamed("component", "_cw_of"), "c", "left")
-    found = cut(rows.groupBy(F.coalesce("_cw_of", "c").alias("component"), key, "_cw_text").count())
+
+    def found() -> DataFrame:
+        sets = stage_table(shingle_sets(hashed, width=width, key=key, text=text), "shingles")
+        of = components(similar_links(sets)).withColumnRenamed("node", "c")
+        rows = sets.select("c", key, "_cw_text").join(of.withColumnRenamed("component", "_cw_of"), "c", "left")
+        return rows.groupBy(F.coalesce("_cw_of", "c").alias("component"), key, "_cw_text").count()
+
     wordless = ~F.coalesce(F.col(text).rlike(r"[^ \t\n\x0B\f\r]"), F.lit(False))
-    return _first_rows(hashed, found, key).union(hashed.filter(wordless)).select(*docs.columns)
+    return _first_rows(hashed, stage_step(found, "set-components"), key).union(hashed.filter(wordless)).select(*docs.columns)
