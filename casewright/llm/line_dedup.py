@@ -1,7 +1,7 @@
 """Near-duplicate lines by an exact set-similarity join, in DataFrame functions only.
 
 A line is the set of its lower-cased words. Tokens get one global order, rare ones first: how often each of `BUCKETS`
-token buckets occurs in the corpus is counted once, and a token's key is its bucket's rarity rank followed by its hash.
+token buckets occurs in the corpus is counted once, and a token's key is its bucket's rarity level followed by its hash.
 Equal sets collapse to one class, numbered in the order of the classes' first lines. Two sets with Jaccard similarity
 >= t share one of their first n - ceil(t n) + 1 tokens in that order (prefix filter); the position of the shared token
 bounds the overlap (positional filter), and so do the sizes (length filter) and 128-bit parity sketches: each token
@@ -15,13 +15,16 @@ proportion to their members; the join of all prefixes then leaves out every pair
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casewright.llm.shared import stage_step, stage_table
 
-BITS = 16
-BUCKETS = 1 << BITS
+BUCKETS = 1 << 16
+#: Bits of a key that hold the rarity level; the others hold the token's hash.
+LEVEL_BITS = 7
 
 
 def words(line: Column) -> Column:
@@ -32,30 +35,32 @@ def words(line: Column) -> Column:
 
 
 def rarity(docs: DataFrame, text: str) -> list[int]:
-    """The rarity rank of each token bucket over all texts: BUCKETS numbers, whatever the size of the corpus."""
+    """The rarity level of each token bucket over all texts: BUCKETS numbers, whatever the size of the corpus.
+
+    A level is half a power of two of the bucket's count, so it stays below 2**LEVEL_BITS for any 64-bit count. The
+    numbers stand in every plan that tokenizes, and Spark prints plans for its events: small ones keep these short.
+    """
     tokens = docs.select(F.explode(words(F.replace(F.col(text), F.lit("\n"), F.lit(" ")))).alias("w"))
     counted = tokens.groupBy(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("b")).count()
     found = {r["b"]: r["count"] for r in counted.collect()}  # BUCKETS rows at most
-    order = sorted(range(BUCKETS), key=lambda b: (found.get(b, 0), b))
-    ranks = [0] * BUCKETS
-    for rank, b in enumerate(order):
-        ranks[b] = rank
-    return ranks
+    return [int(2 * math.log2(1 + found.get(b, 0))) for b in range(BUCKETS)]
 
 
-def token_keys(line: Column, ranks: list[int]) -> Column:
-    """Sorted distinct token keys of a line, the rarest first: BITS bits of rank, then hash (63 bits name a token).
+def token_keys(line: Column, levels: list[int]) -> Column:
+    """Sorted distinct token keys of a line, the rarest first: LEVEL_BITS bits of level, then the hash's upper 57 bits.
 
-    Words are hashed once and ranked once they are distinct; no step yields a null, so Spark sorts primitive arrays.
+    Words are hashed once and take their levels once they are distinct; no step yields a null, so Spark sorts
+    primitive arrays. The lowest level has the sign bit, so that keys sort as they are.
     """
-    table = F.split(F.lit(",".join(str(r << (63 - BITS)) for r in ranks)), ",").cast("array<bigint>")
+    table = F.split(F.lit(",".join(map(str, levels))), ",").cast("array<tinyint>")
 
-    def ranked(h: Column) -> Column:
-        rank = F.element_at(table, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int") + 1)
-        return F.coalesce(rank, F.lit(0).cast("bigint")).bitwiseOR(F.shiftrightunsigned(h, BITS + 1))
+    def leveled(h: Column) -> Column:
+        level = F.element_at(table, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int") + 1)
+        signed = F.coalesce(level, F.lit(0).cast("tinyint")).cast("bigint") - (1 << (LEVEL_BITS - 1))
+        return F.shiftleft(signed, 64 - LEVEL_BITS).bitwiseOR(F.shiftrightunsigned(h, LEVEL_BITS))
 
     hashes = F.array_remove(F.array_distinct(F.transform(words(line), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
-    return F.sort_array(F.transform(hashes, ranked))
+    return F.sort_array(F.transform(hashes, leveled))
 
 
 def has_word(line: Column) -> Column:
@@ -73,7 +78,7 @@ def sketch(keys: Column, half: int | None) -> Column:
     return F.aggregate(tokens, zero, flip)
 
 
-def line_classes(docs: DataFrame, ranks: list[int], *, threshold: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
+def line_classes(docs: DataFrame, levels: list[int], *, threshold: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The distinct token sets, written once: (cid, n, s, u, prefix, first); first: position of the earliest line.
 
     A position is (key, text hash, line number), and cid rises with it. s, u: sketches (of both halves for sets over
@@ -83,7 +88,7 @@ def line_classes(docs: DataFrame, ranks: list[int], *, threshold: float = 0.8, k
     """
     lines = docs.filter(F.col(text).isNotNull()).select(F.col(key).alias("k"), F.xxhash64(text).alias("r"), F.posexplode(F.split(F.col(text), "\n", -1)).alias("l", "line"))
     # blank lines go before their words are looked for: a condition on the keys would compute these twice
-    keyed = lines.filter(has_word(F.col("line"))).select("k", "r", "l", token_keys(F.col("line"), ranks).alias("keys"))
+    keyed = lines.filter(has_word(F.col("line"))).select("k", "r", "l", token_keys(F.col("line"), levels).alias("keys"))
     wide = F.size("keys") > WIDE
     prefix = F.slice("keys", F.lit(1), F.size("keys") - F.ceil(threshold * F.size("keys") - 1e-9).cast("int") + 1)
     small = F.transform(prefix, lambda k: k.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
@@ -144,7 +149,7 @@ def candidate_pairs(classes: DataFrame, settled: DataFrame, threshold: float) ->
     return found.select(F.shiftright(F.least("cx", "cy"), 1).alias("a"), F.shiftright(F.greatest("cx", "cy"), 1).alias("b")).distinct()
 
 
-def near(pairs: DataFrame, texts: DataFrame, classes: DataFrame, ranks: list[int], threshold: float) -> DataFrame:
+def near(pairs: DataFrame, texts: DataFrame, classes: DataFrame, levels: list[int], threshold: float) -> DataFrame:
     """(b), distinct: the later classes of the pairs (a, b) whose sets have Jaccard similarity >= threshold.
 
     texts: (_cw_r, _cw_h, _cw_text). Only the first lines of the pairs' classes are tokenized again.
@@ -154,17 +159,17 @@ def near(pairs: DataFrame, texts: DataFrame, classes: DataFrame, ranks: list[int
     found = texts.join(at, ["_cw_r", "_cw_h"])
     each = found.select(F.split("_cw_text", "\n", -1).alias("lines"), F.explode("at").alias("p"))
     line = each.select("p.cid", F.element_at("lines", F.col("p.l") + 1).alias("line"))
-    sets = stage_table(line.groupBy("cid").agg(F.first("line").alias("line")).select("cid", token_keys(F.col("line"), ranks).alias("keys")), "line-sets")
+    sets = stage_table(line.groupBy("cid").agg(F.first("line").alias("line")).select("cid", token_keys(F.col("line"), levels).alias("keys")), "line-sets")
     side = lambda v: sets.select(F.col("cid").alias(v), F.col("keys").alias(f"k{v}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("o", F.size(F.array_intersect("ka", "kb")))
     return both.filter(F.col("o") >= F.lit(threshold) * (F.size("ka") + F.size("kb") - F.col("o")) - 1e-9).select("b").distinct()
 
 
-def beaten_classes(texts: DataFrame, classes: DataFrame, ranks: list[int], threshold: float) -> DataFrame:
+def beaten_classes(texts: DataFrame, classes: DataFrame, levels: list[int], threshold: float) -> DataFrame:
     """(b): the classes that are near an earlier one."""
 
     def found(pairs: DataFrame) -> DataFrame:
-        return near(stage_table(pairs, "line-pairs"), texts, classes, ranks, threshold)
+        return near(stage_table(pairs, "line-pairs"), texts, classes, levels, threshold)
 
     settled = stage_step(lambda: found(first_witnesses(classes, threshold)), "lines-settled")
     rest = stage_step(lambda: found(candidate_pairs(classes, settled, threshold)), "lines-settled")
@@ -178,12 +183,12 @@ def dedup_lines(docs: DataFrame, *, threshold: float = 0.8, key: str = "doc_id",
     (null first), text hash and line number. A null text stays null; a text that loses every line becomes empty; rows
     that repeat key and text stay and lose the same lines. n_lines, n_removed: names of optional count columns.
     """
-    ranks = rarity(docs, text)
-    classes = line_classes(docs, ranks, threshold=threshold, key=key, text=text)
+    levels = rarity(docs, text)
+    classes = line_classes(docs, levels, threshold=threshold, key=key, text=text)
     # hashes of text and key, which are never null, name a text
     marked = docs.select(F.xxhash64(text).alias("_cw_r"), F.xxhash64(key).alias("_cw_h"), *(F.col(c).alias("_cw_text") if c == text else F.col(c) for c in docs.columns))
     texts = marked.filter(F.col("_cw_text").isNotNull()).select("_cw_r", "_cw_h", "_cw_text")
-    beaten = beaten_classes(texts, classes, ranks, threshold).select(F.col("b").alias("cid"))
+    beaten = beaten_classes(texts, classes, levels, threshold).select(F.col("b").alias("cid"))
     kept = classes.join(beaten, "cid", "left_anti")
     kept = kept.groupBy(F.col("first.r").alias("_cw_r"), F.xxhash64("first.k").alias("_cw_h")).agg(F.collect_list("first.l").alias("_cw_keep"))
     lines = F.split(F.col("_cw_text"), "\n", -1)

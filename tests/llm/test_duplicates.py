@@ -155,8 +155,8 @@ def test_line_dedup_of_many_near_copies(spark):
     rows = [(i, " ".join(base[: i % 40] + [f"x{i}"] + base[i % 40 + 1 :])) for i in range(3_000)]
     got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id int, text string")).filter("text <> ''").collect()
     assert [r["doc_id"] for r in got] == [0]  # two words of 40 differ at most: all are near the first
-    ranks = line_dedup.rarity(spark.createDataFrame(rows, "doc_id int, text string"), "text")
-    classes = line_dedup.line_classes(spark.createDataFrame(rows, "doc_id int, text string"), ranks)
+    levels = line_dedup.rarity(spark.createDataFrame(rows, "doc_id int, text string"), "text")
+    classes = line_dedup.line_classes(spark.createDataFrame(rows, "doc_id int, text string"), levels)
     settled = line_dedup.first_witnesses(classes, 0.8)
     assert settled.count() <= 4 * 3_000 and line_dedup.candidate_pairs(classes, settled, 0.8).count() <= 3_000
 
