@@ -25,6 +25,7 @@ from casewright.llm.shared import stage_step, stage_table
 BUCKETS = 1 << 16
 #: Bits of a key that hold the rarity level; the others hold the token's hash.
 LEVEL_BITS = 7
+HASH = (1 << (64 - LEVEL_BITS)) - 1
 
 
 def words(line: Column) -> Column:
@@ -84,17 +85,16 @@ def line_classes(docs: DataFrame, levels: list[int], *, threshold: float = 0.8,
     A position is (key, text hash, line number), and cid rises with it. s, u: sketches (of both halves for sets over
     WIDE tokens, else of all and 0). A set is known by its hash, size and sketches, some 190 bits. The aggregate is
     partial before the shuffle, so a line in a third of all documents is one row a task; of a set only its prefix is
-    shuffled, as 31-bit hashes (equal hashes of different tokens cost a candidate, never a result).
+    shuffled, as whole keys, so unrelated tokens don't meet however many there are.
     """
     lines = docs.filter(F.col(text).isNotNull()).select(F.col(key).alias("k"), F.xxhash64(text).alias("r"), F.posexplode(F.split(F.col(text), "\n", -1)).alias("l", "line"))
     # blank lines go before their words are looked for: a condition on the keys would compute these twice
     keyed = lines.filter(has_word(F.col("line"))).select("k", "r", "l", token_keys(F.col("line"), levels).alias("keys"))
     wide = F.size("keys") > WIDE
     prefix = F.slice("keys", F.lit(1), F.size("keys") - F.ceil(threshold * F.size("keys") - 1e-9).cast("int") + 1)
-    small = F.transform(prefix, lambda k: k.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
     s = F.when(wide, sketch(F.col("keys"), 0)).otherwise(sketch(F.col("keys"), None))
     u = F.when(wide, sketch(F.col("keys"), 1)).otherwise(F.lit(0).cast("bigint"))
-    rows = keyed.select(F.xxhash64("keys").alias("h"), F.size("keys").alias("n"), s.alias("s"), u.alias("u"), small.alias("prefix"), F.struct("k", "r", "l").alias("first"))
+    rows = keyed.select(F.xxhash64("keys").alias("h"), F.size("keys").alias("n"), s.alias("s"), u.alias("u"), prefix.alias("prefix"), F.struct("k", "r", "l").alias("first"))
     classes = rows.groupBy("h", "n", "s", "u").agg(F.first("prefix").alias("prefix"), F.min("first").alias("first"))
     ordered = classes.select("n", "s", "u", "prefix", "first").orderBy("first")
     return stage_table(ordered.select(F.monotonically_increasing_id().alias("cid"), "*"), "line-classes")
@@ -117,9 +117,10 @@ def _need(threshold: float, x: str, y: str) -> Column:
 
 def first_witnesses(classes: DataFrame, threshold: float) -> DataFrame:
     """(a, b): each class b and the earliest class a with the same head, if a comes before b and the filters let the
-    pair pass. Heads: the smallest and largest hash, the middle and the last token of the prefix."""
+    pair pass. Heads: the tokens of the smallest and largest hash, the middle and the last token of the prefix."""
     middle = F.element_at("prefix", F.floor(F.size("prefix") / 2).cast("int") + 1)
-    four = F.array(F.array_min("prefix"), F.array_max("prefix"), middle, F.element_at("prefix", -1))
+    hashed = F.transform("prefix", lambda k: F.struct(k.bitwiseAND(F.lit(HASH)).alias("h"), k.alias("k")))
+    four = F.array(F.array_min(hashed)["k"], F.array_max(hashed)["k"], middle, F.element_at("prefix", -1))
     heads = classes.select("cid", "n", "s", "u", F.explode(F.array_distinct(four)).alias("head"))
     led = heads.groupBy("head").agg(F.min("cid").alias("a"), F.max("cid").alias("top"), *(F.min_by(c, "cid").alias(f"{c}a") for c in ("n", "s", "u"))).filter("a < top").drop("top")
     each = heads.select("head", F.col("cid").alias("b"), *(F.col(c).alias(f"{c}b") for c in ("n", "s", "u")))
