@@ -117,11 +117,11 @@ def _need(threshold: float, x: str, y: str) -> Column:
 
 def first_witnesses(classes: DataFrame, threshold: float) -> DataFrame:
     """(a, b): each class b and the earliest class a with the same head, if a comes before b and the filters let the
-    pair pass. Heads: the tokens of the smallest and largest hash, the middle and the last token of the prefix."""
-    middle = F.element_at("prefix", F.floor(F.size("prefix") / 2).cast("int") + 1)
-    hashed = F.transform("prefix", lambda k: F.struct(k.bitwiseAND(F.lit(HASH)).alias("h"), k.alias("k")))
-    four = F.array(F.array_min(hashed)["k"], F.array_max(hashed)["k"], middle, F.element_at("prefix", -1))
-    heads = classes.select("cid", "n", "s", "u", F.explode(F.array_distinct(four)).alias("head"))
+    pair pass. Heads: the smallest and largest hash, the middle and the last token's of the prefix."""
+    middle = F.element_at("p", F.floor(F.size("p") / 2).cast("int") + 1)
+    four = F.array(F.array_min("p"), F.array_max("p"), middle, F.element_at("p", -1))
+    hashed = classes.select("cid", "n", "s", "u", F.transform("prefix", lambda k: k.bitwiseAND(F.lit(HASH))).alias("p"))
+    heads = hashed.select("cid", "n", "s", "u", F.explode(F.array_distinct(four)).alias("head"))
     led = heads.groupBy("head").agg(F.min("cid").alias("a"), F.max("cid").alias("top"), *(F.min_by(c, "cid").alias(f"{c}a") for c in ("n", "s", "u"))).filter("a < top").drop("top")
     each = heads.select("head", F.col("cid").alias("b"), *(F.col(c).alias(f"{c}b") for c in ("n", "s", "u")))
     return each.join(led, "head").filter((F.col("a") < F.col("b")) & _maybe_near(threshold, "a", "b")).select("a", "b").distinct()
