@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from casewright.functions.names import jaccard, normalize_name, person_validity, vehicle_validity
-from casewright.operators.components import components
+from casewright.operators.components import components, stage_table
 
 
 def judged(entities: DataFrame, *, name: str = "name", mentions: str = "mentions") -> DataFrame:
@@ -42,15 +42,18 @@ def edit_ratio(a: Column, b: Column) -> Column:
     return 1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b), F.lit(1))
 
 
-def candidate_pairs(names: DataFrame, *, threshold: float, native: bool = False) -> DataFrame:
-    """(case_id, x, mx, y, my): names (case_id, norm, mentions) that can have the ratio, x the shorter; a segment index.
+SEGMENT = ["case_id", "ns", "nl", "i", "seg"]
+
+
+def segment_index(names: DataFrame, *, threshold: float, native: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(SEGMENT, x, mx) and (SEGMENT, y, my): where names (case_id, norm, mentions) that can have the ratio meet, x the shorter.
 
     A matching ratio >= t leaves at most d = (1 - t)(|x| + |y|) signs to insert or delete (an edit ratio >= t at most
     (1 - t)|y| edits). The shorter name is cut into d + 1 segments. As edits are counted from the left, some segment i
     has none of its own and exactly i before it; it therefore stands whole in the longer name, moved by i, i - 2 … -i
     signs (by up to i for edits), so far as the other d - i edits can make up the rest of the difference in length.
     Names meet where one has such a segment, its number, place and both lengths in common with the other: exact, and no
-    two names are compared without a common segment. A crowded segment is split by Spark's handling of skewed joins.
+    two names are compared without a common segment. Only lengths that some name of the case has are entered.
     """
     t, eps = threshold, 1e-9
     base = names.select("case_id", "norm", "mentions", F.length("norm").alias("n"))
@@ -63,14 +66,22 @@ def candidate_pairs(names: DataFrame, *, threshold: float, native: bool = False)
         each = df.withColumn("d", edits).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("d"))))
         return each.withColumn("at", cut(F.col("i"))).withColumn("size", cut(F.col("i") + 1) - F.col("at"))
 
-    key = ["case_id", "ns", "nl", "i", "seg"]
-    short = segments(base.withColumnRenamed("n", "ns").withColumn("n", F.col("ns")).withColumn("nl", F.explode(F.sequence(F.col("n"), longest))))
+    found = base.select("case_id", "n").distinct()
+    has = lambda df, c: df.join(F.broadcast(found.withColumnRenamed("n", c)), ["case_id", c], "left_semi")
+    short = segments(has(base.withColumnRenamed("n", "ns").withColumn("n", F.col("ns")).withColumn("nl", F.explode(F.sequence(F.col("n"), longest))), "nl"))
     short = short.select("case_id", "ns", "nl", "i", F.substring(F.col("norm"), F.col("at") + 1, F.col("size")).alias("seg"), F.col("norm").alias("x"), F.col("mentions").alias("mx"))
-    whole = segments(base.withColumn("nl", F.col("n")).withColumn("ns", F.explode(F.sequence(shortest, F.col("n")))))
+    whole = segments(has(base.withColumn("nl", F.col("n")).withColumn("ns", F.explode(F.sequence(shortest, F.col("n")))), "ns"))
     moves = F.filter(F.sequence(-F.col("i"), F.col("i"), F.lit(1 if native else 2)), lambda m: (F.abs(F.col("nl") - F.col("ns") - m) <= F.col("d") - F.col("i")) & (F.col("at") + m >= 0) & (F.col("at") + m + F.col("size") <= F.col("nl")))
     moved = whole.withColumn("m", F.explode(moves))
     moved = moved.select("case_id", "ns", "nl", "i", F.substring(F.col("norm"), F.col("at") + F.col("m") + 1, F.col("size")).alias("seg"), F.col("norm").alias("y"), F.col("mentions").alias("my"))
-    return short.join(moved, key).filter("x <> y").select("case_id", "x", "mx", "y", "my").distinct()
+    return short, moved
+
+
+def candidate_pairs(names: DataFrame, *, threshold: float, native: bool = False) -> DataFrame:
+    """(case_id, x, mx, y, my): every two names that meet in segment_index(). A crowded segment is split by Spark's
+    handling of skewed joins."""
+    short, moved = segment_index(names, threshold=threshold, native=native)
+    return short.join(moved, SEGMENT).filter("x <> y").select("case_id", "x", "mx", "y", "my").distinct()
 
 
 def similar_pairs(names: DataFrame, *, threshold: float = 0.8, native: bool = False) -> DataFrame:
@@ -79,7 +90,11 @@ def similar_pairs(names: DataFrame, *, threshold: float = 0.8, native: bool = Fa
     Candidates share a segment; a bound on letter counts (exact too) comes before the ratio. The matching ratio is not
     symmetric: a is the more mentioned, then the smaller name.
     """
-    found = candidate_pairs(names, threshold=threshold, native=native)
+    return similar_among(candidate_pairs(names, threshold=threshold, native=native), threshold=threshold, native=native)
+
+
+def similar_among(found: DataFrame, *, threshold: float = 0.8, native: bool = False) -> DataFrame:
+    """Those of candidate_pairs() at or over the threshold; see similar_pairs()."""
     first = (F.col("mx") > F.col("my")) | ((F.col("mx") == F.col("my")) & (F.col("x") < F.col("y")))
     pairs = found.select("case_id", F.when(first, F.col("x")).otherwise(F.col("y")).alias("a"), F.when(first, F.col("y")).otherwise(F.col("x")).alias("b")).distinct()
     shared = F.aggregate(F.zip_with(letters("a"), letters("b"), lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
@@ -123,6 +138,45 @@ def connected(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     return found.select("node.case_id", "node.node", F.col("component.node").alias("component"))
 
 
+def similar_clusters(names: DataFrame, *, threshold: float = 0.8, native: bool = False, rounds: int = 6) -> DataFrame:
+    """(case_id, node, component): connected() over similar_pairs(), without forming pairs that are connected already.
+
+    In each round the names of a segment meet only its heads, a name of either side chosen by a hash of its component, so
+    numbered names, all of them near each other, become one component at a cost in proportion to their number. Segments
+    whose names have one component are done. When a round links nothing, or after `rounds`, all pairs of different
+    components that still share a segment are compared: exact, whatever the rounds found.
+    """
+    rule = {"threshold": threshold, "native": native}
+    nodes = names.select("case_id", F.col("norm").alias("node")).distinct()
+    short, moved = segment_index(names, **rule)
+    entry = lambda df, n, m, longer: df.select(*SEGMENT, F.col(n).alias("node"), F.col(m).alias("mentions"), F.lit(longer).alias("longer"))
+    cells = stage_table(entry(short, "x", "mx", False).unionByName(entry(moved, "y", "my", True)).distinct(), "segments")
+    links, found = None, nodes.withColumn("component", F.col("node"))
+    for turn in range(rounds + 1):
+        who, order = F.struct("node", "mentions", "component"), F.xxhash64(F.lit(turn), "i", "component", "node")
+        head = lambda longer: F.min_by(F.when(F.col("longer") == longer, who), F.when(F.col("longer") == longer, order))
+        placed = cells.join(found, ["case_id", "node"])
+        heads = placed.groupBy(*SEGMENT).agg(head(False).alias("hx"), head(True).alias("hy"), F.min("component").alias("low"), F.max("component").alias("top"))
+        open_ = heads.filter("low < top and hx is not null and hy is not null").drop("low", "top")
+        placed = stage_table(placed.join(open_, SEGMENT), "segments")
+        cells = placed.select(*cells.columns)
+        pair = lambda x, y: (F.col(f"{x}node").alias("x"), F.col(f"{x}mentions").alias("mx"), F.col(f"{y}node").alias("y"), F.col(f"{y}mentions").alias("my"))
+        if turn < rounds:
+            to_y = placed.filter("not longer and component <> hy.component").select("case_id", *pair("", "hy."))
+            to_x = placed.filter("longer and component <> hx.component").select("case_id", *pair("hx.", ""))
+            pairs = to_y.union(to_x).distinct()
+            more = stage_table(similar_among(pairs, **rule).select("case_id", "a", "b"), "name-links")
+        if turn == rounds or more.isEmpty():
+            side = lambda longer, x, m, c: placed.filter(F.col("longer") == longer).select(*SEGMENT, F.col("node").alias(x), F.col("mentions").alias(m), F.col("component").alias(c))
+            rest = side(False, "x", "mx", "cx").join(side(True, "y", "my", "cy"), SEGMENT).filter("cx <> cy").select("case_id", "x", "mx", "y", "my").distinct()
+            more = stage_table(similar_among(rest, **rule).select("case_id", "a", "b"), "name-links")
+            if more.isEmpty():
+                return found
+            return connected(nodes, more if links is None else links.union(more))
+        links = more if links is None else links.union(more)
+        found = stage_table(connected(nodes, links), "name-components")
+
+
 def canonical_entities(merged: DataFrame, clusters: DataFrame, *, preferred: list[str] | None = None) -> DataFrame:
     """(case_id, component, principal, canonical, aliases, mentions) of clusters (case_id, node = norm, component).
 

@@ -16,6 +16,17 @@ def test_clusters_are_a_partition(spark):
     assert len(got) == 5 and len({r["node"] for r in got}) == 5
 
 
+def test_similar_clusters_without_all_pairs(spark, monkeypatch):
+    names = [f"supplier#{i:09d}" for i in range(0, 6000, 60)] + ["ana ruiz", "ana ruis", "eva paz", "luis sol", "luis soler", "luis solera"]
+    n = spark.createDataFrame([("c", x, 1) for x in names], "case_id string, norm string, mentions int")
+    compared, among = [], resolve.similar_among
+    monkeypatch.setattr(resolve, "similar_among", lambda found, **rule: (compared.append(found.count()), among(found, **rule))[1])
+    got = {r["node"]: r["component"] for r in resolve.similar_clusters(n).collect()}
+    suppliers = {x: names[0] for x in names if x.startswith("supplier")}
+    assert got == suppliers | {"ana ruis": "ana ruis", "ana ruiz": "ana ruis", "eva paz": "eva paz", "luis sol": "luis sol", "luis soler": "luis sol", "luis solera": "luis sol"}
+    assert sum(compared) < 20 * len(names)  # all pairs: 50 times
+
+
 def test_edges_are_not_mirrored(spark):
     e = spark.createDataFrame([("c", "a", "b", "coocurrencia", 3), ("c", "b", "a", "involucrado", 1), ("c", "a", "d", "lugar", 1)], "case_id string, src string, dst string, kind string, n int")
     got = graph.dedup_edges(e).collect()
