@@ -41,6 +41,16 @@ def test_findings_collapse(spark):
     assert findings.listed(findings.with_ids(findings.collapse(f))).count() == 1
 
 
+def test_collapsed_findings_list_all_places(spark, tmp_path):
+    from casewright.plans import entity_queries
+
+    docs = spark.range(0, 900, 3).select(F.col("id").alias("doc_id"), F.lit("Una  sola\nfrase").alias("text"), F.lit("es").alias("lang"), F.concat(F.lit("s"), F.col("id").cast("string")).alias("source"))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(3, 1, 0)], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    one = entity_queries.n5_collapse(spark, str(tmp_path)).collect()
+    assert [(r["repeats"], r["files"]) for r in one] == [(300, ",".join(f"s{i}" for i in range(0, 900, 3)))]
+
+
 def test_mixed_people_fields(spark):
     j = '{"testigos": ["Ana Ruiz", {"testigo": "Luis Sol"}], "peritos": 3, "partes": [{"nombre": "Eva Paz", "cargo": "juez"}]}'
     r = spark.createDataFrame([("c", 1, j), ("c", 2, None)], "case_id string, chunk int, j string").select("case_id", "chunk", F.parse_json("j").alias("resultado"))
