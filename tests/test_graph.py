@@ -94,3 +94,14 @@ def test_model_has_the_declared_columns(spark):
     assert tuple(t["rel_involucrado"].first())[2:] == ("PERSONA_Ana_Ruiz", "HALLAZGO_001") and t["rel_victima"].first()["tipo_relacion"] == "hija"
     assert {r["n_orphans"] for r in relational.integrity(t).collect()} == {0} and relational.integrity(t).count() == 12
     assert t["expediente"].filter("anio = '2019'").count() == 1 and t["persona"].first()["tipo_rol"] == "juez"
+
+
+def test_edges_pair_top_entities_alone(spark, monkeypatch):
+    from casewright.plans import entity_queries
+
+    seen, co_occurrence = [], graph.co_occurrence
+    monkeypatch.setattr(graph, "co_occurrence", lambda members, *kinds, **more: (seen.append((kinds, members)), co_occurrence(members, *kinds, **more))[1])
+    monkeypatch.setattr(entity_queries, "LIMITS", {"PERSONA": 2, "VEHICULO": 3, "LUGAR": 1})
+    top = entity_queries._whole(spark, "/root/testdata/sf0.001")["top"].select("case_id", "kind", "name")
+    assert [k for k, _ in seen[1:]] == [("PERSONA", "PERSONA"), ("PERSONA", "LUGAR"), ("PERSONA", "VEHICULO")]
+    assert seen[1][1].select("case_id", "kind", "name").distinct().exceptAll(top).isEmpty() and seen[1][1].count() > 0
