@@ -12,7 +12,7 @@ bits flipped (x and y are within 4 exactly when such variants coincide), which g
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -181,10 +181,9 @@ def shingle_sets(docs: DataFrame, *, width: int, key: str, text: str) -> DataFra
     return got.withColumnRenamed("k", key).withColumnRenamed("t", "_cw_text")
 
 
-def common_shingles(sets: DataFrame, *, every: int = 32, least: int = 8, most: int = 200_000) -> list[int]:
-    """Shingles that many sets hold, from a sample. They only decide an order; any list gives the same pairs."""
-    sample = sets.filter(F.pmod("c", F.lit(every)) == 0).select(F.explode("shingles").alias("t"))
-    counts = sample.groupBy("t").count().filter(F.col("count") >= least)
+def common_shingles(sample: DataFrame, *, least: int = 8, most: int = 200_000) -> list[int]:
+    """Shingles that many sets of a sample hold. They only decide an order; any list gives the same pairs."""
+    counts = sample.select(F.explode("shingles").alias("t")).groupBy("t").count().filter(F.col("count") >= least)
     return [r[0] for r in counts.orderBy(F.desc("count"), "t").limit(most).collect()]
 
 
@@ -218,50 +217,80 @@ def _maybe_similar(x: str, y: str) -> Column:
     return (na * 5 >= nb * 4) & (nb * 5 >= na * 4) & (rest * 9 >= (na + nb) * 4) & (apart <= WIDE)
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) of `pairs` whose sets have Jaccard 0.8 or more."""
+def verified(pairs: DataFrame, known: DataFrame, sets_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The pairs (a, b) of `pairs` whose sets have Jaccard 0.8 or more. Sets are made again, of one row of `known` each:
+    sets_of() makes those of rows (key, _cw_text)."""
+    key = known.columns[0]
     nodes = pairs.select(F.col("a").alias("c")).union(pairs.select("b")).distinct()
-    held = stage_table(sets.join(nodes, "c", "left_semi").select("c", "shingles").dropDuplicates(["c"]), "held-sets")
+    rows = known.join(nodes, "c", "left_semi").groupBy("c").agg(F.min(F.struct("_cw_text", key)).alias("r")).select("r.*").distinct()
+    held = stage_table(sets_of(rows).select("c", "shingles").dropDuplicates(["c"]), "held-sets")
     both = pairs.join(held.select(F.col("c").alias("a"), F.col("shingles").alias("x")), "a").join(held.select(F.col("c").alias("b"), F.col("shingles").alias("y")), "b")
     return both.filter(F.size(F.array_intersect("x", "y")) * 9 >= (F.size("x") + F.size("y")) * 4).select("a", "b")
 
 
-def similar_links(sets: DataFrame) -> DataFrame:
-    """(a, b) verified links between the digests of `sets` that keep the components of Jaccard 0.8 whole.
+def fingerprint_pairs(known: DataFrame) -> DataFrame:
+    """(a, b) pairs of set digests by the pivot distance tables of links(): each set with the smallest of its fingerprint,
+    and the smallest sets of fingerprints within four bits."""
+    least = stage_table(known.groupBy("fp").agg(F.min("c").alias("m")), "fingerprints")
+    same = known.join(least, "fp").filter("m < c").select(F.col("m").alias("a"), F.col("c").alias("b"))
+    near = links(least.select("fp")).select(F.col("a").alias("p"), F.col("b").alias("q"))
+    apart = near.join(least.select(F.col("fp").alias("p"), F.col("m").alias("x")), "p").join(least.select(F.col("fp").alias("q"), F.col("m").alias("y")), "q")
+    return same.union(apart.select(F.least("x", "y"), F.greatest("x", "y"))).distinct()
 
-    Sets that share a prefix shingle are first compared with the smallest of them, which joins groups of near copies
-    at linear cost; after that, pairs are formed only between sets whose components still differ.
+
+def similar_links(known: DataFrame, sample: DataFrame, sets_of: Callable[[DataFrame | None], DataFrame]) -> DataFrame:
+    """(a, b) verified links between the digests of sets that keep the components of Jaccard 0.8 whole.
+
+    known: (key, _cw_text, c, n, fp) of all sets; sets_of() makes sets with their shingles, of some rows or (None) of all.
+    Near fingerprints are linked first, by their pivot tables. What four bits do not reach comes from shared prefix
+    shingles: sets that share one are compared with the smallest of them where the links so far leave the two apart,
+    which joins groups of near copies at linear cost, then pairs are formed between sets whose components still differ.
     """
-    entries = prefix_entries(sets, common_shingles(sets)).repartition("t").dropDuplicates(["t", "c"])
+    near = stage_table(fingerprint_pairs(known), "set-pairs")
+    links = stage_step(lambda: verified(near, known, sets_of), "set-links")
+    of = stage_table(components(links).withColumnRenamed("node", "c"), "set-components")
+
+    entries = prefix_entries(sets_of(None), common_shingles(sample)).repartition("t").dropDuplicates(["t", "c"])
     same = Window.partitionBy("t")
     row = F.struct("c", "n", "i", "fp")
     shared = entries.select("t", row.alias("b"), F.min(row).over(same).alias("a"), F.max("c").over(same).alias("top"))
     shared = stage_table(shared.filter(F.col("a.c") < F.col("top")).select("t", "a", "b"), "shared-shingles")
-    first = stage_table(shared.filter((F.col("a.c") < F.col("b.c")) & _maybe_similar("a", "b")).select(F.col("a.c").alias("a"), F.col("b.c").alias("b")).distinct(), "set-pairs")
-    links = stage_step(lambda: verified(first, sets), "set-links")
+    first = shared.filter((F.col("a.c") < F.col("b.c")) & _maybe_similar("a", "b")).select(F.col("a.c").alias("a"), F.col("b.c").alias("b")).distinct()
+    one, two = of.toDF("a", "_ma"), of.toDF("b", "_mb")
+    first = first.join(one, "a", "left").join(two, "b", "left").filter(F.coalesce("_ma", "a") != F.coalesce("_mb", "b")).select("a", "b")
+    first = stage_table(first, "set-pairs")
+    links = links.union(stage_step(lambda: verified(first, known, sets_of), "set-links"))
     of = components(links).withColumnRenamed("node", "c")
     placed = shared.select("t", "b", F.col("b.c").alias("c")).join(of, "c", "left").select("t", "b", F.coalesce("component", "c").alias("m"))
     split = placed.select("t", "b", "m", F.min("m").over(same).alias("low"), F.max("m").over(same).alias("top"))
     split = stage_table(split.filter("low < top").select("t", "b", "m"), "split-shingles")
     x, y = split.select("t", F.col("b").alias("x"), F.col("m").alias("mx")), split.select("t", F.col("b").alias("y"), F.col("m").alias("my"))
     more = x.join(y, "t").filter((F.col("mx") != F.col("my")) & (F.col("x.c") < F.col("y.c")) & _maybe_similar("x", "y"))
-    more = more.select(F.col("x.c").alias("a"), F.col("y.c").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    return links.union(stage_step(lambda: verified(stage_table(more, "set-pairs"), sets), "set-links"))
+    more = more.select(F.col("x.c").alias("a"), F.col("y.c").alias("b")).distinct().join(first.union(near), ["a", "b"], "left_anti")
+    return links.union(stage_step(lambda: verified(stage_table(more, "set-pairs"), known, sets_of), "set-links"))
 
 
 def keep_dissimilar(docs: DataFrame, *, width: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with one document of each component of texts whose word shingle sets have Jaccard 0.8 or more.
 
-    All links are verified. Candidates meet in an exact prefix filter; the fingerprint filter (WIDE) passes a pair at
-    Jaccard 0.8 with a chance of at least 0.9999. The row that stays has the component's smallest
+    All links are verified. Near copies meet by the pivot tables of their fingerprints (four bits), the others in an exact
+    prefix filter; the fingerprint filter there (WIDE) passes a pair at Jaccard 0.8 with a chance of at least 0.9999. Sets
+    are not kept: they are made again where they are verified. The row that stays has the component's smallest
     key; equal rows leave one; rows without words (null, empty) all stay.
     """
     hashed = docs.withColumn("_cw_text", F.xxhash64(text))
 
     def found() -> DataFrame:
-        sets = stage_table(shingle_sets(hashed, width=width, key=key, text=text), "shingles")
-        of = components(similar_links(sets)).withColumnRenamed("node", "c")
-        rows = sets.select("c", key, "_cw_text").join(of.withColumnRenamed("component", "_cw_of"), "c", "left")
+        def sets_of(some: DataFrame | None) -> DataFrame:
+            if some is None:
+                return shingle_sets(hashed, width=width, key=key, text=text)
+            wanted = some.select(F.col(key).alias("_cw_k"), F.col("_cw_text").alias("_cw_t"))
+            return shingle_sets(hashed.join(wanted, F.col(key).eqNullSafe(F.col("_cw_k")) & (F.col("_cw_text") == F.col("_cw_t")), "left_semi"), width=width, key=key, text=text)
+
+        known = stage_table(sets_of(None).drop("shingles"), "sets")
+        sample = shingle_sets(hashed.filter(F.pmod("_cw_text", F.lit(32)) == 0), width=width, key=key, text=text)
+        of = components(similar_links(known, sample, sets_of)).withColumnRenamed("node", "c")
+        rows = known.select("c", key, "_cw_text").join(of.withColumnRenamed("component", "_cw_of"), "c", "left")
         return rows.groupBy(F.coalesce("_cw_of", "c").alias("component"), key, "_cw_text").count()
 
     wordless = ~F.coalesce(F.col(text).rlike(r"[^ \t\n\x0B\f\r]"), F.lit(False))

@@ -118,6 +118,21 @@ def test_keep_dissimilar_is_the_component_rule(spark):
     assert simhash.keep_dissimilar(df.limit(0)).count() == 0
 
 
+def test_near_copies_meet_by_pivot_tables(spark, monkeypatch):
+    """Near fingerprints are linked by the method's own step, without prefix shingles; what is too far for it needs these."""
+    long = [f"v{i}" for i in range(600)]
+    texts = [" ".join(long), " ".join([*long, "end"]), " ".join(long[:560]), " ".join(f"u{i}" for i in range(300)), " ".join(long[300:] + ["x"] * 300)]
+    sets = [np.unique(simhash.shingle_hashes(t, 5)) for t in texts]
+    bits = [bin((simhash.fingerprint_of(sets[0]) ^ simhash.fingerprint_of(s)) & (1 << 64) - 1).count("1") for s in sets]
+    assert bits[1] <= simhash.DISTANCE < bits[2]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    kept = lambda: sorted(r["doc_id"] for r in simhash.keep_dissimilar(df).collect())
+    assert kept() == [0, 3, 4]
+    entries = simhash.prefix_entries
+    monkeypatch.setattr(simhash, "prefix_entries", lambda *a: entries(*a).filter("false"))
+    assert kept() == [0, 2, 3, 4]
+
+
 def brute_lines(rows, t=0.8):
     lines = [(k, i, line) for k, text in sorted({r for r in rows if r[1] is not None}, key=lambda r: r[0]) for i, line in enumerate(text.split("\n"))]
     out, seen = {}, []
