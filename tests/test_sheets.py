@@ -65,3 +65,11 @@ def test_first_findings_need_few_rows(spark, monkeypatch):
         firsts[r["case_id"]].setdefault(r["description"], r["seq"])
     assert got == {(c, f"HALLAZGO_{i + 1:03d}"): s for c, f in firsts.items() for i, s in enumerate(sorted(f.values())[:4])}
     assert dict(written)["first"] < 300
+
+
+def test_places_need_no_people(spark, odd, monkeypatch):
+    top = entity_queries._Graph(spark, odd).top
+    expected = entity_queries.R.entity_tables(top)["lugar"].select("case_id", "lugar_id", "menciones_total", F.array_join("chunks", ",").alias("chunks"))
+    monkeypatch.setattr(graph, "leading_listed", None)
+    assert rows(entity_queries.r5_lugar(spark, odd), *expected.columns) == rows(expected, *expected.columns)
+    assert entity_queries.r5_vehiculo(spark, odd).count() > 0
