@@ -73,3 +73,26 @@ def test_places_need_no_people(spark, odd, monkeypatch):
     monkeypatch.setattr(graph, "leading_listed", None)
     assert rows(entity_queries.r5_lugar(spark, odd), *expected.columns) == rows(expected, *expected.columns)
     assert entity_queries.r5_vehiculo(spark, odd).count() > 0
+
+
+@pytest.mark.parametrize("most", [3, 1000])
+def test_edges_arise_within_sheets(spark, odd, monkeypatch, most):
+    """Edges are those of all members, and no member of a calm sheet is paired outside of its row."""
+    whole, plain, met = views.sheets, graph.co_occurrence, []
+    monkeypatch.setattr(views, "sheets", lambda *a, **more: whole(*a, **more, most=most))
+    monkeypatch.setattr(entity_queries, "LIMITS", {"PERSONA": 20, "VEHICULO": 10, "LUGAR": 2})
+    monkeypatch.setattr(graph, "co_occurrence", lambda members, *kinds: (met.append(members.select("chunk")), plain(members, *kinds))[1])
+    g = entity_queries._Graph(spark, odd)
+    edges, calm = g.edges, g.calm.select("chunk")
+    assert met and all(m.join(calm, "chunk").isEmpty() for m in met)
+    m = views.mentions(spark, odd)
+    members = graph.chunk_members(views.long_form(m).join(g.ranked, ["case_id", "kind", "name"], "left_semi"))
+    holders = g._among(m.filter("source = 'A'").withColumnRenamed("person", "name"), "name")
+    juridical = graph.juridical_edges(holders)
+    c = ["case_id", "src", "dst", "n", "label"]
+    assert rows(edges.filter("kind = 'juridica'"), *c) == rows(juridical, *c)
+    pairs = graph.co_occurrence_edges(plain(members, "PERSONA", "PERSONA")).join(juridical, ["case_id", "src", "dst"], "left_anti")
+    assert rows(edges.filter("kind = 'coocurrencia'"), *c[:4]) == rows(pairs, *c[:4])
+    for kind, name in (("LUGAR", "lugar"), ("VEHICULO", "vehiculo")):
+        expected = plain(members, "PERSONA", kind).select("case_id", F.col("a").alias("src"), F.col("b").alias("dst"), "n")
+        assert expected.count() > 0 and rows(edges.filter(F.col("kind") == name), *c[:4]) == rows(expected, *c[:4])
