@@ -138,3 +138,15 @@ def test_findings_and_counts_without_pairs(spark, monkeypatch):
     assert groups["5-LOW", "persona"] == 10 and groups["5-LOW", "vehiculo"] == 30
     monkeypatch.setattr(graph, "pairs_within", None)
     assert entity_queries.r5_hallazgo(spark, sf).count() == sum(n for (_, g), n in groups.items() if g == "hallazgo")
+
+
+def test_summaries_count_the_whole_graph(spark):
+    """c12 counts nodes of every group, with the parts of the graph that it asks for by name."""
+    from casewright.plans import entity_queries
+
+    sf = "/root/testdata/sf0.001"
+    groups = {}
+    for r in entity_queries.g22_group_counts(spark, sf).collect():
+        groups.setdefault(r["case_id"], {})[r["group"]] = r["n"]
+    got = {r["case_id"]: (r["n_nodes"], r["groups"]) for r in entity_queries.c12_summary_statistics(spark, sf).collect()}
+    assert got == {c: (sum(g.values()), ",".join(f"{k}={g[k]}" for k in sorted(g))) for c, g in groups.items()}
