@@ -114,7 +114,8 @@ def links(distinct: DataFrame, *, dense: int = 4096) -> DataFrame:
     for i in range(PIVOTS):
         near &= F.abs(F.col(f"a{i}") - F.col(f"b{i}")) <= DISTANCE
     near &= F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= DISTANCE
-    found = x.join(y, (x["cell"] == y["cell"]) & near).select("a", "b").distinct()
+    # Spark sizes an exploded side too low and would broadcast it
+    found = x.join(y.hint("merge"), (x["cell"] == y["cell"]) & near).select("a", "b").distinct()
     if hot is None:
         return found
     return found.union(variant_links(hot))
@@ -126,7 +127,7 @@ def variant_links(hot: DataFrame) -> DataFrame:
     every = F.explode(F.lit([_signed(f) for f in flips])).alias("flip")
     variants = hot.select("fp", every).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("v"))
     least = variants.groupBy("v").agg(F.min("fp").alias("a"), F.max("fp").alias("_top")).filter("a < _top").select("v", "a")
-    return variants.join(least, "v").filter("fp > a").select("a", F.col("fp").alias("b")).distinct()
+    return variants.hint("merge").join(least, "v").filter("fp > a").select("a", F.col("fp").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, *, width: int = 4, key: str = "doc_id", text: str = "text", dense: int = 4096, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -182,9 +183,19 @@ def shingle_sets(docs: DataFrame, *, width: int, key: str, text: str) -> DataFra
 
 
 def common_shingles(sample: DataFrame, *, least: int = 8, most: int = 200_000) -> list[int]:
-    """Shingles that many sets of a sample hold. They only decide an order; any list gives the same pairs."""
-    counts = sample.select(F.explode("shingles").alias("t")).groupBy("t").count().filter(F.col("count") >= least)
-    return [r[0] for r in counts.orderBy(F.desc("count"), "t").limit(most).collect()]
+    """Shingles that many sets of a sample hold, at most `most`. They only decide an order; any list gives the same pairs.
+
+    How often each count occurs tells which counts fit, so the driver gets no more rows than it keeps.
+    """
+    counts = sample.select(F.explode("shingles").alias("t")).groupBy("t").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+    counts = stage_table(counts, "shingle-counts")
+    held, floor = 0, None
+    for r in counts.groupBy(F.least("n", F.lit(10_000)).alias("n")).agg(F.count("*").alias("m")).orderBy(F.desc("n")).collect():  # 10,000 rows at most
+        held += r["m"]
+        if held > most:
+            break
+        floor = r["n"]
+    return [] if floor is None else [r["t"] for r in counts.filter(F.col("n") >= floor).select("t").orderBy("t").collect()]
 
 
 def prefix_entries(sets: DataFrame, common: list[int]) -> DataFrame:
@@ -265,7 +276,7 @@ def similar_links(known: DataFrame, sample: DataFrame, sets_of: Callable[[DataFr
     split = placed.select("t", "b", "m", F.min("m").over(same).alias("low"), F.max("m").over(same).alias("top"))
     split = stage_table(split.filter("low < top").select("t", "b", "m"), "split-shingles")
     x, y = split.select("t", F.col("b").alias("x"), F.col("m").alias("mx")), split.select("t", F.col("b").alias("y"), F.col("m").alias("my"))
-    more = x.join(y, "t").filter((F.col("mx") != F.col("my")) & (F.col("x.c") < F.col("y.c")) & _maybe_similar("x", "y"))
+    more = x.join(y.hint("merge"), "t").filter((F.col("mx") != F.col("my")) & (F.col("x.c") < F.col("y.c")) & _maybe_similar("x", "y"))
     more = more.select(F.col("x.c").alias("a"), F.col("y.c").alias("b")).distinct().join(first.union(near), ["a", "b"], "left_anti")
     return links.union(stage_step(lambda: verified(stage_table(more, "set-pairs"), known, sets_of), "set-links"))
 

@@ -74,6 +74,22 @@ def test_simhash_links(spark):
         assert got == expected
 
 
+def test_exploded_sides_are_not_broadcast(spark, tmp_path):
+    """Few fingerprints are small as a file, but not where each stands in fifteen cells or has 2,081 variants."""
+    spark.createDataFrame([(RNG.getrandbits(63),) for _ in range(500)], "fp bigint").write.parquet(str(tmp_path / "fp"))
+    distinct = spark.read.parquet(str(tmp_path / "fp"))
+    plan = lambda df: df._jdf.queryExecution().sparkPlan().toString()
+    for df in (simhash.links(distinct), simhash.variant_links(distinct)):
+        assert "SortMergeJoin" in plan(df) and "BroadcastHashJoin" not in plan(df)
+
+
+def test_common_shingles_fit_the_driver(spark, monkeypatch):
+    sample = spark.createDataFrame([([*range(i)],) for i in range(1, 41)], "shingles array<bigint>")  # shingle t is in 39 - t + 1 sets
+    assert simhash.common_shingles(sample) == list(range(33))
+    assert simhash.common_shingles(sample, most=5) == [0, 1, 2, 3, 4] and simhash.common_shingles(sample, most=0) == []
+    assert simhash.common_shingles(sample.limit(0)) == []
+
+
 def test_simhash_documents(spark):
     long = " ".join(RNG.choice(WORDS) for _ in range(400))
     rows = [(5, long, 1), (3, long + " extra", 2), (9, long.upper(), 3), (1, "otro texto del todo distinto aquí", 4), (2, None, 5), (4, " ", 6), (None, long, 7), (1, "otro texto del todo distinto aquí", 4)]
