@@ -60,6 +60,53 @@ def shingle_hashes(text: str, width: int) -> np.ndarray:
     return np.fromiter((xxh64_intdigest(line[a:b], 42) for a, b in zip(starts, ends)), np.uint64, len(starts))
 
 
+#: Random odd multipliers: of a word's bytes by their places, of a shingle's words by theirs, and of the mixing step.
+_BYTES = np.random.default_rng(31).integers(0, 1 << 64, 256, dtype=np.uint64) | np.uint64(1)
+_STEP, _WORDS = np.uint64(0x9E3779B97F4A7C15), np.random.default_rng(32).integers(0, 1 << 64, 64, dtype=np.uint64) | np.uint64(1)
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ x >> np.uint64(shift)) * np.uint64(by)
+    return x ^ x >> np.uint64(31)
+
+
+def _word_hashes(data: np.ndarray, block: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """(where, hash) of each word of bytes that end with a space; blocks are cut at spaces, so memory follows the words."""
+    spaces = np.flatnonzero(_SPACE[data])
+    cuts = np.unique(spaces[np.minimum(np.searchsorted(spaces, np.arange(block, len(data), block)), len(spaces) - 1)]).tolist()
+    where, found = [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
+    for a, b in zip([0, *cuts], [*cuts, len(data)]):
+        part = data[a:b]
+        inside = ~_SPACE[part]
+        begins = np.flatnonzero(inside & ~np.concatenate([[False], inside[:-1]]))
+        if len(begins):
+            place = np.arange(begins[0], len(part)) - np.repeat(begins, np.diff(np.append(begins, len(part))))
+            power = np.multiply.accumulate(np.full(int(place.max()) + 1, _STEP))
+            where.append(begins + a)
+            found.append(np.add.reduceat(_BYTES[part[begins[0] :]] * power[place] * inside[begins[0] :], begins - begins[0]))
+    return np.concatenate(where), _mixed(np.concatenate(found))
+
+
+def shingle_lists(texts: list[str | None], width: int) -> list[np.ndarray]:
+    """64-bit hashes of the word shingles of each text, in order and with repeats, made for all texts at once; words are
+    those of shingle_hashes(), fewer than `width` make one shingle."""
+    lines = [(t or "").encode("utf-8", "replace").lower() for t in texts]
+    begins, words = _word_hashes(np.frombuffer(b" ".join([*lines, b""]), np.uint8))
+    first = np.searchsorted(begins, np.cumsum([0] + [len(x) + 1 for x in lines]))
+    padded = np.concatenate([words, np.zeros(width, np.uint64)])
+    by = np.resize(_WORDS, width)
+    sums = sum(padded[j : j + len(words)] * by[j] for j in range(width))
+    out = []
+    for a, b in zip(first.tolist(), first[1:].tolist()):
+        if b - a >= width:
+            out.append(_mixed(sums[a : b - width + 1]))
+        else:
+            out.append(_mixed((words[a:b] * by[: b - a]).sum(dtype=np.uint64, keepdims=True) + np.uint64(b - a)) if b > a else words[:0])
+    return out
+
+
 def fingerprint_of(hashes: np.ndarray) -> int:
     if not len(hashes):
         return 0
@@ -157,25 +204,35 @@ def _first_rows(hashed: DataFrame, found: DataFrame, key: str) -> DataFrame:
     return kept
 
 
-def shingle_sets(docs: DataFrame, *, width: int, key: str, text: str) -> DataFrame:
+def shingle_sets(docs: DataFrame, *, width: int, key: str, text: str, common: list[int] | None = None) -> DataFrame:
     """(key, _cw_text, c, n, fp, shingles) of each row with a word: its n distinct shingle hashes in ascending order,
-    their fingerprint, and c, a 64-bit digest of the set."""
+    their fingerprint, and c, a 64-bit digest of the set. With `common`, shingles are the first n - ceil(0.8 n) + 1 of
+    them in the order (common or not, hash): two sets with Jaccard 0.8 or more always share one of these."""
     kinds = dict(docs.dtypes)
+    last = None if common is None else np.sort(np.array(common, np.int64))
+
+    def firsts(x: np.ndarray) -> np.ndarray:
+        x = x.view(np.int64)
+        x = x[np.argsort(x, kind="stable")]
+        often = last[np.minimum(np.searchsorted(last, x), len(last) - 1)] == x if len(last) else np.zeros(len(x), bool)
+        return np.concatenate([x[~often], x[often]])[: len(x) - -(-4 * len(x) // 5) + 1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_64_intdigest
 
-        for batch in batches:
-            sets = [np.unique(shingle_hashes(t.as_py() or "", width)) for t in batch.column(0)]
-            sizes = np.array([len(x) for x in sets], np.int32)
-            flat = np.concatenate([*sets, np.empty(0, np.uint64)]).view(np.int64)
-            got = [
-                pa.array([_signed(xxh3_64_intdigest(x.tobytes())) for x in sets], pa.int64()),
-                pa.array(sizes),
-                pa.array([fingerprint_of(x) for x in sets], pa.int64()),
-                pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(flat)),
-            ]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *got], names=["k", "t", "c", "n", "fp", "shingles"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 200):
+                batch = whole.slice(at, 200)
+                sets = [np.unique(x) for x in shingle_lists(batch.column(0).to_pylist(), width)]
+                shown = [x.view(np.int64) for x in sets] if last is None else [firsts(x) for x in sets]
+                ends = np.cumsum([0, *map(len, shown)]).astype(np.int32)
+                got = [
+                    pa.array([_signed(xxh3_64_intdigest(x.tobytes())) for x in sets], pa.int64()),
+                    pa.array(list(map(len, sets)), pa.int32()),
+                    pa.array([fingerprint_of(x) for x in sets], pa.int64()),
+                    pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*shown, np.empty(0, np.int64)]))),
+                ]
+                yield pa.RecordBatch.from_arrays([*batch.columns[1:], *got], names=["k", "t", "c", "n", "fp", "shingles"])
 
     schema = f"k {kinds[key]}, t bigint, c bigint, n int, fp bigint, shingles array<bigint>"
     got = docs.select(text, key, "_cw_text").mapInArrow(run, schema).filter("n > 0")
@@ -198,25 +255,9 @@ def common_shingles(sample: DataFrame, *, least: int = 8, most: int = 200_000) -
     return [] if floor is None else [r["t"] for r in counts.filter(F.col("n") >= floor).select("t").orderBy("t").collect()]
 
 
-def prefix_entries(sets: DataFrame, common: list[int]) -> DataFrame:
-    """(t, c, n, i, fp): the first n - ceil(0.8 n) + 1 shingles t of each set, and their places i, in the order
-    (common or not, hash). Two sets with Jaccard 0.8 or more always share one of these."""
-    last = np.sort(np.array(common, np.int64))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            c, n, fp = (batch.column(i).to_numpy() for i in range(3))
-            firsts = []
-            for x, size in zip(batch.column(3), n.tolist()):
-                x = x.values.to_numpy()
-                firsts.append(x[np.argsort(np.isin(x, last), kind="stable")][: size - -(-4 * size // 5) + 1])
-            sizes = np.array([len(x) for x in firsts], np.int64)
-            ends = np.cumsum(sizes)
-            place = (np.arange(sizes.sum()) - np.repeat(ends - sizes, sizes)).astype(np.int32)
-            flat = np.concatenate([*firsts, np.empty(0, np.int64)])
-            yield pa.RecordBatch.from_arrays([pa.array(flat), *(pa.array(np.repeat(v, sizes)) for v in (c, n)), pa.array(place), pa.array(np.repeat(fp, sizes))], names=["t", "c", "n", "i", "fp"])
-
-    return sets.select("c", "n", "fp", "shingles").mapInArrow(run, "t bigint, c bigint, n int, i int, fp bigint")
+def prefix_entries(prefixes: DataFrame) -> DataFrame:
+    """(t, c, n, i, fp): the prefix shingles t of each set, and their places i."""
+    return prefixes.select(F.posexplode("prefix").alias("i", "t"), "c", "n", "fp").select("t", "c", "n", "i", "fp")
 
 
 def _maybe_similar(x: str, y: str) -> Column:
@@ -249,10 +290,10 @@ def fingerprint_pairs(known: DataFrame) -> DataFrame:
     return same.union(apart.select(F.least("x", "y"), F.greatest("x", "y"))).distinct()
 
 
-def similar_links(known: DataFrame, sample: DataFrame, sets_of: Callable[[DataFrame | None], DataFrame]) -> DataFrame:
+def similar_links(known: DataFrame, prefixes: DataFrame, sets_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(a, b) verified links between the digests of sets that keep the components of Jaccard 0.8 whole.
 
-    known: (key, _cw_text, c, n, fp) of all sets; sets_of() makes sets with their shingles, of some rows or (None) of all.
+    known: (key, _cw_text, c, n, fp) of all sets, prefixes: these with their prefix; sets_of() makes the sets of some rows.
     Near fingerprints are linked first, by their pivot tables. What four bits do not reach comes from shared prefix
     shingles: sets that share one are compared with the smallest of them where the links so far leave the two apart,
     which joins groups of near copies at linear cost, then pairs are formed between sets whose components still differ.
@@ -261,7 +302,7 @@ def similar_links(known: DataFrame, sample: DataFrame, sets_of: Callable[[DataFr
     links = stage_step(lambda: verified(near, known, sets_of), "set-links")
     of = stage_table(components(links).withColumnRenamed("node", "c"), "set-components")
 
-    entries = prefix_entries(sets_of(None), common_shingles(sample)).repartition("t").dropDuplicates(["t", "c"])
+    entries = prefix_entries(prefixes).repartition("t").dropDuplicates(["t", "c"])
     same = Window.partitionBy("t")
     row = F.struct("c", "n", "i", "fp")
     shared = entries.select("t", row.alias("b"), F.min(row).over(same).alias("a"), F.max("c").over(same).alias("top"))
@@ -292,15 +333,14 @@ def keep_dissimilar(docs: DataFrame, *, width: int = 5, key: str = "doc_id", tex
     hashed = docs.withColumn("_cw_text", F.xxhash64(text))
 
     def found() -> DataFrame:
-        def sets_of(some: DataFrame | None) -> DataFrame:
-            if some is None:
-                return shingle_sets(hashed, width=width, key=key, text=text)
+        def sets_of(some: DataFrame) -> DataFrame:
             wanted = some.select(F.col(key).alias("_cw_k"), F.col("_cw_text").alias("_cw_t"))
             return shingle_sets(hashed.join(wanted, F.col(key).eqNullSafe(F.col("_cw_k")) & (F.col("_cw_text") == F.col("_cw_t")), "left_semi"), width=width, key=key, text=text)
 
-        known = stage_table(sets_of(None).drop("shingles"), "sets")
-        sample = shingle_sets(hashed.filter(F.pmod("_cw_text", F.lit(32)) == 0), width=width, key=key, text=text)
-        of = components(similar_links(known, sample, sets_of)).withColumnRenamed("node", "c")
+        common = common_shingles(shingle_sets(hashed.filter(F.pmod("_cw_text", F.lit(32)) == 0), width=width, key=key, text=text))
+        prefixes = stage_table(shingle_sets(hashed, width=width, key=key, text=text, common=common).withColumnRenamed("shingles", "prefix"), "set-prefixes")
+        known = stage_table(prefixes.drop("prefix"), "sets")  # a table of its own: Spark goes by the size of its files
+        of = components(similar_links(known, prefixes, sets_of)).withColumnRenamed("node", "c")
         rows = known.select("c", key, "_cw_text").join(of.withColumnRenamed("component", "_cw_of"), "c", "left")
         return rows.groupBy(F.coalesce("_cw_of", "c").alias("component"), key, "_cw_text").count()
 

@@ -90,6 +90,36 @@ def test_common_shingles_fit_the_driver(spark, monkeypatch):
     assert simhash.common_shingles(sample.limit(0)) == []
 
 
+def test_shingles_of_many_texts(spark):
+    """Hashes are one to one with the word shingles, whatever the texts and blocks they are made with."""
+    texts = ["", None, " ", "a", "a b", " a  b c d e ", "A b\tc D\x0be f", "é x y z", "q" * 3000 + " r"] + ["".join(RNG.choice("ab \n") for _ in range(RNG.randrange(60))) for _ in range(800)]
+    known = {}
+    for text, hashes in zip(texts, simhash.shingle_lists(texts, 5)):
+        w = (text or "").encode().lower().split()
+        shingles = [tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))] if w else []
+        assert len(shingles) == len(hashes) and all(known.setdefault(s, h) == h for s, h in zip(shingles, hashes.tolist()))
+    assert len(set(known.values())) == len(known) > 1000
+    data = np.frombuffer(" ".join([t or "" for t in texts] + [""]).lower().encode(), np.uint8)
+    for one, other in zip(simhash._word_hashes(data), simhash._word_hashes(data, 50)):
+        assert (one == other).all()
+    assert simhash.shingle_lists([], 5) == []
+
+
+def test_prefixes_in_the_order_of_common_shingles(spark):
+    """A long list of common shingles costs a search each, not a sort of the list for each text."""
+    import time
+
+    docs = spark.createDataFrame([(i, " ".join(f"w{i * j % 997}" for j in range(1, 300)), i) for i in range(1, 400)], "doc_id int, text string, _cw_text bigint").repartition(2)
+    kind = {"width": 5, "key": "doc_id", "text": "text"}
+    whole = {r["doc_id"]: sorted(r["shingles"]) for r in simhash.shingle_sets(docs, **kind).collect()}
+    common = sorted({t for s in whole.values() for t in s})[::3] + list(range(300_000))
+    began = time.time()
+    got = {r["doc_id"]: r["shingles"] for r in simhash.shingle_sets(docs, **kind, common=common).collect()}
+    assert time.time() - began < 15  # sorting the list for each text took 0.1 s a text
+    often = set(common)
+    assert got == {k: sorted(s, key=lambda t: (t in often, t))[: len(s) - -(-4 * len(s) // 5) + 1] for k, s in whole.items()}
+
+
 def test_simhash_documents(spark):
     long = " ".join(RNG.choice(WORDS) for _ in range(400))
     rows = [(5, long, 1), (3, long + " extra", 2), (9, long.upper(), 3), (1, "otro texto del todo distinto aquí", 4), (2, None, 5), (4, " ", 6), (None, long, 7), (1, "otro texto del todo distinto aquí", 4)]
