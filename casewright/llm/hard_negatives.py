@@ -9,6 +9,7 @@ windows below their scores in the second. Bounds only ever exclude, so the resul
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -121,9 +122,11 @@ def _negatives(block: dict, tile: dict, most: int, low: int, high: int) -> list[
     return out
 
 
-def _block(row: dict, scale: int) -> dict:
-    m = scaled(np.array(row["v"], float).reshape(len(row["uid"]), -1), scale)
-    return {"m": m, "uid": np.array(row["uid"]), "id": np.array(row["id"]), "label": np.array(row["label"]), "order": np.array(row.get("order", ())), "parent": np.array(row.get("parent", ())), "scores": row.get("scores")}
+def _block(row: pa.StructScalar, scale: int) -> dict:
+    """A block or tile as arrays, without a Python object a component."""
+    plain = lambda c: row[c].values.to_numpy(zero_copy_only=False) if c in row and row[c].is_valid else np.array((), np.int64)
+    m = scaled(plain("v").astype(float).reshape(len(row["uid"]), -1), scale)
+    return {"m": m, "uid": plain("uid"), "id": plain("id"), "label": plain("label"), "order": plain("order"), "parent": plain("parent"), "scores": row["scores"].as_py() if "scores" in row else None}
 
 
 def _packed(rows: DataFrame, part: str, size: int, counts: dict[int, int], *more: str) -> DataFrame:
@@ -137,25 +140,28 @@ def _packed(rows: DataFrame, part: str, size: int, counts: dict[int, int], *more
 def _with_trees(blocks: DataFrame, scale: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            trees = [spanning_tree(_block(r, scale)["m"]) for r in batch.select(["uid", "id", "label", "v"]).to_pylist()]
+            trees = [spanning_tree(_block(r, scale)["m"]) for r in batch.select(["uid", "id", "label", "v"]).to_struct_array()]
             kind = pa.list_(pa.int32())
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array([t[i].tolist() for t in trees], kind) for i in (0, 1))], names=[*batch.schema.names, "order", "parent"])
 
     return blocks.mapInArrow(run, ", ".join(f"{c} {t}" for c, t in (*blocks.dtypes, ("order", "array<int>"), ("parent", "array<int>"))))
 
 
-def _meet(blocks: DataFrame, tiles: DataFrame, tile_counts: dict[int, int], find, scale: int, schema: str) -> DataFrame:
-    """find(block, tile) for every block and every tile of its vector length."""
-    last = F.element_at(F.create_map(*(F.lit(x) for d, n in sorted(tile_counts.items() or [(0, 1)]) for x in (d, max(1, -(-n // TILE)) - 1))), F.col("dim"))
-    asked = blocks.withColumn("tile", F.explode(F.sequence(F.lit(0), last))).select("dim", "tile", F.struct(*(c for c in blocks.columns if c != "dim")).alias("b"))
-    held = tiles.select("dim", "tile", F.struct("id", "uid", "label", "v").alias("t"))
-    pairs = asked.join(held, ["dim", "tile"]).select("b", "t")  # tiles are shuffled once, blocks are the small side
+def _meet(blocks: DataFrame, tiles: DataFrame, find, scale: int, schema: str) -> DataFrame:
+    """find(block, tile) for every block and every tile of its vector length.
+
+    A Cartesian product of the tables' partitions: blocks are neither copied for each tile nor broadcast, which Spark would do
+    by a size that holds before they are copied; a task reads some blocks and some tiles, so nothing is shuffled.
+    """
+    asked = blocks.select("dim", F.struct(*(c for c in blocks.columns if c != "dim")).alias("b"))
+    held = tiles.select("dim", F.struct("id", "uid", "label", "v").alias("t"))
+    pairs = held.join(asked.hint("shuffle_replicate_nl"), "dim").select("b", "t")
     names = [c.split(" ")[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                rows = find(_block(batch.column(0)[i].as_py(), scale), _block(batch.column(1)[i].as_py(), scale))
+                rows = find(_block(batch.column(0)[i], scale), _block(batch.column(1)[i], scale))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if n == "pos" else pa.int64()) for n, c in zip(names, zip(*rows))], names=names)
 
@@ -178,15 +184,17 @@ def mine(table: DataFrame, is_anchor: Column, *, key: str = "vec_id", label: str
     rows = stage_table(rows.filter(F.size("v") > 0).select("id", "label", "v", F.size("v").alias("dim"), "asks", F.monotonically_increasing_id().alias("uid")), "vectors")
     counts = {r["dim"]: (r["n"], r["a"]) for r in rows.groupBy("dim").agg(F.count("*").alias("n"), F.count_if("asks").alias("a")).collect()}  # one row a vector length
     tile_counts, block_counts = ({d: c[i] for d, c in counts.items()} for i in (0, 1))
-    tiles = stage_table(_packed(rows, "tile", TILE, tile_counts), "tiles")
+    # files of a few tiles and of a few blocks: the product has a task for each two files
+    spread = lambda df, counts, size: df.repartition(max(1, min(1000, math.ceil(sum(-(-n // size) for n in counts.values()) / 2))))
+    tiles = stage_table(spread(_packed(rows, "tile", TILE, tile_counts), tile_counts, TILE), "tiles")
     anchors = rows.filter("asks")
-    first = stage_table(_with_trees(_packed(anchors, "block", BLOCK, block_counts), scale), "anchor-blocks")
-    near = _meet(first, tiles, tile_counts, lambda b, t: _positives(b, t, positives), scale, "anchor bigint, anchor_id bigint, positive_id bigint, other bigint, positive_score bigint")
+    first = stage_table(_with_trees(spread(_packed(anchors, "block", BLOCK, block_counts), block_counts, BLOCK), scale), "anchor-blocks")
+    near = _meet(first, tiles, lambda b, t: _positives(b, t, positives), scale, "anchor bigint, anchor_id bigint, positive_id bigint, other bigint, positive_score bigint")
     order = Window.partitionBy("anchor").orderBy(F.desc("positive_score"), "positive_id", "other")
     chosen = stage_table(near.withColumn("pos", F.row_number().over(order) - 1).filter(F.col("pos") < positives).drop("other"), "positives")
     scores = chosen.groupBy(F.col("anchor").alias("uid")).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "positive_score"))), lambda s: s["positive_score"]).alias("scores"))
-    second = stage_table(_with_trees(_packed(anchors.join(scores, "uid"), "block", BLOCK, block_counts, "scores"), scale), "anchor-windows")
-    found = _meet(second, tiles, tile_counts, lambda b, t: _negatives(b, t, negatives, low, high), scale, "anchor bigint, pos int, negative_id bigint, negative_score bigint")
+    second = stage_table(_with_trees(spread(_packed(anchors.join(scores, "uid"), "block", BLOCK, block_counts, "scores"), block_counts, BLOCK), scale), "anchor-windows")
+    found = _meet(second, tiles, lambda b, t: _negatives(b, t, negatives, low, high), scale, "anchor bigint, pos int, negative_id bigint, negative_score bigint")
     rank = F.row_number().over(Window.partitionBy("anchor", "pos").orderBy(F.desc("negative_score"), "negative_id"))
     kept = found.withColumn("rank", rank).filter(F.col("rank") <= negatives)
     return kept.join(chosen, ["anchor", "pos"]).select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")

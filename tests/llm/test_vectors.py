@@ -51,6 +51,16 @@ def test_hard_negatives(spark, monkeypatch, tile):
     assert hard_negatives.mine(df.limit(0), df["vec_id"] % 10 == 0).count() == 0
 
 
+def test_blocks_are_neither_broadcast_nor_copied(spark, monkeypatch):
+    met, meet = [], hard_negatives._meet
+    monkeypatch.setattr(hard_negatives, "_meet", lambda *a: (met.append(meet(*a)), met[-1])[1])
+    rows = [(i, x, i % 2, "", "") for i, x in enumerate(clustered(3, 60, 4).tolist())]
+    df = spark.createDataFrame(rows, SCHEMA)
+    hard_negatives.mine(df, df["vec_id"] % 5 == 0)
+    plans = [df._jdf.queryExecution().executedPlan().toString() for df in met]
+    assert len(plans) == 2 and all("CartesianProduct" in p and "Exchange" not in p and "Broadcast" not in p for p in plans)
+
+
 def test_hard_negatives_of_large_numbers(spark):
     v = (np.random.default_rng(2).normal(size=(40, 5)) * 2e5).tolist()
     rows = [(i, x, i % 2, "", "") for i, x in enumerate(v)]
