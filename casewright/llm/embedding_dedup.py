@@ -10,6 +10,7 @@ once without a shuffle of pairs. Equal vectors are one class with a weight, and
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from casewright.llm.hnsw import usable
-from casewright.llm.shared import components, cut, lookup, stage_table
+from casewright.llm.shared import components, lookup, stage_table
 
 TILE = 4096
 PAIRS = 20_000
@@ -43,8 +44,8 @@ def _unit(raw: np.ndarray) -> np.ndarray:
     return scaled / np.sqrt(np.einsum("ij,ij->i", scaled, scaled))[:, None]
 
 
-def place(found: DataFrame, threshold: float, blocks: int) -> DataFrame:
-    """found with its grid cells: (dim, block, x, y, rep, w, v), one row a block."""
+def place(found: DataFrame, threshold: float, blocks: int, number: str = "double") -> DataFrame:
+    """found with its grid cells: (dim, block, x, y, rep, w, v), one row a block; v as numbers that hold the components."""
     budget = 2 - 2 * threshold
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -53,15 +54,16 @@ def place(found: DataFrame, threshold: float, blocks: int) -> DataFrame:
             for dim in np.unique(lens).tolist():
                 part = batch.filter(pa.array(lens == dim))
                 raw = part.column("v").flatten().to_numpy().reshape(-1, dim)
+                vectors = part.column("v").cast(pa.list_(pa.float32() if number == "float" else pa.float64()))
                 turned, edges = _unit(raw) @ rotation(dim), block_edges(dim, blocks)
                 for i, (a, b) in enumerate(zip(edges, edges[1:])):
                     side = np.sqrt(budget * (b - a) / dim) * (1 + 1e-9) + 1e-9
                     x = np.floor(turned[:, a] / side).astype(np.int32)
                     y = np.floor(turned[:, min(a + 1, b - 1)] / side).astype(np.int32)
                     same = lambda k: pa.array(np.full(len(raw), k, np.int32))
-                    yield pa.RecordBatch.from_arrays([same(dim), same(i), pa.array(x), pa.array(y), part.column("rep"), part.column("w"), part.column("v")], names=["dim", "block", "x", "y", "rep", "w", "v"])
+                    yield pa.RecordBatch.from_arrays([same(dim), same(i), pa.array(x), pa.array(y), part.column("rep"), part.column("w"), vectors], names=["dim", "block", "x", "y", "rep", "w", "v"])
 
-    return found.mapInArrow(run, "dim int, block int, x int, y int, rep bigint, w bigint, v array<double>")
+    return found.mapInArrow(run, f"dim int, block int, x int, y int, rep bigint, w bigint, v array<{number}>")
 
 
 def smallest_linked(n: int, i: np.ndarray, j: np.ndarray, label: np.ndarray) -> np.ndarray:
@@ -120,19 +122,35 @@ def join_tile(home: tuple, other: tuple, block: int, dim: int, threshold: float,
 
 
 def tiled(placed: DataFrame) -> DataFrame:
-    """placed as the points of tasks: the points of a cell (home) and those of the cell itself and half of its neighbours,
-    by (cell, tile, across). Both sides are dealt by hash, so that each task gets about TILE points of each at most, and
-    each home point meets each other point in one task. side: 0 home, 1 the same cell's, 2 a neighbour's."""
-    dealt = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    number = lambda df, n: df.groupBy(*CELL).count().select(*CELL, F.ceil(F.col("count") / TILE).cast("int").alias(n))
-    steps = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in STEPS))).alias("s")
-    beside = F.when((F.col("s.i") == 0) & (F.col("s.j") == 0), 1).otherwise(2).alias("side")
-    moved = placed.select("dim", "block", steps, "x", "y", "rep", "w", "v").select("dim", "block", (F.col("x") + F.col("s.i")).alias("x"), (F.col("y") + F.col("s.j")).alias("y"), "rep", "w", "v", beside)
-    counts = cut(number(placed, "tiles").join(number(moved, "acrosses"), CELL))
-    homes = placed.join(counts, CELL).select(*CELL, dealt("tiles").alias("tile"), every("acrosses").alias("across"), "rep", "w", "v", F.lit(0).alias("side"))
-    others = moved.join(counts, CELL).select(*CELL, every("tiles").alias("tile"), dealt("acrosses").alias("across"), "rep", "w", "v", "side")
-    return homes.unionByName(others)
+    """placed with the tile of each point, (tile, across, side): a cell's points are dealt by hash to tiles of about TILE,
+    each point once. across: the tile's number where it is the other side of a meeting, the same; side: 0, home."""
+    number = placed.groupBy(*CELL).count().select(*CELL, F.ceil(F.col("count") / TILE).alias("tiles"))
+    dealt = placed.join(stage_table(number, "cell-sizes"), CELL).withColumn("tile", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int"))
+    return dealt.select(*CELL, "tile", F.col("tile").alias("across"), "rep", "w", "v", F.lit(0).alias("side"))
+
+
+def gathered(points: DataFrame) -> DataFrame:
+    """The points of tiled() as one row a tile, written in files of a few tiles: (dim, block, x, y, tile, across, rep, w, v flat)."""
+    n = points.groupBy(*CELL).agg((F.max("tile") + 1).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    files = max(1, min(1000, math.ceil(math.sqrt(n))))  # meeting() has a task for each two files
+    each = points.repartition(files, *CELL, "tile", "across").groupBy(*CELL, "tile", "across")
+    return stage_table(each.agg(F.collect_list("rep").alias("rep"), F.collect_list("w").alias("w"), F.flatten(F.collect_list("v")).alias("v")), "vector-tiles")
+
+
+def meeting(tiles: DataFrame) -> DataFrame:
+    """(dim, block, own, a, b): every two tiles of one cell or of neighbouring ones, each two once, and each with itself (own).
+
+    A Cartesian product of the table's partitions: a task reads the tiles of two files, so tiles are not copied for each
+    tile that they meet, and nothing is shuffled, sorted or broadcast.
+    """
+    side = lambda p: tiles.select(*(F.col(c).alias(f"{p}{c}") for c in (*CELL, "tile", "across")), F.struct("rep", "w", "v").alias(p))
+    i, j, same = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay"), (F.col("ax") == F.col("bx")) & (F.col("ay") == F.col("by"))
+    beside = F.lit(False)
+    for x, y in STEPS[1:]:
+        beside |= (i == x) & (j == y)
+    near = (F.col("adim") == F.col("bdim")) & (F.col("ablock") == F.col("bblock")) & (beside | (same & (F.col("atile") <= F.col("bacross"))))
+    both = side("a").join(side("b").hint("shuffle_replicate_nl"), near)
+    return both.select(F.col("adim").alias("dim"), F.col("ablock").alias("block"), (same & (F.col("atile") == F.col("bacross"))).alias("own"), "a", "b")
 
 
 def near_duplicates(table: DataFrame, *, threshold: float = 0.9, blocks: int = 4, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -148,24 +166,24 @@ def near_duplicates(table: DataFrame, *, threshold: float = 0.9, blocks: int = 4
     members = stage_table(good.withColumn("h", F.xxhash64("v")), "vectors")
     found = members.groupBy("v").agg(F.min("id").alias("least"), F.count("*").alias("w"))
     found = stage_table(found.withColumn("rep", F.monotonically_increasing_id()), "vector-classes")  # a class has a number of its own: keys may repeat
-    placed = stage_table(place(found, threshold, blocks), "vector-cells")
-    def run(t: pa.Table) -> pa.Table:
-        dim, block = t.column("dim")[0].as_py(), t.column("block")[0].as_py()
-        t = t.sort_by("rep")
-        side = t.column("side").to_numpy()
-        mine = side == 0
-        raw = t.column("v").combine_chunks().flatten().to_numpy().reshape(-1, dim)
-        reps, w = t.column("rep").to_numpy(), t.column("w").to_numpy()
-        empty = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
-        if not mine.any() or mine.all():
-            return empty
-        n, root = join_tile((reps[mine], w[mine], raw[mine]), (reps[~mine], w[~mine], raw[~mine], side[~mine] == 1), block, dim, threshold, blocks)
-        every = np.concatenate([reps[mine], reps[~mine]])
-        tell = (n > 0) | (every != every[root])
-        return pa.table({"a": every[tell], "b": every[root][tell], "n": n[tell]})
-
-    # dealt anew: the join with the counts leaves all tiles of a cell in one task
-    told = cut(tiled(placed).repartition(*CELL, "tile", "across").groupBy(*CELL, "tile", "across").applyInArrow(run, "a bigint, b bigint, n bigint"))
+    placed = stage_table(place(found, threshold, blocks, "float" if dict(table.dtypes)[vector] == "array<float>" else "double"), "vector-cells")
+    tiles = gathered(tiled(placed))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                dim, block, own = (batch.column(c)[r].as_py() for c in ("dim", "block", "own"))
+                held = []
+                for row in (batch.column("a")[r], batch.column("b")[r]):
+                    reps, w, raw = (row[c].values.to_numpy(zero_copy_only=False) for c in ("rep", "w", "v"))
+                    held.append((reps, w, raw.astype(float).reshape(-1, dim)))
+                (reps, w, raw), (oreps, ow, oraw) = held
+                n, root = join_tile((reps, w, raw), (oreps, ow, oraw, np.full(len(oreps), own)), block, dim, threshold, blocks)
+                every = np.concatenate([reps, oreps])
+                tell = (n > 0) | (every != every[root])
+                yield pa.RecordBatch.from_arrays([pa.array(every[tell]), pa.array(every[root][tell]), pa.array(n[tell])], names=["a", "b", "n"])
+
+    told = stage_table(meeting(tiles).mapInArrow(run, "a bigint, b bigint, n bigint"), "tile-links")
     number = told.groupBy("a").agg(F.sum("n").alias("n")).withColumnRenamed("a", "rep")
     linked = components(told.filter("a <> b").select("a", "b")).withColumnRenamed("node", "rep")
     per = found.join(number, "rep", "left").join(linked, "rep", "left").select("v", "rep", "least", (F.coalesce("n", F.lit(0)) + F.col("w") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component"))

@@ -268,6 +268,24 @@ def test_embedding_tiles_bound_both_sides(spark, monkeypatch):
     assert sizes.agg(F.max("count")).first()[0] <= 60  # of up to 300; dealt by hash
 
 
+def test_tiles_are_not_copied_for_those_they_meet(spark, monkeypatch):
+    """Every point stands in one tile a block however many tiles its cell has, and tiles meet without a shuffle."""
+    monkeypatch.setattr(embedding_dedup, "TILE", 20)
+    v = np.random.default_rng(6).normal(size=(300, 6)) * 0.01 + 1
+    points = spark.createDataFrame([(i, 1, x) for i, x in enumerate(v.tolist())], "rep bigint, w bigint, v array<double>")
+    placed = embedding_dedup.place(points, 0.9, 4)
+    tiles = embedding_dedup.gathered(embedding_dedup.tiled(placed))
+    assert tiles.agg(F.sum(F.size("rep")), F.sum(F.size("v"))).first()[:] == (placed.count(), 6 * placed.count()) and tiles.count() > 30
+    met = embedding_dedup.meeting(tiles)
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Exchange" not in plan
+    pairs = met.select("block", "own", F.explode("a.rep").alias("i"), "b").select("block", "own", "i", F.explode("b.rep").alias("j")).filter("not own or i < j")
+    at = {(r["block"], r["rep"]): (r["x"], r["y"]) for r in placed.collect()}
+    beside = lambda b, i, j: max(abs(p - q) for p, q in zip(at[b, i], at[b, j])) <= 1
+    got = sorted((r["block"], min(r["i"], r["j"]), max(r["i"], r["j"])) for r in pairs.collect())
+    assert got == sorted((b, i, j) for b in {b for b, _ in at} for i in range(300) for j in range(i + 1, 300) if beside(b, i, j))
+
+
 def test_embeddings_of_any_size_of_numbers(spark):
     rows = [(1, [1e200, 2e200]), (2, [1e-200, 2e-200]), (2, [1.0, 2.0]), (3, [2.0, -1.0]), (4, [1.0, None]), (None, [1.0, 2.0]), (5, [])]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
