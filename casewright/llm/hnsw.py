@@ -2,7 +2,7 @@
 
 Equal vectors collapse to one class before anything else. Classes are dealt to shards of bounded size by a hash; each
 shard is one row of an index table: its vectors and, per level, a flat array of neighbour numbers (-1: none). Blocks of
-queries meet every shard, each search walks down the levels greedily and then keeps a beam on the lowest one, and the
+queries meet every shard in a product of the tables' files, each search walks down the levels greedily and then keeps a beam on the lowest one, and the
 shards' results are merged by exact cosine. A shard's graph is built at once: what insertion in random order would
 link, each node's diverse nearest among the nodes before it, is taken from the shard's own similarity matrix.
 """
@@ -21,6 +21,9 @@ from casewright.llm.shared import stage_table
 SHARD = 4096
 LINKS = 16
 CANDIDATES = 48
+STEP = 8
+#: Queries that walk in step: what they look up stays in a core's cache.
+STRIDE = 128
 
 
 def usable(vector: str) -> F.Column:
@@ -112,40 +115,52 @@ def build(vectors: np.ndarray, links: int = LINKS, seed: int = 11) -> list[tuple
 
 
 def search(vectors: np.ndarray, levels: list[tuple[np.ndarray, np.ndarray]], queries: np.ndarray, beam: int) -> np.ndarray:
-    """(q, beam) numbers of the nodes found (-1: none), nearest first: all queries of a block walk in step."""
+    """(q, beam) numbers of the nodes found (-1: none), nearest first: all queries of a block walk in step.
+
+    A walk scores about a third of a shard's nodes, one gathered row each, so a block's scores come from one matrix product
+    and the walks look them up. On the lowest level a step expands the `STEP` nearest nodes that are not expanded yet.
+    """
     q, n = len(queries), len(vectors)
+    score = queries @ vectors.T
+    every = np.arange(q)
     at = np.full(q, int(levels[-1][0][0]))
-    sim = np.einsum("qd,qd->q", vectors[at], queries)
+    sim = score[every, at]
     for _, flat in levels[:0:-1]:
-        live = np.arange(q)
+        live = every
         while len(live):
             near = flat[at[live]]
-            s = np.where(near >= 0, np.einsum("qkd,qd->qk", vectors[np.maximum(near, 0)], queries[live]), -np.inf)
+            s = np.where(near >= 0, score[live[:, None], near], -np.inf)
             k = s.argmax(1)
             top = s[np.arange(len(live)), k]
             better = top > sim[live]
             live, k, top, near = live[better], k[better], top[better], near[better]
             at[live], sim[live] = near[np.arange(len(live)), k], top
-    flat = levels[0][1]
+    flat = np.vstack([levels[0][1], np.full((1, levels[0][1].shape[1]), -1, np.int32)])  # the last row: of no node
     ids, sims = np.full((q, beam), -1, np.int32), np.full((q, beam), -np.inf, np.float32)
     ids[:, 0], sims[:, 0] = at, sim
-    seen, done = np.zeros((q, n), bool), np.ones((q, beam), bool)
-    seen[np.arange(q), at], done[:, 0] = True, False
-    live = np.arange(q)
+    seen, done = np.zeros((q, n + 1), bool), np.ones((q, beam), bool)
+    seen[every, at], done[:, 0], seen[:, n] = True, False, True  # -1: no node, seen
+    live = every
     while len(live):
-        k = (~done[live]).argmax(1)
-        node = ids[live, k]
-        done[live, k] = True
-        near = flat[node]
-        fresh = (near >= 0) & ~seen[live[:, None], np.maximum(near, 0)]
-        rows, cols = np.nonzero(fresh)
-        seen[live[rows], near[rows, cols]] = True
-        s = np.full(near.shape, -np.inf, np.float32)
-        s[rows, cols] = np.einsum("kd,kd->k", vectors[near[rows, cols]], queries[live[rows]])
-        every = np.concatenate([sims[live], s], 1)
-        order = np.argsort(-every, axis=1, kind="stable")[:, :beam]
+        row = live[:, None]
+        pick = np.argsort(done[live], axis=1, kind="stable")[:, :STEP]
+        node = np.where(done[row, pick], n, ids[row, pick])
+        done[row, pick] = True
+        lists, fresh = [], []
+        for e in range(pick.shape[1]):  # one after the other: lists may share nodes
+            near = flat[node[:, e]]
+            new = ~seen[row, near]
+            seen[row, near] = True
+            lists.append(near)
+            fresh.append(new)
+        near, fresh = np.concatenate(lists, 1), np.concatenate(fresh, 1)
+        both = np.concatenate([sims[live], np.where(fresh, score[row, near], -np.inf)], 1)
+        order = np.argpartition(-both, beam - 1, axis=1)[:, :beam]
+        got = np.take_along_axis(both, order, 1)
+        rank = np.argsort(-got, axis=1, kind="stable")
+        order = np.take_along_axis(order, rank, 1)
         ids[live] = np.take_along_axis(np.concatenate([ids[live], near], 1), order, 1)
-        sims[live] = np.take_along_axis(every, order, 1)
+        sims[live] = np.take_along_axis(got, rank, 1)
         done[live] = np.take_along_axis(np.concatenate([done[live], ~fresh], 1), order, 1) | np.isinf(sims[live])
         live = live[~done[live].all(1)]
     return np.where(np.isfinite(sims), ids, -1)
@@ -170,7 +185,8 @@ def index(found: DataFrame, *, shard: int = SHARD) -> DataFrame:
     def whole(table: pa.Table) -> pa.Table:
         return pa.Table.from_batches(list(make(iter(table.to_batches()))))
 
-    return dealt.groupBy("dim", "shard").applyInArrow(whole, "dim int, shard int, n int, classes binary, reps binary, vectors binary, nodes array<binary>, flats array<binary>")
+    files = max(1, min(1000, sum(-(-n // shard) for n in sizes.values())))
+    return dealt.repartition(files, "dim", "shard").groupBy("dim", "shard").applyInArrow(whole, "dim int, shard int, n int, classes binary, reps binary, vectors binary, nodes array<binary>, flats array<binary>")
 
 
 def unit(raw: np.ndarray) -> np.ndarray:
@@ -196,11 +212,11 @@ def nearest(table: DataFrame, queries: DataFrame, *, key: str = "vec_id", vector
     graph = stage_table(index(found, shard=shard), "hnsw-index")
     asked = queries.filter(F.col(key).isNotNull() & usable(vector)).select(F.col(key).cast("long").alias("query_id"), F.col(vector).cast("array<double>").alias("v")).distinct()
     asked = stage_table(asked.select("query_id", "v", F.size("v").alias("dim"), F.monotonically_increasing_id().alias("asked")), "queries")
-    dealt = asked.withColumn("_block", F.pmod(F.xxhash64("asked"), F.lit(max(1, -(-asked.count() // block)))))
-    blocks = dealt.groupBy("dim", "_block").agg(F.collect_list("asked").alias("q"), F.flatten(F.collect_list("v")).alias("qv"))
-    shards = graph.groupBy("dim").agg(F.max("shard").alias("_last"))
-    pairs = blocks.join(shards, "dim").withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("_last")))).drop("_last", "_block")
-    both = pairs.join(graph, ["dim", "shard"])
+    number = max(1, -(-asked.count() // block))
+    dealt = asked.withColumn("_block", F.pmod(F.xxhash64("asked"), F.lit(number)))
+    blocks = dealt.repartition(max(1, min(1000, number // 4)), "dim", "_block").groupBy("dim", "_block").agg(F.collect_list("asked").alias("q"), F.flatten(F.collect_list("v")).alias("qv"))
+    # a product of the files: shards and blocks are neither copied for each other nor broadcast
+    both = graph.join(stage_table(blocks.drop("_block"), "query-blocks").hint("shuffle_replicate_nl"), "dim")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -212,7 +228,8 @@ def nearest(table: DataFrame, queries: DataFrame, *, key: str = "vec_id", vector
                 levels = [(np.frombuffer(x, "<i4"), np.frombuffer(y, "<i4").reshape(n, -1)) for x, y in zip(row["nodes"].as_py(), row["flats"].as_py())]
                 q = row["q"].values.to_numpy()
                 qv = row["qv"].values.to_numpy().reshape(-1, dim)
-                got = search(unit(raw), levels, unit(qv), min(beam, n))[:, : 4 * (k + 1)]
+                nodes, asks = unit(raw), unit(qv)
+                got = np.concatenate([search(nodes, levels, asks[s : s + STRIDE], min(beam, n))[:, : 4 * (k + 1)] for s in range(0, len(asks), STRIDE)])
                 a, b = np.nonzero(got >= 0)
                 score = cosine(qv[a], raw[got[a, b]])
                 order = np.lexsort((reps[got[a, b]], -score, a))

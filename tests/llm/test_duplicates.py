@@ -316,6 +316,20 @@ def test_nearest_has_recall(spark):
     assert hnsw.nearest(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_shards_meet_queries_without_copies(spark, monkeypatch):
+    """Neither shards nor blocks are shuffled or broadcast for each other, and a walk finds each node once."""
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=(900, 8)).astype(np.float32)
+    df = spark.createDataFrame(rows_of(v), "vec_id bigint, embedding array<float>")
+    plan = hnsw.nearest(df, df.filter("vec_id % 10 = 0"), shard=200, block=16)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan
+    u = hnsw.unit(v.astype(float))
+    got = hnsw.search(u, hnsw.build(u), u[:300], 40)
+    assert all(len(set(x[x >= 0].tolist())) == (x >= 0).sum() > 5 for x in got)
+    exact = np.argsort(-(u[:300] @ u.T), axis=1)[:, :5]
+    assert np.mean([len(set(a) & set(b)) / 5 for a, b in zip(exact.tolist(), got[:, :5].tolist())]) > 0.95
+
+
 def test_license_scan(spark):
     mit = licenses.KNOWN["MIT"]
     rows = [(1, "Copyright (c) 2020 Ana\n\n" + mit.replace("notice", "NOTICE").replace(",", " ,")), (2, mit + " more"), (3, None), (4, ""), (5, "licensed under the apache licence; version 2.0"), (5, "x")]
