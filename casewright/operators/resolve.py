@@ -96,7 +96,9 @@ def similar_pairs(names: DataFrame, *, threshold: float = 0.8, native: bool = Fa
 def similar_among(found: DataFrame, *, threshold: float = 0.8, native: bool = False) -> DataFrame:
     """Those of candidate_pairs() at or over the threshold; see similar_pairs()."""
     first = (F.col("mx") > F.col("my")) | ((F.col("mx") == F.col("my")) & (F.col("x") < F.col("y")))
-    pairs = found.select("case_id", F.when(first, F.col("x")).otherwise(F.col("y")).alias("a"), F.when(first, F.col("y")).otherwise(F.col("x")).alias("b")).distinct()
+    pairs = found.select("case_id", F.when(first, F.col("x")).otherwise(F.col("y")).alias("a"), F.when(first, F.col("y")).otherwise(F.col("x")).alias("b"))
+    # short rows, but long work on each: Spark would put them into few tasks by their size
+    pairs = pairs.repartition(2 * found.sparkSession.sparkContext.defaultParallelism, "case_id", "a", "b").distinct()
     shared = F.aggregate(F.zip_with(letters("a"), letters("b"), lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
     kept = pairs.filter(2 * shared >= threshold * (F.length("a") + F.length("b")) - 1e-9)
     ratio = edit_ratio(F.col("a"), F.col("b")) if native else matching_ratio("a", "b")
@@ -138,21 +140,36 @@ def connected(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     return found.select("node.case_id", "node.node", F.col("component.node").alias("component"))
 
 
+def same_start(nodes: DataFrame, *, threshold: float) -> DataFrame:
+    """(case_id, node, component): names (under 200 signs) of one length that share more than threshold of it as a prefix.
+
+    That block alone takes any two of them over the threshold, by either ratio, so none needs to be compared: they have
+    the smallest of them as their component.
+    """
+    n = F.length("node")
+    start = F.when(n < 200, F.substring(F.col("node"), F.lit(1), F.floor(threshold * n + 1e-9).cast("int") + 1)).otherwise(F.col("node"))
+    keyed = nodes.select("case_id", "node", n.alias("n"), start.alias("start"))
+    return keyed.join(keyed.groupBy("case_id", "n", "start").agg(F.min("node").alias("component")), ["case_id", "n", "start"], "left").select("case_id", "node", F.coalesce("component", "node").alias("component"))
+
+
 def similar_clusters(names: DataFrame, *, threshold: float = 0.8, native: bool = False, rounds: int = 6) -> DataFrame:
     """(case_id, node, component): connected() over similar_pairs(), without forming pairs that are connected already.
 
-    In each round the names of a segment meet only its heads, a name of either side chosen by a hash of its component, so
-    numbered names, all of them near each other, become one component at a cost in proportion to their number. Segments
-    whose names have one component are done. When a round links nothing, or after `rounds`, all pairs of different
-    components that still share a segment are compared: exact, whatever the rounds found.
+    Names of same_start() are linked first. In each round a segment's components, by one name each, meet only its heads, a
+    name of either side chosen by a hash of its component, so numbered names, all of them near each other, become one
+    component at a cost far below their number. When that links nothing all names of a segment meet its heads, in
+    rounds too. Segments whose names have one component are done. When such a round links nothing, or after `rounds`, all
+    pairs of different components that still share a segment are compared: exact, whatever the rounds found.
     """
     rule = {"threshold": threshold, "native": native}
     nodes = names.select("case_id", F.col("norm").alias("node")).distinct()
     short, moved = segment_index(names, **rule)
     entry = lambda df, n, m, longer: df.select(*SEGMENT, F.col(n).alias("node"), F.col(m).alias("mentions"), F.lit(longer).alias("longer"))
     cells = stage_table(entry(short, "x", "mx", False).unionByName(entry(moved, "y", "my", True)).distinct(), "segments")
-    links, found = None, nodes.withColumn("component", F.col("node"))
-    for turn in range(rounds + 1):
+    found = stage_table(same_start(nodes, threshold=threshold), "name-components")
+    links = found.filter("node <> component").select("case_id", F.col("component").alias("a"), F.col("node").alias("b"))
+    turn, few = 0, True
+    while True:
         who, order = F.struct("node", "mentions", "component"), F.xxhash64(F.lit(turn), "i", "component", "node")
         head = lambda longer: F.min_by(F.when(F.col("longer") == longer, who), F.when(F.col("longer") == longer, order))
         placed = cells.join(found, ["case_id", "node"])
@@ -162,18 +179,25 @@ def similar_clusters(names: DataFrame, *, threshold: float = 0.8, native: bool =
         cells = placed.select(*cells.columns)
         pair = lambda x, y: (F.col(f"{x}node").alias("x"), F.col(f"{x}mentions").alias("mx"), F.col(f"{y}node").alias("y"), F.col(f"{y}mentions").alias("my"))
         if turn < rounds:
-            to_y = placed.filter("not longer and component <> hy.component").select("case_id", *pair("", "hy."))
-            to_x = placed.filter("longer and component <> hx.component").select("case_id", *pair("hx.", ""))
+            met = placed.filter(F.when(F.col("longer"), F.col("component") != F.col("hx.component")).otherwise(F.col("component") != F.col("hy.component")))
+            if few:  # one name of each component; heads are the same in all rows of a segment
+                one = F.min_by(F.struct("node", "mentions", "hx", "hy"), order).alias("one")
+                met = met.groupBy(*SEGMENT, "longer", "component").agg(one).select("case_id", "longer", "component", "one.*")
+            to_y = met.filter("not longer").select("case_id", *pair("", "hy."))
+            to_x = met.filter("longer").select("case_id", *pair("hx.", ""))
             pairs = to_y.union(to_x).distinct()
             more = stage_table(similar_among(pairs, **rule).select("case_id", "a", "b"), "name-links")
-        if turn == rounds or more.isEmpty():
+        none = turn < rounds and more.isEmpty()
+        turn += 1
+        if few and none:
+            few = False
+            continue
+        if none or turn > rounds:
             side = lambda longer, x, m, c: placed.filter(F.col("longer") == longer).select(*SEGMENT, F.col("node").alias(x), F.col("mentions").alias(m), F.col("component").alias(c))
             rest = side(False, "x", "mx", "cx").join(side(True, "y", "my", "cy"), SEGMENT).filter("cx <> cy").select("case_id", "x", "mx", "y", "my").distinct()
             more = stage_table(similar_among(rest, **rule).select("case_id", "a", "b"), "name-links")
-            if more.isEmpty():
-                return found
-            return connected(nodes, more if links is None else links.union(more))
-        links = more if links is None else links.union(more)
+            return found if more.isEmpty() else connected(nodes, links.union(more))
+        links = links.union(more)
         found = stage_table(connected(nodes, links), "name-components")
 
 

@@ -27,6 +27,22 @@ def test_similar_clusters_without_all_pairs(spark, monkeypatch):
     assert sum(compared) < 20 * len(names)  # all pairs: 50 times
 
 
+def test_clusters_compare_components_not_names(spark, monkeypatch):
+    """Numbered names cost less than a comparison each; the clusters are those of all pairs, by either ratio."""
+    names = [f"supplier#{i:09d}" for i in (*range(0, 3000), *range(40_000, 41_000), *range(777_000, 777_400))]
+    few = [f"supplier#{i:09d}" for i in (5, 17, 40_001, 40_999, 777_123, 123_456_789, 987_654_321)]
+    odd = ["ana ruiz", "ana ruis", "eva paz", "luis sol", "luis soler", "luis solera", "a" * 250 + "b" * 9, "a" * 250 + "c" * 9, "ab", "ac", "a", ""]
+    compared, among = [], resolve.similar_among
+    monkeypatch.setattr(resolve, "similar_among", lambda found, **rule: (compared.append(found.count()), among(found, **rule))[1])
+    table = lambda of: spark.createDataFrame([("c", x, 1 + i % 3) for i, x in enumerate(of)], "case_id string, norm string, mentions int")
+    got = {r["node"]: r["component"] for r in resolve.similar_clusters(table(names)).collect()}
+    assert got == dict.fromkeys(names, names[0]) and sum(compared) < 0.5 * len(names)
+    for native in (False, True):
+        n = table(few + odd)
+        all_pairs = resolve.connected(n.select("case_id", F.col("norm").alias("node")), resolve.similar_pairs(n, native=native))
+        assert sorted(map(tuple, resolve.similar_clusters(n, native=native).collect())) == sorted(map(tuple, all_pairs.collect()))
+
+
 def test_edges_are_not_mirrored(spark):
     e = spark.createDataFrame([("c", "a", "b", "coocurrencia", 3), ("c", "b", "a", "involucrado", 1), ("c", "a", "d", "lugar", 1)], "case_id string, src string, dst string, kind string, n int")
     got = graph.dedup_edges(e).collect()
